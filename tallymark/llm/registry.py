@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, secrets
+from . import ann, bitslice, bpe, mixing, secrets
 
 QUERIES = {
+    "op1_bitslice": bitslice.query,
     "op3_bpe": bpe.query,
+    "op4_ann": ann.query,
     "op5_secrets": secrets.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op1_bitslice": bitslice.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
