@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, bitslice, bpe, mixing, secrets
+from . import ann, bitslice, bpe, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_bitslice": bitslice.query,
     "op3_bpe": bpe.query,
     "op4_ann": ann.query,
     "op5_secrets": secrets.query,
+    "op7_toxicity": toxicity.query,
+    "op9_quality": quality.query,
     "op10_mixing": mixing.query,
 }
 
