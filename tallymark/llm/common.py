@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.plans.shipping import ship
+
 #: Rows in an Arrow batch. Texts average a few kB, so a batch stays at a few MB.
 BATCH_ROWS = 512
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows that a Python worker holds at once; very long texts count most."""
+    """Ready the session for Python functions: bound the rows that a worker holds at once."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
