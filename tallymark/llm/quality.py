@@ -7,8 +7,8 @@ Every document is projected, compared with all labelled vectors by exact cosine
 in blocks, and the labels of its ``NEIGHBOURS`` nearest vote, weighted by similarity.
 
 A word's shape is its letters' classes with repeats taken together ("THERE!!" is "A!");
-a few pseudo-terms stand for the share of distinct words and the number of words, so that
-repetition shows. Empty and null texts have only those. Without usable labels every score
+a few pseudo-terms stand for the number of words, the share of distinct ones and of those
+that repeat the word before, so that repetition shows. Empty and null texts have only those. Without usable labels every score
 is 0. Repeated rows give repeated rows; an empty table gives none. A null doc_id belongs
 to the fold of the empty text. Labels, lang, source and doc_id are no inputs of a score;
 columns other than doc_id and text are not read.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,11 @@ RANK = 32
 NEIGHBOURS = 25
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
+#: What a pseudo-term counts.
+EXTRA = 20
 #: Documents whose products with all labelled vectors are formed at once.
 BLOCK = 256
 
-_CLASSES = [(re.compile(r"[^\W\d_a-z]+"), "A"), (re.compile(r"[a-z]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1")]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,8 +61,12 @@ def terms_of(token: str) -> tuple[str, ...]:
 
 
 def extra_terms(tokens: list[str]) -> list[str]:
+    """Terms for the number of words, the share of distinct ones, and of those that repeat the one before."""
     n = len(tokens)
-    return [f"#n{n.bit_length()}", f"#u{8 * len(set(tokens)) // n}" if n else "#u-"]
+    if not n:
+        return ["#n0"]
+    again = sum(map(eq, tokens, tokens[1:]))
+    return [f"#n{n.bit_length()}", f"#u{8 * len(set(tokens)) // n}", f"#r{0 if not again else 1 + 8 * again // n}"]
 
 
 class Projector:
@@ -89,10 +95,9 @@ class Projector:
                     got = known[token] = tuple([number[t] for t in terms_of(token) if t in number])
                 for j in got:
                     row[j] += c
-            n = len(tokens)
-            for t in (f"#n{n.bit_length()}", f"#u{8 * len(seen) // n}" if n else "#u-"):
+            for t in extra_terms(tokens):
                 if t in number:
-                    row[number[t]] += 3
+                    row[number[t]] += EXTRA
         return out
 
     def latent(self, counts: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ FEATURES = 2_000
 #: A feature is kept if its likelihood ratio against the labels is as large as this.
 LEAST_RATIO = 15.0
 PENALTY = 5.0
-RIDGE = 0.3
+RIDGE = 0.1
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 300_000
 
