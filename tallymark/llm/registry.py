@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bitslice, bpe, mixing, quality, secrets, toxicity
+from . import ann, bitslice, bpe, mixing, quality, secrets, templates, toxicity
 
 QUERIES = {
     "op1_bitslice": bitslice.query,
+    "op2_lines": templates.query,
     "op3_bpe": bpe.query,
     "op4_ann": ann.query,
     "op5_secrets": secrets.query,
