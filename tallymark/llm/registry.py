@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitslice, bpe, mixing, quality, secrets, templates, toxicity
+from . import ann, bitslice, bpe, jaccard, mixing, quality, secrets, templates, toxicity
 
 QUERIES = {
     "op1_bitslice": bitslice.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ann": ann.query,
     "op5_secrets": secrets.query,
     "op7_toxicity": toxicity.query,
+    "op8_jaccard": jaccard.query,
     "op9_quality": quality.query,
     "op10_mixing": mixing.query,
 }
