@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitslice, bpe, jaccard, mixing, quality, secrets, templates, toxicity
+from . import ann, bitslice, bpe, jaccard, licenses, mixing, quality, secrets, templates, toxicity
 
 QUERIES = {
     "op1_bitslice": bitslice.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.query,
     "op4_ann": ann.query,
     "op5_secrets": secrets.query,
+    "op6_licenses": licenses.query,
     "op7_toxicity": toxicity.query,
     "op8_jaccard": jaccard.query,
     "op9_quality": quality.query,
