@@ -249,7 +249,6 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         coder = _coders[mark]
         for batch in batches:
             coded = coder.code(batch.column(1).to_pylist())
-            ids = [x.split() for x, _ in coded] if with_ids else []
             columns = [
                 batch.column(0),
                 pa.array([x.count(" ") + 1 if x else 0 for x, _ in coded], pa.int64()),
@@ -258,7 +257,9 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array([[int(i) for i in x] for x in ids], pa.list_(pa.int32())))
+                flat = np.fromstring(" ".join([x for x, _ in coded if x]), np.int32, sep=" ")
+                ends = np.cumsum(columns[1].to_numpy())
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
