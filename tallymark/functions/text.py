@@ -126,7 +126,7 @@ def negation_count(values: Column, language: str | None) -> Column:
 
 def code_point(character: Column) -> Column:
     """U+XXXX of the first character."""
-    code = F.hex(F.encode(character, "UTF-32BE"))
+    code = F.hex(F.encode(character, "UTF-32"))
     digits = F.regexp_replace(code, "^0+", "")
     return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
@@ -226,14 +226,16 @@ CONTROL_CLASSES = (
 def hidden_control_flags(text: Column) -> Column:
     """"bidi_control=U+202E:1;zero_width=U+200B:2", classes and characters in order of appearance."""
     text = F.coalesce(text, F.lit(""))
+    def counted(found: Column) -> Column:
+        def one(c: Column) -> Column:
+            return F.concat(code_point(c), F.lit(":"), F.size(F.filter(found, lambda x: x == c)).cast("string"))
+
+        return F.array_join(F.transform(F.array_distinct(found), one), ",")
+
     parts = []
     for name, pattern in CONTROL_CLASSES:
         found = F.regexp_extract_all(text, F.lit(f"({pattern})"))
-        counted = F.transform(
-            F.array_distinct(found),
-            lambda c, found=found: F.concat(code_point(c), F.lit(":"), F.size(F.filter(found, lambda x: x == c)).cast("string")),
-        )
-        parts.append(F.when(F.size(found) > 0, F.concat(F.lit(f"{name}="), F.array_join(counted, ","))))
+        parts.append(F.when(F.size(found) > 0, F.concat(F.lit(f"{name}="), counted(found))))
     return F.concat_ws(";", *parts)
 
 
