@@ -1,15 +1,13 @@
 """BPE encoding and decoding with merge rounds over flat numpy arrays.
 
 The vocabulary file (its path is a parameter) is read once on the driver and broadcast;
-its size is fixed by the file. A text is split at white space, and every distinct piece
-that a worker hasn't met is encoded together with the batch's other new pieces: the
-symbols of all their words lie in one flat array, each round looks all adjacent pairs up
-by binary search over the sorted pair keys, finds the lowest rank of every word, and
-merges there. Finished words leave the array. A piece's ids and decoded form are kept in
-a bounded cache, so a text costs one lookup a piece.
+its size is fixed by the file. Words that a worker hasn't met are encoded together, many at
+once: their symbols lie in one flat array, each round looks all adjacent pairs up by binary
+search over the sorted pair keys, finds the lowest rank of every word, and merges there.
+Finished words leave the array. A word's ids and decoded form are kept in a bounded cache.
 
 Nulls and empty texts have no ids and decode to the empty text. Texts of any length are
-encoded whole. Repeated rows give repeated rows; an empty table gives none; only doc_id
+encoded whole, in parts of bounded size. Repeated rows give repeated rows; an empty table gives none; only doc_id
 and text are read, whatever else the table holds.
 """
 
@@ -26,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 
-#: Pieces that a worker remembers; beyond that it forgets all and starts again.
-CACHE_PIECES = 250_000
+#: Code points of text that are split into pieces at once.
+SEGMENT = 1 << 20
+#: Words that a worker remembers; beyond that it forgets all and starts again.
+CACHE_WORDS = 300_000
 
 # Fixed values of the file format: the word pattern after lower-casing, and white space.
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,8 +42,10 @@ _UNICODE_16 = (
     (0x11380, 0x113FF), (0x116D0, 0x116E3), (0x11BC0, 0x11BFF), (0x13460, 0x143FF), (0x16100, 0x1613F),
     (0x16D40, 0x16D7F), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
 )
-_NOT_SPACE_HERE = re.compile("[\x1c-\x1f]")
 _AT_SPACE = re.compile(f"[{_SPACE}]+")
+#: Texts of ASCII, Latin letters and common punctuation, on which the faster module agrees with the pattern.
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ‐-‧]*")
+_PLAIN_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 def _byte_letters() -> list[str]:
@@ -129,9 +131,9 @@ def _newer_letters() -> str:
 
 
 class Coder:
-    """Encodes and decodes texts; remembers pieces up to a bound."""
+    """Encodes and decodes texts; remembers words up to a bound."""
 
-    def __init__(self, vocab: Vocabulary, cache: int = CACHE_PIECES):
+    def __init__(self, vocab: Vocabulary, cache: int = CACHE_WORDS):
         import regex
 
         self.vocab, self.limit = vocab, cache
@@ -139,91 +141,85 @@ class Coder:
         self.newer = frozenset(newer)
         word = _WORD.replace(r"\s", _SPACE)
         self.words = regex.compile(word)
-        # slower, for pieces that hold one of those letters, which count as symbols
+        # slower, for texts that hold one of those letters, which count as symbols
         word = word.replace(r"[\p{L}]", rf"[\p{{L}}--[{newer}]]").replace(r"[\p{N}]|", rf"[\p{{N}}--[{newer}]]|")
         word = word.replace(r"\p{L}\p{N}]+", rf"[\p{{L}}--[{newer}]][\p{{N}}--[{newer}]]]+")
         self.words_newer = regex.compile(word, regex.V1)
         self.special = re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) or "(?!)")
-        self.known: dict[str, tuple[str, str]] = {}
-        self.word: dict[str, tuple[str, str]] = {}
         self.id_text = np.array([str(i) for i in range(vocab.n)], object)
         self.tokens = np.array(vocab.tokens, object)
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+
+    def _words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if _PLAIN.fullmatch(text):
+            return _PLAIN_WORD.findall(unicodedata.normalize("NFC", text).lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(_NEWER_LOWER)
+        return (self.words if self.newer.isdisjoint(text) else self.words_newer).findall(text)
+
+    def _learn(self, words: set[str]) -> None:
+        missing = [w for w in words if w not in self.ids]
+        if not missing:
+            return
+        if len(self.ids) + len(missing) > self.limit:
+            self.ids, self.decoded = {}, {}
+            missing = list(words)
+        flat, end = self.vocab.encode_words([w.encode() for w in missing])
+        ids, tokens = self.id_text[flat].tolist(), self.tokens[flat].tolist()
+        at = 0
+        for w, to in zip(missing, end.tolist(), strict=True):
+            self.ids[w], self.decoded[w] = " ".join(ids[at:to]), " ".join(tokens[at:to])
+            at = to
+
+    def segments(self, texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+        """The texts as lists of (place, part of a text), each list of a bounded length in all.
+
+        Texts are cut at white space only, and so never inside a special token.
+        """
+        held: list[tuple[int, str]] = []
+        room = SEGMENT
+        for k, text in enumerate(texts):
+            at, n = 0, len(text or "")
+            while at < n:
+                cut = _AT_SPACE.search(text, at + SEGMENT) if n - at > SEGMENT else None
+                to = cut.start() if cut else n
+                if to - at > room and held:
+                    yield held
+                    held, room = [], SEGMENT
+                held.append((k, text if to - at == n else text[at:to]))
+                room -= to - at
+                at = to
+        if held:
+            yield held
 
-    def _pieces(self, text: str) -> list[str]:
-        return [x for x in _AT_SPACE.split(text) if x] if _NOT_SPACE_HERE.search(text) else text.split()
-
-    def _split(self, text: str) -> list[tuple[str, bool]]:
-        """Parts of the text: (special token, True) or (a piece without white space, False)."""
-        found: list[tuple[str, bool]] = []
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text between special tokens (False) and those tokens (True)."""
         at = 0
         for m in self.special.finditer(text):
-            found += [(x, False) for x in self._pieces(text[at : m.start()])]
-            found.append((m[0], True))
+            yield text[at : m.start()], False
+            yield m[0], True
             at = m.end()
-        return found + [(x, False) for x in self._pieces(text[at:])]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [x for x in pieces if x not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(pieces)
-        split = [self._words(piece) for piece in new]
-        missing = list({w for words in split for w in words if w not in self.word})
-        if len(self.word) + len(missing) > self.limit:
-            self.word = {}
-            missing = list({w for words in split for w in words})
-        if missing:
-            flat, end = self.vocab.encode_words([w.encode() for w in missing])
-            ids, tokens = self.id_text[flat].tolist(), self.tokens[flat].tolist()
-            at = 0
-            for w, to in zip(missing, end.tolist(), strict=True):
-                self.word[w] = (" ".join(ids[at:to]), " ".join(tokens[at:to]))
-                at = to
-        word = self.word
-        for piece, words in zip(new, split, strict=True):
-            if len(words) == 1:
-                self.known[piece] = word[words[0]]
-            else:
-                both = [word[w] for w in words]
-                self.known[piece] = (" ".join([x for x, _ in both]), " ".join([y for _, y in both]))
-
-    def _words(self, piece: str) -> list[str]:
-        if piece.isascii():
-            piece = piece.lower()
-        else:
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower().translate(_NEWER_LOWER)
-        if piece.isalpha():
-            return [piece]
-        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return (self.words if self.newer.isdisjoint(piece) else self.words_newer).findall(piece)
-
-    def code(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """For each text its ids in decimal, joined by a space, and its decoded form."""
-        split: list[list[str] | list[tuple[str, bool]]] = []
-        pieces: set[str] = set()
-        for t in texts:
-            if t and "<" in t and self.special.search(t):
-                parts = self._split(t)
-                pieces.update(x for x, s in parts if not s)
-            else:
-                parts = self._pieces(t or "")
-                pieces.update(parts)
-            split.append(parts)
-        self._learn(pieces)
-        out = []
-        for parts in split:
-            if parts and isinstance(parts[0], tuple):
-                both = [(str(self.vocab.special[x]), x) if s else self.known[x] for x, s in parts]
-            else:
-                both = list(map(self.known.__getitem__, parts))
-            out.append((" ".join(x for x, _ in both if x), " ".join(y for x, y in both if x)))
-        return out
+        yield text[at:], False
+
+    def code(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """(place, ids in decimal joined by a space, decoded form) of the texts' parts in their order; none are empty."""
+        for held in self.segments(texts):
+            split: list[tuple[int, list[str], bool]] = []
+            for k, t in held:
+                for part, special in self._parts(t) if "<" in t else ((t, False),):
+                    words = [part] if special else self._words(part)
+                    if words:
+                        split.append((k, words, special))
+            self._learn({w for _, words, special in split if not special for w in words})
+            for k, words, special in split:
+                if special:
+                    yield k, str(self.vocab.special[words[0]]), words[0]
+                else:
+                    yield k, " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in self.code([text])[0][0].split()]
+        return [int(x) for _, ids, _ in self.code([text]) for x in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as the file names no decoder; unknown ids are left out."""
@@ -248,18 +244,23 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             _coders[mark] = Coder(Vocabulary(content.value))
         coder = _coders[mark]
         for batch in batches:
-            coded = coder.code(batch.column(1).to_pylist())
-            columns = [
-                batch.column(0),
-                pa.array([x.count(" ") + 1 if x else 0 for x, _ in coded], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in coded], pa.string()),
-                pa.array([hashlib.sha256(y.encode()).hexdigest() for _, y in coded], pa.string()),
-            ]
+            n = batch.num_rows
+            counts, flat = np.zeros(n, np.int64), []
+            ids_sha, decoded_sha = ([hashlib.sha256() for _ in range(n)] for _ in range(2))
+            for k, ids, decoded in coder.code(batch.column(1).to_pylist()):
+                if counts[k]:
+                    ids_sha[k].update(b" ")
+                    decoded_sha[k].update(b" ")
+                ids_sha[k].update(ids.encode())
+                decoded_sha[k].update(decoded.encode())
+                counts[k] += ids.count(" ") + 1
+                if with_ids:
+                    flat.append(np.fromstring(ids, np.int32, sep=" "))
+            columns = [batch.column(0), pa.array(counts), *[pa.array([h.hexdigest() for h in x]) for x in (ids_sha, decoded_sha)]]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                flat = np.fromstring(" ".join([x for x, _ in coded if x]), np.int32, sep=" ")
-                ends = np.cumsum(columns[1].to_numpy())
-                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat)))
+                every = pa.array(np.concatenate([np.empty(0, np.int32), *flat]))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), every))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
