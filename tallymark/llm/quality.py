@@ -34,7 +34,11 @@ TERMS = 4_096
 RANK = 32
 NEIGHBOURS = 25
 THRESHOLD = 0.3
+#: Power of the similarity that weighs a vote.
+SHARPNESS = 24
 CACHE_WORDS = 300_000
+#: Least weights of a shape or pseudo-term and of a word; widespread terms have a large entropy.
+SHAPE_WEIGHT, WORD_WEIGHT = 0.3, 0.02
 #: What a pseudo-term counts.
 EXTRA = 20
 #: Documents whose products with all labelled vectors are formed at once.
@@ -171,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple | None:
     x, y = x[order], y[order]
     share = x / np.maximum(x.sum(axis=0), 1e-9)
     entropy = -(share * np.log(np.maximum(share, 1e-12))).sum(axis=0) / np.log(max(n, 2))
-    weights = np.maximum(1 - entropy, 0.02).astype(np.float32)
+    least = np.array([SHAPE_WEIGHT if x.startswith("#") else WORD_WEIGHT for x in names])
+    weights = np.maximum(1 - entropy, least).astype(np.float32)
     x = np.log1p(x) * weights
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     basis = decompose(x, RANK)
@@ -185,7 +190,7 @@ def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int = NEIGHB
     near = z @ vectors.T
     k = min(k, near.shape[1])
     at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** 4 + 1e-9
+    weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** SHARPNESS + 1e-9
     return (weight * labels[at]).sum(axis=1) / weight.sum(axis=1)
 
 

@@ -33,7 +33,7 @@ FEATURES = 2_000
 #: A feature is kept if its likelihood ratio against the labels is as large as this.
 LEAST_RATIO = 15.0
 PENALTY = 5.0
-RIDGE = 0.1
+RIDGE = 0.5
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 300_000
 
@@ -128,6 +128,20 @@ def _feature_table(sample: DataFrame, n: int, n_toxic: int) -> list[str]:
     return list(dict.fromkeys([r["f"] for r in rows] + sorted(_GROUP)))
 
 
+def _largest(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, d: int) -> float:
+    """A bound on the largest eigenvalue of X'X / n for sparse X, by power steps."""
+    if not len(col):
+        return 0.0
+    v, size = np.ones(d + 1), 0.0
+    for _ in range(30):
+        v = np.bincount(col, value * np.bincount(row, value * v[col], n)[row], d + 1) / n
+        size = float(np.linalg.norm(v))
+        if size == 0:  # the ones were orthogonal to all: fall back on the longest row
+            return float(np.bincount(row, value**2, n).max())
+        v /= size
+    return 1.2 * size
+
+
 def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], d: int, penalty: float = PENALTY) -> np.ndarray:
     """Weights and, last, the bias: logistic loss, ridge, and the mean squared change of score over ``pairs``."""
     n = len(rows)
@@ -141,8 +155,9 @@ def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[lis
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3) if n else 0.5
     w[d] = np.log(share / (1 - share))
     ahead, before = w.copy(), w.copy()
-    widest = max([len(r) for r in rows], default=1) + 1
-    step = 1.0 / (0.25 * min(widest, 60) + RIDGE / max(n, 1) + 2 * penalty)
+    one = np.ones(len(col))
+    steep = 0.25 * (_largest(row, col, one, n, d) + 1) + RIDGE / max(n, 1) + 2 * penalty * _largest(prow, pcol, psign, m, d)
+    step = 1.0 / steep
     moment = 1.0
     for _ in range(400):  # accelerated gradient descent, restarted when it turns
         z = np.bincount(row, ahead[col], n) + ahead[d]
