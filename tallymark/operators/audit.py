@@ -36,11 +36,9 @@ def audit(
         reference = rows.limit(0)
     theirs = structure.keyed(reference, index)
     language = candidate_language or reference_language
-    gated = compare.gated(ours, theirs, candidate_language, reference_language, verified)
-    reviewed = compare.reviewed(gated, language)
-    findings = structure.structural_findings(ours, index, groups, candidate_language, complete)
-    findings = findings.unionByName(compare.comparison_findings(reviewed, language))
-    done = compare.statuses(reviewed, findings)
+    gated = compare.gated(structure.row_structure(ours, candidate_language), theirs, candidate_language, reference_language, verified)
+    done = compare.statuses(compare.row_comparison(compare.reviewed(gated, language), language))
+    findings = structure.row_findings(done).unionByName(structure.group_findings(ours, index, groups, complete))
     findings = findings.unionByName(_file_findings(done, theirs, language, verified))
     return Audit(done, findings, summarise(done, findings, index, groups, complete))
 

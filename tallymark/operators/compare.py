@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .structure import finding
+from .structure import CODES, RAISED, raised
 
 OVERLAP = 0.65
 LEAST_TOKENS = 3
@@ -57,8 +57,10 @@ def gated(rows: DataFrame, reference: DataFrame, candidate_language: str = "", r
     ``verified`` says that the engine verified the source as a whole. The reasons, in
     order: the row's own identifier, scope and text, its copies, then the reference's.
     """
-    copies = F.count("*").over(Window.partitionBy("file_id", "id"))
-    out = rows.withColumn("copies", F.when(F.col("valid"), copies).otherwise(0))
+    out = rows
+    if "copies" not in rows.columns:
+        copies = F.count("*").over(Window.partitionBy("file_id", "id"))
+        out = rows.withColumn("copies", F.when(F.col("valid"), copies).otherwise(0))
     out = out.join(reference_by_id(reference), "id", "left")
     differ = bool(candidate_language and reference_language and candidate_language != reference_language)
     r = F.col("reference")
@@ -136,41 +138,40 @@ def reviewed(rows: DataFrame, language: str = "") -> DataFrame:
     return out.withColumn("language_state", F.when(unmet, "not_compared").otherwise("abstain" if limited else "supported"))
 
 
-def comparison_findings(rows: DataFrame, language: str = "") -> DataFrame:
-    """Findings of reviewed rows, evidence ones included."""
-    num, qual = F.col("numeric_review"), F.col("qualifier_review")
-    negations = {"negations": F.col("negations"), "reference_negations": F.col("other_negations")}
-    parts = [
-        finding(rows.where("comparison_reason = 'ambiguous_reference'"), "ambiguous_reference", {"reference_rows": F.col("reference_rows")}),
-        finding(rows.where("language_state = 'abstain'"), "language_rule_abstain", {"language": F.lit(language)}),
-        finding(rows.where("numeric_review.state = 'abstain'"), "numeric_comparison_abstain", {"reasons": num["reasons"]}),
-        finding(rows.where("numeric_review.state = 'difference'"), "potential_numeric_change", {"candidate": num["candidate"], "reference": num["reference"]}),
-        finding(rows.where("qualifier_review.state = 'abstain'"), "qualifier_comparison_abstain", {"reasons": qual["reasons"]}),
-        finding(rows.where("qualifier_review.state = 'difference'"), "potential_qualifier_change", {"candidate": qual["candidate"], "reference": qual["reference"]}),
-        finding(rows.where("negation_state = 'abstain'"), "negation_comparison_abstain", negations),
-        finding(rows.where("negation_state = 'difference'"), "potential_negation_change", negations),
-        finding(rows.where("lexical_difference"), "lexical_difference", {"overlap": F.round(F.col("overlap").cast("decimal(20,10)"), 4), "added": F.col("added"), "removed": F.col("removed")}),
-    ]
-    hygiene = rows.where("reference IS NOT NULL").withColumn("issues", T.hygiene(F.col("reference.text"), F.coalesce(F.col("reference.language"), F.lit(language))))
-    parts.append(finding(hygiene.where("size(issues) > 0"), "reference_text_hygiene", {"issues": F.col("issues")}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def statuses(rows: DataFrame, findings: DataFrame) -> DataFrame:
-    """Reviewed rows with their status: needs_review, abstain or no_signal, never an approval."""
-    hit = (
-        findings.where("type IN ('structural', 'comparison')")
-        .select("file_id", F.explode("row_numbers").alias("row_number")).distinct().withColumn("__hit", F.lit(True))
+def row_comparison(rows: DataFrame, language: str = "") -> DataFrame:
+    """Reviewed rows whose ``raised`` holds the comparison's findings too, evidence ones included."""
+    c = F.col
+    issues = T.hygiene(c("reference.text"), F.coalesce(c("reference.language"), F.lit(language)))
+    rows = rows.withColumn("__issues", F.when(c("reference").isNotNull(), issues))
+    counts = {"negations": c("negations"), "reference_negations": c("other_negations")}
+    both = lambda review: {"candidate": c(f"{review}.candidate"), "reference": c(f"{review}.reference")}
+    num, qual, neg = c("numeric_review.state"), c("qualifier_review.state"), c("negation_state")
+    found = F.array(
+        raised("ambiguous_reference", c("comparison_reason") == "ambiguous_reference", reference_rows=c("reference_rows")),
+        raised("reference_text_hygiene", F.size("__issues") > 0, issues=c("__issues")),
+        raised("language_rule_abstain", c("language_state") == "abstain", language=F.lit(language)),
+        raised("numeric_comparison_abstain", num == "abstain", reasons=c("numeric_review.reasons")),
+        raised("potential_numeric_change", num == "difference", **both("numeric_review")),
+        raised("qualifier_comparison_abstain", qual == "abstain", reasons=c("qualifier_review.reasons")),
+        raised("potential_qualifier_change", qual == "difference", **both("qualifier_review")),
+        raised("negation_comparison_abstain", neg == "abstain", **counts),
+        raised("potential_negation_change", neg == "difference", **counts),
+        raised("lexical_difference", c("lexical_difference"), overlap=F.round(c("overlap").cast("decimal(20,10)"), 4), added=c("added"), removed=c("removed")),
     )
-    out = rows.join(hit, ["file_id", "row_number"], "left")
+    have = c("raised") if "raised" in rows.columns else F.array().cast(RAISED)
+    return rows.withColumn("raised", F.concat(have, F.array_compact(found))).drop("__issues")
+
+
+def statuses(rows: DataFrame) -> DataFrame:
+    """Rows with their status: needs_review, abstain or no_signal, never an approval.
+
+    What a row raises is in the row already, copies included, so no join is needed.
+    """
+    grave = F.array(*[F.lit(code) for code, (kind, _) in CODES.items() if kind in ("structural", "comparison")])
+    hit = F.exists("raised", lambda r: F.array_contains(grave, r["code"])) | (F.col("copies") > 1)
     states = [F.col("numeric_review.state"), F.col("qualifier_review.state"), F.col("negation_state"), F.col("language_state")]
     abstained = F.lit(False)
     for s in states:
         abstained = abstained | F.coalesce(s == "abstain", F.lit(False))
-    status = (
-        F.when(F.col("__hit"), "needs_review").when((F.col("comparison_status") == "abstain") | abstained, "abstain").otherwise("no_signal")
-    )
-    return out.withColumn("status", status).drop("__hit")
+    status = F.when(hit, "needs_review").when((F.col("comparison_status") == "abstain") | abstained, "abstain").otherwise("no_signal")
+    return rows.withColumn("status", status)

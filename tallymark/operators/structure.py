@@ -63,8 +63,7 @@ def finding(rows: DataFrame, code: str, evidence: dict[str, Column], row_numbers
         F.lit(code).alias("code"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
         numbers.cast("array<long>").alias("row_numbers"), names.cast("array<string>").alias("ids"), told.alias("evidence"),
     )
-    digest = F.sha2(F.concat_ws("|", "file_id", "code", F.array_join(F.col("row_numbers").cast("array<string>"), ","), F.array_join("ids", ","), "evidence"), 256)
-    return out.withColumn("finding_id", digest).select(*FINDING)
+    return _digested(out)
 
 
 def keyed(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -139,30 +138,67 @@ def ranges(rows: DataFrame, by: list[str], value: str = "ord") -> DataFrame:
     return runs.agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("size")).drop("__island")
 
 
-def structural_findings(rows: DataFrame, index: DataFrame, groups: DataFrame | None, language: str = "", complete: bool = True) -> DataFrame:
-    """All structural findings of keyed rows; ``complete``: missing identifiers count."""
-    spans = merged_ranges(rows)
-    out = finding(spans, "suspected_merged_range", {"first": F.col("range.first"), "last": F.col("range.last")})
-    invalid = rows.where("NOT valid")
-    out = out.unionByName(finding(invalid, "invalid_id", {"grp": F.col("grp"), "ord": F.col("ord"), "group_size": F.col("group_size")}))
-    out = out.unionByName(finding(rows.where("valid AND NOT in_scope"), "out_of_scope", {"grp": F.col("grp")}))
-    wrong = out_of_order(rows)
-    out = out.unionByName(
-        finding(wrong, "out_of_order", {c: F.col(c) for c in ("previous_id", "previous_row", "previous_position", "position")})
-    )
-    if "raw_type" in rows.columns:
-        odd = rows.where("raw_type IS NOT NULL AND raw_type <> 'string'")
-        out = out.unionByName(finding(odd, "invalid_text_type", {"received_type": F.col("raw_type")}))
-    out = out.unionByName(finding(rows.where(~T.meaningful(F.col("text"))), "empty_text", {}))
-    issues = rows.where(T.meaningful(F.col("text"))).withColumn("issues", T.hygiene(F.col("text"), F.lit(language))).where("size(issues) > 0")
-    out = out.unionByName(finding(issues, "text_hygiene", {"issues": F.col("issues")}))
-    copies = duplicates(rows).withColumn("input_index", F.col("places")[0]["input_index"])
-    out = out.unionByName(
-        finding(
-            copies, "duplicate_id", {"occurrences": F.col("occurrences"), "conflicting_text": F.col("conflicting_text")},
-            F.col("places.row_number"), F.array("id"),
-        )
+RAISED = "array<struct<code: string, evidence: string>>"
+
+
+def raised(code: str, when: Column, **evidence: Column) -> Column:
+    """struct(code, evidence) if the condition holds, null otherwise; for arrays of what a row raises."""
+    told = F.to_json(F.struct(*[c.alias(k) for k, c in evidence.items()])) if evidence else F.lit("{}")
+    return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(code).alias("code"), told.alias("evidence")))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows with the position, id and number of the valid row before them in their file: one window, no second scan."""
+    before = Window.partitionBy("file_id").orderBy("input_index").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("valid"), F.struct("position", "id", "row_number")), ignorenulls=True).over(before)
+    return rows.withColumn("previous", last)
+
+
+def row_structure(rows: DataFrame, language: str = "") -> DataFrame:
+    """Keyed rows with previous, copies and raised: all structural findings that are about one row."""
+    copies = F.count("*").over(Window.partitionBy("file_id", "id"))
+    out = in_order(rows).withColumn("copies", F.when(F.col("valid"), copies).otherwise(0))
+    out = out.withColumn("__range", T.merged_range(F.col("ordinal_raw").cast("string"))).withColumn("__told", T.meaningful(F.col("text")))
+    out = out.withColumn("__issues", T.hygiene(F.col("text"), F.lit(language)))
+    odd = F.col("raw_type") if "raw_type" in rows.columns else F.lit(None).cast("string")
+    c = F.col
+    found = F.array(
+        raised("suspected_merged_range", c("__range").isNotNull(), first=c("__range.first"), last=c("__range.last")),
+        raised("invalid_id", ~c("valid"), grp=c("grp"), ord=c("ord"), group_size=c("group_size")),
+        raised("out_of_scope", c("valid") & ~c("in_scope"), grp=c("grp")),
+        raised("out_of_order", c("valid") & (c("position") < c("previous.position")), previous_id=c("previous.id"), previous_row=c("previous.row_number"),
+               previous_position=c("previous.position"), position=c("position")),
+        raised("invalid_text_type", odd != "string", received_type=odd),
+        raised("empty_text", ~c("__told")),
+        raised("text_hygiene", c("__told") & (F.size("__issues") > 0), issues=c("__issues")),
+    )
+    return out.withColumn("raised", F.array_compact(found)).drop("__range", "__told", "__issues")
+
+
+def row_findings(rows: DataFrame) -> DataFrame:
+    """The findings of rows with ``raised``: one explode, whatever the number of codes."""
+    spread = rows.select("file_id", "input_index", "row_number", "id", F.explode("raised").alias("r"))
+    listed = {"phase": F.create_map(*[F.lit(x) for k, v in PHASE.items() for x in (k, v)]), "type": F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v[0])]),
+              "severity": F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v[1])])}
+    code = F.col("r.code")
+    out = spread.select(
+        "file_id", F.col("input_index").cast("long").alias("input_index"), code.alias("code"), *[F.element_at(m, code).alias(k) for k, m in listed.items()],
+        F.array(F.col("row_number").cast("long")).alias("row_numbers"), F.filter(F.array("id"), lambda x: x.isNotNull()).alias("ids"), F.col("r.evidence").alias("evidence"),
     )
+    return _digested(out)
+
+
+def _digested(out: DataFrame) -> DataFrame:
+    digest = F.sha2(F.concat_ws("|", "file_id", "code", F.array_join(F.col("row_numbers").cast("array<string>"), ","), F.array_join("ids", ","), "evidence"), 256)
+    return out.withColumn("finding_id", digest).select(*FINDING)
+
+
+def group_findings(rows: DataFrame, index: DataFrame, groups: DataFrame | None, complete: bool = True) -> DataFrame:
+    """Structural findings about identifiers and groups: copies and, if ``complete``, gaps."""
+    copies = duplicates(rows).withColumn("input_index", F.col("places")[0]["input_index"])
+    out = finding(
+        copies, "duplicate_id", {"occurrences": F.col("occurrences"), "conflicting_text": F.col("conflicting_text")}, F.col("places.row_number"), F.array("id")
+    )
     if complete:
         gaps = ranges(missing(rows, index, groups), ["file_id", "grp"])
         gaps = gaps.groupBy("file_id", "grp").agg(
