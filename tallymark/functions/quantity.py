@@ -12,6 +12,8 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
+from typing import NamedTuple
 
 import regex
 
@@ -65,6 +67,7 @@ _GLUE = regex.compile(r"[\p{L}/:\-.]")
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
 
 
+@lru_cache(maxsize=100_000)
 def token_value(text: str) -> str:
     """The form of a token that comparisons use."""
     value = unicodedata.normalize("NFKC", text).lower().replace("’", "'")
@@ -76,8 +79,7 @@ VALUES_AR = {w: n for n, words in CARDINALS_AR.items() for w in words.split()}
 UNITS = {token_value(w): (dimension, factor) for dimension, factor, words in UNITS_TEXT for w in words.split()}
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     text: str
     value: str
     start: int
@@ -91,7 +93,9 @@ class Token:
 NONE = Token("", "", -1, -1)
 
 
+@lru_cache(maxsize=4)
 def tokenise(text: str) -> list[Token]:
+    """The text's tokens; the last few texts are remembered, as a comparison reads each twice."""
     return [Token(m[0], token_value(m[0]), *m.span()) for m in TOKEN.finditer(text)]
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,26 @@ from . import compare, structure
 from .structure import finding
 
 
-@dataclass(frozen=True)
 class Audit:
-    """Rows with statuses, findings, and a summary row for each file."""
+    """Rows with statuses, findings, and a summary row for each file, each planned when asked for.
 
-    rows: DataFrame
-    findings: DataFrame
-    summary: DataFrame
+    Rows are persisted (memory, then disk) when first used, as the other two read them
+    too; ``unpersist`` frees them. Lost parts are computed again.
+    """
+
+    def __init__(self, rows: DataFrame, findings: Callable[[], DataFrame], summary: Callable[[DataFrame], DataFrame]):
+        self.rows, self._findings, self._summary = rows, findings, summary
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self._findings()
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return self._summary(self.findings)
+
+    def unpersist(self) -> None:
+        self.rows.unpersist()
 
 
 def audit(
@@ -36,11 +51,16 @@ def audit(
         reference = rows.limit(0)
     theirs = structure.keyed(reference, index)
     language = candidate_language or reference_language
-    gated = compare.gated(structure.row_structure(ours, candidate_language), theirs, candidate_language, reference_language, verified)
-    done = compare.statuses(compare.row_comparison(compare.reviewed(gated, language), language))
-    findings = structure.row_findings(done).unionByName(structure.group_findings(ours, index, groups, complete))
-    findings = findings.unionByName(_file_findings(done, theirs, language, verified))
-    return Audit(done, findings, summarise(done, findings, index, groups, complete))
+    gated = compare.gated(structure.placed(ours), theirs, candidate_language, reference_language, verified)
+    # the rules on texts are the work, and windows and joins leave small inputs in few tasks: deal rows out first
+    gated = gated.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", "input_index")
+    gated = structure.row_structure(gated, candidate_language)
+    done = compare.statuses(compare.row_comparison(compare.reviewed(gated, language), language)).persist(StorageLevel.MEMORY_AND_DISK)
+    def findings() -> DataFrame:
+        found = structure.row_findings(done).unionByName(structure.group_findings(ours, index, groups, complete))
+        return found.unionByName(_file_findings(done, theirs, language, verified))
+
+    return Audit(done, findings, lambda found: summarise(done, found, index, groups, complete))
 
 
 def _file_findings(rows: DataFrame, reference: DataFrame, language: str, verified: bool) -> DataFrame:

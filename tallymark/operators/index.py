@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: An index is broadcast up to so many groups (under 8 MB); beyond that Spark chooses the join.
-BROADCAST_GROUPS = 200_000
+
+#: Groups whose running sums are taken together.
+STRIDE = 1 << 16
 
 
 def numbering(counts: DataFrame) -> DataFrame:
     """Rows (grp, n, base) of counts (grp, n): base is the number of ordinals before the group.
 
-    Groups with a null or non-positive count hold nothing and are left out.
+    Groups with a null or non-positive count hold nothing and are left out. The running sum
+    has two levels: within strides of the group number, and over one sum a stride, so no
+    task sorts all groups.
     """
-    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.where("grp IS NOT NULL AND n > 0").select(F.col("grp").cast("long"), F.col("n").cast("long"))
-    return counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+    counts = counts.withColumn("__stride", F.floor(F.col("grp") / STRIDE))
+    before = Window.orderBy("__stride").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("__stride").agg(F.sum("n").alias("__n"))
+    sums = sums.select("__stride", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__stride").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    out = counts.withColumn("__within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, "__stride")
+    return out.select("grp", "n", (F.col("__before") + F.col("__within")).cast("long").alias("base"))
 
 
 def expected(index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -27,10 +35,5 @@ def expected(index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     return index.select("grp", "base", ords).select("grp", "ord", (F.col("base") + F.col("ord")).alias("position"))
 
 
-def sized(index: DataFrame, rows: int | None = None) -> DataFrame:
-    """The index with a broadcast hint if it is known to be small enough."""
-    return F.broadcast(index) if rows is not None and rows <= BROADCAST_GROUPS else index
-
-
 def identifier(grp: Column, ord_: Column) -> Column:
     return F.concat_ws(":", grp.cast("string"), ord_.cast("string"))

@@ -154,13 +154,17 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("previous", last)
 
 
-def row_structure(rows: DataFrame, language: str = "") -> DataFrame:
-    """Keyed rows with previous, copies and raised: all structural findings that are about one row."""
+def placed(rows: DataFrame) -> DataFrame:
+    """Keyed rows with what the others of their file say about them: previous and copies."""
     copies = F.count("*").over(Window.partitionBy("file_id", "id"))
-    out = in_order(rows).withColumn("copies", F.when(F.col("valid"), copies).otherwise(0))
+    return in_order(rows).withColumn("copies", F.when(F.col("valid"), copies).otherwise(0))
+
+
+def row_structure(out: DataFrame, language: str = "") -> DataFrame:
+    """Placed rows with raised: all structural findings that are about one row."""
     out = out.withColumn("__range", T.merged_range(F.col("ordinal_raw").cast("string"))).withColumn("__told", T.meaningful(F.col("text")))
     out = out.withColumn("__issues", T.hygiene(F.col("text"), F.lit(language)))
-    odd = F.col("raw_type") if "raw_type" in rows.columns else F.lit(None).cast("string")
+    odd = F.col("raw_type") if "raw_type" in out.columns else F.lit(None).cast("string")
     c = F.col
     found = F.array(
         raised("suspected_merged_range", c("__range").isNotNull(), first=c("__range.first"), last=c("__range.last")),
