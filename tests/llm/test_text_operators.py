@@ -405,11 +405,3 @@ def test_mix_repeats_rows_as_planned(spark):
     assert set(rows[0]) == set(ROWS[0])
     got = Counter(r["doc_id"] for r in rows if r["text"] and r["text"].split())
     assert +got == +plan
-
-
-def test_lines_are_found_alike_with_many_leaves(spark, monkeypatch):
-    """The join that replaces the broadcast of leaves gives the same places."""
-    places = lambda: sorted((r["doc_id"], tuple(r["dropped"])) for r in collect(templates.dropped_lines(frame(spark, ROWS))))
-    few = places()
-    monkeypatch.setattr(templates, "BROADCAST_LEAVES", -1)
-    assert few and places() == few
