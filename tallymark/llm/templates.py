@@ -3,10 +3,13 @@
 A line's fields that hold a digit are variable and read <*>. The tree has a fixed depth:
 the number of tokens, then the first ``DEPTH`` tokens; lines of one leaf are alike in both.
 Within a leaf, lines that agree in at least ``SIMILARITY`` of their tokens share a template
-whose other tokens are variable. To find them without comparing all, a line is cut into
-so many pieces that two such lines must agree in one piece at least; the lines of a piece
-are compared with the first line of that piece, and a line takes the smallest line that it
-matches so, and that line's own choice, as its template.
+whose other tokens are variable, and so do lines linked by a chain of such lines. To find
+all of them without comparing all, the tokens behind the leading ones are cut into so many
+pieces that two such lines must agree in one piece at least. The lines of a piece are
+compared with its first line; then those outside the piece's largest group of linked lines
+are compared with all lines of the piece that they aren't linked to. Where more than
+``BLOCK`` lines are outside, the piece is cut again by the tokens in which its lines differ,
+until none is left; no line is passed over.
 
 A template found in at least ``MIN_DOCS`` documents is recurring. Its lines stay in the
 document with the smallest id, and are dropped elsewhere; lines of fewer than
@@ -24,12 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, components, table
 
 DEPTH = 3
 SIMILARITY = 0.8
 MIN_TOKENS = 4
 MIN_DOCS = 2
+#: Lines of a piece outside its largest group that are compared with all lines of it; with more, the piece is cut again.
+BLOCK = 64
 
 _FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
@@ -79,35 +84,73 @@ def _texts_of(docs: DataFrame, kinds: DataFrame, mixed: DataFrame) -> DataFrame:
     return found.dropDuplicates(["h1", "h2"])
 
 
+def _differing(n: Column) -> Column:
+    """In how many of n tokens lines of one template may differ."""
+    return F.floor(n * (1 - SIMILARITY) + 1e-9).cast("int")
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows (part, id): ``rows`` (part, id, tokens, open) by each piece of the open places; alike lines meet in one part."""
+    most, of = _differing(F.size("tokens")), F.size("open")
+    start = lambda i: F.floor(i * of / (most + 1)).cast("int")
+
+    def key(i: Column) -> Column:
+        piece = F.slice("open", start(i) + 1, start(i + 1) - start(i))
+        return F.xxhash64("part", i, F.transform(piece, lambda p: F.get("tokens", p)))
+
+    return rows.select(F.explode(F.transform(F.sequence(F.lit(0), most), key)).alias("part"), "id")
+
+
+def _alike(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose lines agree in enough tokens."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.join(found.select(F.col("id").alias("a"), "m"), "a").join(found.select(F.col("id").alias("b"), F.col("m").alias("other")), "b")
+    ours, theirs = F.split("m", " "), F.split("other", " ")
+    same = F.size(F.filter(F.zip_with(ours, theirs, lambda x, y: x == y), lambda z: z))
+    return both.where(same >= F.size(ours) * SIMILARITY - 1e-9).select("a", "b")
+
+
+def _open(large: DataFrame) -> DataFrame:
+    """Rows (part, id, tokens, open) of ``large`` (part, id, tokens): the places in which lines of a part differ."""
+    each = large.select("part", F.posexplode("tokens").alias("at", "token"))
+    each = each.groupBy("part", "at").agg(F.min("token").alias("a"), F.max("token").alias("z")).where("a <> z")
+    return large.join(each.groupBy("part").agg(F.sort_array(F.collect_list("at")).alias("open")), "part")
+
+
 def _merged(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows (h1, h2, t1, t2): distinct lines that take another line's template."""
     kinds = lines.groupBy("leaf", "h1", "h2").agg(F.min(F.struct("doc_id", "__k", "pos")).alias("at"))
     mixed = kinds.groupBy("leaf").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("z"))
     mixed = mixed.where("a <> z").select("leaf")
     # kept as text: arrays of tokens would take several times the space
-    found = checkpointed(_texts_of(docs, kinds, mixed)).withColumn("tokens", F.split("m", " "))
-    n = F.size("tokens")
-    pieces = (F.floor(n * (1 - SIMILARITY) + 1e-9) + 1).cast("int")
-    width = F.ceil(n / pieces).cast("int")
-    cut = found.select(
-        "leaf", "h1", "h2", "tokens",
-        F.explode(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1)).alias("piece"), width.alias("w"),
-    )
-    part = F.xxhash64("leaf", "piece", F.slice("tokens", F.col("piece") * F.col("w") + 1, F.col("w")))
-    cut = cut.select("leaf", "h1", "h2", part.alias("part"))
-    first = cut.groupBy("leaf", "part").agg(F.min(F.struct("h1", "h2")).alias("f"), F.max(F.struct("h1", "h2")).alias("z"))
-    first = first.where("f <> z").select("leaf", "part", F.col("f.h1").alias("f1"), F.col("f.h2").alias("f2"))
-    pairs = cut.join(first, ["leaf", "part"]).where("h1 <> f1 OR h2 <> f2").select("h1", "h2", "f1", "f2").distinct()
-    ours = found.select("h1", "h2", "tokens")
-    theirs = found.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("tokens").alias("others"))
-    same = F.size(F.filter(F.zip_with("tokens", "others", lambda x, y: x == y), lambda z: z))
-    alike = pairs.join(ours, ["h1", "h2"]).join(theirs, ["f1", "f2"]).where(same >= F.size("tokens") * SIMILARITY - 1e-9)
-    taken = checkpointed(alike.groupBy("h1", "h2").agg(F.min(F.struct("f1", "f2")).alias("f")))
-    taken = taken.select("h1", "h2", F.col("f.f1").alias("f1"), F.col("f.f2").alias("f2"))
-    further = taken.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    return taken.join(further, ["f1", "f2"], "left").select(
-        "h1", "h2", F.coalesce("g1", "f1").alias("t1"), F.coalesce("g2", "f2").alias("t2")
+    found = checkpointed(_texts_of(docs, kinds, mixed).withColumn("id", F.monotonically_increasing_id()))
+    tokens = F.split("m", " ")
+    # lines of four tokens or fewer differ in none, so distinct ones aren't alike
+    able = found.where(_differing(F.size(tokens)) > 0).select(
+        F.col("leaf").alias("part"), "id", tokens.alias("tokens"), F.sequence(F.lit(DEPTH), F.size(tokens) - 1).alias("open")
     )
+    parts, links = _cut(able), None
+    while True:
+        first = parts.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+        parts = checkpointed(parts.join(first.select("part", "first"), "part"))
+        near = _alike(parts.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), found)
+        links = checkpointed(near if links is None else links.unionByName(near))
+        named = parts.join(components(links), "id", "left").select("part", "id", F.coalesce("component", "id").alias("kin"))
+        sizes = named.groupBy("part", "kin").agg(F.count("*").alias("n")).groupBy("part")
+        sizes = sizes.agg(F.count("*").alias("kins"), F.sum("n").alias("all"), F.max(F.struct("n", "kin")).alias("top")).where("kins > 1")
+        sizes = sizes.select("part", F.col("top.kin").alias("most"), (F.col("all") - F.col("top.n") <= BLOCK).alias("few"))
+        open_ = checkpointed(named.join(sizes, "part"))
+        outside = open_.where("few AND kin <> most").select("part", F.col("id").alias("a"), F.col("kin").alias("akin"))
+        inside = open_.where("few").select("part", F.col("id").alias("b"), F.col("kin").alias("bkin"))
+        links = checkpointed(links.unionByName(_alike(outside.join(inside, "part").where("akin <> bkin"), found)))
+        large = open_.where("NOT few").select("part", "id")
+        if large.isEmpty():
+            break
+        parts = _cut(_open(large.join(found.select("id", tokens.alias("tokens")), "id")))
+    kin = components(links).where("id <> component")
+    named = found.select("id", "h1", "h2")
+    theirs = found.select(F.col("id").alias("component"), F.col("h1").alias("t1"), F.col("h2").alias("t2"))
+    return kin.join(named, "id").join(theirs, "component").select("h1", "h2", "t1", "t2")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

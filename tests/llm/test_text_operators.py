@@ -254,6 +254,40 @@ def test_dropped_lines_are_recurring_and_no_recurring_exact_line_stays(spark):
             assert doc == min(docs_of[m]) or not any(d < doc for d in docs_of[m])
 
 
+def brute_dropped(rows):
+    """(doc_id, place) of what goes: lines linked by a chain of alike ones share a template, its smallest document keeps them."""
+    lines, alike = brute_dedup(rows)
+    root = {}
+    for m in alike:
+        todo = [] if m in root else [m]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = m
+                todo += alike[x]
+    docs_of = defaultdict(set)
+    for doc, _, _, m in lines:
+        docs_of[root[m]].add(doc)
+    return {(doc, pos) for doc, _, pos, m in lines if doc != min(docs_of[root[m]])}
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_all_alike_lines_of_hot_leaves_meet(spark, monkeypatch, block):
+    """One opening and one closing phrase: each line has a partner that the first line of a shared piece is unlike."""
+    monkeypatch.setattr(templates, "BLOCK", block)
+    rng = random.Random(6)
+    texts = []
+    for i in range(120):
+        x, y, z = f"x{'abcdefgh'[i % 8]}", f"y{chr(97 + i // 8)}", "z" + "".join(rng.choice("abcdefghij") for _ in range(6))
+        texts += [f"You can also read our {x} {y} {z} article here", f"You can also read our {x}q {y}q {z} article here"]
+    for _ in range(150):
+        middle = " ".join(rng.choice("abcdef") + "w" for _ in range(12))
+        texts.append(f"The quick fox {middle} ends right here now")
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(rng.sample(texts, len(texts)))]
+    got = {(r["doc_id"], p) for r in collect(templates.dropped_lines(frame(spark, rows))) for p in r["dropped"]}
+    assert len(got) >= 120 and got == brute_dropped(rows)
+
+
 # --- Jaccard join -----------------------------------------------------------------------------
 
 
