@@ -12,8 +12,10 @@ are compared with all lines of the piece that they aren't linked to. Where more
 until none is left; no line is passed over.
 
 A template found in at least ``MIN_DOCS`` documents is recurring. Its lines stay in the
-document with the smallest id, and are dropped elsewhere; lines of fewer than
-``MIN_TOKENS`` tokens are too short to tell and stay. Repeats within one document stay.
+document with the smallest id, and are dropped elsewhere. Lines of fewer than
+``MIN_TOKENS`` tokens are too short to merge with unlike ones: their fields aren't
+variable, and they recur only where they are equal but for spacing. In scripts without
+spaces each character is a token. Blank lines and repeats within one document stay.
 
 Every step is a hash join or a partial aggregation on narrow rows of hashes; texts move
 once, to meet the places of their dropped lines. Null and empty texts, and rows without an
@@ -37,16 +39,20 @@ MIN_DOCS = 2
 BLOCK = 64
 
 _FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Letters of scripts that put no spaces between words.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}ー]"
 
 
 def _masked(line: Column) -> Column:
-    """The line with variable fields as <*> and single spaces between tokens.
+    """The line with single spaces between tokens, and variable fields as <*> if it is long enough.
 
     One search tells the lines that need no replacement, which are most.
     """
     plain = F.trim(line)
-    full = F.trim(F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), r"\s+", " "))
-    return F.when(plain.rlike(r"[0-9\t\x0B\f\r]|  "), full).otherwise(plain)
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(line, _UNSPACED, " $0 "), r"\s+", " "))
+    long = spaced.rlike(rf"^(?:\S+ ){{{MIN_TOKENS - 1}}}\S")
+    full = F.when(long, F.regexp_replace(spaced, _FIELD, "<*>")).otherwise(spaced)
+    return F.when(plain.rlike(rf"[0-9\t\x0B\f\r]|  |{_UNSPACED}"), full).otherwise(plain)
 
 
 def _key(of: str) -> Column:
@@ -54,13 +60,17 @@ def _key(of: str) -> Column:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, __k, pos, m, leaf): the masked lines that can recur, and the leaf of the tree that they reach."""
+    """Rows (doc_id, __k, pos, m, leaf): the masked lines that can recur, and the leaf of the tree that they reach.
+
+    Lines too short to merge with unlike ones have no leaf.
+    """
     one = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _key("text"))
     # masked within the array: a filter on an exploded column isn't evaluated twice
     one = one.select("doc_id", "__k", F.posexplode(F.transform(F.split("text", "\n"), _masked)).alias("pos", "m"))
     spaces = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit("")))
-    one = one.withColumn("n", spaces + 1).where(F.col("n") >= MIN_TOKENS)
-    return one.select("doc_id", "__k", "pos", "m", F.xxhash64("n", F.substring_index("m", " ", DEPTH)).alias("leaf"))
+    one = one.withColumn("n", spaces + 1).where("m <> ''")
+    leaf = F.when(F.col("n") >= MIN_TOKENS, F.xxhash64("n", F.substring_index("m", " ", DEPTH))).alias("leaf")
+    return one.select("doc_id", "__k", "pos", "m", leaf)
 
 
 def _hashes() -> tuple[Column, Column]:
@@ -119,7 +129,7 @@ def _open(large: DataFrame) -> DataFrame:
 
 def _merged(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows (h1, h2, t1, t2): distinct lines that take another line's template."""
-    kinds = lines.groupBy("leaf", "h1", "h2").agg(F.min(F.struct("doc_id", "__k", "pos")).alias("at"))
+    kinds = lines.where("leaf IS NOT NULL").groupBy("leaf", "h1", "h2").agg(F.min(F.struct("doc_id", "__k", "pos")).alias("at"))
     mixed = kinds.groupBy("leaf").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("z"))
     mixed = mixed.where("a <> z").select("leaf")
     # kept as text: arrays of tokens would take several times the space

@@ -288,6 +288,15 @@ def test_all_alike_lines_of_hot_leaves_meet(spark, monkeypatch, block):
     assert len(got) >= 120 and got == brute_dropped(rows)
 
 
+def test_short_lines_and_scripts_without_spaces_recur(spark):
+    texts = [
+        "All rights reserved.\nLes.\n\n17\nそれでは次のニュースをお伝えします", "Les.\n\nAll  rights reserved. \n99\nそれでは次のニュースをお送りします", "x 1\nLes.\n版权所有\n第17章已经发送给客户了",
+        "x 2\n版权所有\n第99章已经发送给客户了\nสวัสดีครับ", "สวัสดีครับ\n17\n没有重复",
+    ]
+    got = [r["text"] for r in collect(templates.dedup(frame(spark, [{"doc_id": i, "text": t} for i, t in enumerate(texts)])).orderBy("doc_id"))]
+    assert got == [texts[0], "\n99", "x 1\n版权所有\n第17章已经发送给客户了", "x 2\nสวัสดีครับ", "没有重复"]
+
+
 # --- Jaccard join -----------------------------------------------------------------------------
 
 
