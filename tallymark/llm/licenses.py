@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 # A word of these makes a sentence worth a look.
-MENTIONS = r"licen[cs]e|copyright|permission|warrant|redistribut|public domain|as is|liab"
-
+MENTIONS = (
+    r"licen[cs]e|copyright|permission|warrant|redistribut|public\W+domain|\bas\W+is\b|liab|all\W+rights\W+reserved|\bcc0\b|\bcc[- ]by|"
+    r"creative\W+commons|advertising\W+materials|applicable\W+law|neither\W+the\W+name|©|\(c\)"
+)
 
 
 def _gnu_sentences() -> list[tuple[str, str]]:
@@ -52,8 +54,35 @@ def _creative_commons() -> list[tuple[str, str]]:
     return out
 
 
+def _spdx() -> dict[str, str]:
+    """The licences that single sentences name."""
+    spdx = {"Apache2": "Apache-2.0", "Apache1.1": "Apache-1.1", "MPL2": "MPL-2.0", "MPL1.1": "MPL-1.1", "EPL2": "EPL-2.0", "EPL1": "EPL-1.0",
+            "MITheader": "MIT", "BSD3header": "BSD-3-Clause", "BSD2header": "BSD-2-Clause", "BSDheader": "BSD", "ISCheader": "ISC",
+            "ZlibHeader": "Zlib", "BoostHeader": "BSL-1.0", "Unlicense": "Unlicense", "PublicDomain": "Public-Domain", "CC0": "CC0-1.0"}
+    for name, _ in [*_gnu_sentences(), *_creative_commons()]:
+        if name.startswith("CC-"):
+            spdx[name] = name
+        elif name != "CC0":
+            kind = name.rstrip("+0123456789.").removesuffix("any")
+            version = name[len(kind) :].rstrip("+")
+            full = "" if version == "any" else f"-{version}" + ("" if "." in version else ".0")
+            spdx[name] = f"{kind}{full}" + ("-or-later" if name.endswith("+") else "" if version == "any" else "-only")
+    return spdx
+
+
+def _tags() -> list[tuple[str, str]]:
+    """SPDX tags as sentences; the old short forms of the GNU licences too."""
+    out = []
+    for name, licence in _spdx().items():
+        old = licence.removesuffix("-only") if licence.endswith("-only") else licence.replace("-or-later", "+")
+        either = "|".join(dict.fromkeys(x.lower().replace(".", r"\.").replace("+", "[+]") for x in (licence, old)))
+        out.append((name, rf".*spdx-license-identifier: ?\(*(?:{either})(?![\w+.-]).*"))
+    return [*out, ("UNKNOWN", r".*spdx-license-identifier: ?\S.*")]
+
+
 # Licence sentences, the first match names a sentence.
 SENTENCES: list[tuple[str, str]] = [
+    *_tags(),
     ("MITgrant", r"permission is hereby granted, free of charge, to any person obtaining a copy.*"),
     ("MITnotice", r"the above copyright notice and this permission notice .*shall be included in all.*"),
     ("ISCgrant", r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose.*"),
@@ -101,18 +130,7 @@ def _rules() -> list[tuple[str, str]]:
         ("BSD-3-Clause", rf" BSDgrant{gap} BSDnames(?:{gap} AsIs)?(?= )"),
         ("BSD-2-Clause", rf" BSDgrant(?:{gap} BSDsource)?(?:{gap} BSDbinary)?(?:{gap} AsIs)?(?= )"),
     ]
-    spdx = {"Apache2": "Apache-2.0", "Apache1.1": "Apache-1.1", "MPL2": "MPL-2.0", "MPL1.1": "MPL-1.1", "EPL2": "EPL-2.0", "EPL1": "EPL-1.0",
-            "MITheader": "MIT", "BSD3header": "BSD-3-Clause", "BSD2header": "BSD-2-Clause", "BSDheader": "BSD", "ISCheader": "ISC",
-            "ZlibHeader": "Zlib", "BoostHeader": "BSL-1.0", "Unlicense": "Unlicense", "PublicDomain": "Public-Domain", "CC0": "CC0-1.0"}
-    for name, _ in [*_gnu_sentences(), *_creative_commons()]:
-        if name.startswith("CC-"):
-            spdx[name] = name
-        elif name != "CC0":
-            kind = name.rstrip("+0123456789.").removesuffix("any")
-            version = name[len(kind) :].rstrip("+")
-            full = "" if version == "any" else f"-{version}" + ("" if "." in version else ".0")
-            spdx[name] = f"{kind}{full}" + ("-or-later" if name.endswith("+") else "" if version == "any" else "-only")
-    rules += [(licence, f" {name.replace('+', '[+]').replace('.', '[.]')}(?= )") for name, licence in spdx.items()]
+    rules += [(licence, f" {name.replace('+', '[+]').replace('.', '[.]')}(?= )") for name, licence in _spdx().items()]
     return [*rules, ("unknown", r" UNKNOWN(?= )"), ("all-rights-reserved", r" AllRights(?= )")]
 
 
@@ -121,6 +139,9 @@ RULES = _rules()
 
 def _sentences(text: Column) -> Column:
     """Normalised sentences that mention what licences speak of."""
+    # each licence of an SPDX expression is a sentence of its own
+    each = F.regexp_replace(text, r"(?i)(?<=spdx-license-identifier:[^\n]{0,200})[ \t]+(?:or|and)[ \t]+", "\nSPDX-License-Identifier: ")
+    text = F.when(text.rlike("(?i)spdx-license-identifier"), each).otherwise(text)
     cut = F.split(text, r"\n|(?<=[.;!?])\s+")
     fine = F.filter(cut, lambda s: s.rlike(f"(?i){MENTIONS}"))
     return F.transform(

@@ -191,6 +191,20 @@ def test_licences_equal_a_plain_reading(spark):
         assert (r["ids"], r["licenses"]) == plain(texts[r["doc_id"]])
 
 
+def licences_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["licenses"] for r in collect(licenses.recognise(rows).orderBy("doc_id"))]
+
+
+def test_sentences_of_the_table_pass_the_mentions_and_spdx_tags_count(spark):
+    cases = [("Content is available under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("CC0 1.0", ["CC0-1.0"]), ("Creative Commons Attribution 4.0", ["CC-BY-4.0"]),
+             ("Redistribution and use in source and binary forms.\nAll advertising materials mentioning features must say so.", ["BSD-4-Clause"]),
+             ("// SPDX-License-Identifier: MIT", ["MIT"]), ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+             ("SPDX-License-Identifier: GPL-2.0", ["GPL-2.0-only"]), ("SPDX-License-Identifier: Quux-1", ["unknown"])]
+    assert licences_of(spark, [t for t, _ in cases]) == [x for _, x in cases]
+    assert sorted(licences_of(spark, ["SPDX-License-Identifier: (MIT OR Apache-2.0)"])[0]) == ["Apache-2.0", "MIT"]
+
+
 # --- line templates ---------------------------------------------------------------------------
 
 
