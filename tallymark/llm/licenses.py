@@ -1,6 +1,8 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences at line ends and after full stops; a sentence that mentions
+A text is cut into sentences after full stops, at blank lines and before lines that begin a
+licence sentence. A sentence is read by line and part, and, if it is wrapped, as a whole
+too, which counts where it tells what no part does; what mentions
 what licences speak of is normalised (lower case, single spaces, no quotes, comment signs
 or final stop) and mapped to the first known licence sentence that it matches, or to
 UNKNOWN if it claims a licence that none matches. The identifiers in their order form a
@@ -137,19 +139,36 @@ def _rules() -> list[tuple[str, str]]:
 RULES = _rules()
 
 
+# Comment signs before a line, how sentences begin that stand on a line of their own, and where texts are cut for good.
+_SIGNS = r"[ \t\r/*#;%<!-]"
+_STARTS = (
+    r"you may (?:not use|obtain)|unless required by|see the licen|permission (?:is|to)|redistribution|neither the name|the above copyright|"
+    r"the (?:software|work|program) is provided|this (?:software|work|program) is|all advertising|all rights|(?:licensed|released|distributed) under|"
+    r"copyright (?:\(c\)|©|\d)|spdx-"
+)
+_ENDS = rf"(?<=[.!?])\s+|\n{_SIGNS}*+(?=\n)|(?:\n|(?<=;)\s)(?={_SIGNS}*+(?i:{_STARTS}))"
+
+
+def _plain(s: Column) -> Column:
+    """Lower case, single spaces, no quotes, comment signs or final stop."""
+    one = F.regexp_replace(F.regexp_replace(F.lower(s), r"""^[\s/*#;%<!-]+|["'“”‘’`]+""", ""), r"\s+", " ")
+    return F.regexp_replace(F.trim(one), r"[\s.;:!?]+$", "")
+
+
 def _sentences(text: Column) -> Column:
-    """Normalised sentences that mention what licences speak of."""
+    """Structs (parts, whole) of what mentions what licences speak of: a sentence's pieces by line and ';', and all of it, null if it is one piece."""
     # each licence of an SPDX expression is a sentence of its own
     each = F.regexp_replace(text, r"(?i)(?<=spdx-license-identifier:[^\n]{0,200})[ \t]+(?:or|and)[ \t]+", "\nSPDX-License-Identifier: ")
     text = F.when(text.rlike("(?i)spdx-license-identifier"), each).otherwise(text)
-    cut = F.split(text, r"\n|(?<=[.;!?])\s+")
-    fine = F.filter(cut, lambda s: s.rlike(f"(?i){MENTIONS}"))
-    return F.transform(
-        fine,
-        lambda s: F.regexp_replace(
-            F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"""^[\s/*#;%<!-]+|["'“”‘’`]+""", ""), r"\s+", " ")), r"[\s.;:!?]+$", ""
-        ),
-    )
+    fine = F.filter(F.split(text, _ENDS), lambda s: s.rlike(f"(?i){MENTIONS}"))
+
+    def read(s: Column) -> Column:
+        cut = F.filter(F.split(s, r"\n|(?<=;)\s+"), lambda p: p.rlike(r"\S"))
+        joined = F.regexp_replace(s, rf"\s*\n{_SIGNS}*+", " ")
+        parts = F.transform(F.filter(cut, lambda p: p.rlike(f"(?i){MENTIONS}")), _plain)
+        return F.struct(parts.alias("parts"), F.when(F.size(cut) > 1, _plain(joined)).alias("whole"))
+
+    return F.transform(fine, read)
 
 
 def _rows(pairs: list[tuple[str, str]]) -> Column:
@@ -161,12 +180,25 @@ def recognise(docs: DataFrame) -> DataFrame:
     # texts without a mention take the short way round
     told = F.col("text").rlike(f"(?i){MENTIONS}")
     none = F.array().cast("array<string>")
-    out = docs.select("doc_id", F.when(told, _sentences(F.col("text"))).otherwise(none).alias("said"))
+    nothing = F.array().cast("array<struct<parts: array<string>, whole: string>>")
+    out = docs.select("doc_id", F.when(told, _sentences(F.col("text"))).otherwise(nothing).alias("said"))
 
     def name(s: Column) -> Column:
         return F.coalesce(*[F.when(s.rlike(f"^(?:{pattern})$"), F.lit(x)) for x, pattern in SENTENCES])
 
-    known = F.filter(F.transform("said", lambda s: F.struct(s.alias("sentence"), name(s).alias("id"))), lambda x: x["id"].isNotNull())
+    def known_of(s: Column) -> Column:
+        """What the pieces name; the whole comes first if it names what no piece does, in place of what it makes exact."""
+        named = F.filter(F.transform(s["parts"], lambda p: F.struct(p.alias("sentence"), name(p).alias("id"))), lambda x: x["id"].isNotNull())
+        whole = F.struct(s["whole"].alias("sentence"), name(s["whole"]).alias("id"))
+
+        def joined(w: Column) -> Column:
+            vague = lambda x: (x["id"] == "UNKNOWN") | (x["id"] == F.regexp_replace(w["id"], r"[+]$", "")) | (x["id"] == F.regexp_replace(w["id"], r"(?<=GPL)[\d.]+[+]?$", "any"))
+            return F.concat(F.array(w), F.filter(named, lambda x: ~vague(x)))
+
+        adds = whole["id"].isNotNull() & ~F.exists(named, lambda x: x["id"] == whole["id"]) & ((whole["id"] != "UNKNOWN") | (F.size(named) == 0))
+        return F.when(adds, joined(whole)).otherwise(named)
+
+    known = F.flatten(F.transform("said", known_of))
     out = out.select("doc_id", F.when(F.size("said") > 0, known).alias("known"))
     out = out.select("doc_id", F.coalesce(F.col("known.sentence"), none).alias("sentences"), F.coalesce(F.col("known.id"), none).alias("ids"))
     start = F.struct(F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")).alias("left"), none.alias("found"))

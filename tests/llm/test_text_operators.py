@@ -205,6 +205,18 @@ def test_sentences_of_the_table_pass_the_mentions_and_spdx_tags_count(spark):
     assert sorted(licences_of(spark, ["SPDX-License-Identifier: (MIT OR Apache-2.0)"])[0]) == ["Apache-2.0", "MIT"]
 
 
+def test_wrapped_notices(spark):
+    gpl = ("This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.")
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n"
+           "1. Redistributions of source code must retain the above copyright\n   notice.\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse.")
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software."
+    apache = 'Licensed under the Apache License,\nVersion 2.0 (the "License");\nyou may not use this file except in compliance\nwith the License.'
+    items = "Foo: MIT License\nBar: ISC License\nBaz: zlib License"
+    got = licences_of(spark, [gpl, gpl.replace("\n * ", " "), bsd, mit, apache, items])
+    assert [sorted(x) for x in got] == [["GPL-2.0-or-later"], ["GPL-2.0-or-later"], ["BSD-3-Clause"], ["MIT"], ["Apache-2.0"], ["ISC", "MIT", "Zlib"]]
+
+
 # --- line templates ---------------------------------------------------------------------------
 
 
