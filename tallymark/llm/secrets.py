@@ -1,15 +1,20 @@
 """Secret scans that link the parts of a credential.
 
 Strong candidates (an assigned secret, an access identifier, a long hex run) stand for
-themselves. Weak candidates - a bare random-looking token, an endpoint, an account name -
-are common in harmless text, so they are reported only if a part of another role lies in
-the same scope within ``REACH`` code points. Parts are intervals; the links come from an
-interval join by a sweep over their sorted starts, which looks at each part's nearest
-neighbours of the other roles only, so a text full of parts costs no pairs.
-
-A scope is a run of lines without a blank line. Nulls and empty texts have no spans.
-Texts of any length are scanned whole; repeated rows give repeated rows; an empty table
-gives none; only doc_id and text are read.
+themselves. Weak candidates - a bare token, an account name, an endpoint - are common in
+harmless text, so they are reported only if complementary parts lie in the same scope: an
+interval join of parts and scopes, made by one sweep over both. A credential needs a
+secret, so nothing is reported for an account and an endpoint alone:
+
+* a random-looking token (digits and both cases) with an identifier or an endpoint;
+* another token of letters and digits only with an identifier and an endpoint;
+* an account with a secret, be it assigned, weak or hex;
+* an endpoint with an assigned or weak secret, or with a hex run and an identifier.
+
+A scope is a run of lines without a blank line. Every pattern takes time linear in the
+text, whatever it holds: runs are entered at their start only. Nulls and empty texts have
+no spans. Texts of any length are scanned whole; repeated rows give repeated rows; an
+empty table gives none; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -18,13 +23,11 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
-
-#: Farthest that two parts of one credential lie apart, in code points.
-REACH = 300
+from .common import ready, sliced, table
 
 # The base kinds, in the order that spans of one start take.
 BASE = ("assign", "access", "hex")
@@ -37,17 +40,15 @@ _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Weak candidates, reported only with complementary parts.
 WEAK = ("weak_secret", "weak_account", "weak_endpoint")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _ACCOUNT = re.compile(
-    r"""(?<![a-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""",
-    re.A | re.I,
-)
-_ENDPOINT = re.compile(
-    r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:_-]{4,}""",
+    r"""(?<![a-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@+/_.-]{3,}+""",
     re.A | re.I,
 )
-_BLANK = re.compile(r"\n[ \t\r]*\n")
-ROLE = {"assign": 0, "hex": 0, "weak_secret": 0, "access": 1, "weak_account": 1, "weak_endpoint": 2}
+#: A scheme is looked for at the start of a run of its characters only.
+_SCHEME = re.compile(r"""(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]++)""", re.A)
+_HOST = re.compile(r"""(?<![A-Za-z0-9])(?:host|server|endpoint)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9.:_-]{4,}+""", re.A | re.I)
+_BLANK = re.compile(r"\n[ \t\r]*+\n")
 
 Span = tuple[int, int, str]
 
@@ -66,20 +67,31 @@ def base_spans(text: str) -> list[Span]:
 
 def _random_looking(token: str) -> bool:
     """Digits and both cases mixed, and few repeats: not a word, a path or a rule of dashes."""
-    return (
-        any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token)
-        and len(set(token)) * 2 >= min(len(token), 32)
-    )
+    return any(map(str.isdigit, token)) and any(map(str.isupper, token)) and any(map(str.islower, token)) and _varied(token)
+
+
+def _varied(token: str) -> bool:
+    return len(set(token)) * 2 >= min(len(token), 20)
+
+
+def _plain_token(token: str) -> bool:
+    """Letters and digits mixed, as in a UUID or a key of one case."""
+    return any(map(str.isdigit, token)) and any(map(str.isalpha, token)) and _varied(token)
 
 
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
-    """Weak candidates that overlap no strong one nor each other, secrets first."""
+    """Weak candidates that overlap no strong one nor each other; of equal starts secrets come first.
+
+    A token that doesn't look random is a weak_secret too, told apart by ``_random_looking``.
+    """
     found: list[Span] = []
-    if any(c.isdigit() for c in text):
-        found += [(*m.span(), "weak_secret") for m in _TOKEN.finditer(text) if _random_looking(m[0])]
+    if any(map(str.isdigit, text)):
+        found += [(*m.span(), "weak_secret") for m in _TOKEN.finditer(text) if _plain_token(m[0])]
     if ":" in text or "=" in text:
         found += [(*m.span(), "weak_account") for m in _ACCOUNT.finditer(text)]
-        found += [(*m.span(), "weak_endpoint") for m in _ENDPOINT.finditer(text)]
+        found += [(*m.span(), "weak_endpoint") for m in _HOST.finditer(text)]
+    if "://" in text:
+        found += [(*m.span(1), "weak_endpoint") for m in _SCHEME.finditer(text)]
     taken = sorted(strong)
     out: list[Span] = []
     end = -1
@@ -97,28 +109,33 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     return out
 
 
-def linked(text: str, strong: list[Span], weak: list[Span], reach: int = REACH) -> list[Span]:
-    """Those of ``weak`` that have a part of another role within reach in their scope."""
+def confirmed(part: str, there: set[str]) -> bool:
+    """Whether a weak part (a kind, or "token" for one that looks less random) has its complements among the parts of a scope."""
+    identifier = bool(there & {"access", "weak_account"})
+    secret = bool(there & {"assign", "weak_secret"})
+    if part == "weak_secret":
+        return identifier or "weak_endpoint" in there
+    if part == "token":
+        return identifier and "weak_endpoint" in there
+    # a token that its own scope confirms is a secret
+    secret |= "token" in there and identifier and "weak_endpoint" in there
+    if part == "weak_account":
+        return secret or "hex" in there
+    return secret or ("hex" in there and identifier)
+
+
+def linked(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
+    """Those of ``weak`` whose scope holds complementary parts; parts and scopes are swept in their order."""
     if not weak:
         return []
     blanks = [m.end() for m in _BLANK.finditer(text)]
-    parts = sorted([*strong, *weak])
-    scope = [bisect_right(blanks, s[0]) for s in parts]
-    kept: set[int] = set()
-    # forwards: the farthest end so far of each role; backwards: the next start of each role
-    far: list[tuple[int, int]] = [(-1, -(10**12))] * 3
-    for i, s in enumerate(parts):
-        if any(r != ROLE[s[2]] and far[r][0] == scope[i] and s[0] - far[r][1] <= reach for r in range(3)):
-            kept.add(i)
-        r = ROLE[s[2]]
-        far[r] = (scope[i], s[1] if far[r][0] != scope[i] else max(far[r][1], s[1]))
-    near: list[tuple[int, int]] = [(-1, 10**12)] * 3
-    for i in range(len(parts) - 1, -1, -1):
-        s = parts[i]
-        if any(r != ROLE[s[2]] and near[r][0] == scope[i] and near[r][1] - s[1] <= reach for r in range(3)):
-            kept.add(i)
-        near[ROLE[s[2]]] = (scope[i], s[0])
-    return [parts[i] for i in sorted(kept) if parts[i][2] in WEAK]
+    named = [(s, "token" if s[2] == "weak_secret" and not _random_looking(text[s[0] : s[1]]) else s[2]) for s in sorted([*strong, *weak])]
+    kept: list[Span] = []
+    for _, parts in groupby(named, key=lambda p: bisect_right(blanks, p[0][0])):
+        inside = list(parts)
+        there = {kind for _, kind in inside}
+        kept += [s for s, kind in inside if s[2] in WEAK and confirmed(kind, there)]
+    return kept
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -133,13 +150,13 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, spans): spans is an array of (start, end, kind, text)."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("text", pa.string())]))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             spans = [
                 [{"start": a, "end": b, "kind": k, "text": t[a:b]} for a, b, k in scan(t)[1]] for t in texts
