@@ -4,7 +4,9 @@ The vocabulary file (its path is a parameter) is read once on the driver and bro
 its size is fixed by the file. Words that a worker hasn't met are encoded together, many at
 once: their symbols lie in one flat array, each round looks all adjacent pairs up by binary
 search over the sorted pair keys, finds the lowest rank of every word, and merges there.
-Finished words leave the array. A word's ids and decoded form are kept in a bounded cache.
+Finished words leave the array. A long word is merged alone: its pairs are taken up by rank, a
+bounded number of places at once, and a merge touches its two neighbours only, so the work stays
+near linear in a word of any length. A word's ids and decoded form are kept in a bounded cache.
 
 Nulls and empty texts have no ids and decode to the empty text. Texts of any length are
 encoded whole, in parts of bounded size. Repeated rows give repeated rows; an empty table gives none; only doc_id
@@ -22,10 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import ready, sliced, table
 
 #: Code points of text that are split into pieces at once.
 SEGMENT = 1 << 20
+#: Bytes from which a word is merged alone, and its places that are open at once.
+LONG, OPEN = 256, 4096
 #: Words that a worker remembers; beyond that it forgets all and starts again.
 CACHE_WORDS = 300_000
 
@@ -77,8 +81,65 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pairs (their number where a pair doesn't merge) and their places among the keys."""
+        key = left * self.n + right
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.ranks[found], len(self.keys)), found
+
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word; symbols are a linked list, of which the places of the lowest ranks are open."""
+        flat = np.frombuffer(word, np.uint8)
+        syms = self.inner[flat]
+        syms[-1] = self.last[flat[-1]]
+        n, none = len(syms), len(self.keys)
+        if n < 2 or not none:
+            return syms
+        # place n stands for the end; a symbol that is merged away keeps rank ``none``
+        syms = np.r_[syms, -1]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        alive = np.ones(n + 1, bool)
+        rank = np.full(n + 1, none, np.int64)
+        rank[: n - 1] = self._ranks(syms[: n - 1], syms[1:n])[0]
+        while True:
+            rest = np.flatnonzero(rank < none)
+            if not len(rest):
+                break
+            below = none if len(rest) <= OPEN else int(np.partition(rank[rest], OPEN)[OPEN]) + 1
+            open_ = rest[rank[rest] < below]
+            while len(open_):
+                least = rank[open_].min()
+                place = np.unique(open_[rank[open_] == least])
+                if len(place) > 1:  # in a run of one overlapping pair every other place is merged, from the left
+                    head = np.r_[True, after[place[:-1]] != place[1:]]
+                    first = np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))
+                    place = place[(np.arange(len(place)) - first) % 2 == 0]
+                made = self.made[self._ranks(syms[place[:1]], syms[after[place[:1]]])[1][0]]
+                gone = after[place]
+                rank[gone], alive[gone] = none, False
+                after[place] = after[gone]
+                before[after[place]] = place
+                syms[place] = made
+                changed = np.concatenate([place, before[place]])
+                changed = changed[changed >= 0]
+                last = after[changed] >= n
+                rank[changed] = np.where(last, none, self._ranks(syms[changed], syms[np.minimum(after[changed], n)])[0])
+                open_ = np.concatenate([open_, changed])
+                open_ = open_[rank[open_] < below]
+        return syms[:n][alive[:n]]
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words (none empty, as UTF-8) one after another, and where each ends."""
+        long = {i: self.encode_long(w) for i, w in enumerate(words) if len(w) > LONG}
+        if not long:
+            return self._encode_short(words)
+        flat, end = self._encode_short([w if i not in long else w[:1] for i, w in enumerate(words)])
+        parts = np.split(flat, end[:-1])
+        for i, ids in long.items():
+            parts[i] = ids
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+    def _encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         end = np.cumsum(size)
@@ -93,11 +154,7 @@ class Vocabulary:
             at = np.zeros(len(syms), np.int64)
             inside = np.flatnonzero(word[1:] == word[:-1])
             if len(inside) and none:
-                key = syms[inside] * self.n + syms[inside + 1]
-                found = np.minimum(np.searchsorted(self.keys, key), none - 1)
-                hit = self.keys[found] == key
-                rank[inside[hit]] = self.ranks[found[hit]]
-                at[inside[hit]] = found[hit]
+                rank[inside], at[inside] = self._ranks(syms[inside], syms[inside + 1])
             least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(syms)]))
             gone = least == none
             if gone.any():
@@ -226,16 +283,16 @@ class Coder:
         return " ".join(self.vocab.tokens[i] for i in ids if 0 <= i < self.vocab.n)
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     with open(path, encoding="utf-8") as file:
-        content = spark.sparkContext.broadcast(file.read())
-    mark = hash(path)
+        read = file.read()
+    content, mark = spark.sparkContext.broadcast(read), hashlib.sha256(read.encode()).hexdigest()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -243,7 +300,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         if mark not in _coders:
             _coders[mark] = Coder(Vocabulary(content.value))
         coder = _coders[mark]
-        for batch in batches:
+        for batch in sliced(batches):
             n = batch.num_rows
             counts, flat = np.zeros(n, np.int64), []
             ids_sha, decoded_sha = ([hashlib.sha256() for _ in range(n)] for _ in range(2))

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, small_batches, table
+from .common import checkpointed, components, ready, sliced, table
 
 WORDS = 4
 #: Two sets link from so many hundredths of their union.
@@ -368,7 +368,7 @@ def _tiles(batches: Iterator, words: int, percent: int) -> Iterator:
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     rows = checkpointed(_prefixes(docs, words, percent))
     same = ["n", "f1", "f2"]

@@ -14,11 +14,13 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Rows (doc_id, text, label) of at most ``most`` labelled ids outside the held-out fold.
+    """Rows (place, text, label), at most ``most``: labelled ids outside the held-out fold, one text an id.
 
     The ids come from the labels table alone, by the order of a hash, so the sample is the
-    same at each run and its size, and with it what is broadcast, is fixed. An id labelled
-    more than once counts as 1 if any of its labels is 1; null labels and ids are left out.
+    same at each run and its size, and with it what is broadcast, is fixed. An id with more
+    than one text gives the smallest; one labelled more than once counts as 1 if any of its
+    labels is 1; null labels and ids are left out. ``place`` orders rows by their texts,
+    whatever their ids and however they came: equal places have equal texts.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -26,4 +28,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         .where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.select(F.sha2("text", 256).alias("place"), "text", "label")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, ready, sliced, table
 from .learning import fold, labelled_sample
 
 #: Most labelled rows that the fit sees, all of which vote.
@@ -48,20 +48,20 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def shape(token: str) -> str:
-    """Letters by case, digits and repeated signs taken together, at most 8 signs long."""
+    """Letters by case, digits and repeated signs taken together; of a long shape its signs and how many there are."""
     if token.isalpha():
         return "a" if token.islower() else "A" if token.isupper() and len(token) > 1 else "Aa" if token.istitle() else "aA"
     out = []
-    for c in token[:64]:
+    for c in token:
         k = "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+    return "".join(out) if len(out) <= 8 else f"{''.join(sorted(set(out)))}~{len(out).bit_length()}"
 
 
 def terms_of(token: str) -> tuple[str, ...]:
-    word = _WORD.search(token)
-    return ("#" + shape(token), *([word[0].lower()] if word else []))
+    """The token's shape and all its runs of letters."""
+    return ("#" + shape(token), *map(str.lower, _WORD.findall(token)))
 
 
 def extra_terms(tokens: list[str]) -> list[str]:
@@ -81,34 +81,43 @@ class Projector:
         self.number = {x: i for i, x in enumerate(names)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """Dense counts [text, term]."""
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arrays (text, term, count) of the known terms of the texts, ordered by text and term."""
         v = len(self.names)
-        out = np.zeros((len(texts), v), np.float32)
         number = self.number
+        at: list[int] = []
+        of: list[int] = []
+        times: list[int] = []
         for i, text in enumerate(texts):
             tokens = (text or "").split()
-            seen = Counter(tokens)
             if len(self.known) > CACHE_WORDS:
                 self.known = {}
             known = self.known
-            row = out[i]
-            for token, c in seen.items():
+            for token, c in Counter(tokens).items():
                 got = known.get(token)
                 if got is None:
                     got = known[token] = tuple([number[t] for t in terms_of(token) if t in number])
                 for j in got:
-                    row[j] += c
+                    of.append(j)
+                    times.append(c)
             for t in extra_terms(tokens):
                 if t in number:
-                    row[number[t]] += EXTRA
-        return out
-
-    def latent(self, counts: np.ndarray) -> np.ndarray:
-        """Unit vectors in the latent space (zero where a text has no known term)."""
-        x = np.log1p(counts) * self.weights
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        y = x @ self.basis
+                    of.append(number[t])
+                    times.append(EXTRA)
+            at.append(len(of))
+        row = np.repeat(np.arange(len(texts)), np.diff([0, *at]))
+        total = np.bincount(row * v + np.array(of, np.int64), np.array(times, np.float64), len(texts) * v)
+        some = np.flatnonzero(total)
+        return some // v, some % v, total[some]
+
+    def latent(self, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Unit vectors of n texts in the latent space (zero where a text has no known term)."""
+        x = np.log1p(count) * self.weights[term]
+        x /= np.maximum(np.sqrt(np.bincount(row, x * x, n)), 1e-9)[row]
+        y = np.zeros((n, self.basis.shape[1]))
+        if len(row):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            y[row[first]] = np.add.reduceat(x[:, None] * self.basis[term], first, axis=0)
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
 
 
@@ -117,7 +126,7 @@ def _vocabulary(sample: DataFrame, most: int) -> list[str]:
         import pyarrow as pa
 
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 tokens = (text or "").split()
                 seen.update({t for w in set(tokens) for t in terms_of(w)} | set(extra_terms(tokens)))
@@ -141,8 +150,8 @@ def decompose(x: np.ndarray, rank: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple | None:
     """(names, weights, basis, latent vectors, labels) of the labelled sample, or None without labels."""
-    small_batches(docs.sparkSession)
-    sample = checkpointed(labelled_sample(docs, labels, "quality", most).select("text", "label"))
+    ready(docs.sparkSession)
+    sample = checkpointed(labelled_sample(docs, labels, "quality", most))
     names = _vocabulary(sample, TERMS)
     if not names:
         return None
@@ -151,19 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple | None:
         import pyarrow as pa
 
         reader = Projector(names)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            ids, sizes = [], []
-            for a in range(0, len(texts), BLOCK):
-                for row in reader.counts(texts[a : a + BLOCK]):
-                    at = np.flatnonzero(row)
-                    ids.append(at.astype(np.int32))
-                    sizes.append(row[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.float32())), batch.column(1).cast(pa.int32())], ["ids", "counts", "label"]
-            )
-
-    got = sample.mapInArrow(run, "ids array<int>, counts array<float>, label int").toArrow().combine_chunks()
+        for batch in sliced(batches, BLOCK):
+            n = batch.num_rows
+            row, term, count = reader.counts(batch.column(1).to_pylist())
+            to = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(to, pa.array(x)) for x in (term.astype(np.int32), count.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2).cast(pa.int32())], ["place", "ids", "counts", "label"])
+
+    got = sample.mapInArrow(run, "place string, ids array<int>, counts array<float>, label int").toArrow()
+    got = got.sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()  # the same order, however the rows came
     y = got.column("label").to_numpy().astype(np.float32)
     n, v = len(y), len(names)
     if not n:
@@ -171,8 +176,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple | None:
     x = np.zeros((n, v), np.float32)
     for i, (ids, counts) in enumerate(zip(got.column("ids"), got.column("counts"), strict=True)):
         x[i, ids.values.to_numpy()] = counts.values.to_numpy()
-    order = np.lexsort(x[:, : min(v, 8)].T)  # the same order, however the rows came
-    x, y = x[order], y[order]
     share = x / np.maximum(x.sum(axis=0), 1e-9)
     entropy = -(share * np.log(np.maximum(share, 1e-12))).sum(axis=0) / np.log(max(n, 2))
     least = np.array([SHAPE_WEIGHT if x.startswith("#") else WORD_WEIGHT for x in names])
@@ -186,17 +189,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple | None:
 
 
 def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """Shares of label 1 among each row's k nearest vectors, weighted by similarity."""
-    near = z @ vectors.T
+    """Shares of label 1 among each row's k nearest vectors, weighted by similarity.
+
+    Similarities are compared to six places; where vectors tie for the last places, each
+    counts with an equal part of them, so neither order nor chance decides.
+    """
+    near = np.round(z.astype(np.float32) @ vectors.T, 6)
     k = min(k, near.shape[1])
     at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** SHARPNESS + 1e-9
-    return (weight * labels[at]).sum(axis=1) / weight.sum(axis=1)
+    top = np.take_along_axis(near, at, axis=1)
+    last = top.min(axis=1)
+    value = labels[at].astype(np.float64)
+    tied = np.flatnonzero((near == last[:, None]).sum(axis=1) > (top == last[:, None]).sum(axis=1))
+    for i in tied:
+        value[i, top[i] == last[i]] = labels[near[i] == last[i]].mean()
+    weight = np.maximum(top, 0).astype(np.float64) ** SHARPNESS + 1e-9
+    return (weight * value).sum(axis=1) / weight.sum(axis=1)
 
 
 def score(docs: DataFrame, model: tuple | None, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, score, predicted), one for each row of ``docs``."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
@@ -206,12 +219,10 @@ def score(docs: DataFrame, model: tuple | None, threshold: float = THRESHOLD) ->
         if shared.value is not None:
             names, weights, basis, *model_ = shared.value
             reader = Projector(names, weights, basis)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            s = np.zeros(len(texts))
-            for a in range(0, len(texts) if reader else 0, BLOCK):
-                s[a : a + BLOCK] = vote(reader.latent(reader.counts(texts[a : a + BLOCK])), *model_)
-            s = np.clip(s, 0, 1)
+        for batch in sliced(batches, BLOCK):
+            s = np.zeros(batch.num_rows)
+            if reader:
+                s = np.clip(vote(reader.latent(len(s), *reader.counts(batch.column(1).to_pylist())), *model_), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, predicted int")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, ready, sliced, table
 from .learning import fold, labelled_sample
 
 #: Most labelled rows that the fit sees.
@@ -101,7 +101,7 @@ def _feature_table(sample: DataFrame, n: int, n_toxic: int) -> list[str]:
             columns = [names, [seen[x] for x in names], [toxic[x] for x in names]]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["f", "n", "t"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = {f for w in set(words_of(text)) for f in features_of(w)}
                 seen.update(got)
@@ -179,8 +179,8 @@ def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[lis
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Feature names and weights (the bias last), from a bounded sample of labelled rows."""
-    small_batches(docs.sparkSession)
-    sample = checkpointed(labelled_sample(docs, labels, "toxic", most).select("text", "label"))
+    ready(docs.sparkSession)
+    sample = checkpointed(labelled_sample(docs, labels, "toxic", most))
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < n_toxic < n:
         w = np.zeros(1)
@@ -192,9 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[st
         import pyarrow as pa
 
         reader = Reader(names)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, ours, theirs = [], [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(1).to_pylist():
                 ids.append(reader.ids(words_of(text)))
                 a: set[int] = set()
                 b: set[int] = set()
@@ -207,31 +207,38 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[st
                 theirs.append(sorted(b - a))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), batch.column(1).cast(pa.int32()), pa.array(ours, kind), pa.array(theirs, kind)], ["ids", "label", "ours", "theirs"]
+                [batch.column(0), pa.array(ids, kind), batch.column(2).cast(pa.int32()), pa.array(ours, kind), pa.array(theirs, kind)],
+                ["place", "ids", "label", "ours", "theirs"],
             )
 
-    got = sample.mapInArrow(run, "ids array<int>, label int, ours array<int>, theirs array<int>").toArrow()
+    got = sample.mapInArrow(run, "place string, ids array<int>, label int, ours array<int>, theirs array<int>").toArrow()
+    got = got.sort_by([("place", "ascending"), ("label", "ascending")])  # the same order, however the rows came
     rows, y = got.column("ids").to_pylist(), got.column("label").to_numpy().astype(float)
     pairs = [(a, b) for a, b in zip(got.column("ours").to_pylist(), got.column("theirs").to_pylist(), strict=True) if a or b]
     return names, fit_weights(rows, y, pairs, len(names))
 
 
+def scores(texts: list[str | None], reader: Reader, weights: np.ndarray) -> np.ndarray:
+    """Scores of the texts, from 0 to 1."""
+    ids = [reader.ids(words_of(t)) for t in texts]
+    size = [len(x) for x in ids]
+    flat = np.fromiter((j for x in ids for j in x), np.int64, sum(size))
+    z = weights[-1] + np.bincount(np.repeat(np.arange(len(ids)), size), weights[flat], len(ids))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold: float = 0.5) -> DataFrame:
     """Rows (doc_id, score, predicted), one for each row of ``docs``."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         names, weights = shared.value
-        reader, w, bias = Reader(names), weights[:-1], weights[-1]
-        for batch in batches:
-            ids = [reader.ids(words_of(t)) for t in batch.column(1).to_pylist()]
-            size = [len(x) for x in ids]
-            flat = np.fromiter((j for x in ids for j in x), np.int64, sum(size))
-            z = bias + np.bincount(np.repeat(np.arange(len(ids)), size), w[flat], len(ids))
-            s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        reader = Reader(names)
+        for batch in sliced(batches):
+            s = scores(batch.column(1).to_pylist(), reader, weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -245,7 +252,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all columns as they were."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -253,10 +260,8 @@ def keep(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold: float
         import pyarrow as pa
 
         names, weights = shared.value
-        reader, w, bias = Reader(names), weights[:-1], weights[-1]
-        for batch in batches:
-            z = [bias + sum(w[j] for j in reader.ids(words_of(t))) for t in batch.column(at).to_pylist()]
-            fine = 1 / (1 + np.exp(-np.clip(np.array(z), -500, 500))) < threshold
-            yield batch.filter(pa.array(fine))
+        reader = Reader(names)
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(scores(batch.column(at).to_pylist(), reader, weights) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ready
 
 EVERY = 20
 K = 20
@@ -77,7 +77,7 @@ def search(
     ).first()
     n_index, n_query = -(-n // index_rows) or 1, -(-n_asked // query_rows) or 1
     dims = dims or 1
-    small_batches(spark, 16)
+    ready(spark)
     pairs = n_index * n_query
     left = _blocks(rows, n_index, dims, index)
     right = _blocks(asked, n_query, dims, queries)
