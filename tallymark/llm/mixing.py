@@ -1,13 +1,15 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Sizes are summed per source, targets follow from the weights by filling up to a cap,
-and a document is emitted floor(rate) times plus one hash-seeded Bernoulli copy whose
-probability is the fraction of the rate.
+Sizes are summed per source and sources numbered by name in ranges, so that neither the
+rows of a source nor the list of all sources lie in one task. Targets fill up to a cap: the
+share of the sources that are open sets a level, those over their cap close at it, and the
+level is set anew until none closes. A document is emitted floor(rate) times plus one
+hash-seeded Bernoulli copy whose probability is the fraction of the rate.
 
 Nulls: a null text has size 0; a null source is a source of its own and comes last; a
-null doc_id draws by the empty string. Repeated rows draw alike and are counted alike.
-An empty table gives no rows. Other columns pass through ``mix`` untouched, whatever
-their names.
+null doc_id draws by the empty string. A draw is seeded by id and text, so rows that
+share an id draw apart; rows equal in both draw alike and are counted alike. An empty
+table gives no rows. Other columns pass through ``mix`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import beside, checkpointed, columns_of, table
 
 #: Weights that sources take in turn, in the order of their names.
 WEIGHTS = (5, 2, 1)
@@ -31,70 +33,72 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _size(text: str) -> Column:
+    """Words of the text named."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def _numbered(sums: DataFrame) -> DataFrame:
+    """``sums`` with ``turn``, the place of each source by code point, null last: by ranges, then within them."""
+    ranges = checkpointed(sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    # one row a range, as many as partitions
+    counts = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("turn", F.col("inside") + F.col("before"))
+
+
 def targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Rows (source, source_size long, target double), one a source.
 
     A source is full at ``most`` times its size; what is over goes to the others by
-    weight. The window is over one row a source, after the sums by source.
+    weight. Each pass closes one source at least and leaves one row on the driver.
     """
     sums = docs.select("source", _size("text").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    rows = sums.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    full_first = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = full_first.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rows = rows.select(
-        "source", "source_size", "w", "cap",
-        (F.sum("source_size").over(everything) * F.lit(float(share))
-         - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).alias("left"),
-        (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))).alias("w_left"),
-    )
-    # a source is full if its share of what the fuller ones leave reaches its cap
-    full = F.col("left") * F.col("w") >= F.col("cap") * F.col("w_left")
-    first_open = F.max(F.when(~full, F.struct(F.col("w_left"), F.col("left")))).over(everything)
-    rows = rows.withColumn("open", first_open).withColumn("full", full)
-    return rows.select(
-        "source", "source_size",
-        F.when(F.col("full"), F.col("cap"))
-        .otherwise(F.least(F.col("cap"), F.col("open.left") / F.col("open.w_left") * F.col("w")))
-        .alias("target"),
-    )
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    cap = F.col("source_size") * F.lit(float(most))
+    rows = checkpointed(_numbered(sums).select("source", "source_size", weight.alias("w"), cap.alias("cap")))
+    total, width = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    left = float(total or 0) * share
+    closed, level, open_left, open_width = 0, 0.0, left, width or 1.0
+    while open_width > 0:
+        level = open_left / open_width
+        # full where its share of what is left reaches its cap
+        full = rows.where(F.lit(open_left) * F.col("w") >= F.col("cap") * F.lit(open_width))
+        n, caps, widths = full.agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        if n == closed:
+            break
+        closed, open_left, open_width = n, left - caps, (width or 0.0) - widths
+    capped = F.least(F.col("cap"), F.lit(level) * F.col("w")) if open_width > 0 else F.col("cap")
+    if open_width > 0:
+        capped = F.when(F.lit(open_left) * F.col("w") >= F.col("cap") * F.lit(open_width), F.col("cap")).otherwise(capped)
+    return rows.select("source", "source_size", capped.alias("target"))
 
 
 def _planned(docs: DataFrame, seed: str, **how) -> DataFrame:
-    aims = checkpointed(targets(docs, **how)).select(
-        F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"),
-        F.col("target").alias("__mix_target"),
-    )
+    """Rows (row, source_size, target, copies): ``docs`` as structs, and what the mix takes of each."""
+    aims = checkpointed(targets(docs, **how)).select(F.col("source").alias("name"), "source_size", "target")
     if aims.count() <= BROADCAST_SOURCES:
         aims = F.broadcast(aims)
-    joined = docs.join(aims, docs["source"].eqNullSafe(F.col("__mix_source")), "left")
-    rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
-    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return joined.withColumn("__mix_copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long"))
+    joined = docs.select(beside(docs).alias("row")).join(aims, F.col("row.source").eqNullSafe(F.col("name")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    id_, text = (F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("")) for c in ("doc_id", "text"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), id_, F.lit(":"), text)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+    return joined.select("row", "source_size", "target", copies.alias("copies"))
 
 
 def plan(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken): what the mix takes of each row."""
     out = _planned(docs.select("doc_id", "text", "source"), seed, **how)
-    size = _size("text")
-    return out.select(
-        "doc_id", size.alias("size"), F.col("__mix_source_size").alias("source_size"),
-        F.col("__mix_target").alias("target"), (size * F.col("__mix_copies")).alias("taken"),
-    )
+    size = _size("row.text")
+    return out.select(F.col("row.doc_id").alias("doc_id"), size.alias("size"), "source_size", "target", (size * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    out = _planned(docs, seed, **how).where("__mix_copies > 0")
-    out = out.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _planned(docs, seed, **how).where("copies > 0")
+    out = out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*columns_of("row", docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +107,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -124,7 +128,7 @@ aims AS (
 drawn AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source)
 SELECT doc_id, size, source_size, target,
   size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken
