@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 #: Names that operators use inside; as extra columns they must not matter.
-CLASHING = ["size", "target", "score", "label", "n", "h", "id", "pair", "block", "tile", "component", "dropped", "places", "pos", "line", "held_out"]
+CLASHING = ["size", "target", "score", "label", "n", "h", "id", "pair", "block", "tile", "component", "dropped", "row", "copies", "name", "turn", "part", "text.x", "__mix_target", "__mix_copies", "__gone", "__dropped", "__id", "__text", "places", "pos", "line", "held_out"]
 
 
 def words(rng: random.Random, n: int) -> str:

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from tallymark.llm import ann, bitslice, quality, toxicity
+from tallymark.llm import ann, bitslice, learning, quality, toxicity
 
 from .fixtures import folder
 
@@ -197,7 +198,75 @@ def test_votes_equal_brute_force():
     z, v = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (z, v))
     got = quality.vote(z, v, y, 7)
     for i in range(5):
-        near = v @ z[i]
+        near = np.round(v @ z[i], 6)
         top = np.argsort(-near)[:7]
         w = np.maximum(near[top], 0) ** quality.SHARPNESS + 1e-9
-        assert got[i] == pytest.approx((w * y[top]).sum() / w.sum())
+        assert got[i] == pytest.approx((w * y[top]).sum() / w.sum(), rel=1e-4)
+
+
+def test_tied_votes_do_not_depend_on_order():
+    """Copies with different labels at the last places count with equal parts of them."""
+    v = np.array([[1.0, 0.0]] * 3 + [[0.6, 0.8]] * 6, np.float32)
+    y = np.array([1, 1, 0, 1, 0, 0, 1, 0, 0], np.float32)
+    z = np.array([[1.0, 0.0]])
+    expect = None
+    for _ in range(20):
+        order = RNG.permutation(len(v))
+        got = quality.vote(z, v[order], y[order], 5)[0]
+        expect = got if expect is None else expect
+        assert got == pytest.approx(expect, abs=1e-12)
+    w = np.array([1.0, 1.0, 1.0, 0.6**quality.SHARPNESS, 0.6**quality.SHARPNESS]) + 1e-9
+    assert expect == pytest.approx((2 * w[0] + 2 * w[3] / 3) / w.sum(), rel=1e-4)
+
+
+def test_sample_takes_one_text_an_id(spark):
+    """Repeated ids don't lift the bound, and which row comes first doesn't matter."""
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = learning.labelled_sample(docs, labels, "toxic", 10).collect()
+    assert len(got) == 10 and all(zlib.crc32(str(int(r.text[5:]) % 40).encode()) % 5 for r in got)
+    assert {r.text for r in got} == {min(f"text {i}" for i in range(int(r.text[5:]) % 40, 4000, 40)) for r in got}
+
+
+def test_shapes_and_terms_read_whole_tokens():
+    long = "a1" * 40 + "Zq"
+    assert quality.shape(long) != quality.shape(long[:64]) and quality.shape("x" * 70 + "!") == "a!"
+    assert quality.terms_of("http://foo.bar/Baz")[1:] == ("http", "foo", "bar", "baz")
+
+
+def test_scores_equal_a_plain_reading_of_the_models(spark, labelled):
+    """The whole queries of both classifiers against the fitted model, applied text by text in plain Python."""
+    path, docs, _ = labelled
+    table = {n: spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels")}
+    names, w = toxicity.fit(table["documents"], table["labels"])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score, r.predicted) for r in toxicity.query(spark, path).collect())
+    expect = []
+    for r in docs:
+        words = set(re.findall(r"[^\W\d_]+", (r["text"] or "").lower()))
+        have = words | {x[:n] + "*" for x in words for n in toxicity.PREFIXES if len(x) >= n}
+        score = 1 / (1 + np.exp(-(w[-1] + sum(w[i] for i, f in enumerate(names) if f in have))))
+        expect.append((r["doc_id"] is None, r["doc_id"] or 0, score, int(score >= 0.5)))
+    for a, b in zip(got, sorted(expect), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-9) and a[3] == b[3]
+
+    names, weights, basis, vectors, y = quality.fit(table["documents"], table["labels"])
+    got = {r.doc_id: r.score for r in quality.query(spark, path).collect()}
+    for r in docs:
+        tokens = (r["text"] or "").split()
+        count = dict.fromkeys(names, 0)
+        for t in [x for token in tokens for x in quality.terms_of(token)]:
+            if t in count:
+                count[t] += 1
+        for t in quality.extra_terms(tokens):
+            if t in count:
+                count[t] += quality.EXTRA
+        x = np.array([np.log1p(count[n]) * weights[i] for i, n in enumerate(names)])
+        z = (x / max(np.linalg.norm(x), 1e-9)) @ basis
+        z = z / max(np.linalg.norm(z), 1e-9)
+        near = np.round(vectors @ z, 6)
+        last = sorted(near, reverse=True)[: quality.NEIGHBOURS][-1]
+        above, equal = np.flatnonzero(near > last), np.flatnonzero(near == last)
+        room = min(quality.NEIGHBOURS, len(near)) - len(above)
+        weight = lambda s: np.maximum(s, 0) ** quality.SHARPNESS + 1e-9
+        total = weight(near[above]).sum() + room * weight(last)
+        assert got[r["doc_id"]] == pytest.approx(((weight(near[above]) * y[above]).sum() + room * weight(last) * y[equal].mean()) / total, abs=2e-3)
