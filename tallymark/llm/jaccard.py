@@ -2,16 +2,23 @@
 
 1. A text becomes its set of distinct shingles, 64-bit hashes made in numpy over whole
    batches. Equal sets are one class, kept once from here on.
-2. A fixed-size table of document frequencies by hash bucket (summed over all documents)
-   orders shingles from rare to frequent. Two sets that reach the threshold share a
+2. A table of document frequencies by hash bucket (summed over all documents; its size is
+   bounded) orders shingles from rare to frequent. Two sets that reach the threshold share a
    shingle among the first few of each in that order, and a known number of them, so only
-   those are posted, by shingle.
-3. A short list of postings gives all its pairs, and a pair goes on if it meets in as many
-   shingles as its sizes ask for. A long list only ties its documents together: what meets
-   in long lists is settled in step 5. So no list, however hot, gives more rows than it has.
-4. Connected candidates are a group. Large groups are cut into blocks, and each pair of
-   blocks is a tile of bounded size; no link between blocks is lost.
-5. Within a tile, an inverted index over the whole sets answers a T-occurrence search for
+   those are posted, by shingle, with their places in the order.
+3. A short list of postings gives all its pairs. A pair goes on if the short lists it meets
+   in, and as many long ones as both sets are in, make up the number that its sizes ask for.
+4. What meets in long lists only is found by its first common shingle: behind it, both sets
+   must hold enough for the overlap. Postings with enough behind them for a set of their own
+   size are chained by size, others are tied to a smaller set that they could reach. So no
+   list, however hot, gives more rows than it has, and sets that share a form only, with
+   rarer shingles before it, aren't tied.
+5. Connected candidates are a group. A group of one block is a tile. In a larger one the
+   blocks are searched first, then the least sets of what was linked, until these fit one
+   block; at last, what is outside the group's largest component meets all of the group,
+   block by block. No link between blocks is lost, and a hot group of near copies, which
+   the first searches connect, costs no more than its rows.
+6. Within a tile, an inverted index over the whole sets answers a T-occurrence search for
    each document by DivideSkip: its short lists are merged into counts, its long lists are
    probed by binary search for those documents that can still reach the overlap T. A tile
    returns a spanning forest of its links, which has the same components as all of them.
@@ -29,20 +36,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, ready, sliced, table
+from .common import beside, columns_of, components, ready, sliced, table, written
 
 WORDS = 4
 #: Two sets link from so many hundredths of their union.
 PERCENT = 85
-#: Bits of the table of document frequencies: 2**20 counters.
-TABLE_BITS = 20
+#: Bits of the table of document frequencies: 2**20 counters, with over a million documents up to 2**24 (64 MB).
+TABLE_BITS, MOST_BITS = 20, 24
 #: Longest list that gives all its pairs.
 SHORT = 16
-#: Documents in a block of a large group.
-BLOCK = 1024
+#: Postings of a long list that are held at once.
+HELD = 1 << 17
+#: Sets and shingles in a block of a large group.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 22
 
@@ -157,18 +166,18 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-(percent * n) // 100) + 1
 
 
-def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """Document frequencies by bucket of the hash: a table of fixed size, summed over all documents."""
-    pieces, width = 64, (1 << TABLE_BITS) // 64
+def _frequencies(docs: DataFrame, words: int, bits: int) -> np.ndarray:
+    """Document frequencies by bucket of the hash: a table of bounded size, summed over all documents."""
+    pieces, width = 64, (1 << bits) // 64
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(1 << TABLE_BITS, np.int64)
-        for batch in batches:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in sliced(batches):
             sets = shingle_sets(batch.column(0).to_pylist(), words)
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(total))
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
         parts = total.reshape(pieces, width)
         some = [k for k in range(pieces) if parts[k].any()]
         yield pa.RecordBatch.from_arrays(
@@ -194,15 +203,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (doc_id, n, f1, f2, prefix): the set's size and fingerprint, and its rarest shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words).astype(np.uint32))
+    """Rows (doc_id, key, n, f1, f2, prefix): the text's hash, the set's size and fingerprint, and its rarest shingles in their order."""
+    bits = min(MOST_BITS, max(TABLE_BITS, int(docs.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(_frequencies(docs, words, bits), 2**32 - 1).astype(np.uint32))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         often = shared.value
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+        for batch in sliced(batches):
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
             n = np.array([len(s) for s in sets], np.int64)
             take = np.where(n > 0, prefix_size(n, percent), 0)
             prints, rare = np.zeros((2, len(sets)), np.uint64), []
@@ -210,74 +220,109 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(s):
                     prints[0, i] = _mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                     prints[1, i] = np.bitwise_xor.reduce(_mix(s + np.uint64(0x14057B7EF767814F)))
-                    rare.append(s[np.argsort(often[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)], kind="stable")[: take[i]]])
+                    rare.append(s[np.argsort(often[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[: take[i]]])
             flat = _signed(np.concatenate([np.empty(0, np.uint64), *rare]))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(_signed(prints[0])), pa.array(_signed(prints[1])), lists], ["doc_id", "n", "f1", "f2", "prefix"]
+                [batch.column(0), batch.column(1), pa.array(n), pa.array(_signed(prints[0])), pa.array(_signed(prints[1])), lists],
+                ["doc_id", "key", "n", "f1", "f2", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", _key(), "text").mapInArrow(run, "doc_id long, key long, n long, f1 long, f2 long, prefix array<long>")
 
 
-def _met(batches: Iterator, percent: int) -> Iterator:
-    """From postings (h, node, n) sorted by h: pairs of short lists (kind 0), ties of long ones (kind 1)."""
-    import pyarrow as pa
+def _key() -> Column:
+    return F.xxhash64("text").alias("key")
 
-    def out(kind: int, a, b, n, m) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), kind, np.int8)), *[pa.array(np.asarray(x, np.int64)) for x in (a, b, n, m)]], ["kind", "a", "b", "n", "m"]
-        )
 
-    held = np.empty((0, 3), np.int64)  # the last list so far, while it is short
-    tied: tuple[int, int] | None = None  # its shingle and first document, once it is long
+def _met(batches: Iterator, percent: int) -> Iterator:
+    """From postings (h, n, place, node) sorted by h and n: rows (kind, a, b, n, m, c).
+
+    Kind 0 are the pairs of short lists, kind 1 the ties of long ones, and kind 2 says in how
+    many long lists a node is. A long list of more than ``HELD`` rows is read in parts; of
+    those before, one set of each size that others can be tied to is kept.
+    """
+    held = np.empty((0, 5), np.int64)  # the last list so far; the last column tells its own rows from kept ones
+    going_on = False
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-        if tied is not None:
-            more = int(np.searchsorted(rows[:, 0] != tied[0], True)) if len(rows) else 0
-            if more:
-                yield out(1, np.full(more, tied[1]), rows[:more, 1], rows[:more, 2], rows[:more, 2])
-            rows = rows[more:]
-            if not len(rows):
-                continue
-            tied = None
+        rows = np.stack([*[batch.column(k).to_numpy() for k in range(4)], np.ones(batch.num_rows, np.int64)], axis=1)
         rows = np.concatenate([held, rows])
         if not len(rows):
             continue
-        keep = np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]  # repeated rows
-        rows = rows[keep]
-        last = int(np.searchsorted(rows[::-1, 0] != rows[-1, 0], True))
-        held, rows = (rows[len(rows) - last :], rows[: len(rows) - last])
-        if len(held) > SHORT:
-            tied = (int(held[0, 0]), int(held[0, 1]))
-            yield out(1, np.full(len(held) - 1, tied[1]), held[1:, 1], held[1:, 2], held[1:, 2])
-            held = held[:0]
-        yield from _lists(rows, out, percent)
-    yield from _lists(held, out, percent)
-
-
-def _lists(rows: np.ndarray, out, percent: int) -> Iterator:
-    """Pairs and ties of whole lists."""
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        yield from _lists(rows[:last], going_on, percent)
+        going_on &= not last
+        held = rows[last:]
+        if len(held) > HELD:
+            yield from _lists(held, True, percent)
+            fine = held[_reaches_own_size(held[:, 1], held[:, 2], percent)]
+            held = fine[np.r_[fine[1:, 1] != fine[:-1, 1], True]] if len(fine) else held[-1:]
+            held = held.copy()
+            held[:, 4] = 0
+            going_on = True
+    yield from _lists(held, going_on, percent)
+
+
+def _reaches_own_size(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set has enough shingles from this place on for the overlap with a set of its size."""
+    return n - place >= least_overlap(n, n, percent)
+
+
+def _lists(rows: np.ndarray, first_is_long: bool, percent: int) -> Iterator:
+    """Pairs, ties and memberships of lists (h, n, place, node, own), sorted by h and n."""
+    import pyarrow as pa
+
+    def out(kind: int, a, b, n, m, c=None) -> pa.RecordBatch:
+        columns = [np.asarray(x, np.int64) for x in (a, b, n, m, np.ones(len(a), np.int64) if c is None else c)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *map(pa.array, columns)], ["kind", "a", "b", "n", "m", "c"])
+
     if not len(rows):
         return
     start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
     size = np.diff(np.r_[start, len(rows)])
-    long = np.repeat(size > SHORT, size)
-    first = np.repeat(start, size)
-    tie = np.flatnonzero(long & (np.arange(len(rows)) > first))
-    if len(tie):
-        yield out(1, rows[first[tie], 1], rows[tie, 1], rows[tie, 2], rows[tie, 2])
-    short = np.flatnonzero(~long)
-    rows = rows[short]
+    is_long = size > SHORT
+    is_long[0] |= first_is_long
+    of = np.repeat(np.arange(len(start)), size)
+    long = rows[is_long[of]]
+    if len(long):
+        which = of[is_long[of]]
+        own = long[long[:, 4] == 1, 3]
+        if len(own):
+            node, times = np.unique(own, return_counts=True)
+            zero = np.zeros(len(node))
+            yield out(2, node, zero, zero, zero, times)
+        n, node = long[:, 1], long[:, 3]
+        fine = _reaches_own_size(n, long[:, 2], percent)
+        s = np.flatnonzero(fine)
+        near = np.flatnonzero((which[s[1:]] == which[s[:-1]]) & (100 * n[s[:-1]] >= percent * n[s[1:]]))
+        if len(near):
+            a, b = node[s[near]], node[s[near + 1]]
+            zero = np.zeros(len(a))
+            yield out(1, np.minimum(a, b), np.maximum(a, b), zero, zero)
+        # the largest set among the chained ones that what is behind a place could still reach
+        rest = np.flatnonzero(~fine & (long[:, 4] == 1))
+        if len(rest) and len(s):
+            most = (100 + percent) * (n[rest] - long[rest, 2]) // percent - n[rest]
+            wide = int(n.max()) + 2
+            at = np.searchsorted(which[s] * wide + n[s], which[rest] * wide + np.clip(most, 0, wide - 1), side="right") - 1
+            ok = np.flatnonzero(at >= 0)
+            ok = ok[(which[s[at[ok]]] == which[rest[ok]]) & (100 * n[s[at[ok]]] >= percent * n[rest[ok]])]
+            if len(ok):
+                a, b = node[s[at[ok]]], node[rest[ok]]
+                zero = np.zeros(len(a))
+                yield out(1, np.minimum(a, b), np.maximum(a, b), zero, zero)
+    rows = rows[~is_long[of]]
     for d in range(1, min(SHORT, len(rows))):
         k = np.flatnonzero(rows[d:, 0] == rows[:-d, 0])
         if not len(k):
             break
-        n, m = rows[k, 2], rows[k + d, 2]
-        fine = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        k, n, m = k[fine], n[fine], m[fine]
+        n, m = rows[k, 1], rows[k + d, 1]
+        close = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        k, n, m = k[close], n[close], m[close]
         if len(k):
-            yield out(0, rows[k, 1], rows[k + d, 1], n, m)
+            a, b = rows[k, 3], rows[k + d, 3]
+            flip = a > b
+            yield out(0, np.where(flip, b, a), np.where(flip, a, b), np.where(flip, m, n), np.where(flip, n, m))
 
 
 def divide_skip(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -335,68 +380,145 @@ def divide_skip(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
     return forest
 
 
-def _tiles(batches: Iterator, words: int, percent: int) -> Iterator:
-    """From rows (tile, node, text) sorted by tile: links (a, b) within the tiles.
+def _tiles(batches: Iterator, percent: int) -> Iterator:
+    """From rows (tile, node, set) sorted by tile: links (a, b) within the tiles.
 
-    Whole tiles are searched together up to some 2 * BLOCK documents: what links across
-    tiles is a link all the same.
+    Whole tiles are searched together up to a block: what links across tiles is a link all
+    the same.
     """
     import pyarrow as pa
 
     def out(nodes, sets) -> pa.RecordBatch:
-        some = [i for i, s in enumerate(sets) if len(s)]
-        found = divide_skip([sets[i] for i in some], percent) if len(some) > 1 else []
-        a, b = ([nodes[some[p[k]]] for p in found] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = divide_skip(sets, percent) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    tiles, nodes, sets, last = 0, [], [], None
+    nodes, sets, total, last = [], [], 0, None
     for batch in batches:
-        keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        got = shingle_sets(batch.column(2).to_pylist(), words)
-        for key, node, s in zip(keys, ids, got, strict=True):
+        for key, node, data in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
             if key != last:
-                if len(nodes) >= BLOCK:
+                if len(nodes) >= BLOCK or total >= BLOCK_SHINGLES:
                     yield out(nodes, sets)
-                    nodes, sets = [], []
+                    nodes, sets, total = [], [], 0
                 last = key
-                tiles += 1
-            nodes.append(node)
-            sets.append(s)
+            s = np.frombuffer(data, np.uint64)
+            if len(s):
+                nodes.append(node)
+                sets.append(s)
+                total += len(s)
     yield out(nodes, sets)
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``."""
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """Rows (node, group, n, data): the shingles of ``texts`` (node, group, text) as bytes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in sliced(batches):
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
+            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "group", "n", "data"])
+
+    return texts.select("node", "group", "text").mapInArrow(run, "node long, group long, n long, data binary")
+
+
+def _searched(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within ``tiles`` (tile long, node), as a table."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiles.join(sets.select("node", "data"), "node").select("tile", "node", "data")
+    rows = rows.repartition(parts, "tile").sortWithinPartitions("tile")
+    return written(rows.mapInArrow(lambda it: _tiles(it, percent), "a long, b long"), "links")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (group, count, blocks) of ``rows`` (group, node, n)."""
+    size = rows.groupBy("group").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return size.select("group", "count", blocks.alias("blocks"))
+
+
+def _own(seed: str) -> Column:
+    """The block of a node among ``blocks``."""
+    return F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("blocks")).cast("int")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) within the groups of ``sets``, or as many as connect what they connect."""
+    rows = sets.select("group", "node", "n")
+    blocks = written(_blocks(rows), "blocks")
+    placed = rows.join(blocks, "group")
+    links = _searched(placed.select(F.xxhash64("group", _own("block")).alias("tile"), "node"), sets, percent)
+    large = placed.where("blocks > 1").select("group", "node", "n")
+    turn = 0
+    while not blocks.where("blocks > 1").isEmpty():
+        # the least node of each component stands for it, until those of a group fit one block
+        kin = components(links).withColumnRenamed("id", "node")
+        named = written(large.join(kin, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("kin")), "kin")
+        heads = named.where("node = kin")
+        before, blocks = blocks, written(_blocks(heads), "blocks")
+        shrunk = before.join(blocks.select("group", F.col("blocks").alias("now")), "group").where("now < blocks").select("group")
+        if shrunk.isEmpty():
+            break
+        turn += 1
+        placed = heads.join(blocks.where("count > 1"), "group").join(shrunk, "group", "left_semi")
+        links = links.unionByName(_searched(placed.select(F.xxhash64("group", _own(f"turn {turn}")).alias("tile"), "node"), sets, percent))
+    if turn == 0 and large.isEmpty():
+        return links
+    kin = components(links).withColumnRenamed("id", "node")
+    named = written(large.join(kin, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("kin")), "kin")
+    sizes = named.groupBy("group", "kin").agg(F.count("*").alias("count")).groupBy("group").agg(F.max(F.struct("count", "kin"))["kin"].alias("most"))
+    outside = written(named.join(sizes, "group").where("kin <> most").select("group", "node", "n"), "outside")
+    if outside.isEmpty():
+        return links
+    of_all, of_outside = (_blocks(x).select("group", F.col("blocks").alias(name)) for x, name in ((named, "all_blocks"), (outside, "out_blocks")))
+    counts = written(of_outside.join(of_all, "group"), "blocks")
+    mine = outside.join(counts, "group").withColumn("blocks", F.col("out_blocks")).withColumn("o", _own("outside"))
+    mine = mine.select("group", "node", "o", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("k"))
+    every = named.join(counts, "group").withColumn("blocks", F.col("all_blocks")).withColumn("k", _own("all"))
+    every = every.select("group", "node", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), "k")
+    tiles = mine.unionByName(every).select(F.xxhash64("group", "o", "k", F.lit("outside")).alias("tile"), "node").distinct()
+    return links.unionByName(_searched(tiles, sets, percent))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Rows (doc_id, key, n, component), one for each row of ``docs``; ``key`` is the hash of its text."""
     spark = docs.sparkSession
     ready(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    rows = checkpointed(_prefixes(docs, words, percent))
+    rows = written(_prefixes(docs, words, percent), "prefixes")
     same = ["n", "f1", "f2"]
-    reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("node"))
-    reps = checkpointed(reps)
-    alone = rows.where("n > 0").join(reps.where("node IS NOT NULL"), same).where("doc_id = node")
-    postings = alone.select(F.explode("prefix").alias("h"), "node", "n")
+    # copies are put together before anything is shuffled
+    reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min_by(F.struct("key", "prefix"), "doc_id").alias("of"))
+    reps = written(reps.where("least IS NOT NULL").select(*same, "least", "of.key", "of.prefix", F.monotonically_increasing_id().alias("node")), "sets")
+    postings = reps.select(F.posexplode("prefix").alias("place", "h"), "node", "n").select("h", "n", F.col("place").cast("long"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = postings.repartition(parts, "h").sortWithinPartitions("h", "node")
-    met = checkpointed(
-        postings.mapInArrow(lambda it: _met(it, percent), "kind tinyint, a long, b long, n long, m long")
-        .groupBy("kind", "a", "b", "n", "m").agg(F.count("*").alias("c"))
-        .where(f"kind = 1 OR c >= {_needed('n', 'm', percent)}").select("a", "b")
+    postings = postings.repartition(parts, "h").sortWithinPartitions("h", "n")
+    met = written(
+        postings.mapInArrow(lambda it: _met(it, percent), "kind tinyint, a long, b long, n long, m long, c long")
+        .groupBy("kind", "a", "b", "n", "m").agg(F.sum("c").alias("c")), "met",
     )
-    group = components(met)
-    blocks = group.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    group = checkpointed(group.join(blocks, "component"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    group = group.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = group.select("id", F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("tile"))
-    texts = docs.join(group, docs["doc_id"] == group["id"])
-    tiles = texts.select(F.concat_ws(":", "tile.component", "tile.i", "tile.j").alias("tile"), F.col("id").alias("node"), "text")
-    tiles = tiles.repartition(parts, "tile").sortWithinPartitions("tile")
-    links = tiles.mapInArrow(lambda it: _tiles(it, words, percent), "a long, b long")
-    linked = components(links)
-    found = reps.join(linked, reps["node"] == linked["id"], "left").select(*same, "node", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", *same).join(found, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    long = met.where("kind = 2").select(F.col("a").alias("id"), "c")
+    pairs = met.where("kind = 0")
+    for side in ("a", "b"):
+        pairs = pairs.join(long.select(F.col("id").alias(side), F.col("c").alias(f"long_{side}")), side, "left")
+    pairs = pairs.where(f"c + least(coalesce(long_a, 0), coalesce(long_b, 0)) >= {_needed('n', 'm', percent)}").select("a", "b")
+    group = components(pairs.unionByName(met.where("kind = 1").select("a", "b")))
+    wanted = group.join(reps.select(F.col("node").alias("id"), F.col("least").alias("doc_id"), "key"), "id")
+    wanted = written(wanted.select("doc_id", "key", F.col("id").alias("node"), F.col("component").alias("group")), "wanted")
+    texts = docs.select("doc_id", _key(), "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["node"])
+    links = _links(written(_sets(texts, words), "candidates"), percent)
+    linked = reps.select(*same, "node", "least").join(components(links), reps["node"] == F.col("id"), "left")
+    linked = written(linked.select(*same, "least", F.coalesce("component", "node").alias("component")), "linked")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
+    # a table of its own, so that adaptive execution can split a text that very many rows have
+    found = written(linked.join(smallest, "component").select(*same, "smallest"), "components")
+    some = rows.where("n > 0").select("doc_id", "key", *same).join(found, same, "left").select("doc_id", "key", "n", F.col("smallest").alias("component"))
+    return some.unionByName(rows.where("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component")))
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``."""
+    return _classes(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def _needed(n: str, m: str, percent: int) -> str:
@@ -413,10 +535,13 @@ def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     """The rows of ``docs`` of one document, the smallest id, of each component.
 
     Rows of another id in a component go; empty texts, null ids and repeated rows of the
-    document that stays all stay.
+    document that stays all stay. Of rows that share an id, only those go whose own text
+    has a smaller document.
     """
-    found = classes(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = _classes(docs, words, percent).where("doc_id <> component").select("doc_id", "key").distinct()
+    rows = docs.select(beside(docs).alias("row"))
+    match = (F.col("row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("key"))
+    return rows.join(gone, match, "left_anti").select(*columns_of("row", docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
