@@ -464,6 +464,48 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == stay and set(kept[0]) == set(ROWS[0])
 
 
+def test_dedup_of_rows_that_share_an_id_drops_only_the_copy(spark):
+    a, b = ("one two three four five six seven eight nine", "a text of its own that nobody else has at all")
+    rows = [{"doc_id": 3, "text": a}, {"doc_id": 7, "text": a}, {"doc_id": 7, "text": b}, {"doc_id": None, "text": b}]
+    kept = Counter((r["doc_id"], r["text"]) for r in collect(jaccard.dedup(frame(spark, rows))))
+    assert kept == Counter([(3, a), (7, b), (None, b)])
+
+
+@pytest.mark.parametrize(("short", "held", "block"), [(2, 3, 4), (3, 1000, 8), (16, 1 << 17, 1024)])
+def test_forms_copies_and_diverse_groups(spark, monkeypatch, short, held, block):
+    """Forms that share all but two shingles (no links), near copies of many sizes, and one hot group with outsiders."""
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(short)
+    form = [f"f{i}" for i in range(16)]
+    texts = [" ".join([f"u{i}", *form]) for i in range(40)] + [" ".join([f"v{i}", f"w{i}", *form[:14], f"x{i}"]) for i in range(40)]
+    base = [f"b{i}" for i in range(60)]
+    for _ in range(90):
+        copy = base[rng.randint(0, 6) : 60 - rng.randint(0, 6)]
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = f"z{rng.randint(0, 9)}"
+        texts.append(" ".join(copy))
+    texts += [texts[100]] * 30 + ["same short"] * 20 + ["", None] * 20
+    rng.shuffle(texts)
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in collect(jaccard.classes(frame(spark, rows))))
+    assert got == brute_components(rows)
+
+
+def test_sets_that_share_a_form_only_are_not_tied():
+    """One long list whose members have too little behind their place: no ties, whatever its length."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 5000
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 9)), pa.array(np.full(n, 15)), pa.array(np.full(n, 2)), pa.array(np.arange(n))], ["h", "n", "place", "node"])
+    kinds = Counter()
+    for out in jaccard._met(iter([batch.slice(a, 700) for a in range(0, n, 700)]), 85):
+        kinds.update(out.column(0).to_pylist())
+    assert set(kinds) == {2}
+
+
 # --- mixing -----------------------------------------------------------------------------------
 
 
