@@ -1,35 +1,32 @@
-"""Vector searches in blocks: every query block meets every candidate block once.
-
-Rows are dealt to blocks by a hash of their id, so a block holds about ``block_rows`` rows
-whatever the input; a block is packed into one binary row. Candidate blocks and query
-blocks meet in an equi-join on the number of their pair, each pair finds its own best
-rows, and a ranking window per query merges the pairs' results.
+"""What vector searches share: which vectors take part, and blocks of them.
 
 A vector takes part if its id and all its components are there and finite. A repeated id
-counts once, with the smallest of its vectors. Shorter vectors are filled with zeros.
+counts once, with the smallest of its vectors. Vectors of different lengths compare as if
+the shorter were filled with zeros; blocks hold vectors of about one length, so that one
+overlong vector widens no other's block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
-
 EVERY = 20
 K = 20
+#: Length up to which a block has its full number of rows; blocks of longer vectors have fewer.
+USUAL = 128
 
 
 def valid(vectors: DataFrame, zero: bool = True) -> DataFrame:
-    """Rows (vec_id long, embedding array<double>) that take part."""
+    """Rows (vec_id long, embedding array) that take part."""
     fine = "embedding IS NOT NULL AND vec_id IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
     rows = vectors.where(fine)
     if not zero:
         rows = rows.where("exists(embedding, x -> x <> 0)")
-    rows = rows.selectExpr("cast(vec_id as long) vec_id", "cast(embedding as array<double>) embedding")
+    rows = rows.selectExpr("cast(vec_id as long) vec_id", "embedding")
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
@@ -37,71 +34,46 @@ def pack(matrix: np.ndarray) -> bytes:
     return np.ascontiguousarray(matrix).tobytes()
 
 
-def _blocks(rows: DataFrame, n: int, dims: int, build: Callable) -> DataFrame:
-    """Rows (block int, data binary...): ``build(ids, matrix)`` gives a block's dict of binaries."""
-    fields = build(np.arange(1), np.zeros((1, dims)))
+def to_matrix(column) -> np.ndarray:
+    """The vectors of an Arrow list column as doubles, filled with zeros to the longest."""
+    got = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    size = np.diff(got.offsets.to_numpy())
+    first, last = got.offsets[0].as_py(), got.offsets[len(got)].as_py()
+    flat = got.values.to_numpy(zero_copy_only=False)[first:last]
+    matrix = np.zeros((len(size), max(1, int(size.max(initial=0)))))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    matrix[np.repeat(np.arange(len(size)), size), at] = flat
+    return matrix
+
+
+def width_class() -> Column:
+    """Vectors of up to twice the length share a class."""
+    return F.ceil(F.log2(F.greatest(F.size("embedding"), F.lit(1)).cast("double"))).cast("int")
+
+
+def blocked(rows: DataFrame, by: str, block_rows: int, build: Callable, schema: str) -> tuple[DataFrame, int]:
+    """Rows (block int, ...) of ``build(ids, matrix, by)`` for each block of ``rows`` (vec_id, embedding, by), and how many there are.
+
+    Rows of one value of ``by`` (a number of few values) and of one class of lengths are
+    dealt to blocks by a hash of their id. The counts by value are all that the driver sees.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("wide", width_class())
+    plan, n = [], 0
+    for r in sorted(rows.groupBy(by, "wide").count().collect()):
+        most = max(1, block_rows * USUAL // max(USUAL, 1 << r["wide"]))
+        parts = -(-r["count"] // most)
+        plan.append((r[by], r["wide"], n, parts))
+        n += parts
+    placed = rows.join(F.broadcast(spark.createDataFrame(plan, f"{by} int, wide int, first int, parts int")), [by, "wide"])
+    block = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block")
 
     def one(key, group):
         import pyarrow as pa
 
-        got = group.column("embedding").combine_chunks()
-        size = np.diff(got.offsets.to_numpy())
-        flat = got.values.to_numpy(zero_copy_only=False)[got.offsets[0].as_py() :]
-        matrix = np.zeros((len(size), dims))
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        matrix[np.repeat(np.arange(len(size)), size), at] = flat
         ids = group.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        made = build(ids[order], matrix[order])
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in made.items()})
-
-    schema = "block int, " + ", ".join(f"{k} binary" for k in fields)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block")
-    return rows.select(block, "vec_id", "embedding").groupBy("block").applyInArrow(one, schema)
-
-
-def search(
-    vectors: DataFrame, index: Callable, queries: Callable, match: Callable, score: str,
-    zero: bool = True, k: int = K, every: int = EVERY, index_rows: int = 8192, query_rows: int = 2048,
-) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k best rows of each query.
-
-    ``index`` and ``queries`` pack a block, ``match(index block, query block, k)`` gives
-    arrays (query_id, vec_id, score) with each query's k best rows of the block.
-    """
-    spark = vectors.sparkSession
-    rows = valid(vectors, zero)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n, n_asked, dims = rows.select("vec_id", F.size("embedding").alias("d")).agg(
-        F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max("d")
-    ).first()
-    n_index, n_query = -(-n // index_rows) or 1, -(-n_asked // query_rows) or 1
-    dims = dims or 1
-    ready(spark)
-    pairs = n_index * n_query
-    left = _blocks(rows, n_index, dims, index)
-    right = _blocks(asked, n_query, dims, queries)
-    left = left.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))).withColumn(
-        "pair", F.col("block").cast("long") * n_query + F.col("pair")
-    )
-    right = right.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1)))).withColumn(
-        "pair", F.col("pair").cast("long") * n_query + F.col("block")
-    )
-    names_l, names_r = [c for c in left.columns if c not in ("block", "pair")], [c for c in right.columns if c not in ("block", "pair")]
-    left = left.select("pair", *[F.col(c).alias(f"i_{c}") for c in names_l]).repartition(pairs, "pair")
-    right = right.select("pair", *[F.col(c).alias(f"q_{c}") for c in names_r]).repartition(pairs, "pair")
-    both = left.join(right, "pair").drop("pair")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, v, s = match(
-                    {c: row[f"i_{c}"] for c in names_l} | {"dims": dims}, {c: row[f"q_{c}"] for c in names_r} | {"dims": dims}, k
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+        made = build(ids[order], to_matrix(group.column("embedding"))[order], group.column(by)[0].as_py())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([v]) for k, v in made.items()})
 
-    found = both.mapInArrow(run, f"query_id long, vec_id long, score {score}")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return placed.select(block, by, "vec_id", "embedding").groupBy("block").applyInArrow(one, f"block int, {schema}"), n
