@@ -45,7 +45,7 @@ def store(tmp_path_factory):
     return folder(tmp_path_factory.mktemp("vectors"), [], rows), rows
 
 
-@pytest.mark.parametrize("shape", [{}, {"index_rows": 60, "query_rows": 7}])
+@pytest.mark.parametrize("shape", [{}, {"index_rows": 60, "query_rows": 3, "together": 2}])
 def test_bitslice_equals_brute_force(spark, store, shape):
     path, rows = store
     good = usable(rows)
@@ -73,15 +73,22 @@ def test_bitslice_arithmetic():
 
 def test_bitslice_takes_large_weights_and_refuses_too_large():
     m = RNG.normal(size=(50, 8)) * 40
-    block, asked = bitslice.index(np.arange(50), m) | {"dims": 8}, bitslice.queries(np.arange(50), m) | {"dims": 8}
-    q, v, s = bitslice.match(block, asked, 5)
-    whole = bitslice.quantise(m)
-    assert all(s[k] == whole[q[k]] @ whole[v[k]] for k in range(len(q)))
-    with pytest.raises(ArithmeticError):
-        bitslice.quantise(np.array([[1e30]]))
+    m[3, 2], m[7] = 2e7, 0.5e5  # too large for slices, not for exact numbers
+    q, v, s = bitslice.match(bitslice.index(np.arange(50), m), bitslice.queries(np.arange(50), m), 50)
+    whole = [[int(x) for x in row] for row in bitslice.quantise(m)]
+    expect = {(i, j, sum(a * b for a, b in zip(whole[i], whole[j], strict=True))) for i in range(50) for j in range(50) if i != j}
+    assert set(zip(q.tolist(), v.tolist(), s, strict=True)) == expect
 
 
-@pytest.mark.parametrize("shape", [{}, {"index_rows": 90, "query_rows": 9}])
+def test_bitslice_raises_only_for_scores_that_fit_no_long(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = bitslice.top_k(frame([(20, [2e7, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (40, [0.5] * 300)])).collect()
+    assert {(r.query_id, r.vec_id): r.score for r in got if r.query_id == 20} == {(20, 2): 64 * 64 * 20_000_000, (20, 40): 32 * 64 * 20_000_000 + 32 * 64, (20, 1): 64 * 64}
+    with pytest.raises(Exception, match="fit a long"):
+        bitslice.top_k(frame([(20, [1e15]), (1, [1e15])])).collect()
+
+
+@pytest.mark.parametrize("shape", [{}, {"block_rows": 90}])
 def test_ann_recall_and_exact_scores(spark, store, shape):
     path, rows = store
     good = usable(rows, zero=False)
@@ -108,6 +115,33 @@ def test_ann_recall_and_exact_scores(spark, store, shape):
     assert not got and hit >= 0.9 * total
 
 
+def test_ann_verifies_few_rows_of_clustered_vectors(spark):
+    """Under half of the rows, and recall of 0.9 at least, against brute force."""
+    rng = np.random.default_rng(5)
+    n, d = 12_000, 32
+    centres = rng.normal(size=(60, d)) * 3
+    x = centres[rng.integers(0, 60, n)] + 0.3 * rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(rows, every=200, block_rows=1000).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.verified))
+    hit = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len({v for v, _ in found} & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 60 and hit >= 0.9 * 20 * 60
+    assert np.mean([found[0][1] for found in got.values()]) < 0.5 * n
+
+
+def test_upper_tree_places_all_points():
+    points = RNG.normal(size=(5000, ann.PROJECTIONS))
+    leaf = ann.leaf_of(points, ann.upper_tree(points[:1000], 16))
+    assert leaf.min() == 0 and leaf.max() == 15 and np.bincount(leaf).max() < 1000
+    assert (ann.leaf_of(points[:7], []) == 0).all()
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     assert ann.chi_square_quantile(0.5, 2) == pytest.approx(1.386, abs=1e-3)
