@@ -2,12 +2,14 @@
 
 A text is cut into sentences after full stops, at blank lines and before lines that begin a
 licence sentence. A sentence is read by line and part, and, if it is wrapped, as a whole
-too, which counts where it tells what no part does; what mentions
-what licences speak of is normalised (lower case, single spaces, no quotes, comment signs
-or final stop) and mapped to the first known licence sentence that it matches, or to
-UNKNOWN if it claims a licence that none matches. The identifiers in their order form a
-sequence, and ordered rules are matched against it: a rule that matches names its licence
-and takes its sentences out, so that a later, more general rule doesn't see them.
+too, which counts where it tells what no part does. What mentions what licences speak of is
+normalised (lower case, single spaces, no quotes, comment signs or final stop) and looked
+up in the table of known licence sentences. What the table doesn't hold word for word -
+sentences that name a holder, a version or an address - goes to the first of the sentence
+patterns that it matches, or to UNKNOWN if it claims a licence that none matches. The
+identifiers in their order form a sequence, and ordered rules are matched against it: a rule
+that matches names its licence and takes its sentences out, so that a later, more general
+rule doesn't see them.
 
 Nulls and empty texts have no licences. Texts of any length are scanned whole, each row
 alone, without a shuffle; repeated rows give repeated rows; an empty table gives none.
@@ -24,7 +26,7 @@ from .common import table
 # A word of these makes a sentence worth a look.
 MENTIONS = (
     r"licen[cs]e|copyright|permission|warrant|redistribut|public\W+domain|\bas\W+is\b|liab|all\W+rights\W+reserved|\bcc0\b|\bcc[- ]by|"
-    r"creative\W+commons|advertising\W+materials|applicable\W+law|neither\W+the\W+name|©|\(c\)"
+    r"creative\W+commons|advertising\W+materials|applicable\W+law|neither\W+the\W+name|©|\(c\)|misrepresented|accompanying\W+materials|\bmpl\b"
 )
 
 
@@ -82,9 +84,59 @@ def _tags() -> list[tuple[str, str]]:
     return [*out, ("UNKNOWN", r".*spdx-license-identifier: ?\S.*")]
 
 
-# Licence sentences, the first match names a sentence.
+# Licence sentences word for word, normalised, by their identifier.
+KNOWN: dict[str, tuple[str, ...]] = {
+    "MITgrant": (
+        "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), "
+        "to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions",
+    ),
+    "MITnotice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+    "AsIs": (
+        "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, "
+        "fitness for a particular purpose and noninfringement",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, "
+        "the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    "NoLiability": (
+        "in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or "
+        "otherwise, arising from, out of or in connection with the software or the use or other dealings in the software",
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+    ),
+    "ISCgrant": (
+        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies",
+    ),
+    "BSDgrant": (
+        "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ),
+    "ApacheUse": ("you may not use this file except in compliance with the license",),
+    "ApacheUnless": (
+        "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without "
+        "warranties or conditions of any kind, either express or implied",
+    ),
+    "ApacheSee": ("see the license for the specific language governing permissions and limitations under the license",),
+    "GNUhope": (
+        "this program is distributed in the hope that it will be useful, but without any warranty",
+        "this library is distributed in the hope that it will be useful, but without any warranty",
+    ),
+    "MPL2": ("this source code form is subject to the terms of the mozilla public license, v. 2.0",),
+    "MPLcopy": ("if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/2.0/",),
+    "ZlibAsIs": ("this software is provided as-is, without any express or implied warranty",),
+    "ZlibGrant": (
+        "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions",
+    ),
+    "ZlibMarked": ("altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",),
+    "EPLterms": ("the accompanying program is provided under the terms of this eclipse public license",),
+    "Unlicense": ("this is free and unencumbered software released into the public domain",),
+}
+
+# Patterns of sentences that name holders, versions or addresses; the first match names a sentence.
 SENTENCES: list[tuple[str, str]] = [
     *_tags(),
+    ("BoostGrant", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software.*"),
     ("MITgrant", r"permission is hereby granted, free of charge, to any person obtaining a copy.*"),
     ("MITnotice", r"the above copyright notice and this permission notice .*shall be included in all.*"),
     ("ISCgrant", r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose.*"),
@@ -100,6 +152,11 @@ SENTENCES: list[tuple[str, str]] = [
     ("ApacheSee", r"see the licen[cs]e for the specific language governing.*"),
     ("Apache2", r".*apache(?: software)? licen[cs]e,? ?(?:version|v)?[ .]?2(?:\.0)?(?!\d).*"),
     ("Apache1.1", r".*apache(?: software)? licen[cs]e,? ?(?:version|v)?[ .]?1\.1.*"),
+    ("ZlibAsIs", r"this software is provided as-is, without any express or implied warranty.*"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose.*"),
+    ("ZlibMarked", r".*(?:altered source versions must be plainly marked|must not be misrepresented).*"),
+    ("GNUhope", r"this (?:program|library|software|file) is distributed in the hope that it will be useful.*"),
+    ("MPLcopy", r".*copy of the mpl was not distributed.*"),
     ("MPL2", r".*mozilla public licen[cs]e,? ?(?:version|v\.?)? ?2\.0.*"),
     ("MPL1.1", r".*mozilla public licen[cs]e,? ?(?:version|v\.?)? ?1\.1.*"),
     ("EPL2", r".*eclipse public licen[cs]e.*2\.0.*"),
@@ -126,12 +183,24 @@ def _rules() -> list[tuple[str, str]]:
     gap = r"(?: \S+){0,3}"
     rules = [
         ("Apache-2.0", rf" Apache2{gap} ApacheUse(?:{gap} ApacheCopy)?(?:{gap} ApacheUnless)?(?:{gap} ApacheSee)?(?= )"),
-        ("MIT", rf"(?: MITheader)?{gap} MITgrant(?:{gap} MITnotice)?(?:{gap} AsIs)?(?= )"),
-        ("ISC", rf"(?: ISCheader)? ISCgrant(?:{gap} AsIs)?(?= )"),
-        ("BSD-4-Clause", rf" BSDgrant{gap} BSDads{gap}(?: BSDnames)?(?:{gap} AsIs)?(?= )"),
-        ("BSD-3-Clause", rf" BSDgrant{gap} BSDnames(?:{gap} AsIs)?(?= )"),
-        ("BSD-2-Clause", rf" BSDgrant(?:{gap} BSDsource)?(?:{gap} BSDbinary)?(?:{gap} AsIs)?(?= )"),
+        ("MIT", rf"(?: MITheader)?{gap} MITgrant(?:{gap} MITnotice)?(?:{gap} AsIs)?(?: NoLiability)?(?= )"),
+        ("ISC", rf"(?: ISCheader)?(?: Copyright)? ISCgrant(?:{gap} AsIs)?(?= )"),
+        ("BSD-4-Clause", rf"(?: AllRights)? BSDgrant{gap} BSDads{gap}(?: BSDnames)?(?:{gap} AsIs)?(?= )"),
+        ("BSD-3-Clause", rf"(?: AllRights)? BSDgrant{gap} BSDnames(?:{gap} AsIs)?(?= )"),
+        ("BSD-2-Clause", rf"(?: AllRights)? BSDgrant(?:{gap} BSDsource)?(?:{gap} BSDbinary)?(?:{gap} AsIs)?(?= )"),
+        ("MPL-2.0", r"(?: MPL2)+(?: MPLcopy)?(?= )"),
+        ("Zlib", rf"(?: ZlibHeader)? ZlibAsIs(?: NoLiability)?(?:{gap} ZlibGrant)?(?: ZlibMarked)*(?= )"),
+        ("BSL-1.0", rf"(?: BoostHeader)+(?:{gap} BoostGrant)?(?:{gap} AsIs)?(?= )"),
+        ("EPL-2.0", r"(?: EPL2)+(?: EPLterms)?(?= )"),
+        ("EPL-1.0", r"(?: AllRights)?(?: EPL1)+(?: EPLterms)?(?= )"),
     ]
+    # what follows a grant of one of the GNU licences repeats its name without a version
+    for kind in ("AGPL", "LGPL", "GPL"):
+        for version in ("3", "2.1", "2", "1"):
+            for later in ("+", ""):
+                name = f"{kind}{version}{later}"
+                pattern = name.replace("+", "[+]").replace(".", "[.]")
+                rules.append((_spdx()[name], rf"(?: {kind}any)* {pattern}(?:(?: GNUhope)?(?: {kind}any| {pattern})| GNUhope)*(?= )"))
     rules += [(licence, f" {name.replace('+', '[+]').replace('.', '[.]')}(?= )") for name, licence in _spdx().items()]
     return [*rules, ("unknown", r" UNKNOWN(?= )"), ("all-rights-reserved", r" AllRights(?= )")]
 
@@ -146,7 +215,7 @@ _STARTS = (
     r"the (?:software|work|program) is provided|this (?:software|work|program) is|all advertising|all rights|(?:licensed|released|distributed) under|"
     r"copyright (?:\(c\)|©|\d)|spdx-"
 )
-_ENDS = rf"(?<=[.!?])\s+|\n{_SIGNS}*+(?=\n)|(?:\n|(?<=;)\s)(?={_SIGNS}*+(?i:{_STARTS}))"
+_ENDS = rf"(?<=[.!?])(?<!\bv\.)\s+|\n{_SIGNS}*+(?=\n)|(?:\n|(?<=;)\s)(?={_SIGNS}*+(?i:{_STARTS}))"
 
 
 def _plain(s: Column) -> Column:
@@ -183,8 +252,10 @@ def recognise(docs: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<struct<parts: array<string>, whole: string>>")
     out = docs.select("doc_id", F.when(told, _sentences(F.col("text"))).otherwise(nothing).alias("said"))
 
+    table_ = F.map_from_arrays(*[F.array(*map(F.lit, x)) for x in zip(*[(text, name) for name, texts in KNOWN.items() for text in texts], strict=True)])
+
     def name(s: Column) -> Column:
-        return F.coalesce(*[F.when(s.rlike(f"^(?:{pattern})$"), F.lit(x)) for x, pattern in SENTENCES])
+        return F.coalesce(F.element_at(table_, s), *[F.when(s.rlike(f"^(?:{pattern})$"), F.lit(x)) for x, pattern in SENTENCES])
 
     def known_of(s: Column) -> Column:
         """What the pieces name; the whole comes first if it names what no piece does, in place of what it makes exact."""
