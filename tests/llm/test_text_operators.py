@@ -10,6 +10,7 @@ import pytest
 
 from tallymark.llm import bpe, jaccard, licenses, mixing, registry, secrets, templates
 
+from . import notices
 from .fixtures import documents, folder, frame
 
 ROWS = documents()
@@ -226,7 +227,7 @@ def test_licences_equal_a_plain_reading(spark):
         for s in re.split(r"\n|(?<=[.;!?])\s+", text):
             if re.search(licenses.MENTIONS, s, re.I):
                 s = re.sub(r"[\s.;:!?]+$", "", re.sub(r"\s+", " ", re.sub(r"""^[\s/*#;%<!-]+|["'“”‘’`]+""", "", s.lower())).strip())
-                ids += [x for x, p in licenses.SENTENCES if re.fullmatch(p, s)][:1]
+                ids += [*[x for x, known in licenses.KNOWN.items() if s in known], *[x for x, p in licenses.SENTENCES if re.fullmatch(p, s)]][:1]
         left, found = f" {' '.join(ids)} ", []
         for name, rule in licenses.RULES:
             if ids and re.search(rule, left):
@@ -265,6 +266,20 @@ def test_wrapped_notices(spark):
     assert [sorted(x) for x in got] == [["GPL-2.0-or-later"], ["GPL-2.0-or-later"], ["BSD-3-Clause"], ["MIT"], ["Apache-2.0"], ["ISC", "MIT", "Zlib"]]
 
 
+def test_usual_notices_in_all_forms(spark):
+    """Wrapped, on one line, and behind comment signs: each names its licence and nothing else."""
+    rows = [(name, form, text) for name, notice in notices.CASES for form, text in notices.forms(notice)]
+    for (name, form, _), got in zip(rows, licences_of(spark, [t for *_, t in rows]), strict=True):
+        assert [x for x in got if x != "all-rights-reserved"] == [name], (name, form, got)
+
+
+def test_known_sentences_pass_the_mentions_and_name_themselves(spark):
+    rows = [(name, text) for name, texts in licenses.KNOWN.items() for text in texts]
+    assert all(re.search(licenses.MENTIONS, text, re.I) for _, text in rows)
+    got = collect(licenses.recognise(spark.createDataFrame([(i, t.capitalize() + ".") for i, (_, t) in enumerate(rows)], "doc_id long, text string")))
+    assert {r["doc_id"]: r["ids"][0] for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+
+
 # --- line templates ---------------------------------------------------------------------------
 
 
