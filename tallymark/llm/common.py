@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.plans.shipping import ship
@@ -84,33 +84,24 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a long, b long): rows (id, component).
 
     ``component`` is the smallest id that links reach. Ids without links aren't returned.
-    Large-star and small-star steps alternate until the edges no longer change; every
-    step is a hash aggregation and a join on narrow rows, and nothing but one checksum of
-    the edges reaches the driver. A round's table is deleted after the next. Nulls and
-    self-links are ignored.
+    Large-star and small-star steps alternate until the edges no longer change; each is one
+    exchange of narrow rows and a window by node, which spills where a node has very many
+    edges, and nothing but one checksum of the edges reaches the driver. A round's table is
+    deleted after the next. Nulls and self-links are ignored.
     """
     edges = Written(
-        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
+        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges"
     )
+    by_node = Window.partitionBy("u")
     before = None
     while True:
         both = edges.df.unionByName(edges.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of u move to the smallest of u and its neighbours
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.withColumn("m", F.least(F.min("v").over(by_node), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = (
-            small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        low = large.withColumn("m", F.min("v").over(by_node))
+        small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = small.select("e.u", "e.v").where("u > v").distinct()
         after = Written(small, "edges")
         edges.drop()
         edges = after

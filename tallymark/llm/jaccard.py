@@ -442,42 +442,49 @@ def _own(seed: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("blocks")).cast("int")
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) within the groups of ``sets``, or as many as connect what they connect."""
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (id, component) of the sets that link, by all links within the groups of ``sets`` or as many as connect the same."""
     rows = sets.select("group", "node", "n")
     blocks = written(_blocks(rows), "blocks")
     placed = rows.join(blocks, "group")
     links = _searched(placed.select(F.xxhash64("group", _own("block")).alias("tile"), "node"), sets, percent)
+    kin = components(links)
+    if blocks.where("blocks > 1").isEmpty():
+        return kin
     large = placed.where("blocks > 1").select("group", "node", "n")
-    turn = 0
-    while not blocks.where("blocks > 1").isEmpty():
+
+    def named() -> DataFrame:
+        own = kin.withColumnRenamed("id", "node")
+        return written(large.join(own, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("kin")), "kin")
+
+    turn, now = 0, named()
+    while True:
         # the least node of each component stands for it, until those of a group fit one block
-        kin = components(links).withColumnRenamed("id", "node")
-        named = written(large.join(kin, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("kin")), "kin")
-        heads = named.where("node = kin")
+        heads = now.where("node = kin")
         before, blocks = blocks, written(_blocks(heads), "blocks")
-        shrunk = before.join(blocks.select("group", F.col("blocks").alias("now")), "group").where("now < blocks").select("group")
-        if shrunk.isEmpty():
+        again = before.where("blocks > 1").join(blocks.select("group", F.col("blocks").alias("left"), F.col("count").alias("heads")), "group")
+        again = written(again.where("left < blocks AND heads > 1").select("group", F.col("left").alias("blocks")), "again")
+        if again.isEmpty():
             break
         turn += 1
-        placed = heads.join(blocks.where("count > 1"), "group").join(shrunk, "group", "left_semi")
-        links = links.unionByName(_searched(placed.select(F.xxhash64("group", _own(f"turn {turn}")).alias("tile"), "node"), sets, percent))
-    if turn == 0 and large.isEmpty():
-        return links
-    kin = components(links).withColumnRenamed("id", "node")
-    named = written(large.join(kin, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("kin")), "kin")
-    sizes = named.groupBy("group", "kin").agg(F.count("*").alias("count")).groupBy("group").agg(F.max(F.struct("count", "kin"))["kin"].alias("most"))
-    outside = written(named.join(sizes, "group").where("kin <> most").select("group", "node", "n"), "outside")
+        found = _searched(heads.join(again, "group").select(F.xxhash64("group", _own(f"turn {turn}")).alias("tile"), "node"), sets, percent)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        kin = components(links)
+        now = named()
+    sizes = now.groupBy("group", "kin").agg(F.count("*").alias("count")).groupBy("group").agg(F.max(F.struct("count", "kin"))["kin"].alias("most"))
+    outside = written(now.join(sizes, "group").where("kin <> most").select("group", "node", "n"), "outside")
     if outside.isEmpty():
-        return links
-    of_all, of_outside = (_blocks(x).select("group", F.col("blocks").alias(name)) for x, name in ((named, "all_blocks"), (outside, "out_blocks")))
+        return kin
+    of_all, of_outside = (_blocks(x).select("group", F.col("blocks").alias(name)) for x, name in ((now, "all_blocks"), (outside, "out_blocks")))
     counts = written(of_outside.join(of_all, "group"), "blocks")
     mine = outside.join(counts, "group").withColumn("blocks", F.col("out_blocks")).withColumn("o", _own("outside"))
     mine = mine.select("group", "node", "o", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("k"))
-    every = named.join(counts, "group").withColumn("blocks", F.col("all_blocks")).withColumn("k", _own("all"))
+    every = now.join(counts, "group").withColumn("blocks", F.col("all_blocks")).withColumn("k", _own("all"))
     every = every.select("group", "node", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), "k")
     tiles = mine.unionByName(every).select(F.xxhash64("group", "o", "k", F.lit("outside")).alias("tile"), "node").distinct()
-    return links.unionByName(_searched(tiles, sets, percent))
+    return components(links.unionByName(_searched(tiles, sets, percent)))
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -506,8 +513,8 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     wanted = group.join(reps.select(F.col("node").alias("id"), F.col("least").alias("doc_id"), "key"), "id")
     wanted = written(wanted.select("doc_id", "key", F.col("id").alias("node"), F.col("component").alias("group")), "wanted")
     texts = docs.select("doc_id", _key(), "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["node"])
-    links = _links(written(_sets(texts, words), "candidates"), percent)
-    linked = reps.select(*same, "node", "least").join(components(links), reps["node"] == F.col("id"), "left")
+    linked = _linked(written(_sets(texts, words), "candidates"), percent)
+    linked = reps.select(*same, "node", "least").join(linked, reps["node"] == F.col("id"), "left")
     linked = written(linked.select(*same, "least", F.coalesce("component", "node").alias("component")), "linked")
     smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
     # a table of its own, so that adaptive execution can split a text that very many rows have
