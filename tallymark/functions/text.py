@@ -224,7 +224,7 @@ CONTROL_CLASSES = (
 
 
 def hidden_control_flags(text: Column) -> Column:
-    """"bidi_control=U+202E:1;zero_width=U+200B:2", classes and characters in order of appearance."""
+    """For each class of hidden characters its name, an equals sign, and the code points with their counts as they first appear."""
     text = F.coalesce(text, F.lit(""))
     def counted(found: Column) -> Column:
         def one(c: Column) -> Column:
@@ -268,10 +268,9 @@ ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash
 
 
 def html_to_text(html: Column) -> Column:
-    """Visible text of simple HTML: comments and script-like blocks out, tags as spaces, named entities read."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?is)<(script|style|noscript|iframe|object|embed)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    """The text that a page shows: markup of any kind gives way to a space in one pass, then names of characters are read."""
+    hidden = r"<(?<name>script|style|noscript|iframe|object|embed)\b[^>]*+>.*?</\k<name>\s*>"
+    out = F.regexp_replace(html, rf"(?is)<!--.*?-->|{hidden}|<[^>]*+>", " ")
     for name, character in ENTITIES.items():
         out = F.regexp_replace(out, f"(?i)&{name};", character)
     return plain(out)
@@ -298,8 +297,10 @@ def without_number_prefix(text: Column, group: Column, ordinal: Column) -> Colum
     return out
 
 
-# Placeholders that stand for an unknown author, publisher or edition.
-UNKNOWN = r"(?i)^(?:unknown|n/?a|none|null|undefined|unspecified|not (?:stated|available|specified)|-+|\?+|غير (?:معروف|معروفة|محدد|محددة|معلوم|معلومة))$"
+# What says that an author, publisher or edition isn't known.
+UNKNOWN = (
+    r"(?i)unknown|not\s+(?:known|provided|declared|supplied)|unavailable|^unchecked$|غير\s+(?:معلوم|معروف|متاح|معلن|موثق)|غير\s+معلنة|مجهول"
+)
 
 
 def known_attribution(text: Column) -> Column:
@@ -346,3 +347,51 @@ def model_error(message: Column) -> Column:
     for name, pattern in others:
         kind = kind.when(message.rlike(pattern), name)
     return kind.otherwise("unknown")
+
+
+#: Fixed value: the form of a language code, with a region or script at most.
+LANGUAGE_CODE = r"^[a-z]{2,3}(?:-[a-z0-9]{2,8})?$"
+
+
+def is_language(code: str) -> bool:
+    import re
+
+    return re.fullmatch(LANGUAGE_CODE, code) is not None
+
+
+def valid_language(code: Column) -> Column:
+    """Whether a text is a language code; null isn't."""
+    return F.coalesce(code.rlike(LANGUAGE_CODE), F.lit(False))
+
+
+def bounded_integer(value: Column, least: int, most: int) -> Column:
+    """The whole number of a value of digits only, if it lies within the bounds; null otherwise."""
+    text = value.cast("string")
+    number = F.try_to_number(text, F.lit("9" * 19)).cast("long")
+    return F.when(text.rlike(r"^[0-9]{1,19}$") & number.between(least, most), number)
+
+
+def counted(n: Column, one: str, many: str) -> Column:
+    """A number with its noun, thousands parted."""
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def date_stamp(time: Column, zone: str) -> Column:
+    """The date of a timestamp in a zone, as in file names."""
+    return F.date_format(F.from_utc_timestamp(time, zone), "yyyy-MM-dd")
+
+
+# Letters that are spelled alike, and beginnings that a word loses before it is compared, in the order in which they are tried.
+ALIKE_FROM, ALIKE_TO = "أإآٱىةؤئ", "اااايهوي"
+STEM_PREFIXES = ("وال", "بال", "فال", "كال", "لل", "ال", "و", "ف", "ب")
+
+
+def folded(text: Column) -> Column:
+    """Lower case, no vowel marks, letters of like spelling made one, signs as single spaces."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\u064B-\u0670\u06D6-\u06ED\u0640]", "")
+    return trimmed(F.regexp_replace(F.regexp_replace(F.translate(out, ALIKE_FROM, ALIKE_TO), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+
+
+def stem(word: Column) -> Column:
+    """A word without the first of the known beginnings that leaves three letters."""
+    return F.regexp_replace(word, rf"^(?:{'|'.join(STEM_PREFIXES)})(?=.{{3}})", "")

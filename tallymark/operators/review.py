@@ -11,6 +11,7 @@ INSPECTED = ("structural", "comparison")
 DECISIONS = ("accept", "reject", "refer")
 KEPT_UNAPPLIED = 500
 HISTORY = 12
+TEACHING, TEACHING_MARK = "synthetic-teaching", "SYNTHETIC TRAINING TEXT"
 _HEX64 = "^[a-f0-9]{64}$"
 
 
@@ -34,6 +35,29 @@ def valid_decisions(decisions: DataFrame) -> DataFrame:
     return decisions.where(fine)
 
 
+def parsed_store(stores: DataFrame) -> DataFrame:
+    """Rows (store, corrupt, fingerprint, decision, note, saved_at) of stores (store, raw): a JSON object of decisions by fingerprint.
+
+    Text that is no such object is corrupt, told by one row without a fingerprint; entries
+    that aren't well-formed are left out.
+    """
+    entry = "struct<decision: string, note: string, savedAt: string>"
+    known = stores.withColumn("m", F.from_json("raw", f"map<string, {entry}>"))
+    blank = F.coalesce(F.trim("raw"), F.lit("")) == ""
+    corrupt = ~blank & (F.col("m").isNull() | ~F.trim("raw").startswith("{"))
+    bad = known.where(corrupt).select("store", F.lit(True).alias("corrupt"), *[F.lit(None).cast("string").alias(c) for c in ("fingerprint", "decision", "note", "saved_at")])
+    rows = known.where(~blank & ~corrupt).select("store", F.lit(False).alias("corrupt"), F.explode("m").alias("fingerprint", "e"))
+    rows = rows.select("store", "corrupt", "fingerprint", "e.decision", "e.note", F.col("e.savedAt").alias("saved_at"))
+    return valid_decisions(rows).unionByName(bad)
+
+
+def review_identity(reports: DataFrame) -> DataFrame:
+    """Reports with ``identity``: a digest of scope, languages and the reference's identity. Files are no part of it, so reviews outlive them."""
+    parts = ["schema", "scope", "language", "source_kind", "book", "title", "edition", "reference_language", "author", "publisher"]
+    given = [F.col(c) if c in reports.columns else F.lit(None).cast("string").alias(c) for c in parts]
+    return reports.withColumn("identity", F.sha2(F.to_json(F.struct(*given), {"ignoreNullFields": "false"}), 256))
+
+
 def merged_store(current: DataFrame, legacy: DataFrame) -> DataFrame:
     """Both stores by fingerprint; the current one wins."""
     both = current.withColumn("__old", F.lit(0)).unionByName(legacy.withColumn("__old", F.lit(1)))
@@ -194,6 +218,47 @@ def retrieved_rows_checked(rows: DataFrame, host: str, book: int, source_kind: s
     return rows.withColumn("failures", failures).withColumn("eligible", F.size("failures") == 0).withColumn("scholarly_approval", F.lit("none"))
 
 
+def comparable(rows: DataFrame) -> DataFrame:
+    """Keyed reference rows with can_compare and why not: an identifier of their own and a text are all that it takes."""
+    copies = rows.where("valid").groupBy("id").agg(F.count("*").alias("copies"))
+    out = rows.join(copies, "id", "left")
+    told = T.meaningful(F.col("text"))
+    problem = F.when(~F.col("valid"), "comparison_id_invalid").when(F.col("copies") > 1, "comparison_id_duplicate").when(~told, "comparison_text_empty")
+    return out.withColumn("comparison_problem", problem).withColumn("can_compare", problem.isNull()).drop("copies")
+
+
+def declared_rows_checked(rows: DataFrame, source_kind: str, synthetic: bool = False) -> DataFrame:
+    """Keyed rows of an uploaded or a teaching reference with their standing. No declaration makes a source a verified one.
+
+    A teaching reference is consistent if it says that it is synthetic and every row bears
+    the teaching mark; that is one aggregate over all rows. Its rows may be inspected for
+    teaching; all others, and those of uploads, for experimental comparison only.
+    """
+    out = comparable(rows)
+    if source_kind == TEACHING:
+        marked = F.coalesce(F.col("text").startswith(TEACHING_MARK), F.lit(False))
+        all_marked = rows.agg(F.coalesce(F.bool_and(marked), F.lit(False)).alias("sound"))  # one row
+        out = out.join(F.broadcast(all_marked.withColumn("sound", F.col("sound") & F.lit(synthetic))), how="cross")
+        authority = F.when(F.col("sound"), "authored-teaching-only").otherwise("unverified-teaching-claim")
+    else:
+        out = out.withColumn("sound", F.lit(False))
+        authority = F.lit("user-declared")
+    eligible = F.when(~F.col("can_compare"), "not-eligible").when(F.col("sound"), "teaching-inspection-only").otherwise("experimental-text-comparison-only")
+    return out.select(
+        "*", F.when(F.col("sound"), "verified").otherwise("unverified").alias("status"), authority.alias("authority"), eligible.alias("eligibility"),
+        F.lit("none").alias("scholarly_approval"),
+    )
+
+
+def attributions(sources: DataFrame) -> DataFrame:
+    """Sources (author, translator, publisher, edition) with what each says: recorded but unchecked, or unknown."""
+    author = F.coalesce(F.nullif(T.known_attribution(F.col("author")), F.lit("")), F.nullif(T.known_attribution(F.col("translator")), F.lit("")))
+    known = {"author": author} | {c: F.nullif(T.known_attribution(F.col(c)), F.lit("")) for c in ("publisher", "edition")}
+    rest = [c for c in sources.columns if c not in ("author", "translator", "publisher", "edition")]
+    status = [F.when(v.isNotNull(), "recorded-unchecked").otherwise("unknown").alias(f"{c}_status") for c, v in known.items()]
+    return sources.select(*rest, *[v.alias(c) for c, v in known.items()], *status)
+
+
 # --- manifest and history ---------------------------------------------------------------------
 
 
@@ -236,28 +301,38 @@ def history(first: DataFrame, second: DataFrame, by: list[str], limit: int = HIS
 
 
 def best_entry(questions: DataFrame, entries: DataFrame, step: int = 1) -> DataFrame:
-    """The entry of each question: entries (entry, place, boundary, keyword, steps), questions (question_id, text).
+    """The entry of each question: entries (entry, place, boundary, keyword, steps and optionally title), questions (question_id, text).
 
-    A phrase in the text scores 3, a word 1, exact or as the start of a word (a long one,
-    or with a short ending); an entry of the current step gets half a point more. Any
-    boundary entry that matches comes before all others; ties go to the first. The
-    entries are a fixed table and broadcast; only matching pairs survive the join.
+    A phrase in the text scores 3; a keyword of one word 1, if a stemmed word of the text is
+    its stem or begins with it (with a long stem, or with a short ending); a title equal to
+    the whole text 5. An entry of the current step gets half a point more. Any boundary
+    entry that matches comes before all others; ties go to the first. Words meet keywords by
+    their beginnings and phrases by what joins their first two words, so both are equi-joins.
     """
-    words = F.split(F.col("text_form"), " ")
-    asked = questions.withColumn("text_form", T.plain(F.regexp_replace(T.search_form(F.col("text")), r"[^\p{L}\p{N}\s]", " ")))
-    asked = asked.withColumn("words", words)
-    listed = entries.withColumn("keyword", T.plain(T.search_form(F.col("keyword"))))
-    k = F.col("keyword")
-    phrase = F.col("keyword").contains(" ")
-    near = F.exists("words", lambda w: (w == k) | (w.startswith(k) & ((F.length(k) >= 4) | (F.length(w) - F.length(k) <= 2))))
-    score = F.when(phrase, F.when(F.contains("text_form", k), 3)).when(near, 1)
-    hits = asked.join(F.broadcast(listed), (F.length("keyword") > 0) & score.isNotNull()).withColumn("score", score)
+    asked = questions.select("question_id", T.folded(F.col("text")).alias("form")).where("form <> ''")
+    listed = entries.select("entry", "place", "boundary", "steps", T.folded(F.col("keyword")).alias("keyword")).where("keyword <> ''").distinct()
+    words = asked.select("question_id", F.explode(F.array_distinct(F.transform(F.split("form", " "), T.stem))).alias("word"))
+    # every beginning that a keyword's stem may be: long ones, or those that leave a short ending
+    starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.when((n >= 4) | (F.length("word") - n <= 2), F.left("word", n)))
+    words = words.select("question_id", F.explode(F.array_compact(starts)).alias("stem")).distinct()
+    single = listed.where(~F.contains("keyword", F.lit(" "))).withColumn("stem", T.stem(F.col("keyword")))
+    hits = words.join(single, "stem").select("question_id", "entry", "place", "boundary", "steps", "keyword", F.lit(1).alias("points"))
+    # a phrase within a text has the end of its first word and the start of its second where two words meet
+    seam = lambda a, b: F.concat(F.right(a, F.lit(1)), F.lit(" "), F.left(b, F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("all") - 2), lambda i: seam(F.get("all", i), F.get("all", i + 1)))
+    seams = asked.withColumn("all", F.split("form", " ")).where(F.size("all") > 1).select("question_id", "form", F.explode(F.array_distinct(pairs)).alias("seam"))
+    phrases = listed.where(F.contains("keyword", F.lit(" "))).withColumn("parts", F.split("keyword", " "))
+    phrases = phrases.withColumn("seam", seam(F.get("parts", 0), F.get("parts", 1)))
+    found = seams.join(phrases, "seam").where(F.contains("form", F.col("keyword")))
+    hits = hits.unionByName(found.select("question_id", "entry", "place", "boundary", "steps", "keyword", F.lit(3).alias("points")))
+    if "title" in entries.columns:
+        titles = entries.select("entry", "place", "boundary", "steps", T.folded(F.col("title")).alias("form")).where("form <> ''").distinct()
+        titled = asked.join(titles, "form").select("question_id", "entry", "place", "boundary", "steps", F.lit("").alias("keyword"), F.lit(5).alias("points"))
+        hits = hits.unionByName(titled)
     scored = hits.groupBy("question_id", "entry", "place", "boundary").agg(
-        (F.sum("score") + F.when(F.max(F.array_contains("steps", step)), 0.5).otherwise(0.0)).alias("score")
+        (F.sum("points") + F.when(F.max(F.array_contains("steps", step)), 0.5).otherwise(0.0)).alias("score")
     )
     rank = F.struct(F.col("boundary").cast("int"), F.when(F.col("boundary"), 0.0).otherwise(F.col("score")), -F.col("place"))
     best = scored.groupBy("question_id").agg(F.max_by(F.struct("entry", "score"), rank).alias("best"))
     out = questions.join(best, "question_id", "left")
     return out.select("question_id", F.coalesce("best.entry", F.lit("fallback")).alias("entry"), F.col("best").isNotNull().alias("matched"))
-
-

@@ -125,6 +125,31 @@ def missing(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None)
     return wanted.join(have, ["file_id", "grp", "ord"], "left_anti")
 
 
+def totals(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """One row over all keyed rows: coverage, gaps and their runs, copies and rows out of order.
+
+    One window by file tells the order; identifiers are counted within its partitioning,
+    and the gap before each is the step from the one before it in its group. Groups meet
+    the index once, for what is behind their last identifier and for those without rows.
+    """
+    flagged = in_order(rows).where("valid").select("file_id", "grp", "ord", F.coalesce(F.col("position") < F.col("previous.position"), F.lit(False)).alias("late"))
+    ids = flagged.groupBy("file_id", "grp", "ord").agg(F.count("*").alias("c"), F.count_if("late").alias("late"))
+    gap = F.col("ord") - F.coalesce(F.lag("ord").over(Window.partitionBy("file_id", "grp").orderBy("ord")), F.lit(0)) - 1
+    per_group = ids.withColumn("gap", gap).groupBy("file_id", "grp").agg(
+        F.sum("c").alias("rows"), F.count("*").alias("ids"), F.count_if(F.col("c") > 1).alias("doubled"), F.sum("late").alias("late"), F.sum("gap").alias("gaps"),
+        F.count_if(F.col("gap") > 0).alias("runs"), F.max("ord").alias("last"),
+    )
+    both = index.select("grp", "n").join(per_group, "grp", "left")
+    behind = F.col("n") - F.coalesce("last", F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = both.agg(
+        total("rows").alias("total_rows"), total("n").alias("expected_ids"), total("ids").alias("covered_ids"), (total("gaps") + total(behind)).alias("missing_ids"),
+        (total("runs") + F.count_if(behind > 0)).alias("missing_runs"), total("doubled").alias("duplicate_ids"), (total("rows") - total("ids")).alias("duplicate_rows"), total("late").alias("out_of_order_rows"),
+    )
+    percent = F.when(F.col("expected_ids") > 0, F.col("covered_ids") * 100 / F.col("expected_ids").cast("double")).otherwise(0.0)
+    return out.withColumn("coverage_percent", F.round(percent.cast("decimal(20,10)"), 2).cast("double"))
+
+
 def missing_in_groups(have: DataFrame, index: DataFrame) -> DataFrame:
     """Rows (grp, ord) of the index without a counterpart in ``have`` (grp, ord): one anti join."""
     return expected(index).select("grp", "ord").join(have.select("grp", "ord").distinct(), ["grp", "ord"], "left_anti")

@@ -66,17 +66,137 @@ def balanced(cases: DataFrame, reviewers: DataFrame, by: list[str]) -> DataFrame
     return cases.join(slots, [*by, "slot"])
 
 
-def by_group(cases: DataFrame, reviewers: list[tuple[str, int]], holders: dict[int, str]) -> dict[int, str]:
-    """A reviewer for each group: the largest first, to its holder or else the least loaded. Groups are few: one row each."""
-    load = dict(reviewers)
-    groups = cases.groupBy("grp").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "grp").collect()
-    out = {}
-    for g in groups:
-        held = holders.get(g["grp"]) if g["grp"] else None
-        who = held if held in load else min(load, key=load.get)
-        out[g["grp"]] = who
-        load[who] += g["n"]
-    return out
+def by_group(cases: DataFrame, reviewers: DataFrame, holders: DataFrame, most_groups: int = 100_000) -> DataFrame:
+    """A reviewer (grp, reviewer_id, cases) for each group of cases: the largest first, to its holder or else the least loaded.
+
+    ``reviewers`` are (reviewer_id, place, load), ``holders`` (grp, reviewer_id). Whom a group
+    goes to depends on all before it, so the fold is one list over the groups' sizes, a
+    number for each; more than ``most_groups`` of them raise an error. Group 0, which stands
+    for none, has no holder.
+    """
+    sizes = cases.groupBy("grp").agg(F.count("*").alias("n"))
+    if sizes.limit(most_groups + 1).count() > most_groups:
+        raise ValueError(f"more than {most_groups} groups")
+    held = holders.where("grp <> 0").join(reviewers.select("reviewer_id", "place"), "reviewer_id").groupBy("grp").agg(F.min("place").alias("held"))
+    listed = sizes.join(held, "grp", "left").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("least"), "grp", "held"))).alias("groups"))
+    crew = reviewers.agg(F.array_sort(F.collect_list(F.struct("place", "reviewer_id", "load"))).alias("crew"))
+    start = F.struct(F.transform("crew", lambda r: r["load"].cast("long")).alias("load"), F.array().cast("array<struct<grp: long, at: int, n: long>>").alias("given"))
+
+    def step(acc: Column, g: Column) -> Column:
+        lightest = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
+        mine = F.array_position(F.transform("crew", lambda r: r["place"]), g["held"]).cast("int") - 1
+        at = F.when(g["held"].isNotNull(), mine).otherwise(lightest)
+        load = F.transform(acc["load"], lambda x, i: F.when(i == at, x - g["least"]).otherwise(x))
+        given = F.array_append(acc["given"], F.struct(g["grp"].cast("long").alias("grp"), at.alias("at"), (-g["least"]).cast("long").alias("n")))
+        return F.struct(load.alias("load"), given.alias("given"))
+
+    both = listed.join(crew, how="cross")  # one row each
+    out = both.select("crew", F.explode(F.aggregate("groups", start, step)["given"]).alias("g"))
+    return out.select("g.grp", F.get("crew", F.col("g.at"))["reviewer_id"].alias("reviewer_id"), F.col("g.n").alias("cases"))
+
+
+def assigned(record: DataFrame, members: DataFrame) -> DataFrame:
+    """Manual assignments (fingerprint, stage, reviewer_id, to) with their outcome: moved, freed, or why not.
+
+    A case that waits for a verdict or has one doesn't move; one that came back keeps that
+    stage if it stays with its reviewer.
+    """
+    active = members.where(~F.col("removed") & (F.col("role") == "reviewer")).select(F.col("member_id").alias("to"), F.lit(True).alias("known"))
+    out = record.join(active, "to", "left")
+    locked = F.coalesce(F.col("stage").isin("submitted", "approved"), F.lit(False))
+    outcome = F.when(locked, "locked").when(F.col("to").isNull(), "freed").when(F.col("known").isNull(), "not_reviewer").otherwise("moved")
+    stays = (F.col("stage") == "returned") & F.col("reviewer_id").eqNullSafe(F.col("to"))
+    stage = F.when(outcome == "freed", "unassigned").when(outcome == "moved", F.when(stays, "returned").otherwise("assigned")).otherwise(F.col("stage"))
+    return out.withColumn("outcome", outcome).withColumn("new_stage", stage).drop("known")
+
+
+def membership(requests: DataFrame, members: DataFrame, most: int = 60) -> DataFrame:
+    """Requests (request, action, member_id, name, role, supervisor_id) to change the team, with their outcome against the members as they are.
+
+    Names are cleaned; a reviewer's supervisor must be an active one or the manager; a
+    supervisor with active reviewers can't be removed.
+    """
+    active = members.where(~F.col("removed"))
+    chiefs = active.where("role = 'supervisor'").select(F.col("member_id").alias("supervisor_id"), F.lit(True).alias("chief"))
+    busy = active.where("role = 'reviewer'").groupBy(F.col("supervisor_id").alias("member_id")).agg(F.count("*").alias("team"))
+    here = active.select("member_id", F.lit(True).alias("here"), F.col("role").alias("is"))
+    names = active.select(F.lower("name").alias("low"), F.lit(True).alias("taken")).distinct()
+    total = active.agg(F.count("*").alias("total"))
+    out = requests.withColumn("name", T.clean_name(F.col("name"))).withColumn("low", F.lower("name"))
+    out = out.join(chiefs, "supervisor_id", "left").join(busy, "member_id", "left").join(here, "member_id", "left").join(names, "low", "left")
+    out = out.join(F.broadcast(total), how="cross")  # one row
+    add = (
+        F.when(F.col("name") == "", "name").when(~F.coalesce(F.col("role").isin("reviewer", "supervisor"), F.lit(False)), "role").when(F.col("taken"), "duplicate_name")
+        .when(F.col("total") >= most, "too_many").when((F.col("role") == "reviewer") & (F.col("supervisor_id") != MANAGER) & F.col("chief").isNull(), "no_supervisor").otherwise("added")
+    )
+    remove = F.when(F.col("here").isNull(), "not_found").when((F.col("is") == "supervisor") & (F.coalesce("team", F.lit(0)) > 0), "has_reviewers").otherwise("removed")
+    return out.withColumn("outcome", F.when(F.col("action") == "add", add).otherwise(remove)).drop("low", "chief", "team", "here", "is", "taken", "total")
+
+
+def task_items(records: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (member_id, fingerprint, stage, reviewer_id, grp, note) of each active member's task: own cases, a supervisor's team's.
+
+    A reviewer's items tell a verdict's note only where the case came back; texts and
+    decisions stay behind. Members without cases have no task.
+    """
+    active = members.where(~F.col("removed"))
+    own = active.where("role = 'reviewer'").select("member_id", F.col("member_id").alias("reviewer_id"), F.lit(True).alias("own"))
+    team = active.where("role = 'reviewer' AND supervisor_id IS NOT NULL").select(F.col("supervisor_id").alias("member_id"), F.col("member_id").alias("reviewer_id"), F.lit(False).alias("own"))
+    team = team.join(active.where("role = 'supervisor'").select("member_id"), "member_id", "left_semi")
+    note = F.when(~F.col("own") | (F.col("stage") == "returned"), F.col("verdict_note"))
+    return own.unionByName(team).join(records, "reviewer_id").select("member_id", "fingerprint", "stage", "reviewer_id", "grp", note.alias("note"))
+
+
+def review_items(records: DataFrame, members: DataFrame, supervisor: str) -> DataFrame:
+    """A supervisor's verdicts on the cases of the team, as they go to the manager."""
+    team = members.where(~F.col("removed") & (F.col("role") == "reviewer") & (F.col("supervisor_id") == supervisor)).select(F.col("member_id").alias("reviewer_id"))
+    fine = F.col("verdict").isin("approved", "returned") & (F.col("stage") == F.col("verdict"))
+    return records.where(fine).join(team, "reviewer_id", "left_semi").select("fingerprint", "reviewer_id", "decision", "note", "decided_at", "verdict", "verdict_note", "verdict_at")
+
+
+def merged_review(items: DataFrame, records: DataFrame, members: DataFrame, supervisor: str) -> DataFrame:
+    """A review's items with their outcome for the manager: accepted, skipped (an older verdict), or why not. Of a case's items the newest counts."""
+    active = members.where(~F.col("removed"))
+    team = active.where("role = 'reviewer'").select(F.col("member_id").alias("holder"), F.col("supervisor_id").alias("chief"), F.col("name").alias("reviewer_name"))
+    held = records.select("fingerprint", F.col("reviewer_id").alias("holder"), "severity", F.col("verdict_at").alias("known_at"))
+    out = latest(items.withColumn("arrival", F.lit(0)), ["fingerprint"]).drop("arrival").join(held, "fingerprint", "left").join(team, "holder", "left")
+    decision = F.coalesce(F.col("decision").isin("accept", "reject", "refer"), F.lit(False)) & (T.clean_note(F.col("note")) != "") & F.col("verdict_at").isNotNull()
+    problem = verdict_problem(F.col("decision"), F.col("verdict"), F.col("severity"), F.col("verdict_note"))
+    outcome = (
+        F.when(F.col("holder").isNull() | F.col("chief").isNull() | ~F.col("reviewer_id").eqNullSafe(F.col("holder")), "not_assigned")
+        .when(F.col("chief") != supervisor, "not_yours").when(~decision, "invalid_decision").when(problem.isNotNull(), problem)
+        .when(F.coalesce(F.col("known_at") > F.col("verdict_at"), F.lit(False)), "skipped").otherwise("accepted")
+    )
+    return out.withColumn("outcome", outcome).drop("chief", "known_at")
+
+
+def approved_decisions(records: DataFrame) -> DataFrame:
+    """The decisions that count: those with a supervisor's approval, with who decided and approved."""
+    fine = (F.col("stage") == "approved") & F.col("decision").isin("accept", "reject", "refer")
+    return records.where(fine).select("fingerprint", "decision", "note", F.col("decided_at").alias("saved_at"), "reviewer_name", F.col("verdict_by").alias("approved_by"), F.col("verdict_at").alias("approved_at"))
+
+
+def exported(records: DataFrame, members: DataFrame) -> DataFrame:
+    """What a report tells of each case's review, without texts: stage, names, decision, notes; never a permission to publish."""
+    names = members.select(F.col("member_id").alias("reviewer_id"), F.col("name").alias("known_name"))
+    return records.join(names, "reviewer_id", "left").select(
+        "fingerprint", "stage", F.coalesce("reviewer_name", "known_name").alias("reviewer_name"), "decision", "note", F.col("verdict_by").alias("verdict_by_name"),
+        "verdict_note", "verdict_at", F.lit(False).alias("publication_authorized"), F.lit(False).alias("certificate"),
+    )
+
+
+WORKSPACE = "schema string, runKey string, projectId string, role string, members array<struct<id: string, role: string>>, records map<string, struct<stage: string, reviewerId: string>>"
+
+
+def restored(stores: DataFrame, run_key: str, schema: str, most: int = 4 << 20) -> DataFrame:
+    """Rows (store, fingerprint, stage, reviewer_id) of stored workspaces (store, raw) that are well-formed and of this run; others give none."""
+    known = stores.where(F.length("raw") <= most).withColumn("w", F.from_json("raw", WORKSPACE))
+    fine = (
+        (F.col("w.schema") == schema) & (F.col("w.runKey") == run_key) & F.col("w.projectId").rlike("^[A-Za-z0-9-]{8,64}$")
+        & F.col("w.role").isin("manager", "supervisor", "reviewer") & F.col("w.members").isNotNull() & F.col("w.records").isNotNull()
+    )
+    rows = known.where(fine).select("store", F.explode("w.records").alias("fingerprint", "r"))
+    return rows.select("store", "fingerprint", "r.stage", F.col("r.reviewerId").alias("reviewer_id"))
 
 
 def submissions(items: DataFrame, records: DataFrame, members: DataFrame, supervisor: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import review_queries, structure_queries
+from . import record_queries, review_queries, structure_queries
 
-QUERIES = structure_queries.QUERIES | review_queries.QUERIES
-SQL = structure_queries.SQL | review_queries.SQL
+QUERIES = structure_queries.QUERIES | review_queries.QUERIES | record_queries.QUERIES
+SQL = structure_queries.SQL | review_queries.SQL | record_queries.SQL

@@ -70,12 +70,6 @@ def revision_coverage(spark, d):
     return parts[0].unionByName(parts[1]).select("side", "read_rows", "observed_ids", "unobserved_ids")
 
 
-@query("SELECT * FROM (VALUES (2::BIGINT, 5::BIGINT, 'overlapping'), (3, 5, 'invalid'), (0, 1, 'invalid')) AS t(grp, first, reason)")
-def scope_intervals(spark, d):
-    rows = spark.createDataFrame([(1, 1, 3), (1, 4, 9), (2, 1, 6), (2, 5, 8), (3, 5, 2), (0, 1, 2)], "grp long, first long, last long")
-    return revision.scope_problem(rows).select("grp", "first", "reason")
-
-
 @query(_REV + """ SELECT status, reason AS stale_reason, count(*)::BIGINT AS decisions FROM (
     SELECT CASE WHEN b.ord = 1 THEN 'stale' WHEN r.state = 'identical_raw' THEN 'active' ELSE 'stale' END AS status,
       CASE WHEN b.ord = 1 THEN 'missing_record' WHEN r.state = 'identical_raw' THEN NULL ELSE 'evidence_changed' END AS reason
@@ -90,32 +84,6 @@ def reconcile_decisions(spark, d):
     return revision.reconcile(decided, now, "ctx").groupBy("status", "stale_reason").agg(F.count("*").alias("decisions"))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_full_match(url, 'https://[^/]+(/[^?#\s]*)') THEN regexp_extract(url, '^https://[^/]+(/[^?#\s]*)$', 1) END AS path FROM pages""")
-def official_urls(spark, d):
-    pages = table(spark, d, "pages")
-    host = F.regexp_extract("url", "^https://([^/]+)/", 1)
-    pattern = r"^https://[^/]+(/[^?#\s]*)$"
-    return pages.select("page_id", F.when(F.col("url").rlike(pattern) & (host != ""), F.regexp_extract("url", pattern, 1)).alias("path"))
-
-
-@query("""SELECT * FROM (VALUES (1, ''), (2, 'reference_id_duplicate'), (3, 'reference_id_duplicate'), (4, 'normalized_hash_mismatch'), (5, 'reference_source_url_invalid,reference_retrieval_time_invalid'),
-  (6, 'reference_id_invalid,reference_locator_mismatch'), (7, 'reference_row_not_verified,reference_text_empty')) AS t(row_number, failures)""")
-def provenance_checks(spark, d):
-    rows = []
-    for n, (g, o, text) in enumerate([(1, 1, "one"), (1, 2, "two"), (1, 2, "two"), (1, 3, "three"), (1, 4, "four"), (9, 1, "nine"), (1, 5, "")], 1):
-        rows.append(("f", n - 1, n, str(g), str(o), text, 7, f"{g}:{o}", f"https://api.example.org/v1/translation/7/{g}/{o}", "2026-01-02T03:04:05Z", "verified", "api", None, "a" * 64))
-    columns = "file_id string, input_index long, row_number long, group_raw string, ordinal_raw string, text string, book int, locator string, source_url string, retrieved_at string, verification_status string, source_kind string, normalized_sha256 string, raw_sha256 string"
-    frame = spark.createDataFrame(rows, columns).withColumn("normalized_sha256", F.sha2("text", 256))
-    n = F.col("row_number")
-    frame = frame.withColumn("normalized_sha256", F.when(n == 4, F.sha2(F.lit("x"), 256)).otherwise(F.col("normalized_sha256")))
-    frame = frame.withColumn("source_url", F.when(n == 5, "https://other.example.org/v1/translation/7/1/4").otherwise(F.col("source_url")))
-    frame = frame.withColumn("retrieved_at", F.when(n == 5, "2026-13-40T00:00:00Z").otherwise(F.col("retrieved_at")))
-    frame = frame.withColumn("verification_status", F.when(n == 7, "unverified").otherwise(F.col("verification_status")))
-    sizes = index.numbering(spark.createDataFrame([(1, 7)], "grp long, n long"))
-    out = review.retrieved_rows_checked(structure.keyed(frame, sizes), "api.example.org", 7, "api", True)
-    return out.select(F.col("row_number").cast("int").alias("row_number"), F.array_join("failures", ",").alias("failures"))
-
-
 def _case_events(spark, d):
     """Events as decisions on cases: a user is a case, an event's type what was decided."""
     decision = F.when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "click", "reject").when(F.col("event_type") == "signup", "refer")
@@ -261,15 +229,6 @@ def assign_balanced(spark, d):
     return _assigned(spark, d).select("case_id", "reviewer_id")
 
 
-@query("""WITH c AS (SELECT c_nationkey AS nation, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), r AS (SELECT s_nationkey AS nation, count(*) AS many FROM supplier GROUP BY 1)
-  SELECT nation, n::BIGINT AS total, many::BIGINT AS reviewers, least(many, n)::BIGINT AS busy FROM c JOIN r USING (nation)""")
-def team_rollup(spark, d):
-    own = _assigned(spark, d).groupBy("nation", "reviewer_id").agg(F.count("*").alias("n"))
-    busy = own.groupBy("nation").agg(F.sum("n").alias("total"), F.count("*").alias("busy"))
-    many = _team(spark, d).groupBy("nation").agg(F.count("*").alias("reviewers"))
-    return busy.join(many, "nation").select("nation", "total", "reviewers", "busy")
-
-
 @query("""WITH s AS (SELECT 'm' || s_suppkey AS reviewer_id FROM supplier WHERE s_nationkey = 3) SELECT l_orderkey AS case_id, count(*)::BIGINT AS records FROM lineitem JOIN s ON 'm' || l_suppkey = reviewer_id GROUP BY 1""")
 def visible_cases(spark, d):
     records = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("reviewer_id"))
@@ -285,20 +244,6 @@ def last_write_wins_verdicts(spark, d):
     return team.latest(rows, ["user_id"]).select("user_id", "verdict")
 
 
-@query("""SELECT * FROM (VALUES (1, 'accepted'), (2, 'skipped'), (3, 'not_assigned'), (4, 'invalid_decision'), (5, 'not_yours'), (6, 'not_reviewer')) AS t(case_no, outcome)""")
-def submission_outcomes(spark, d):
-    t = "2026-01-0{}T00:00:00Z".format
-    items = [(1, "f1", "r1", "accept", "ok", t(2)), (2, "f2", "r1", "accept", "ok", t(1)), (3, "f3", "r1", "accept", "ok", t(2)), (4, "f4", "r1", "accept", " ", t(2)), (5, "f5", "r2", "accept", "ok", t(2)), (6, "f6", "zz", "accept", "ok", t(2))]
-    records = [("f1", "r1", "assigned", None), ("f2", "r1", "submitted", t(1)), ("f3", "r2", "assigned", None), ("f4", "r1", "assigned", None), ("f5", "r2", "assigned", None)]
-    members = [("r1", "One", "reviewer", "s1", False), ("r2", "Two", "reviewer", "s2", False), ("s1", "Sup", "supervisor", None, False)]
-    out = team.submissions(
-        spark.createDataFrame(items, "case_no int, fingerprint string, reviewer_id string, decision string, note string, created_at string"),
-        spark.createDataFrame(records, "fingerprint string, reviewer_id string, stage string, submitted_at string"),
-        spark.createDataFrame(members, "member_id string, name string, role string, supervisor_id string, removed boolean"), "s1",
-    )
-    return out.select("case_no", "outcome")
-
-
 @query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
   '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<iframe\b[^>]*>.*?</iframe\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''),
   '&nbsp;', ' '), '&ndash;', '–'), '&mdash;', '—'), '&hellip;', '…'), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_md5 FROM pages WHERE html IS NOT NULL""")
@@ -306,36 +251,6 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").where("html IS NOT NULL").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("text_md5"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Body'), (2, 'Body'), (3, 'Body'), (4, '2.5 units'), (5, '4. Body'), (6, 'Body')) AS t(case_id, text)")
-def strip_prefix(spark, d):
-    rows = [(1, "(1:2) Body"), (2, "[1:2] Body"), (3, "2. Body"), (4, "2.5 units"), (5, "4. Body"), (6, "(2) Body")]
-    frame = spark.createDataFrame(rows, "case_id int, body string")
-    return frame.select("case_id", T.without_number_prefix(F.col("body"), F.lit(1), F.lit(2)).alias("text"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'See 10^5 here', 1, ''), (2, 'Text', 1, 'a note'), (3, '3.', 0, '')) AS t(case_id, text, anchors_removed, notes)""")
-def numbered_bodies(spark, d):
-    from ..functions.udfs import numbered_body
-    from .shipping import ship
-
-    ship(spark)
-    rows = [(1, "(1:3) See 10<sup>5</sup> here<sup>1</sup>"), (2, "3. Text<sup>1</sup><div class='footnotes'>a note</div>"), (3, "3.")]
-    frame = spark.createDataFrame(rows, "case_id int, html string").withColumn("b", numbered_body("html", F.lit(1), F.lit(3)))
-    return frame.select("case_id", "b.text", "b.anchors_removed", F.array_join("b.notes", "|").alias("notes"))
-
-
-@query("""SELECT * FROM (VALUES (1, '"''=1+1"'), (2, '"plain"'), (3, '"say ""x""' || '"'), (4, '"''-5"'), (5, '""'), (6, '"''  @x"')) AS t(case_id, cell)""")
-def csv_safe_cells(spark, d):
-    rows = [(1, "=1+1"), (2, "plain"), (3, 'say "x"'), (4, "-5"), (5, None), (6, "  @x")]
-    return spark.createDataFrame(rows, "case_id int, value string").select("case_id", T.csv_cell(F.col("value")).alias("cell"))
-
-
-@query("SELECT * FROM (VALUES (1, 'bidi_control=U+202E:2;zero_width=U+200B:1'), (2, ''), (3, 'control_char=U+0007:1')) AS t(case_id, flags)")
-def hidden_control_flags(spark, d):
-    rows = [(1, "a‮b​c‮"), (2, "clean"), (3, "bell\x07")]
-    return spark.createDataFrame(rows, "case_id int, value string").select("case_id", T.hidden_control_flags(F.col("value")).alias("flags"))
-
-
 @query("""WITH k AS (SELECT l_orderkey AS grp, l_linenumber AS ord, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1), r AS (SELECT l_orderkey AS grp, l_linenumber AS ord, l_returnflag AS text,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber) AS rn FROM lineitem)
   SELECT grp AS file_id, string_agg(rn::VARCHAR, ';' ORDER BY rn) AS row_numbers, string_agg(text, ' ‖ ' ORDER BY rn) AS candidate_text FROM k JOIN r USING (grp, ord) GROUP BY grp, ord""")
@@ -371,12 +286,6 @@ def delimited_round_trip(spark, d):
     return rows.select(F.regexp_extract("file_id", "^([0-9]+)", 1).cast("long").alias("conv_id"), "ordinal_raw", "text")
 
 
-@query("""SELECT * FROM (VALUES ('a.csv', 'quote_in_bare_cell'), ('b.csv', 'columns_not_recognised'), ('c.xml', 'entities_refused'), ('d.xlsx', 'not_an_archive'), ('e.csv', 'ragged_row'), ('f.txt', 'not_utf8')) AS t(file_id, error)""")
-def refused_files(spark, d):
-    bad = [("a.csv", b'a,b"c\n'), ("b.csv", b"x,y\n1,2\n"), ("c.xml", b"<!DOCTYPE x><x/>"), ("d.xlsx", b"nope"), ("e.csv", b"chapter,verse,text\n1,1\n"), ("f.txt", b"\xff\xfe\x00")]
-    return files.parse_files(spark.createDataFrame([(n, bytearray(c)) for n, c in bad], "path string, content binary")).select("file_id", "error")
-
-
 _MSG = """WITH RECURSIVE m AS (SELECT user_id, ts, kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, kind) AS n FROM (
     SELECT user_id, ts, CASE event_type WHEN 'signup' THEN 'assign' WHEN 'click' THEN 'submit' WHEN 'purchase' THEN 'approve' ELSE 'return' END AS kind FROM events)),
   f AS (SELECT user_id, 0::BIGINT AS n, 'unassigned' AS stage, NULL::TIMESTAMP AS tm, 0::BIGINT AS applied, 0::BIGINT AS refused FROM (SELECT DISTINCT user_id FROM m)
@@ -433,7 +342,3 @@ def stream_chunk_append(spark, d):
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'memory'), ('b', 'network'), ('c', 'corrupt_model'), ('d', 'unknown'), ('e', 'integrity'), ('f', 'server'), ('g', 'runtime')) AS t(run, kind)")
-def model_errors(spark, d):
-    rows = [("a", "RangeError: Array buffer allocation failed"), ("b", "TypeError: Failed to fetch"), ("c", "INVALID_PROTOBUF: parsing failed"), ("d", "odd"), ("e", "WeightIntegrityError: hash"), ("f", "502 Bad gateway"), ("g", "no wasm here")]
-    return spark.createDataFrame(rows, "run string, message string").select("run", T.model_error(F.col("message")).alias("kind"))

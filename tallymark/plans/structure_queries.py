@@ -41,19 +41,6 @@ def expected_ids(spark, d):
     return index.expected(index.numbering(order_sizes(spark, d))).groupBy("grp").agg(F.count("*").alias("ids"))
 
 
-@query("""SELECT * FROM (VALUES ('7', 7::BIGINT), ('٧', 7), (' ۱۲ ', 12), ('007', 7), ('1.5', NULL), ('-3', NULL), ('', NULL), ('abc', NULL),
-  ('9007199254740991', 9007199254740991), ('9007199254740992', NULL), ('99999999999999999999', NULL)) AS t(raw, value)""")
-def strict_integer_ids(spark, d):
-    raw = ["7", "٧", " ۱۲ ", "007", "1.5", "-3", "", "abc", "9007199254740991", "9007199254740992", "99999999999999999999"]
-    return spark.createDataFrame([(x,) for x in raw], "raw string").select("raw", T.strict_integer(F.col("raw")).alias("value"))
-
-
-@query("SELECT * FROM (VALUES ('3-5', 3::BIGINT, 5::BIGINT), ('٣ – ٥', 3, 5), ('3—5', 3, 5), ('3', NULL, NULL), ('a-b', NULL, NULL)) AS t(raw, first, last)")
-def merged_ranges(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("3-5", "٣ – ٥", "3—5", "3", "a-b")], "raw string").withColumn("r", T.merged_range(F.col("raw")))
-    return rows.select("raw", "r.first", "r.last")
-
-
 @query("""SELECT l_orderkey AS grp, count(*)::BIGINT AS invalid_rows FROM lineitem
   LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL OR l_linenumber > 4 GROUP BY 1""")
 def invalid_ids(spark, d):
@@ -78,12 +65,6 @@ def duplicate_groups(spark, d):
     return structure.duplicates(rows).select("grp", "ord", "occurrences", "conflicting_text")
 
 
-@query("SELECT min(doc_id) AS first_id, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1")
-def exact_copies(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("sha"))
-    return docs.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("first_id", "copies")
-
-
 _MISSING = f"""{_INDEX}, gone AS (SELECT grp, ord FROM (SELECT grp, unnest(range(1, n + 1)) AS ord FROM idx)
   ANTI JOIN (SELECT DISTINCT l_orderkey AS grp, l_linenumber::BIGINT AS ord FROM lineitem) USING (grp, ord)),
   runs AS (SELECT grp, min(ord) AS first, max(ord) AS last, count(*) AS size FROM
@@ -116,18 +97,7 @@ def out_of_order(spark, d):
 def structural_summary(spark, d):
     """The flagship: coverage, gaps, copies and order of a numbered file in one row."""
     sizes = index.numbering(order_sizes(spark, d))
-    rows = structure.keyed(lines_as_rows(spark, d), sizes)
-    ids = rows.where("valid").groupBy("grp", "ord").agg(F.count("*").alias("c"))
-    one = ids.agg(
-        F.sum("c").alias("total_rows"), F.count("*").alias("covered_ids"), F.count_if(F.col("c") > 1).alias("duplicate_ids"), F.sum(F.col("c") - 1).alias("duplicate_rows")
-    )
-    wanted = sizes.agg(F.sum("n").alias("expected_ids"))
-    runs = structure.ranges(structure.missing_in_groups(ids, sizes), ["grp"])
-    gaps = runs.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("missing_ids"), F.count("*").alias("missing_runs"))
-    order = structure.out_of_order(rows).agg(F.count("*").alias("out_of_order_rows"))
-    out = one.join(wanted, how="cross").join(gaps, how="cross").join(order, how="cross")  # one row each
-    percent = F.round((F.col("covered_ids") * 100 / F.col("expected_ids").cast("double")).cast("decimal(20,10)"), 2).cast("double")
-    return out.withColumn("coverage_percent", percent)
+    return structure.totals(structure.keyed(lines_as_rows(spark, d), sizes), sizes)
 
 
 _GATE = """WITH ref AS (SELECT l_orderkey AS grp, count(*) AS refs FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
@@ -209,27 +179,12 @@ def hygiene_markup(spark, d):
     return pages.where("i.kind = 'markup'").select("page_id", F.col("i.count").alias("matches"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'markup', 2, '<b>|</b>'), (2, 'hidden_controls', 1, 'U+200B'), (3, 'directional_marks', 1, 'U+200E'),
-  (4, 'foreign_script', 1, 'Arabic script'), (5, 'mixed_script_word', 1, 'U+0430'), (6, 'markup', 1, '&nbsp;')) AS t(case_id, kind, count, examples)""")
-def hygiene_kinds(spark, d):
-    cases = [(1, "<b>x</b>", "en"), (2, "a​b", "en"), (3, "a‎b", "en"), (4, "see سلام here", "en"), (5, "pаy", "en"), (6, "a&nbsp;b", "ar"), (7, "سلام‎", "ar"), (8, "clean", "en"), (9, None, "en")]
-    rows = spark.createDataFrame(cases, "case_id int, text string, lang string")
-    rows = rows.select("case_id", F.explode(T.hygiene(F.col("text"), F.col("lang"))).alias("i"))
-    return rows.select("case_id", "i.kind", "i.count", F.array_join("i.examples", "|").alias("examples"))
-
-
 @query("SELECT lang, count(*)::BIGINT AS rows, lang NOT IN ('en', 'ar') AS abstains FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def language_gate(spark, d):
     docs = table(spark, d, "documents").where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("rows"))
     return docs.withColumn("abstains", ~T.language_base(F.col("lang")).isin("en", "ar"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)*'))::INTEGER AS numbers FROM documents WHERE regexp_matches(text, '[0-9]')")
-def digit_quantities(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike("[0-9]"))
-    return docs.select("doc_id", F.regexp_count("text", F.lit(r"[0-9]+(?:[.][0-9]+)*")).alias("numbers"))
-
-
 @query(r"""SELECT lang, count(*)::BIGINT AS rows, sum(len(regexp_extract_all(text, '\p{L}')))::BIGINT AS letters,
   sum(len(regexp_extract_all(text, '\p{L}')) - len(regexp_extract_all(regexp_replace(text, '[^\p{L}]', '', 'g'), '\p{Latin}')))::BIGINT AS outside FROM documents WHERE text IS NOT NULL GROUP BY lang""")
 def script_gate(spark, d):
@@ -238,82 +193,50 @@ def script_gate(spark, d):
 
 
 # Fixed expectations of the readings: two texts, a language, the state and the reasons.
-READINGS = [
-    (1, "There are 5 men", "There are 7 men", "en", "difference", ""),
-    (2, "1000 m long", "1 km long", "en", "equivalent", ""),
-    (3, "twenty-one days", "21 days", "en", "equivalent", ""),
-    (4, "three hundred and five", "305 in all", "en", "equivalent", ""),
-    (5, "a hundred men", "100 men", "en", "equivalent", ""),
-    (6, "about 5 kg", "6 kg", "en", "abstain", "approximate_quantity_not_exact"),
-    (7, "at least 5", "5", "en", "abstain", "bounded_quantity_not_exact"),
-    (8, "1,000 men", "men", "en", "abstain", "western_comma_locale_ambiguous"),
-    (9, "5 Km", "5 km", "en", "abstain", "unit_symbol_case_ambiguous"),
-    (10, "ثلاثة رجال", "٣ رجال", "ar", "equivalent", ""),
-    (11, "half a day", "a day", "en", "abstain", "written_cardinal_composition_ambiguous"),
-    (12, "no number", "none here", "en", "none", ""),
-    (13, "5 pounds", "6 pounds", "en", "abstain", "unit_conversion_not_supported"),
-    (14, "1e5 men", "men", "en", "abstain", "scientific_notation_not_supported"),
-    (15, "3 men", "3 women", "en", "unchanged", ""),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{s}', '{r}')" for n, *_, s, r in READINGS) + ") AS t(case_id, state, reasons)")
-def numeric_inventory(spark, d):
-    from ..functions.udfs import quantity_review
-
-    ship(spark)
-    rows = spark.createDataFrame([r[:4] for r in READINGS], "case_id int, text string, other string, lang string")
-    rows = rows.withColumn("q", quantity_review("text", "other", "lang"))
-    return rows.select("case_id", "q.state", F.array_join(F.array_distinct("q.reasons.reason"), ",").alias("reasons"))
-
-
-QUALIFIED = [
-    (1, "all must go", "some must go", "en", "difference", ""),
-    (2, "it is not permitted", "it is forbidden", "en", "equivalent", ""),
-    (3, "May comes", "it comes", "en", "abstain", "capitalized_May_month_or_modality_ambiguous"),
-    (4, "not all go", "all go", "en", "abstain", "negated_marker_scope_not_supported"),
-    (5, "before noon", "after noon", "en", "difference", ""),
-    (6, "plain", "text", "en", "none", ""),
-    (7, "all", "some", "fr", "unsupported", ""),
-    (8, "same all", "same all", "en", "unchanged", ""),
-    (9, "in all", "no marker here", "en", "abstain", "idiomatic_all_not_supported"),
-    (10, "must have gone", "went", "en", "abstain", "epistemic_modal_construction_not_supported"),
-    (11, "every man", "each man", "en", "equivalent", ""),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{s}', '{r}')" for n, *_, s, r in QUALIFIED) + ") AS t(case_id, state, reasons)")
-def qualifier_inventory(spark, d):
-    from ..functions.udfs import qualifier_review
-
-    ship(spark)
-    rows = spark.createDataFrame([r[:4] for r in QUALIFIED], "case_id int, text string, other string, lang string")
-    rows = rows.withColumn("q", qualifier_review("text", "other", "lang"))
-    return rows.select("case_id", "q.state", F.array_join(F.array_distinct("q.reasons.reason"), ",").alias("reasons"))
+
+
+_SAID, _GIVEN = "There are 5 kg. It must be. ", "There are 5000 g. It may not be. "
 
 
 def _document_audit(spark, d):
-    """Documents against copies of themselves that say one thing more."""
+    """Documents, without their digits, against copies of themselves that say one thing more."""
     docs = table(spark, d, "documents").where("text IS NOT NULL")
+    body = F.regexp_replace("text", "[0-9]+", "")
     rows = docs.select(
         F.col("lang").alias("file_id"), F.col("doc_id").alias("input_index"), F.col("doc_id").alias("row_number"), (F.col("doc_id") + 1).cast("string").alias("group_raw"),
-        F.lit("1").alias("ordinal_raw"), F.concat(F.lit("There are 5 kg. It must be. "), "text").alias("text"),
+        F.lit("1").alias("ordinal_raw"), F.concat(F.lit(_SAID), body).alias("text"),
     )
-    reference = rows.withColumn("text", F.replace("text", F.lit("There are 5 kg. It must be. "), F.lit("There are 5000 g. It may not be. ")))
+    reference = rows.withColumn("text", F.replace("text", F.lit(_SAID), F.lit(_GIVEN)))
     sizes = index.numbering(docs.select((F.col("doc_id") + 1).alias("grp"), F.lit(1).alias("n")))
     return A.audit(rows, sizes, reference, complete=False, candidate_language="en", reference_language="en", verified=True)
 
 
-@query()
+def _values_sql(said: str) -> str:
+    return f"list_transform(regexp_extract_all('{said}' || body, '{_TOKEN}'), lambda w: replace(lower(w), '’', ''''))"
+
+
+_AUDITED = f"""WITH t AS (SELECT lang, regexp_replace(text, '[0-9]+', '', 'g') AS body FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT lang, {_values_sql(_SAID)} AS a, {_values_sql(_GIVEN)} AS b FROM t),
+  n AS (SELECT lang, len(list_filter(a, lambda x: list_contains({_NEG}, x))) AS ours, len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b)))::DOUBLE AS overlap FROM w),
+  s AS (SELECT lang AS file_id, CASE WHEN ours = 0 OR overlap < 0.65 THEN 'needs_review' ELSE 'abstain' END AS status, CASE WHEN ours = 0 THEN 'difference' ELSE 'abstain' END AS negation_state, overlap < 0.65 AS lexical FROM n)"""
+
+
+@query(_AUDITED + " SELECT file_id, status, 'equivalent' AS numeric, 'abstain' AS qualifier, negation_state, count(*)::BIGINT AS rows FROM s GROUP BY 1, 2, 5")
 def document_audit(spark, d):
     """The whole audit on documents: quantities agree after conversion, a negation and a modal do not."""
     rows = _document_audit(spark, d).rows
     return rows.groupBy("file_id", "status", F.col("numeric_review.state").alias("numeric"), F.col("qualifier_review.state").alias("qualifier"), "negation_state").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(_AUDITED + """ SELECT file_id, count(*)::BIGINT AS total_rows, count(*)::BIGINT AS valid_rows, count(*)::BIGINT AS covered_ids, count(*)::BIGINT AS compared_rows, count(*) FILTER (status = 'needs_review')::BIGINT AS needs_review_rows,
+  count(*) FILTER (status = 'abstain')::BIGINT AS abstain_rows, 0::BIGINT AS no_signal_rows, 0::BIGINT AS structural_findings, count(*) FILTER (negation_state = 'difference')::BIGINT AS n_potential_negation_change,
+  count(*) FILTER (negation_state = 'abstain')::BIGINT AS n_negation_comparison_abstain, count(*)::BIGINT AS n_qualifier_comparison_abstain, count(*) FILTER (lexical)::BIGINT AS n_lexical_difference,
+  (count(*) FILTER (negation_state = 'difference') + count(*) FILTER (lexical))::BIGINT AS comparison_findings, 0::BIGINT AS missing_ids, 100.0::DOUBLE AS coverage_percent, true AS structurally_complete, 'none' AS certification FROM s GROUP BY 1""")
 def audit_summary(spark, d):
-    return _document_audit(spark, d).summary
+    return _document_audit(spark, d).summary.select(
+        "file_id", "total_rows", "valid_rows", "covered_ids", "compared_rows", "needs_review_rows", "abstain_rows", "no_signal_rows", "structural_findings", "n_potential_negation_change",
+        "n_negation_comparison_abstain", "n_qualifier_comparison_abstain", "n_lexical_difference", "comparison_findings", "missing_ids", "coverage_percent", "structurally_complete", "certification",
+    )
 
 
 @query(f"""WITH {_INDEX}, {_ROWS}, c AS (SELECT grp, ord, row_number, count(*) OVER (PARTITION BY grp, ord) AS copies, lag(ord) OVER (PARTITION BY grp ORDER BY row_number) AS before FROM rows)

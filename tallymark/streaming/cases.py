@@ -83,22 +83,51 @@ def _folded(messages: DataFrame) -> DataFrame:
     return out.select("case_id", "s.stage", "s.at", "s.applied", "s.refused")
 
 
-def upsert(target: str, key: list[str], order: str):
-    """A foreachBatch function: a Parquet table of the latest row of each key, rewritten whole by each batch.
+def upsert(target: str, key: list[str], order: str, buckets: int = 64):
+    """A foreachBatch function: Parquet tables of the latest row of each key, one a bucket of keys; only buckets with news are rewritten.
 
-    Meant for small state tables; a batch that comes again changes nothing.
+    A bucket's versions are numbered by batch. A batch that comes again writes the same
+    version from the one before it; the versions that no batch can ask for again go. A
+    bucket whose earlier version can't be read raises an error, as its state would be lost.
     """
     from pyspark.sql import Window
-    from pyspark.sql.utils import AnalysisException
+
+    def versions(spark, bucket: int) -> tuple[object, list[int]]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={bucket}")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+        return store, sorted(int(n[1:]) for n in names if n[1:].isdigit())
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        placed = batch.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
         try:
-            current = spark.read.parquet(f"{target}/v{epoch - 1}") if epoch else None
-        except AnalysisException:
-            current = None
-        both = batch if current is None else current.unionByName(batch)
-        newest = Window.partitionBy(*key).orderBy(F.col(order).desc())
-        both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n").write.mode("overwrite").parquet(f"{target}/v{epoch}")
+            for row in placed.select("__bucket").distinct().collect():  # at most ``buckets``
+                number = row["__bucket"]
+                store, known = versions(spark, number)
+                before = [v for v in known if v < epoch]
+                news = placed.where(F.col("__bucket") == number).drop("__bucket")
+                if before:
+                    news = spark.read.parquet(f"{target}/bucket={number}/v{before[-1]}").unionByName(news)
+                newest = Window.partitionBy(*key).orderBy(F.col(order).desc())
+                latest = news.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+                latest.coalesce(1).write.mode("overwrite").parquet(f"{target}/bucket={number}/v{epoch}")
+                for old in before[:-1]:
+                    store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={number}/v{old}"), True)
+        finally:
+            placed.unpersist()
 
     return write
+
+
+def upserted(spark, target: str) -> DataFrame:
+    """The rows that ``upsert`` keeps: the newest version of each bucket."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for bucket in store.listStatus(path):
+        names = [s.getPath().getName() for s in store.listStatus(bucket.getPath())]
+        newest = max((int(n[1:]) for n in names if n[1:].isdigit()), default=None)
+        if newest is not None:
+            found.append(f"{bucket.getPath()}/v{newest}")
+    return spark.read.parquet(*found)

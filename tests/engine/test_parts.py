@@ -43,7 +43,11 @@ def test_balanced_deal_equals_one_after_the_other(spark, seed):
 
 def test_group_deal_keeps_groups_and_holders(spark):
     todo = spark.createDataFrame([(g,) for g in (1, 1, 1, 2, 2, 3, 0)], "grp long")
-    assert team.by_group(todo, [("a", 0), ("b", 0)], {3: "a"}) == {1: "a", 2: "b", 0: "b", 3: "a"}
+    crew = spark.createDataFrame([("a", 0, 0), ("b", 1, 0)], "reviewer_id string, place int, load long")
+    held = spark.createDataFrame([(3, "a"), (0, "b")], "grp long, reviewer_id string")
+    assert {r.grp: r.reviewer_id for r in team.by_group(todo, crew, held).collect()} == {1: "a", 2: "b", 0: "b", 3: "a"}
+    with pytest.raises(ValueError):
+        team.by_group(todo, crew, held, most_groups=2)
 
 
 def test_permissions_and_verdicts(spark):
