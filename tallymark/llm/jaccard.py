@@ -52,6 +52,8 @@ SHORT = 16
 HELD = 1 << 17
 #: Sets and shingles in a block of a large group.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Bits of the filter of texts that are candidates.
+FILTER_BITS = 24
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 22
 
@@ -408,25 +410,41 @@ def _tiles(batches: Iterator, percent: int) -> Iterator:
     yield out(nodes, sets)
 
 
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """Rows (node, group, n, data): the shingles of ``texts`` (node, group, text) as bytes."""
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """2**24 bits (2 MB), of which those of the wanted keys are set: what has an unset one isn't wanted."""
+    bit = F.pmod("key", F.lit(1 << FILTER_BITS)) + 1
+    rows = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8).reshape(-1, 4096)
+    for r in rows.collect():
+        out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Rows (node, group, n, data): the shingles of the wanted texts (doc_id, key, node, group) as bytes.
+
+    A filter of fixed size keeps nearly all others from being read and moved.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in sliced(batches):
+            bit = np.mod(batch.column(1).to_numpy(), 1 << FILTER_BITS)
+            batch = batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "group", "n", "data"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "data"])
 
-    return texts.select("node", "group", "text").mapInArrow(run, "node long, group long, n long, data binary")
+    found = docs.select("doc_id", _key(), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, key long, n long, data binary")
+    return found.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "group", "n", "data")
 
 
-def _searched(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within ``tiles`` (tile long, node), as a table."""
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiles.join(sets.select("node", "data"), "node").select("tile", "node", "data")
-    rows = rows.repartition(parts, "tile").sortWithinPartitions("tile")
+def _searched(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the tiles of ``rows`` (tile long, node, data), as a table."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("tile", "node", "data").repartition(parts, "tile").sortWithinPartitions("tile")
     return written(rows.mapInArrow(lambda it: _tiles(it, percent), "a long, b long"), "links")
 
 
@@ -444,14 +462,14 @@ def _own(seed: str) -> Column:
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (id, component) of the sets that link, by all links within the groups of ``sets`` or as many as connect the same."""
-    rows = sets.select("group", "node", "n")
-    blocks = written(_blocks(rows), "blocks")
-    placed = rows.join(blocks, "group")
-    links = _searched(placed.select(F.xxhash64("group", _own("block")).alias("tile"), "node"), sets, percent)
+    blocks = written(_blocks(sets.select("group", "n")).where("blocks > 1"), "blocks")
+    placed = sets.join(blocks, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    links = _searched(placed.withColumn("tile", F.xxhash64("group", _own("block"))), percent)
     kin = components(links)
-    if blocks.where("blocks > 1").isEmpty():
+    if blocks.isEmpty():
         return kin
-    large = placed.where("blocks > 1").select("group", "node", "n")
+    large = sets.select("group", "node", "n").join(blocks, "group", "left_semi")
+    data = sets.join(blocks, "group", "left_semi").select("node", "data")
 
     def named() -> DataFrame:
         own = kin.withColumnRenamed("id", "node")
@@ -467,7 +485,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
         if again.isEmpty():
             break
         turn += 1
-        found = _searched(heads.join(again, "group").select(F.xxhash64("group", _own(f"turn {turn}")).alias("tile"), "node"), sets, percent)
+        found = _searched(heads.join(again, "group").select(F.xxhash64("group", _own(f"turn {turn}")).alias("tile"), "node").join(data, "node"), percent)
         if found.isEmpty():
             break
         links = links.unionByName(found)
@@ -484,7 +502,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     every = now.join(counts, "group").withColumn("blocks", F.col("all_blocks")).withColumn("k", _own("all"))
     every = every.select("group", "node", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("o"), "k")
     tiles = mine.unionByName(every).select(F.xxhash64("group", "o", "k", F.lit("outside")).alias("tile"), "node").distinct()
-    return components(links.unionByName(_searched(tiles, sets, percent)))
+    return components(links.unionByName(_searched(tiles.join(data, "node"), percent)))
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -512,8 +530,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     group = components(pairs.unionByName(met.where("kind = 1").select("a", "b")))
     wanted = group.join(reps.select(F.col("node").alias("id"), F.col("least").alias("doc_id"), "key"), "id")
     wanted = written(wanted.select("doc_id", "key", F.col("id").alias("node"), F.col("component").alias("group")), "wanted")
-    texts = docs.select("doc_id", _key(), "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["node"])
-    linked = _linked(written(_sets(texts, words), "candidates"), percent)
+    linked = _linked(written(_sets(docs, wanted, words), "candidates"), percent)
     linked = reps.select(*same, "node", "least").join(linked, reps["node"] == F.col("id"), "left")
     linked = written(linked.select(*same, "least", F.coalesce("component", "node").alias("component")), "linked")
     smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
