@@ -17,23 +17,29 @@ from .structure import finding
 class Audit:
     """Rows with statuses, findings, and a summary row for each file, each planned when asked for.
 
-    Rows are persisted (memory, then disk) when first used, as the other two read them
-    too; ``unpersist`` frees them. Lost parts are computed again.
+    Rows alone are read once and kept nowhere. Findings and summary read them several times,
+    so they share a persisted form (memory, then disk), which ``unpersist`` frees; lost
+    parts are computed again.
     """
 
-    def __init__(self, rows: DataFrame, findings: Callable[[], DataFrame], summary: Callable[[DataFrame], DataFrame]):
+    def __init__(self, rows: DataFrame, findings: Callable[[DataFrame], DataFrame], summary: Callable[[DataFrame, DataFrame], DataFrame]):
         self.rows, self._findings, self._summary = rows, findings, summary
 
+    @cached_property
+    def _kept(self) -> DataFrame:
+        return self.rows.persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def findings(self) -> DataFrame:
-        return self._findings()
+        return self._findings(self._kept)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return self._summary(self.findings)
+        return self._summary(self._kept, self.findings)
 
     def unpersist(self) -> None:
-        self.rows.unpersist()
+        if "_kept" in self.__dict__:
+            self._kept.unpersist()
 
 
 def audit(
@@ -55,12 +61,13 @@ def audit(
     # the rules on texts are the work, and windows and joins leave small inputs in few tasks: deal rows out first
     gated = gated.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", "input_index")
     gated = structure.row_structure(gated, candidate_language)
-    done = compare.statuses(compare.row_comparison(compare.reviewed(gated, language), language)).persist(StorageLevel.MEMORY_AND_DISK)
-    def findings() -> DataFrame:
-        found = structure.row_findings(done).unionByName(structure.group_findings(ours, index, groups, complete))
-        return found.unionByName(_file_findings(done, theirs, language, verified))
+    done = compare.statuses(compare.row_comparison(compare.reviewed(gated, language), language))
+
+    def findings(kept: DataFrame) -> DataFrame:
+        found = structure.row_findings(kept).unionByName(structure.group_findings(ours, index, groups, complete))
+        return found.unionByName(_file_findings(kept, theirs, language, verified))
 
-    return Audit(done, findings, lambda found: summarise(done, found, index, groups, complete))
+    return Audit(done, findings, lambda kept, found: summarise(kept, found, index, groups, complete))
 
 
 def _file_findings(rows: DataFrame, reference: DataFrame, language: str, verified: bool) -> DataFrame:

@@ -7,11 +7,11 @@ are ambiguous and match nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .structure import CODES, RAISED, raised
+from .structure import CODES, RAISED, raised, with_copies
 
 OVERLAP = 0.65
 LEAST_TOKENS = 3
@@ -57,11 +57,11 @@ def gated(rows: DataFrame, reference: DataFrame, candidate_language: str = "", r
     ``verified`` says that the engine verified the source as a whole. The reasons, in
     order: the row's own identifier, scope and text, its copies, then the reference's.
     """
-    out = rows
-    if "copies" not in rows.columns:
-        copies = F.count("*").over(Window.partitionBy("file_id", "id"))
-        out = rows.withColumn("copies", F.when(F.col("valid"), copies).otherwise(0))
-    out = out.join(reference_by_id(reference), "id", "left")
+    out = rows if "copies" in rows.columns else with_copies(rows)
+    # rows without an identifier meet nothing: a key of their own spreads them
+    key = F.coalesce("id", F.concat(F.lit("#"), F.col("input_index").cast("string")))
+    known = reference_by_id(reference).withColumnRenamed("id", "__id")
+    out = out.withColumn("__id", key).join(known, "__id", "left").drop("__id")
     differ = bool(candidate_language and reference_language and candidate_language != reference_language)
     r = F.col("reference")
     row_verified = F.coalesce(r["verification_status"], F.lit("verified")) != "unverified"

@@ -1,8 +1,8 @@
 """The structural audit of numbered rows: identifiers, order, copies, gaps, character hygiene.
 
 Rows have file_id, input_index (their order in the file), row_number, group_raw,
-ordinal_raw, text and, from typed sources, raw_type. Order-dependent steps work per file;
-nothing needs a window over more than one file or identifier.
+ordinal_raw, text and, from typed sources, raw_type. Order-dependent steps work by strides
+of a file and over one row a stride; nothing needs a window over a whole file.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .index import expected, identifier
+from .index import STRIDE, expected, identifier
 
 # Codes with their type and severity, in the order in which they are raised.
 CODES = {
@@ -94,11 +94,9 @@ def merged_ranges(rows: DataFrame) -> DataFrame:
 
 def out_of_order(rows: DataFrame) -> DataFrame:
     """Valid rows whose position is below that of the valid row before them in their file."""
-    order = Window.partitionBy("file_id").orderBy("input_index")
-    valid = rows.where("valid")
-    before = valid.withColumn("previous_position", F.lag("position").over(order))
-    before = before.withColumn("previous_id", F.lag("id").over(order)).withColumn("previous_row", F.lag("row_number").over(order))
-    return before.where("position < previous_position")
+    late = in_order(rows).where(F.col("valid") & (F.col("position") < F.col("previous.position")))
+    told = {"previous_position": "position", "previous_id": "id", "previous_row": "row_number"}
+    return late.select(*rows.columns, *[F.col(f"previous.{c}").alias(name) for name, c in told.items()])
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
@@ -173,16 +171,37 @@ def raised(code: str, when: Column, **evidence: Column) -> Column:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Rows with the position, id and number of the valid row before them in their file: one window, no second scan."""
-    before = Window.partitionBy("file_id").orderBy("input_index").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("valid"), F.struct("position", "id", "row_number")), ignorenulls=True).over(before)
-    return rows.withColumn("previous", last)
+    """Rows with ``previous``: position, id and number of the valid row before them in their file.
+
+    It is looked for within a stride of the file first; what comes before a stride is the
+    last valid row of the strides before it, of which there is one row each. So no task
+    holds a whole file.
+    """
+    strided = rows.withColumn("__stride", F.floor(F.col("input_index") / STRIDE))
+    here = F.when(F.col("valid"), F.struct("position", "id", "row_number"))
+    before = Window.partitionBy("file_id", "__stride").orderBy("input_index").rowsBetween(Window.unboundedPreceding, -1)
+    ends = strided.groupBy("file_id", "__stride").agg(F.max_by(here, F.when(F.col("valid"), F.col("input_index"))).alias("__end"))
+    earlier = Window.partitionBy("file_id").orderBy("__stride").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file_id", "__stride", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    out = strided.withColumn("__within", F.last(here, ignorenulls=True).over(before)).join(carried, ["file_id", "__stride"], "left")
+    return out.select(*rows.columns, F.coalesce("__within", "__before").alias("previous"))
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Rows with ``copies``: how many valid rows of their file claim their identifier, 0 without one.
+
+    Counts are made before they are joined, and rows without an identifier are spread over
+    all tasks, so neither a hot identifier nor many invalid rows land in one.
+    """
+    claimed = rows.where("valid").groupBy("file_id", F.col("id").alias("__id")).agg(F.count("*").alias("copies"))
+    spread = rows.withColumn("__id", F.coalesce("id", F.concat(F.lit("#"), F.col("input_index").cast("string"))))
+    out = spread.join(claimed, ["file_id", "__id"], "left")
+    return out.select(*rows.columns, F.when(F.col("valid"), F.coalesce("copies", F.lit(0))).otherwise(0).alias("copies"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """Keyed rows with what the others of their file say about them: previous and copies."""
-    copies = F.count("*").over(Window.partitionBy("file_id", "id"))
-    return in_order(rows).withColumn("copies", F.when(F.col("valid"), copies).otherwise(0))
+    return with_copies(in_order(rows))
 
 
 def row_structure(out: DataFrame, language: str = "") -> DataFrame:

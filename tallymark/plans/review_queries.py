@@ -311,6 +311,8 @@ def _streamed(spark, rows, transform, mode: str):
     """A table of the stream's output after all rows, through a folder that the session shares."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tallymark-")
     name = f"stream_{os.urandom(6).hex()}"
     base = f"{shared.rstrip('/')}/{name}"

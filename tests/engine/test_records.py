@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
@@ -154,3 +155,26 @@ def test_upserts_keep_the_latest_row(spark, tmp_path):
 
 def test_every_query_of_the_library_has_sql_or_a_reason():
     assert set(queries.QUERIES) - set(queries.SQL) <= {"stage_machine", "stream_case_state"}
+
+
+@pytest.mark.parametrize("stride", [1, 3, 1000])
+def test_order_by_strides_equals_one_pass(spark, monkeypatch, stride):
+    """The valid row before, whatever strides of a file it lies in; invalid rows in between don't count."""
+    from tallymark.operators import structure
+
+    monkeypatch.setattr(structure, "STRIDE", stride)
+    rng = random.Random(stride)
+    rows = [(f"f{i % 2}", i, i + 1, rng.choice(["1", "2", "x"]), str(rng.randint(1, 6)), "t") for i in range(60)]
+    frame = spark.createDataFrame(rows, "file_id string, input_index long, row_number long, group_raw string, ordinal_raw string, text string")
+    sizes = index.numbering(spark.createDataFrame([(1, 5), (2, 6)], "grp long, n long"))
+    last, expect, seen = {}, set(), {}
+    for file, i, _, g, o, _ in rows:
+        if g != "x" and int(o) <= {"1": 5, "2": 6}[g]:
+            position = {"1": 0, "2": 5}[g] + int(o)
+            if file in last and position < last[file]:
+                expect.add(i)
+            last[file] = position
+            seen[file, g, o] = seen.get((file, g, o), 0) + 1
+    placed = structure.placed(structure.keyed(frame, sizes))
+    assert {r.input_index for r in structure.out_of_order(structure.keyed(frame, sizes)).collect()} == expect
+    assert all(r.copies == (seen[r.file_id, r.group_raw, r.ordinal_raw] if r.valid else 0) for r in placed.collect())
