@@ -669,3 +669,77 @@ def refused_files(spark, d):
     path = F.concat(n, _one_of("conv_id", ".csv", ".csv", ".xml", ".xlsx", ".csv", ".txt"))
     made = table(spark, d, "conversations").select("conv_id").distinct().select(path.alias("path"), content.alias("content"))
     return files.parse_files(made).groupBy("error").agg(F.count("*").alias("files"))
+
+
+# --- files of other kinds ----------------------------------------------------------------------
+
+
+@query("SELECT conv_id + 1 AS grp, turn::VARCHAR AS ordinal_raw, role AS text FROM conversations")
+def xml_round_trip(spark, d):
+    """Conversations as XML passages within their group, read again."""
+    turns = table(spark, d, "conversations")
+    passage = F.concat(F.lit('<aya index="'), F.col("turn").cast("string"), F.lit('"><text>'), F.coalesce("role", F.lit("")), F.lit("</text></aya>"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", passage.alias("p")))), lambda x: x["p"]), "\n")
+    made = turns.groupBy("conv_id").agg(listed.alias("body"))
+    content = F.concat(F.lit('<quran><sura index="'), (F.col("conv_id") + 1).cast("string"), F.lit('">'), "body", F.lit("</sura></quran>"))
+    rows = files.parse_files(made.select(F.concat(F.col("conv_id").cast("string"), F.lit(".xml")).alias("path"), F.encode(content, "UTF-8").alias("content")))
+    return rows.where("error IS NULL").select(F.col("group_raw").cast("long").alias("grp"), "ordinal_raw", "text")
+
+
+@query(f"SELECT o_custkey, {_sql_one_of('o_custkey', chr(39) + ',' + chr(39), chr(39) + ';' + chr(39), 'chr(9)', chr(39) + '|' + chr(39))} AS delimiter, count(*)::BIGINT + 1 AS records FROM orders WHERE o_orderkey >= 0 GROUP BY 1 HAVING count(*) < 19")
+def file_previews(spark, d):
+    """Each customer's orders in a file of one of four delimiters, as the preview sees them."""
+    sign = _one_of("o_custkey", ",", ";", "\t", "|")
+    line = F.concat_ws(",", "o_custkey", "o_orderkey", "o_orderstatus")
+    orders = table(spark, d, "orders").where("o_orderkey >= 0").groupBy("o_custkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    text = F.concat(F.lit("chapter,verse,translation\n"), F.array_join("lines", "\n"))
+    made = orders.select(F.concat(F.col("o_custkey").cast("string"), F.lit(".csv")).alias("path"), F.encode(F.replace(text, F.lit(","), sign), "UTF-8").alias("content"))
+    made = made.where(F.size(F.split(F.decode("content", "UTF-8"), "\n")) < 20)
+    seen = files.preview(made).where("error IS NULL")
+    return seen.groupBy(F.regexp_extract("file_id", "^([0-9]+)", 1).cast("long").alias("o_custkey"), "delimiter").agg(F.count("*").alias("records"))
+
+
+def _workbooks(spark, d):
+    """Each brand's parts as a workbook, packed on the executors."""
+    parts = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size", "p_name"))).alias("rows"))
+
+    def pack(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+        links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        for batch in batches:
+            names, out = [], []
+            for brand, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cells = [["chapter", "verse", "translation"], *[[r["p_partkey"] + 1, r["p_size"], r["p_name"]] for r in rows]]
+                cell = lambda x: f"<c><v>{x}</v></c>" if isinstance(x, int) else f'<c t="inlineStr"><is><t>{x}</t></is></c>'
+                sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in cells)
+                body = io.BytesIO()
+                with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+                    z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+                names.append(f"{brand.replace('#', '-')}.xlsx")
+                out.append(body.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["path", "content"])
+
+    ship(spark)
+    return parts.mapInArrow(pack, "path string, content binary")
+
+
+@query("SELECT p_partkey + 1 AS grp, p_size::VARCHAR AS ordinal_raw, p_name AS text FROM part")
+def workbook_round_trip(spark, d):
+    rows = files.parse_files(_workbooks(spark, d)).where("error IS NULL")
+    return rows.select(F.col("group_raw").cast("long").alias("grp"), "ordinal_raw", "text")
+
+
+@query("SELECT p_brand, 3 * count(*)::BIGINT + 3 AS cells FROM part GROUP BY 1")
+def workbook_cells(spark, d):
+    """The cells of workbooks by the table function, in SQL."""
+    files.register(spark)
+    _workbooks(spark, d).createOrReplaceTempView("tallymark_workbooks")
+    out = spark.sql("SELECT path, count(*) AS cells FROM tallymark_workbooks, LATERAL parse_workbook(content) GROUP BY path")
+    return out.select(F.replace(F.regexp_extract("path", "^(.*)[.]xlsx$", 1), F.lit("-"), F.lit("#")).alias("p_brand"), "cells")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
 from . import delimited, workbook, xml
-from .matrix import Malformed, rows_from_matrix
+from .matrix import Malformed, looks_like_table, rows_from_matrix
 
 MAX_BYTES = 25 << 20
 SCHEMA = (
@@ -79,3 +79,64 @@ def parse_files(files: DataFrame, mapping: dict | None = None, strict: bool = Tr
 def read_clean(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Large, well-formed delimited files by Spark's own reader, which splits nothing but fails on malformed records."""
     return spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+
+
+PREVIEW = "file_id string, error string, delimiter string, table boolean, place int, cells array<string>"
+
+
+def preview(files: DataFrame, most: int = 20) -> DataFrame:
+    """The first records of files (path, content) as they are, with the delimiter found and whether they look like a table with headings.
+
+    Nothing is mapped or refused for its columns; a file that can't be read gives its error.
+    """
+    ship(files.sparkSession)
+
+    def first(name: str, content: bytes) -> tuple[str | None, list[list]]:
+        kind = name.rpartition(".")[2].lower()
+        if kind == "xlsx":
+            return None, workbook.matrix(content)[:most]
+        try:
+            text = content.decode("utf-8").removeprefix("﻿")
+        except UnicodeDecodeError as e:
+            raise Malformed("not_utf8") from e
+        if kind == "xml":
+            return None, xml.matrix(text)[:most]
+        delimiter = "\t" if kind == "tsv" else delimited.detect(text)
+        return delimiter, delimited.parse(text, delimiter, most)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        columns = [("file_id", pa.string()), ("error", pa.string()), ("delimiter", pa.string()), ("table", pa.bool_()), ("place", pa.int32()), ("cells", pa.list_(pa.string()))]
+        for batch in batches:
+            out = []
+            for path, content in zip(*[batch.column(k).to_pylist() for k in (0, 1)], strict=True):
+                try:
+                    delimiter, records = first(path, content or b"")
+                except Malformed as e:
+                    out.append({"file_id": path, "error": e.code})
+                    continue
+                seems = bool(records) and looks_like_table([str(x or "") for x in records[0]])
+                for i, r in enumerate(records):
+                    out.append({"file_id": path, "delimiter": delimiter, "table": seems, "place": i, "cells": [None if x is None else str(x) for x in r]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema(columns))
+
+    wanted = files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*KINDS))
+    return wanted.select("path", "content").mapInArrow(run, PREVIEW)
+
+
+class ParseWorkbook:
+    """A table function for SQL: the cells of a workbook's first sheet, one row a cell that isn't empty."""
+
+    def eval(self, content):
+        if content is not None:
+            for i, row in enumerate(workbook.matrix(bytes(content))):
+                for j, cell in enumerate(row):
+                    if cell is not None:
+                        yield i, j, str(cell)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``parse_workbook(content)`` known to SQL, as a table function."""
+    ship(spark)
+    spark.udtf.register("parse_workbook", F.udtf(ParseWorkbook, returnType="row int, column int, value string"))
