@@ -264,4 +264,6 @@ def keep(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold: float
         for batch in sliced(batches):
             yield batch.filter(pa.array(scores(batch.column(at).to_pylist(), reader, weights) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns go through by place, so that any name will do
+    plain = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
