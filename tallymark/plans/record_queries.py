@@ -681,7 +681,7 @@ def xml_round_trip(spark, d):
     passage = F.concat(F.lit('<aya index="'), F.col("turn").cast("string"), F.lit('"><text>'), F.coalesce("role", F.lit("")), F.lit("</text></aya>"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", passage.alias("p")))), lambda x: x["p"]), "\n")
     made = turns.groupBy("conv_id").agg(listed.alias("body"))
-    content = F.concat(F.lit('<quran><sura index="'), (F.col("conv_id") + 1).cast("string"), F.lit('">'), "body", F.lit("</sura></quran>"))
+    content = F.concat(F.lit('<book><sura index="'), (F.col("conv_id") + 1).cast("string"), F.lit('">'), "body", F.lit("</sura></book>"))
     rows = files.parse_files(made.select(F.concat(F.col("conv_id").cast("string"), F.lit(".xml")).alias("path"), F.encode(content, "UTF-8").alias("content")))
     return rows.where("error IS NULL").select(F.col("group_raw").cast("long").alias("grp"), "ordinal_raw", "text")
 
