@@ -175,10 +175,11 @@ def verdict(gated: DataFrame, by: list[str]) -> DataFrame:
 # --- provenance -----------------------------------------------------------------------------
 
 
-def official_url(url: Column, host: str) -> Column:
+def official_url(url: Column, host: str | Column) -> Column:
     """The path of an https URL of the host without port, user, query or fragment; null otherwise."""
-    pattern = rf"^https://{host.replace('.', '[.]')}(/[^?#\s]*)$"
-    return F.when(url.rlike(pattern), F.regexp_extract(url, pattern, 1))
+    host = F.lit(host) if isinstance(host, str) else host
+    pattern = F.concat(F.lit("^https://"), F.replace(host, F.lit("."), F.lit("[.]")), F.lit(r"(/[^?#\s]*)$"))
+    return F.when(F.rlike(url, pattern), F.call_function("regexp_extract", url, pattern, F.lit(1)))
 
 
 def iso_round_trip(text: Column) -> Column:

@@ -114,11 +114,7 @@ def model_errors(spark, d):
 def official_urls(spark, d):
     """Paths of the URLs that are official for their own host, which must lie in one domain."""
     pages = table(spark, d, "pages").withColumn("host", F.regexp_extract("url", r"^https?://([a-z.]+example\.org)/", 1)).where("host <> ''")
-    hosts = [r["host"] for r in pages.select("host").distinct().orderBy("host").limit(100).collect()]
-    path = F.lit(None).cast("string")
-    for host in hosts:
-        path = F.when(F.col("host") == host, review.official_url(F.col("url"), host)).otherwise(path)
-    return pages.select("page_id", path.alias("path")).where("path IS NOT NULL")
+    return pages.select("page_id", review.official_url(F.col("url"), F.col("host")).alias("path")).where("path IS NOT NULL")
 
 
 @query("SELECT page_id, regexp_matches(lang, '^[a-z]{2,3}(-[a-z0-9]{2,8})?$') AS valid, CASE WHEN page_id BETWEEN 10 AND 99 THEN page_id END AS bounded FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'pt-br' WHEN 2 THEN 'EN' ELSE 'english' END AS lang FROM pages)")
@@ -518,15 +514,16 @@ def team_tasks(spark, d):
     return team.task_items(_records(spark, d), _members(spark, d)).groupBy("member_id").agg(F.count("*").alias("items"), F.count("note").alias("notes"))
 
 
-@query(_REC + """ SELECT s_nationkey AS nation, outcome, count(*)::BIGINT AS items FROM (SELECT s_nationkey, CASE WHEN k % 5 = 4 THEN 'invalid_decision' WHEN stage = 'returned' AND k % 2 = 0 THEN 'note_required' WHEN k % 3 = 0 THEN 'skipped' ELSE 'accepted' END AS outcome
-    FROM rec JOIN s ON who = s_suppkey WHERE NOT removed AND s_nationkey = 3 AND stage IN ('approved', 'returned')) GROUP BY 1, 2""")
+@query(_REC + """ SELECT outcome, count(*)::BIGINT AS items FROM (SELECT CASE WHEN k % 5 = 4 THEN 'invalid_decision' WHEN stage = 'returned' AND k % 2 = 0 THEN 'note_required' WHEN k % 3 = 0 THEN 'skipped' ELSE 'accepted' END AS outcome
+    FROM rec JOIN s ON who = s_suppkey WHERE NOT removed AND s_nationkey = (SELECT s_nationkey FROM supplier WHERE s_suppkey = 3) AND stage IN ('approved', 'returned')) GROUP BY 1""")
 def merged_reviews(spark, d):
     """A supervisor's review as it is merged: old verdicts, empty notes and unknown decisions don't stand."""
     records, members = _records(spark, d), _members(spark, d)
-    items = team.review_items(records, members, "n3")
+    chief = "n" + str(table(spark, d, "supplier").where("s_suppkey = 3").first()["s_nationkey"])
+    items = team.review_items(records, members, chief)
     items = items.withColumn("verdict_note", F.when(F.col("fingerprint").cast("long") % 2 == 0, " ").otherwise(F.col("verdict_note")))
     items = items.withColumn("verdict_at", F.when(F.col("fingerprint").cast("long") % 3 == 0, "2026-01-01T12:00:00Z").otherwise("2026-01-03T00:00:00Z"))
-    return team.merged_review(items, records, members, "n3").groupBy(F.lit(3).alias("nation"), "outcome").agg(F.count("*").alias("items"))
+    return team.merged_review(items, records, members, chief).groupBy("outcome").agg(F.count("*").alias("items"))
 
 
 @query(_REC + " SELECT k::VARCHAR AS fingerprint FROM rec WHERE k % 5 = 2")
