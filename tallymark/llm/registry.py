@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitslice, bpe, jaccard, licenses, mixing, quality, secrets, templates, toxicity
+from . import ann, bitslice, bpe, filters, fim, jaccard, licenses, mixing, quality, secrets, templates, token_counts, toxicity
 
 QUERIES = {
     "op1_bitslice": bitslice.query,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_jaccard": jaccard.query,
     "op9_quality": quality.query,
     "op10_mixing": mixing.query,
+    "op11_fim": fim.query,
+    "op12_filters": filters.query,
+    "op13_token_counts": token_counts.query,
 }
 
 ORACLES = {
     "op1_bitslice": bitslice.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_fim": fim.ORACLE,
+    "op12_filters": filters.ORACLE,
 }
