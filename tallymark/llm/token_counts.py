@@ -36,8 +36,8 @@ from .common import Written, _shared_folder, ready, sliced, table
 LIMIT = 512
 #: Code points of a part, at least, and of the parts that are encoded at once.
 PART, TOGETHER = 1 << 18, 1 << 20
-#: Distinct misses up to which their digests are broadcast (about 40 MB).
-FEW = 400_000
+#: Distinct misses up to which their digests are broadcast (some 15 MB).
+FEW = 100_000
 #: A digest is hot if its rows are over one in so many, and over this number.
 HOT_SHARES, HOT_ROWS = 10_000, 10_000
 
