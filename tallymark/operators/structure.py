@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .coverage import missing_runs
 from .index import STRIDE, expected, identifier
 
 # Codes with their type and severity, in the order in which they are raised.
@@ -114,13 +115,7 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
 def missing(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Rows (file_id, grp, ord): identifiers of the scope that a file doesn't have."""
-    # each file once per group of the scope, then its ordinals: as many rows as are expected
-    files = rows.select("file_id").distinct().withColumn("__all", F.lit(1))
-    scope = index if groups is None else index.join(groups.select("grp").distinct(), "grp", "left_semi")
-    wanted = files.join(scope.withColumn("__all", F.lit(1)), "__all")
-    wanted = wanted.select("file_id", "grp", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("ord"))
-    have = rows.where("valid").select("file_id", "grp", "ord").distinct()
-    return wanted.join(have, ["file_id", "grp", "ord"], "left_anti")
+    return missing_runs(rows, index, groups).select("file_id", "grp", F.explode(F.sequence("first", "last")).alias("ord"))
 
 
 def totals(rows: DataFrame, index: DataFrame) -> DataFrame:
@@ -248,8 +243,7 @@ def group_findings(rows: DataFrame, index: DataFrame, groups: DataFrame | None,
         copies, "duplicate_id", {"occurrences": F.col("occurrences"), "conflicting_text": F.col("conflicting_text")}, F.col("places.row_number"), F.array("id")
     )
     if complete:
-        gaps = ranges(missing(rows, index, groups), ["file_id", "grp"])
-        gaps = gaps.groupBy("file_id", "grp").agg(
+        gaps = missing_runs(rows, index, groups).groupBy("file_id", "grp").agg(
             F.sum("size").alias("missing"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")
         )
         evidence = {"grp": F.col("grp"), "missing": F.col("missing"), "ranges": F.col("ranges")}

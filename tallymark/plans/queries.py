@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import record_queries, review_queries, structure_queries
+from . import file_queries, record_queries, review_queries, structure_queries
 
-QUERIES = structure_queries.QUERIES | review_queries.QUERIES | record_queries.QUERIES
-SQL = structure_queries.SQL | review_queries.SQL | record_queries.SQL
+QUERIES = structure_queries.QUERIES | review_queries.QUERIES | record_queries.QUERIES | file_queries.QUERIES
+SQL = structure_queries.SQL | review_queries.SQL | record_queries.SQL | file_queries.SQL

@@ -15,7 +15,11 @@ _SAMPLE, _KEPT = 40, 10
 def parse(text: str, delimiter: str | None = None, most: int | None = None) -> list[list[str]]:
     """Records of cells. Raises Malformed on a quote in a bare cell, text after a closing quote, or an open one."""
     text = text.removeprefix("﻿")
-    delimiter = delimiter or detect(text)
+    return records_of(text, delimiter or detect(text), most)
+
+
+def records_of(text: str, delimiter: str, most: int | None = None) -> list[list[str]]:
+    """Records of a text that may begin anywhere in a file, but at the start of a record."""
     cut = re.compile(f"[{re.escape(delimiter)}\r\n]")
     records: list[list[str]] = []
     record: list[str] = []

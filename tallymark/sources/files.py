@@ -8,6 +8,7 @@ nothing else: an explicit abstention.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,12 @@ def parse_file(name: str, content: bytes, mapping: dict | None = None, strict: b
 def read_files(spark: SparkSession, path: str, mapping: dict | None = None, strict: bool = True, sheet: str | None = None) -> DataFrame:
     """Rows of all supported files under the path, and an error row for each file that was refused."""
     ship(spark)
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), mapping, strict, sheet)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = parse_files(found.select("path", "content"), mapping, strict, sheet)
+    # Spark's scans pass over empty files, which are refused like others
+    listed = spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", f),) for f in found.inputFiles()], "path string")
+    empty = listed.join(found.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
+    return rows.unionByName(parse_files(empty, mapping, strict, sheet))
 
 
 def parse_files(files: DataFrame, mapping: dict | None = None, strict: bool = True, sheet: str | None = None) -> DataFrame:

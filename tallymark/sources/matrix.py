@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from ..functions.text import DIGITS_FROM, DIGITS_TO
@@ -24,7 +25,7 @@ class Malformed(ValueError):
 
     def __init__(self, code: str, detail: str = ""):
         super().__init__(f"{code}: {detail}" if detail else code)
-        self.code = code
+        self.code, self.detail = code, detail
 
 
 def header_form(value) -> str:
@@ -82,24 +83,35 @@ def _columns(first: list[str], body: list, mapping: dict[str, int | str] | None)
     return at, start, warnings
 
 
-def rows_from_matrix(matrix: list[list], mapping: dict[str, int | str] | None = None, strict: bool = True) -> tuple[list[dict], list[str]]:
-    """Rows (group_raw, ordinal_raw, text, row_number, raw_type) and warnings; raises Malformed.
+class Layout:
+    """Where the columns of a matrix are, from its first record that isn't blank and a sample of what follows."""
 
-    ``strict`` enforces the limits on rows, columns and text.
-    """
-    lead = next((i for i, r in enumerate(matrix) if not blank(r)), None)
-    if lead is None:
-        raise Malformed("empty_file")
-    matrix = matrix[lead:]
-    first = [str("" if v is None else v).strip() for v in matrix[0]]
-    at, start, warnings = _columns(first, matrix[1:], mapping)
-    if lead:
-        warnings.append("leading_blank_rows_skipped")
-    rows = []
-    for i, record in enumerate(matrix[start:], start + 1 + lead):
+    def __init__(self, first: list, body: list, mapping: dict[str, int | str] | None = None, lead: int = 0):
+        """``lead``: blank records before the first. Raises Malformed."""
+        names = [str("" if v is None else v).strip() for v in first]
+        self.width = len(names)
+        self.at, start, self.warnings = _columns(names, body, mapping)
+        if lead:
+            self.warnings.append("leading_blank_rows_skipped")
+        #: Records before the first one of data.
+        self.before = lead + start
+
+    def to_json(self) -> str:
+        return json.dumps([self.width, self.at, self.before])
+
+    @classmethod
+    def from_json(cls, text: str) -> Layout:
+        out = cls.__new__(cls)
+        out.width, out.at, out.before = json.loads(text)
+        out.warnings = []
+        return out
+
+    def row(self, record: list, i: int, strict: bool = True) -> dict | None:
+        """The row of the i-th record of all; None for a blank one. Raises Malformed."""
         if blank(record):
-            continue
-        if len(record) != len(first):
+            return None
+        at = self.at
+        if len(record) != self.width:
             raise Malformed("ragged_row", str(i))
         if strict and len(record) > MAX_COLUMNS:
             raise Malformed("too_many_columns", str(i))
@@ -115,9 +127,21 @@ def rows_from_matrix(matrix: list[list], mapping: dict[str, int | str] | None =
         text = "" if value is None else value if kind == "string" else str(value)
         if strict and len(text) > MAX_TEXT:
             raise Malformed("text_too_long", str(i))
-        rows.append({"group_raw": group, "ordinal_raw": ordinal, "text": text if kind == "string" else None, "row_number": i, "raw_type": kind})
+        return {"group_raw": group, "ordinal_raw": ordinal, "text": text if kind == "string" else None, "row_number": i, "raw_type": kind}
+
+
+def rows_from_matrix(matrix: list[list], mapping: dict[str, int | str] | None = None, strict: bool = True) -> tuple[list[dict], list[str]]:
+    """Rows (group_raw, ordinal_raw, text, row_number, raw_type) and warnings; raises Malformed.
+
+    ``strict`` enforces the limits on rows, columns and text.
+    """
+    lead = next((i for i, r in enumerate(matrix) if not blank(r)), None)
+    if lead is None:
+        raise Malformed("empty_file")
+    layout = Layout(matrix[lead], matrix[lead + 1 :], mapping, lead)
+    rows = [r for i, record in enumerate(matrix[layout.before :], layout.before + 1) if (r := layout.row(record, i, strict)) is not None]
     if not rows:
         raise Malformed("no_data_rows")
     if strict and len(rows) > MAX_ROWS:
         raise Malformed("too_many_rows")
-    return rows, warnings
+    return rows, layout.warnings
