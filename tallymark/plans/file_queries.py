@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import coverage, index, structure
-from ..sources import pieces
+from ..sources import landed, pieces
 from .shared import new_path
 from .tables import order_sizes, table
 
@@ -99,3 +99,49 @@ def delimited_faults(spark, d):
     docs.select("doc_id", "lang", value.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
     faults = pieces.read_records(spark, path, ",").faults
     return faults.select(F.regexp_extract("file_id", "lang=([^/]*)/", 1).alias("lang"), "error", "record")
+
+
+_LANDED = """answers AS (SELECT conv_id + 1 AS grp, count(*) AS n, count(DISTINCT turn) AS turns, min(turn) AS low, max(turn) AS high, bool_and(coalesce(trim(text), '') <> '') AS told FROM conversations GROUP BY 1),
+  bad AS (SELECT grp FROM answers WHERE n > 286 OR turns < n OR low < 0 OR high > 285 OR NOT told)"""
+
+
+def _land(spark, d):
+    """Conversations as answers of a service, landed in two drops; the second sends a fifth of the groups again, with a mark."""
+    landed.register(spark)
+    path = new_path(spark, "landed")
+    turns = table(spark, d, "conversations")
+
+    def answers(text):
+        item = F.struct((F.col("turn") + 1).cast("int").alias("ayah_number"), text.alias("translation_text"))
+        # the texts of one answer of the service, which holds 286 at most
+        return turns.groupBy((F.col("conv_id") + 1).cast("long").alias("grp")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("answer")).withColumn("book", F.lit(7).cast("long"))
+
+    answers(F.col("text")).write.format(landed.FORMAT).mode("append").save(path)
+    answers(F.concat("text", F.lit(" *"))).where("grp % 5 = 0").write.format(landed.FORMAT).mode("append").save(path)
+    return path
+
+
+@query(f"""WITH {_LANDED} SELECT conv_id + 1 AS grp, (turn + 1)::BIGINT AS ord, CASE WHEN conv_id % 5 = 4 THEN text || ' *' ELSE text END AS html, CASE WHEN conv_id % 5 = 4 THEN 1 ELSE 0 END::BIGINT AS drop, NULL::VARCHAR AS error
+    FROM conversations WHERE conv_id + 1 NOT IN (FROM bad) AND conv_id + 1 >= 3
+  UNION ALL SELECT grp, NULL, NULL, CASE WHEN grp % 5 = 0 THEN 1 ELSE 0 END::BIGINT, 'invalid_identifier_or_text' FROM bad WHERE grp >= 3""")
+def landed_answers(spark, d):
+    """The last answer of each group by the data source, which takes the filter on groups and opens no other files."""
+    path = _land(spark, d)
+    read = landed.pushing(spark).read.format(landed.PUSHING).load(path).where("grp >= 3")
+    return landed.newest(read).select("grp", "ord", "html", "drop", "error")
+
+
+@query(f"""WITH {_LANDED}, sent AS (SELECT conv_id + 1 AS grp, 0 AS drop FROM conversations WHERE conv_id + 1 NOT IN (FROM bad) UNION ALL SELECT conv_id + 1, 1 FROM conversations WHERE conv_id % 5 = 4 AND conv_id + 1 NOT IN (FROM bad))
+  SELECT drop::BIGINT AS drop, count(*)::BIGINT AS texts, count(DISTINCT grp)::BIGINT AS groups FROM sent GROUP BY 1""")
+def landed_stream(spark, d):
+    """The drops as a stream, read to its end."""
+    path = _land(spark, d)
+    base = new_path(spark, "landed-stream")
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
+    stream = spark.readStream.format(landed.FORMAT).load(path)
+    stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    rows = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").where("error IS NULL")
+    return rows.groupBy("drop").agg(F.count("*").alias("texts"), F.countDistinct("grp").alias("groups"))
