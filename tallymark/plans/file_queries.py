@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators import coverage, index, structure
 from ..sources import landed, pieces
+from ..streaming.store import FindingsStore
 from .shared import new_path
 from .tables import order_sizes, table
 
@@ -145,3 +146,16 @@ def landed_stream(spark, d):
     stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     rows = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").where("error IS NULL")
     return rows.groupBy("drop").agg(F.count("*").alias("texts"), F.countDistinct("grp").alias("groups"))
+
+
+@query("""SELECT user_id AS file_id, event_type AS layer, count(*)::BIGINT AS findings, sum(event_id)::BIGINT AS ids, CASE WHEN user_id % 3 = 0 AND event_type IN ('click', 'error') THEN 1 ELSE 0 END AS "commit"
+  FROM events WHERE NOT (user_id % 3 = 0 AND event_type IN ('click', 'error') AND event_id % 2 = 1) GROUP BY 1, 2, 5""")
+def rerun_findings(spark, d):
+    """Findings of a first run, of which a second one replaces two layers of some files; a third broke off before its manifest."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("file_id"), F.col("event_type").alias("layer"), "event_id")
+    store = FindingsStore(spark, new_path(spark, "findings"))
+    store.commit(events, events)
+    again = events.where("file_id % 3 = 0 AND layer IN ('click', 'error')")
+    store.commit(again.where("event_id % 2 = 0"), again)
+    store._stage(events.limit(0), events, 2, None)
+    return store.read().groupBy("file_id", "layer", "commit").agg(F.count("*").alias("findings"), F.sum("event_id").alias("ids"))

@@ -95,7 +95,7 @@ def upsert(target: str, key: list[str], order: str, buckets: int = 64):
     def versions(spark, bucket: int) -> tuple[object, list[int]]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={bucket}")
         store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+        names = _finished(spark, store, path) if store.exists(path) else []
         return store, sorted(int(n[1:]) for n in names if n[1:].isdigit())
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -120,13 +120,19 @@ def upsert(target: str, key: list[str], order: str, buckets: int = 64):
     return write
 
 
+def _finished(spark, store, bucket) -> list[str]:
+    """The versions of a bucket whose write came to its end."""
+    found = [s.getPath() for s in store.listStatus(bucket)]
+    return [p.getName() for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
 def upserted(spark, target: str) -> DataFrame:
     """The rows that ``upsert`` keeps: the newest version of each bucket."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = []
     for bucket in store.listStatus(path):
-        names = [s.getPath().getName() for s in store.listStatus(bucket.getPath())]
+        names = _finished(spark, store, bucket.getPath())
         newest = max((int(n[1:]) for n in names if n[1:].isdigit()), default=None)
         if newest is not None:
             found.append(f"{bucket.getPath()}/v{newest}")
