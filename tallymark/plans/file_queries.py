@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators import coverage, index, structure
 from ..sources import landed, pieces
+from ..streaming import workflow
 from ..streaming.store import FindingsStore
 from .shared import new_path
 from .tables import order_sizes, table
@@ -159,3 +160,65 @@ def rerun_findings(spark, d):
     store.commit(again.where("event_id % 2 = 0"), again)
     store._stage(events.limit(0), events, 2, None)
     return store.read().groupBy("file_id", "layer", "commit").agg(F.count("*").alias("findings"), F.sum("event_id").alias("ids"))
+
+
+def _review_messages(spark, d):
+    """Events as messages about the case of their user: sign-ups assign, clicks submit, purchases approve, the rest returns."""
+    kind = F.when(F.col("event_type") == "signup", "assign").when(F.col("event_type") == "click", "submit").otherwise("judge")
+    decision = F.when(kind == "submit", F.element_at(F.array(*[F.lit(x) for x in workflow.DECISIONS]), (F.col("event_id") % 3 + 1).cast("int")))
+    verdict = F.when(kind == "judge", F.when(F.col("event_type") == "purchase", "approved").otherwise("returned"))
+    note = F.when(F.col("event_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("note "), F.col("event_id").cast("string")))
+    return table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("case_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("message_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"),
+        decision.alias("decision"), verdict.alias("verdict"), note.alias("note"), F.when(F.col("user_id") % 4 == 0, "high").otherwise("low").alias("severity"),
+    )
+
+
+_REVIEW = """WITH RECURSIVE m AS (SELECT user_id::VARCHAR AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, ts AS moment,
+    CASE event_type WHEN 'signup' THEN 'assign' WHEN 'click' THEN 'submit' ELSE 'judge' END AS kind, ['accept', 'reject', 'refer'][event_id % 3 + 1] AS decision,
+    CASE WHEN event_type = 'purchase' THEN 'approved' ELSE 'returned' END AS verdict, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'note ' || event_id END AS note, user_id % 4 = 0 AS high FROM events),
+  s AS (SELECT case_id, 0::BIGINT AS n, 'unassigned' AS stage, NULL::VARCHAR AS decision, NULL::VARCHAR AS note, NULL::TIMESTAMP AS sent, NULL::VARCHAR AS verdict, NULL::VARCHAR AS vnote, NULL::TIMESTAMP AS judged,
+      0 AS applied, 0 AS skipped, 0 AS refused FROM (SELECT DISTINCT case_id FROM m)
+    UNION ALL SELECT case_id, n, CASE WHEN o <> 'applied' THEN stage WHEN kind = 'assign' THEN 'assigned' WHEN kind = 'submit' THEN 'submitted' ELSE mverdict END,
+      CASE WHEN o <> 'applied' OR kind = 'judge' THEN decision WHEN kind = 'submit' THEN mdecision END, CASE WHEN o <> 'applied' OR kind = 'judge' THEN note WHEN kind = 'submit' THEN mnote END,
+      CASE WHEN o <> 'applied' OR kind = 'judge' THEN sent WHEN kind = 'submit' THEN moment END, CASE WHEN o <> 'applied' OR kind = 'submit' THEN verdict WHEN kind = 'judge' THEN mverdict END,
+      CASE WHEN o <> 'applied' OR kind = 'submit' THEN vnote WHEN kind = 'judge' THEN mnote END, CASE WHEN o <> 'applied' OR kind = 'submit' THEN judged WHEN kind = 'judge' THEN moment END,
+      applied + (o = 'applied')::INT, skipped + (o = 'skipped')::INT, refused + (o = 'refused')::INT
+    FROM (SELECT s.case_id, m.n, s.stage, s.decision, s.note, sent, s.verdict, vnote, judged, applied, skipped, refused, kind, moment, m.decision AS mdecision, m.verdict AS mverdict, m.note AS mnote,
+        CASE kind WHEN 'assign' THEN CASE WHEN stage IN ('unassigned', 'assigned', 'returned') THEN 'applied' ELSE 'refused' END
+          WHEN 'submit' THEN CASE WHEN stage = 'unassigned' OR m.note = '' THEN 'refused' WHEN stage = 'approved' OR coalesce(moment <= sent, false) THEN 'skipped' ELSE 'applied' END
+          ELSE CASE WHEN stage NOT IN ('submitted', 'approved', 'returned') OR s.decision IS NULL THEN 'refused'
+            WHEN m.note = '' AND (m.verdict = 'returned' OR (s.decision = 'reject' AND high)) THEN 'refused' WHEN coalesce(judged > moment, false) THEN 'skipped' ELSE 'applied' END END AS o
+      FROM s JOIN m ON m.case_id = s.case_id AND m.n = s.n + 1))
+  SELECT case_id, stage, decision, note, verdict, vnote AS verdict_note, applied::BIGINT AS applied, skipped::BIGINT AS skipped, refused::BIGINT AS refused
+  FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC) AS k FROM s) WHERE k = 1"""
+_REVIEWED = ["case_id", "stage", "decision", "note", "verdict", "verdict_note", "applied", "skipped", "refused"]
+
+
+@query(_REVIEW)
+def review_cases(spark, d):
+    """What each case comes to after all its messages, by the rules for submissions and verdicts."""
+    return workflow.reviewed(_review_messages(spark, d)).select(*_REVIEWED)
+
+
+@query(_REVIEW)
+def stream_reviews(spark, d):
+    """The same as a stateful stream over messages that come in the order of their ids, each sent twice."""
+    own = workflow.stateful(spark)
+    base = new_path(spark, "reviews")
+    rows = _review_messages(own, d)
+    # a message far ahead, so that the watermark passes all others
+    end = rows.agg(F.lit("end").alias("case_id"), F.lit("end").alias("message_id"), F.lit("none").alias("kind"), (F.max("at") + F.expr("interval 900 days")).alias("at"))
+    rows.unionByName(rows).write.parquet(f"{base}/in")
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
+    def run():
+        stream = workflow.reviewed(own.readStream.schema(rows.schema).parquet(f"{base}/in"), "800 days")
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+    run()
+    end.write.mode("append").parquet(f"{base}/in")
+    run()
+    return workflow.last(own.read.option("basePath", f"{base}/out").parquet(f"{base}/out")).select(*_REVIEWED)
