@@ -36,9 +36,10 @@ def _gnu_sentences() -> list[tuple[str, str]]:
     for name, kind in (("AGPL", "affero "), ("LGPL", "(?:lesser|library) "), ("GPL", "")):
         for version in ("3", "2.1", "2", "1"):
             v = version.replace(".", r"\.") + r"(?:\.0)?(?![.\d])"
-            base = rf".*gnu {kind}general public licen[cs]e.*(?:version|v)[ .]?{v}.*"
-            out.append((f"{name}{version}+", base + r"any later version.*"))
-            out.append((f"{name}{version}", base))
+            # each part is looked for once, from where the one before was first found
+            base = rf"(?>.*?gnu {kind}general public licen[cs]e)(?>.*?(?:version|v)[ .]?{v})"
+            out.append((f"{name}{version}+", base + r".*any later version.*"))
+            out.append((f"{name}{version}", base + ".*"))
         out.append((f"{name}any", rf".*gnu {kind}general public licen[cs]e.*"))
     return out
 
@@ -53,7 +54,7 @@ def _creative_commons() -> list[tuple[str, str]]:
     ):
         for version in ("4.0", "3.0", "2.5", "2.0", "1.0"):
             v = version.replace(".", r"\.")
-            out.append((f"CC-{name}-{version}", rf".*(?:\bcc[- ]{name.lower()}|creative commons {words}(?: \w+)*)[- ]{v}.*"))
+            out.append((f"CC-{name}-{version}", rf".*(?:\bcc[- ]{name.lower()}|creative commons {words}(?: \w+){{0,8}})[- ]{v}.*"))
     out.append(("CC0", r".*(?:\bcc0\b|creative commons zero).*"))
     return out
 
@@ -144,7 +145,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("BSDgrant", r"redistribution and use in source and binary forms.*"),
     ("BSDsource", r".*redistributions? of source code must retain.*"),
     ("BSDbinary", r".*redistributions? in binary form must reproduce.*"),
-    ("BSDnames", r".*neither the names? of .* (?:nor|or) .*contributors may be used.*"),
+    ("BSDnames", r"(?>.*?neither the names? of )(?>.*? (?:nor|or) ).*contributors may be used.*"),
     ("BSDads", r".*all advertising materials mentioning features.*"),
     ("ApacheUse", r"you may not use this file except in compliance with the licen[cs]e.*"),
     ("ApacheCopy", r"you may obtain a copy of the licen[cs]e at.*"),
@@ -159,8 +160,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("MPLcopy", r".*copy of the mpl was not distributed.*"),
     ("MPL2", r".*mozilla public licen[cs]e,? ?(?:version|v\.?)? ?2\.0.*"),
     ("MPL1.1", r".*mozilla public licen[cs]e,? ?(?:version|v\.?)? ?1\.1.*"),
-    ("EPL2", r".*eclipse public licen[cs]e.*2\.0.*"),
-    ("EPL1", r".*eclipse public licen[cs]e.*1\.0.*"),
+    ("EPL2", r"(?>.*?eclipse public licen[cs]e).*2\.0.*"),
+    ("EPL1", r"(?>.*?eclipse public licen[cs]e).*1\.0.*"),
     *_gnu_sentences(),
     *_creative_commons(),
     ("MITheader", r".*\bmit(?:[- ]style)? licen[cs]e.*"),
@@ -169,12 +170,12 @@ SENTENCES: list[tuple[str, str]] = [
     ("BSDheader", r".*\bbsd(?:[- ]style)? licen[cs]e.*"),
     ("ISCheader", r".*\bisc licen[cs]e.*"),
     ("ZlibHeader", r".*\bzlib licen[cs]e.*"),
-    ("BoostHeader", r".*boost software licen[cs]e.*1\.0.*"),
+    ("BoostHeader", r"(?>.*?boost software licen[cs]e).*1\.0.*"),
     ("Unlicense", r".*free and unencumbered software released into the public domain.*|.*\bunlicense\b.*"),
     ("PublicDomain", r".*(?:in|into|to) the public domain.*"),
     ("AllRights", r".*all rights reserved.*"),
     ("Copyright", r"(?:copyright|©|\(c\)).*\d{4}.*"),
-    ("UNKNOWN", r".*(?:licen[cs]ed under|released under|distributed under|terms of (?:the|this)).*licen[cs]e.*"),
+    ("UNKNOWN", r"(?>.*?(?:licen[cs]ed under|released under|distributed under|terms of (?:the|this))).*licen[cs]e.*"),
 ]
 
 
@@ -188,11 +189,11 @@ def _rules() -> list[tuple[str, str]]:
         ("BSD-4-Clause", rf"(?: AllRights)? BSDgrant{gap} BSDads{gap}(?: BSDnames)?(?:{gap} AsIs)?(?= )"),
         ("BSD-3-Clause", rf"(?: AllRights)? BSDgrant{gap} BSDnames(?:{gap} AsIs)?(?= )"),
         ("BSD-2-Clause", rf"(?: AllRights)? BSDgrant(?:{gap} BSDsource)?(?:{gap} BSDbinary)?(?:{gap} AsIs)?(?= )"),
-        ("MPL-2.0", r"(?: MPL2)+(?: MPLcopy)?(?= )"),
-        ("Zlib", rf"(?: ZlibHeader)? ZlibAsIs(?: NoLiability)?(?:{gap} ZlibGrant)?(?: ZlibMarked)*(?= )"),
-        ("BSL-1.0", rf"(?: BoostHeader)+(?:{gap} BoostGrant)?(?:{gap} AsIs)?(?= )"),
-        ("EPL-2.0", r"(?: EPL2)+(?: EPLterms)?(?= )"),
-        ("EPL-1.0", r"(?: AllRights)?(?: EPL1)+(?: EPLterms)?(?= )"),
+        ("MPL-2.0", r"(?: MPL2(?= ))++(?: MPLcopy)?(?= )"),
+        ("Zlib", rf"(?: ZlibHeader)? ZlibAsIs(?: NoLiability)?(?:{gap} ZlibGrant)?(?: ZlibMarked(?= ))*+(?= )"),
+        ("BSL-1.0", rf"(?: BoostHeader(?= ))++(?:{gap} BoostGrant)?(?:{gap} AsIs)?(?= )"),
+        ("EPL-2.0", r"(?: EPL2(?= ))++(?: EPLterms)?(?= )"),
+        ("EPL-1.0", r"(?: AllRights)?(?: EPL1(?= ))++(?: EPLterms)?(?= )"),
     ]
     # what follows a grant of one of the GNU licences repeats its name without a version
     for kind in ("AGPL", "LGPL", "GPL"):
@@ -200,7 +201,8 @@ def _rules() -> list[tuple[str, str]]:
             for later in ("+", ""):
                 name = f"{kind}{version}{later}"
                 pattern = name.replace("+", "[+]").replace(".", "[.]")
-                rules.append((_spdx()[name], rf"(?: {kind}any)* {pattern}(?:(?: GNUhope)?(?: {kind}any| {pattern})| GNUhope)*(?= )"))
+                again = rf"(?:(?: GNUhope)?(?: {kind}any| {pattern})| GNUhope)(?= )"
+                rules.append((_spdx()[name], rf"(?<! {kind}any)(?: {kind}any)*+ {pattern}(?= )(?:{again})*+"))
     rules += [(licence, f" {name.replace('+', '[+]').replace('.', '[.]')}(?= )") for name, licence in _spdx().items()]
     return [*rules, ("unknown", r" UNKNOWN(?= )"), ("all-rights-reserved", r" AllRights(?= )")]
 
@@ -240,8 +242,17 @@ def _sentences(text: Column) -> Column:
     return F.transform(fine, read)
 
 
-def _rows(pairs: list[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("pattern")) for a, b in pairs])
+#: The sentence without which a rule doesn't match, where its licence isn't that of one sentence.
+_CORE = {"Apache-2.0": "Apache2", "MIT": "MITgrant", "ISC": "ISCgrant", "BSD-4-Clause": "BSDads", "BSD-3-Clause": "BSDnames", "BSD-2-Clause": "BSDgrant", "MPL-2.0": "MPL2", "Zlib": "ZlibAsIs",
+         "BSL-1.0": "BoostHeader", "EPL-2.0": "EPL2", "EPL-1.0": "EPL1", "unknown": "UNKNOWN", "all-rights-reserved": "AllRights"}
+
+
+def _rows() -> Column:
+    """The rules as an array of structs (name, pattern, needs)."""
+    sentences = {f" {name.replace('+', '[+]').replace('.', '[.]')}(?= )": name for name in _spdx()}
+    gnu = {licence: name for name, licence in _spdx().items() if "GPL" in name}
+    needs = [sentences.get(pattern) or _CORE.get(licence) or gnu[licence] for licence, pattern in RULES]
+    return F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("pattern"), F.lit(f" {c} ").alias("needs")) for (a, b), c in zip(RULES, needs, strict=True)])
 
 
 def recognise(docs: DataFrame) -> DataFrame:
@@ -261,7 +272,10 @@ def recognise(docs: DataFrame) -> DataFrame:
         """What the pieces name; the whole comes first if it names what no piece does, in place of what it makes exact."""
         named = F.filter(F.transform(s["parts"], lambda p: F.struct(p.alias("sentence"), name(p).alias("id"))), lambda x: x["id"].isNotNull())
         whole = F.struct(s["whole"].alias("sentence"), name(s["whole"]).alias("id"))
+        # as an element of an array each is read once, however often it is looked at
+        return F.transform(F.array(F.struct(named.alias("named"), whole.alias("whole"))), lambda b: chosen(b["named"], b["whole"]))[0]
 
+    def chosen(named: Column, whole: Column) -> Column:
         def joined(w: Column) -> Column:
             vague = lambda x: (x["id"] == "UNKNOWN") | (x["id"] == F.regexp_replace(w["id"], r"[+]$", "")) | (x["id"] == F.regexp_replace(w["id"], r"(?<=GPL)[\d.]+[+]?$", "any"))
             return F.concat(F.array(w), F.filter(named, lambda x: ~vague(x)))
@@ -275,13 +289,14 @@ def recognise(docs: DataFrame) -> DataFrame:
     start = F.struct(F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")).alias("left"), none.alias("found"))
 
     def step(acc: Column, rule: Column) -> Column:
-        hit = F.rlike(acc["left"], rule["pattern"])
+        # most rules lack their sentence, and then their pattern isn't tried
+        hit = F.contains(acc["left"], rule["needs"]) & F.rlike(acc["left"], rule["pattern"])
         return F.when(
             hit,
             F.struct(F.regexp_replace(acc["left"], rule["pattern"], F.lit("")).alias("left"), F.array_append(acc["found"], rule["name"]).alias("found")),
         ).otherwise(acc)
 
-    matched = F.when(F.size("ids") > 0, F.aggregate(_rows(RULES), start, step)["found"]).otherwise(none)
+    matched = F.when(F.size("ids") > 0, F.aggregate(_rows(), start, step)["found"]).otherwise(none)
     return out.select("doc_id", "sentences", "ids", F.array_distinct(F.coalesce(matched, none)).alias("licenses"))
 
 

@@ -589,3 +589,25 @@ def test_mix_repeats_rows_as_planned(spark):
     assert set(rows[0]) == set(ROWS[0])
     got = Counter(r["doc_id"] for r in rows if r["text"] and r["text"].split())
     assert +got == +plan
+
+
+def test_licences_of_long_package_lists_take_linear_time(spark):
+    import time
+
+    kinds = ["GNU General Public License v2", "GNU General Public License", "MIT License", "distributed under terms", "Creative Commons Attribution", "Eclipse Public License", "neither the name of a or b"]
+
+    def scan(n, sep, kinds):
+        text = sep.join(f"package-{i} {kinds[i % len(kinds)]}" for i in range(n))
+        began = time.time()
+        row = licenses.recognise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        return row, time.time() - began
+
+    scan(10, "\n", kinds)
+    for sep in ("\n", " "):
+        _, short = scan(100, sep, kinds)
+        row, long = scan(10_000, sep, kinds)
+        assert long < short + 15, (sep, short, long)
+    row, _ = scan(10_000, "\n", kinds[:1])
+    assert row["licenses"] == ["GPL-2.0-only"] and len(row["ids"]) == 10_000
+    row, _ = scan(10_000, "\n", kinds[:2])
+    assert row["licenses"] == ["GPL-2.0-only"]
