@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .index import identifier
+from .intervals import marked
 
 STATES = ("ambiguous_duplicate", "invalid_row", "added_id", "removed_id", "identical_raw", "text_change")
 
@@ -29,16 +30,8 @@ def _side(rows: DataFrame) -> DataFrame:
 
 
 def ledger(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows with id, sound, and in_scope: inside one of the intervals (grp, first, last).
-
-    The range join is on the group first; a group's intervals don't overlap, so a row
-    meets one at most.
-    """
-    side = _side(rows)
-    scope = intervals.select(F.col("grp").alias("__grp"), "first", "last")
-    inside = (F.col("grp") == F.col("__grp")) & F.col("ord").between(F.col("first"), F.col("last"))
-    out = side.join(scope, inside, "left")
-    return out.withColumn("in_scope", F.col("__grp").isNotNull()).drop("__grp", "first", "last")
+    """Rows with id, sound, and in_scope: inside one of the intervals (grp, first, last), of which a group may have any number."""
+    return marked(_side(rows), intervals, ["grp"], "ord", "in_scope")
 
 
 def compare(candidate: DataFrame, baseline: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .coverage import missing_runs
 from .index import STRIDE, expected, identifier
+from .ranks import ranked
 
 # Codes with their type and severity, in the order in which they are raised.
 CODES = {
@@ -255,8 +256,8 @@ def priority(findings: DataFrame) -> DataFrame:
     """Findings with their rank (critical first, unknown severities last of all) and their number in that order by file."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity")), F.lit(0))
     rank = F.when(rank == 0, len(SEVERITIES) - 1).otherwise(rank - 1).cast("int")
-    order = Window.partitionBy("file_id").orderBy("rank", "phase", F.col("input_index").asc_nulls_last(), "finding_id")
-    return findings.withColumn("rank", rank).withColumn("place", F.row_number().over(order))
+    order = [F.col("rank"), F.col("phase"), F.col("input_index").asc_nulls_last(), F.col("finding_id")]
+    return ranked(findings.withColumn("rank", rank), ["file_id"], order, "place")
 
 
 def queue_breakdown(findings: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from .ranks import ranked
 from .structure import SEVERITIES
 
 MANAGER = "manager"
@@ -53,8 +55,7 @@ def balanced(cases: DataFrame, reviewers: DataFrame, by: list[str]) -> DataFrame
     in that order, level by level from each reviewer's load; so the n-th case gets the
     n-th slot. Cases go by severity, group, fingerprint; ties of load by place.
     """
-    order = Window.partitionBy(*by).orderBy(severity_rank(F.col("severity")), "grp", "fingerprint")
-    cases = cases.withColumn("slot", F.row_number().over(order))
+    cases = ranked(cases, by, [severity_rank(F.col("severity")), F.col("grp"), F.col("fingerprint")], "slot")
     many = cases.groupBy(*by).agg(F.count("*").alias("__many"))
     everyone = Window.partitionBy(*by)
     slots = reviewers.join(many, by).withColumn("__top", F.max("load").over(everyone)).withColumn("__all", F.count("*").over(everyone))
@@ -66,33 +67,45 @@ def balanced(cases: DataFrame, reviewers: DataFrame, by: list[str]) -> DataFrame
     return cases.join(slots, [*by, "slot"])
 
 
-def by_group(cases: DataFrame, reviewers: DataFrame, holders: DataFrame, most_groups: int = 100_000) -> DataFrame:
-    """A reviewer (grp, reviewer_id, cases) for each group of cases: the largest first, to its holder or else the least loaded.
+def by_group(cases: DataFrame, reviewers: DataFrame, holders: DataFrame, by: list[str]) -> DataFrame:
+    """A reviewer (by..., grp, reviewer_id, cases) for each group of a team's cases: the largest first, to its holder or else the least loaded.
 
-    ``reviewers`` are (reviewer_id, place, load), ``holders`` (grp, reviewer_id). Whom a group
-    goes to depends on all before it, so the fold is one list over the groups' sizes, a
-    number for each; more than ``most_groups`` of them raise an error. Group 0, which stands
-    for none, has no holder.
+    ``cases`` are (by..., grp), ``reviewers`` (by..., reviewer_id, place, load), ``holders``
+    (by..., grp, reviewer_id); ``by`` names the team. Whom a group goes to depends on all of
+    its team before it, so a team is one task, which takes a row a group and keeps its
+    reviewers in a heap by load and place; teams run beside each other. Group 0, which stands
+    for none, has no holder. A team without reviewers is given nothing.
     """
-    sizes = cases.groupBy("grp").agg(F.count("*").alias("n"))
-    if sizes.limit(most_groups + 1).count() > most_groups:
-        raise ValueError(f"more than {most_groups} groups")
-    held = holders.where("grp <> 0").join(reviewers.select("reviewer_id", "place"), "reviewer_id").groupBy("grp").agg(F.min("place").alias("held"))
-    listed = sizes.join(held, "grp", "left").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("least"), "grp", "held"))).alias("groups"))
-    crew = reviewers.agg(F.array_sort(F.collect_list(F.struct("place", "reviewer_id", "load"))).alias("crew"))
-    start = F.struct(F.transform("crew", lambda r: r["load"].cast("long")).alias("load"), F.array().cast("array<struct<grp: long, at: int, n: long>>").alias("given"))
-
-    def step(acc: Column, g: Column) -> Column:
-        lightest = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
-        mine = F.array_position(F.transform("crew", lambda r: r["place"]), g["held"]).cast("int") - 1
-        at = F.when(g["held"].isNotNull(), mine).otherwise(lightest)
-        load = F.transform(acc["load"], lambda x, i: F.when(i == at, x - g["least"]).otherwise(x))
-        given = F.array_append(acc["given"], F.struct(g["grp"].cast("long").alias("grp"), at.alias("at"), (-g["least"]).cast("long").alias("n")))
-        return F.struct(load.alias("load"), given.alias("given"))
-
-    both = listed.join(crew, how="cross")  # one row each
-    out = both.select("crew", F.explode(F.aggregate("groups", start, step)["given"]).alias("g"))
-    return out.select("g.grp", F.get("crew", F.col("g.at"))["reviewer_id"].alias("reviewer_id"), F.col("g.n").alias("cases"))
+    sizes = cases.groupBy(*by, "grp").agg(F.count("*").cast("long").alias("n"))
+    held = holders.where("grp <> 0").join(reviewers.select(*by, "reviewer_id", "place"), [*by, "reviewer_id"]).groupBy(*by, "grp").agg(F.min(F.struct("place", "reviewer_id")).alias("h"))
+    work = sizes.join(held, [*by, "grp"], "left").select(*by, "grp", "n", F.col("h.reviewer_id").alias("held"))
+    crew = reviewers.select(*by, "reviewer_id", F.col("place").cast("long").alias("place"), F.col("load").cast("long").alias("load"))
+    kept = work.select(*by, "grp").schema.fields
+    schema = StructType([*kept, StructField("reviewer_id", StringType()), StructField("cases", LongType())])
+
+    def deal(groups, team):
+        import heapq
+
+        import pyarrow as pa
+
+        load = {r["reviewer_id"]: r["load"] for r in team.to_pylist()}
+        place = {r["reviewer_id"]: r["place"] for r in team.to_pylist()}
+        heap = [(n, place[who], who) for who, n in load.items()]
+        heapq.heapify(heap)
+        rows = []
+        for g in sorted(groups.to_pylist(), key=lambda g: (-g["n"], g["grp"])) if load else []:
+            who = g["held"]
+            if who is None:
+                # entries from before a reviewer was given something are passed over
+                while heap[0][0] != load[heap[0][2]]:
+                    heapq.heappop(heap)
+                who = heap[0][2]
+            load[who] += g["n"]
+            heapq.heappush(heap, (load[who], place[who], who))
+            rows.append({c: g[c] for c in (*by, "grp")} | {"reviewer_id": who, "cases": g["n"]})
+        return pa.Table.from_pylist(rows, pa.schema([*[groups.schema.field(c) for c in (*by, "grp")], ("reviewer_id", pa.string()), ("cases", pa.int64())]))
+
+    return work.groupBy(*by).cogroup(crew.groupBy(*by)).applyInArrow(deal, schema)
 
 
 def assigned(record: DataFrame, members: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
-from ..operators import coverage, index, structure
+from ..operators import coverage, index, intervals, structure
 from ..sources import landed, pieces
 from ..streaming import workflow
 from ..streaming.store import FindingsStore
@@ -222,3 +222,27 @@ def stream_reviews(spark, d):
     end.write.mode("append").parquet(f"{base}/in")
     run()
     return workflow.last(own.read.option("basePath", f"{base}/out").parquet(f"{base}/out")).select(*_REVIEWED)
+
+
+_SPANS = """p AS (SELECT l_partkey % 10 AS grp, l_orderkey AS ord, l_linenumber FROM lineitem),
+  i AS (SELECT o_custkey % 10 AS grp, o_orderkey AS first, o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 2000 ELSE o_orderkey % 5 END AS last FROM orders)"""
+
+
+def _spans(spark, d):
+    points = table(spark, d, "lineitem").select((F.col("l_partkey") % 10).alias("grp"), F.col("l_orderkey").alias("ord"))
+    wide = F.when(F.col("o_orderkey") % 50 == 0, 2000).otherwise(F.col("o_orderkey") % 5)
+    return points, table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("grp"), F.col("o_orderkey").alias("first"), (F.col("o_orderkey") + wide).alias("last"))
+
+
+@query(f"WITH {_SPANS} SELECT grp, count(*)::BIGINT AS rows, count(*) FILTER (EXISTS (SELECT 1 FROM i WHERE i.grp = p.grp AND p.ord BETWEEN i.first AND i.last))::BIGINT AS inside FROM p GROUP BY 1")
+def rows_in_intervals(spark, d):
+    """Order lines inside any of their group's many intervals, which overlap."""
+    points, spans = _spans(spark, d)
+    return intervals.marked(points, spans, ["grp"], "ord", "inside").groupBy("grp").agg(F.count("*").alias("rows"), F.count_if("inside").alias("inside"))
+
+
+@query(f"WITH {_SPANS} SELECT p.grp AS grp, count(*)::BIGINT AS pairs, sum(p.ord - i.first)::BIGINT AS distance FROM p JOIN i ON i.grp = p.grp AND p.ord BETWEEN i.first AND i.last GROUP BY 1")
+def interval_pairs(spark, d):
+    """Every pair of a line and an interval of its group that holds it."""
+    points, spans = _spans(spark, d)
+    return intervals.joined(points, spans, ["grp"], "ord").groupBy("grp").agg(F.count("*").alias("pairs"), F.sum(F.col("ord") - F.col("first")).alias("distance"))

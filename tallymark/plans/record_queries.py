@@ -250,11 +250,12 @@ def searched_findings(spark, d):
     return lines.withColumn("id", match).join(found, ["l_orderkey", "l_suppkey", "id"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("""WITH f AS (SELECT l_suppkey AS file_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_quantity > 45 THEN 0 WHEN l_quantity > 35 THEN 1 WHEN l_quantity > 25 THEN 2 WHEN l_quantity > 10 THEN 3 ELSE 4 END) AS k,
-    count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
-  SELECT file_id, count(*)::BIGINT AS rows, max(ceil(n / 20.0))::BIGINT AS pages FROM f WHERE k BETWEEN 21 AND 40 GROUP BY 1""")
+@query("""WITH f AS (SELECT l_suppkey AS file_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_shipdate) AS finding_id, count(*) OVER (PARTITION BY l_suppkey) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY
+      CASE WHEN l_quantity > 45 THEN 0 WHEN l_quantity > 35 THEN 1 WHEN l_quantity > 25 THEN 2 WHEN l_quantity > 10 THEN 3 ELSE 4 END, l_orderkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_shipdate)) AS k FROM lineitem)
+  SELECT file_id, finding_id, k::BIGINT AS place, ceil(n / 20.0)::BIGINT AS pages FROM f WHERE k BETWEEN 21 AND 40""")
 def findings_page(spark, d):
-    return findings.page(_findings(spark, d), 2).groupBy("file_id").agg(F.count("*").alias("rows"), F.max("pages").alias("pages"))
+    """The second page of each file: which findings are on it, and in which place."""
+    return findings.page(_findings(spark, d), 2).select("file_id", "finding_id", F.col("place").cast("long").alias("place"), "pages")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, max(greatest(0, least(99, floor(value)))) OVER w AS p, bool_or(event_type = 'purchase') OVER w AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
@@ -557,13 +558,22 @@ def membership_changes(spark, d):
     return team.membership(request, _members(spark, d), most=30).groupBy("outcome").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT o_custkey % 9 AS grp, count(*)::BIGINT AS cases FROM orders GROUP BY 1")
+@query("""WITH RECURSIVE crew AS (SELECT s_nationkey AS nation, list(s_suppkey ORDER BY s_suppkey) AS who, list((s_suppkey % 5 * 10)::BIGINT ORDER BY s_suppkey) AS load FROM supplier GROUP BY 1),
+  g AS (SELECT nation, grp, n, row_number() OVER (PARTITION BY nation ORDER BY n DESC, grp) AS k FROM (SELECT c_nationkey AS nation, o_custkey % 7 AS grp, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)),
+  s AS (SELECT nation, 0::BIGINT AS k, load, NULL::BIGINT AS grp, 0::BIGINT AS pick, 0::BIGINT AS n FROM crew
+    UNION ALL SELECT nation, k, list_transform(load, lambda x, i: CASE WHEN i = pick THEN x + n ELSE x END), grp, pick, n
+    FROM (SELECT s.nation, g.k, s.load, g.grp, CASE WHEN g.grp = 3 THEN len(s.load) ELSE list_position(s.load, list_min(s.load)) END AS pick, g.n FROM s JOIN g ON g.nation = s.nation AND g.k = s.k + 1))
+  SELECT nation, grp, who[pick] AS reviewer, n::BIGINT AS cases FROM s JOIN crew USING (nation) WHERE k > 0""")
 def assign_groups(spark, d):
-    """Whole groups dealt to reviewers: each to one, all cases of it."""
-    cases = table(spark, d, "orders").select((F.col("o_custkey") % 9).alias("grp"))
-    crew = spark.createDataFrame([("a", 0, 0), ("b", 1, 0), ("c", 2, 50)], "reviewer_id string, place int, load long")
-    holders = spark.createDataFrame([(3, "b"), (0, "a")], "grp long, reviewer_id string")
-    return team.by_group(cases, crew, holders).where("reviewer_id IS NOT NULL").select("grp", "cases")
+    """Whole groups dealt to the reviewers of each nation's team, some loaded before; one group stays with the last of them."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    cases = table(spark, d, "orders").join(customers, "o_custkey").select("nation", (F.col("o_custkey") % 7).cast("long").alias("grp"))
+    who = F.col("s_suppkey").cast("string").alias("reviewer_id")
+    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    crew = suppliers.select("nation", who, F.col("s_suppkey").alias("place"), (F.col("s_suppkey") % 5 * 10).alias("load"))
+    holders = suppliers.groupBy("nation").agg(F.max("s_suppkey").alias("s_suppkey")).select("nation", F.lit(3).cast("long").alias("grp"), who)
+    out = team.by_group(cases, crew, holders, ["nation"])
+    return out.select("nation", "grp", F.col("reviewer_id").cast("long").alias("reviewer"), "cases")
 
 
 @query("""SELECT user_id, count(*)::BIGINT AS records FROM events WHERE user_id % 4 = 0 GROUP BY 1""")

@@ -169,7 +169,7 @@ _RANK = "CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '
 
 @query(f"SELECT o_custkey AS file_id, o_orderkey AS input_index, {_RANK} AS rank, row_number() OVER (PARTITION BY o_custkey ORDER BY {_RANK}, o_orderkey)::INTEGER AS place FROM orders")
 def priority_queue(spark, d):
-    return structure.priority(_findings(spark, d)).select("file_id", "input_index", "rank", "place")
+    return structure.priority(_findings(spark, d)).select("file_id", "input_index", "rank", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH o AS (SELECT o_custkey AS file_id, {_SEV} AS s FROM orders) SELECT file_id, count(*)::BIGINT AS total, count(*) FILTER (s IN ('critical', 'high', 'medium'))::BIGINT AS priority,

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import random
+from collections import Counter
 import zipfile
 
 import pytest
@@ -42,12 +43,29 @@ def test_balanced_deal_equals_one_after_the_other(spark, seed):
 
 
 def test_group_deal_keeps_groups_and_holders(spark):
-    todo = spark.createDataFrame([(g,) for g in (1, 1, 1, 2, 2, 3, 0)], "grp long")
-    crew = spark.createDataFrame([("a", 0, 0), ("b", 1, 0)], "reviewer_id string, place int, load long")
-    held = spark.createDataFrame([(3, "a"), (0, "b")], "grp long, reviewer_id string")
-    assert {r.grp: r.reviewer_id for r in team.by_group(todo, crew, held).collect()} == {1: "a", 2: "b", 0: "b", 3: "a"}
-    with pytest.raises(ValueError):
-        team.by_group(todo, crew, held, most_groups=2)
+    todo = spark.createDataFrame([("t", g) for g in (1, 1, 1, 2, 2, 3, 0)] + [("u", 5), ("u", 6), ("none", 1)], "team string, grp long")
+    crew = spark.createDataFrame([("t", "a", 0, 0), ("t", "b", 1, 0), ("u", "c", 0, 3), ("u", "d", 1, 3), ("idle", "e", 0, 0)], "team string, reviewer_id string, place int, load long")
+    held = spark.createDataFrame([("t", 3, "a"), ("t", 0, "b"), ("u", 6, "d"), ("u", 5, "gone")], "team string, grp long, reviewer_id string")
+    got = {(r.team, r.grp): (r.reviewer_id, r.cases) for r in team.by_group(todo, crew, held, ["team"]).collect()}
+    assert got == {("t", 1): ("a", 3), ("t", 2): ("b", 2), ("t", 0): ("b", 1), ("t", 3): ("a", 1), ("u", 5): ("c", 1), ("u", 6): ("d", 1)}
+
+
+def test_group_deal_equals_a_plain_fold(spark):
+    rng = random.Random(6)
+    todo = [(t, g) for t in range(4) for g in range(40) for _ in range(rng.randint(1, 9))]
+    crew = [(t, f"r{t}-{k}", k, rng.randint(0, 4)) for t in range(4) for k in range(5)]
+    held = [(t, g, f"r{t}-{rng.randrange(5)}") for t in range(4) for g in range(0, 40, 3)]
+    expect = {}
+    for t in range(4):
+        load = {who: n for team_, who, _, n in crew if team_ == t}
+        sizes = Counter(g for team_, g in todo if team_ == t)
+        holder = {g: who for team_, g, who in held if team_ == t and g}
+        for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+            who = holder.get(g) or min(load, key=lambda w: (load[w], int(w.split("-")[1])))
+            load[who] += sizes[g]
+            expect[t, g] = who
+    frames = [spark.createDataFrame(x, s) for x, s in ((todo, "team long, grp long"), (crew, "team long, reviewer_id string, place int, load long"), (held, "team long, grp long, reviewer_id string"))]
+    assert {(r.team, r.grp): r.reviewer_id for r in team.by_group(*frames, ["team"]).collect()} == expect
 
 
 def test_permissions_and_verdicts(spark):
