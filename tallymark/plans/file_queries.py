@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
-from ..operators import coverage, index, intervals, structure
+from ..operators import coverage, index, intervals, packages, structure
 from ..sources import landed, pieces
 from ..streaming import workflow
 from ..streaming.store import FindingsStore
@@ -246,3 +246,31 @@ def interval_pairs(spark, d):
     """Every pair of a line and an interval of its group that holds it."""
     points, spans = _spans(spark, d)
     return intervals.joined(points, spans, ["grp"], "ord").groupBy("grp").agg(F.count("*").alias("pairs"), F.sum(F.col("ord") - F.col("first")).alias("distance"))
+
+
+def _packages(spark, d):
+    """A submission of each user with an item for each of the user's events; those of eight users in ten break a rule."""
+    k = F.col("user_id") % 10
+    item = F.struct(F.sha2(F.col("event_id").cast("string"), 256).alias("fingerprint"), F.col("event_type").alias("decision"), F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("note"))
+    users = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    text = lambda wrong, at, right: F.when(k == at, F.lit(wrong)).otherwise(F.lit(right))
+    made = F.to_json(F.struct(
+        text("another", 1, packages.FORMAT).alias("format"), F.when(k == 2, 7).otherwise(1).alias("version"), text("letter", 3, "submission").alias("kind"), text("short", 4, "0" * 16).alias("projectId"),
+        F.lit("a" * 64).alias("runKey"), F.struct(F.when(k == 5, F.lit("nobody")).otherwise(F.concat(F.lit("m-"), F.lpad(F.col("user_id").cast("string"), 8, "0"))).alias("memberId")).alias("from"),
+        F.when(k != 6, F.col("items")).alias("items"),
+    ))
+    content = F.when(k == 7, F.substring(made, 1, 50)).when(k == 8, F.concat(made, F.repeat(F.lit(" "), packages.MOST_BYTES))).otherwise(made)
+    return users.select(F.col("user_id").cast("string").alias("name"), F.encode(content, "UTF-8").alias("content"))
+
+
+@query("""SELECT user_id::VARCHAR AS name, CASE user_id % 10 WHEN 1 THEN 'not_team_file' WHEN 2 THEN 'version' WHEN 3 THEN 'kind' WHEN 4 THEN 'ids' WHEN 5 THEN 'from' WHEN 6 THEN 'shape' WHEN 7 THEN 'invalid_json' WHEN 8 THEN 'too_large' END AS refusal
+  FROM (SELECT DISTINCT user_id FROM events)""")
+def package_refusals(spark, d):
+    """Each user's package with what it is refused for."""
+    return packages.parsed(_packages(spark, d)).select("name", "refusal")
+
+
+@query("""SELECT 'm-' || lpad(user_id::VARCHAR, 8, '0') AS reviewer_id, sha256(event_id::VARCHAR) AS fingerprint, event_type AS decision, 'note ' || event_id AS note FROM events WHERE user_id % 10 IN (0, 9)""")
+def package_items(spark, d):
+    """The items of the packages that aren't refused."""
+    return packages.items(packages.parsed(_packages(spark, d))).select("reviewer_id", "fingerprint", "decision", "note")
