@@ -8,7 +8,9 @@ hash-seeded Bernoulli copy whose probability is the fraction of the rate.
 
 Nulls: a null text has size 0; a null source is a source of its own and comes last; a
 null doc_id draws by the empty string. A draw is seeded by id and text, so rows that
-share an id draw apart; rows equal in both draw alike and are counted alike. An empty
+share an id draw apart. Rows of a source equal in both are numbered, and the draw of the
+k-th is turned on by k times the golden ratio, so that together they come near their
+share whatever their number; which of them is the k-th is left open. An empty
 table gives no rows. Other columns pass through ``mix`` untouched, whatever their names.
 """
 
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.ranks import ranked
+
 from .common import beside, checkpointed, columns_of, table
 
 #: Weights that sources take in turn, in the order of their names.
@@ -26,6 +30,10 @@ SHARE = 1.5
 #: Most times that a source is repeated.
 MOST = 2
 SEED = "mix-1"
+#: What the draws of equal rows differ by; its multiples fill the unit evenly.
+TURN = 0.6180339887498949
+#: Repeated keys up to which they are broadcast (under 10 MB).
+BROADCAST_KEYS = 100_000
 #: Targets are broadcast up to so many sources (under 8 MB), and joined beyond.
 BROADCAST_SOURCES = 100_000
 
@@ -74,15 +82,36 @@ def targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return rows.select("source", "source_size", capped.alias("target"))
 
 
+def _among_equals(rows: DataFrame) -> DataFrame:
+    """Rows with ``k``, their number among those that share their ``key``, from 1.
+
+    Most keys have one row. Those of the others are found by counts, and only their rows are
+    dealt out and numbered, in ranges, so that not all equal rows meet in one task.
+    """
+    again = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("again")))
+    n = again.count()
+    if not n:
+        return rows.withColumn("k", F.lit(1))
+    told = rows.join(F.broadcast(again) if n <= BROADCAST_KEYS else again, "key", "left")
+    once = told.where("again IS NULL").drop("again").withColumn("k", F.lit(1))
+    more = told.where("again").drop("again").withColumn("at", F.monotonically_increasing_id())
+    return once.unionByName(ranked(more, ["key"], [F.col("at")], "k").drop("at"))
+
+
 def _planned(docs: DataFrame, seed: str, **how) -> DataFrame:
     """Rows (row, source_size, target, copies): ``docs`` as structs, and what the mix takes of each."""
     aims = checkpointed(targets(docs, **how)).select(F.col("source").alias("name"), "source_size", "target")
     if aims.count() <= BROADCAST_SOURCES:
         aims = F.broadcast(aims)
-    joined = docs.select(beside(docs).alias("row")).join(aims, F.col("row.source").eqNullSafe(F.col("name")), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     id_, text = (F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("")) for c in ("doc_id", "text"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), id_, F.lit(":"), text)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    seeded = F.md5(F.concat(F.lit(seed + ":"), id_, F.lit(":"), text))
+    rows = docs.select(beside(docs).alias("row")).withColumn("seeded", seeded)
+    rows = rows.withColumn("key", F.concat("seeded", F.hex(F.xxhash64(F.col("row.source"))), F.col("row.source").isNull().cast("string")))
+    joined = _among_equals(rows).join(aims, F.col("row.source").eqNullSafe(F.col("name")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    first = F.conv(F.substring("seeded", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    turned = first + (F.col("k") - 1) * F.lit(TURN)
+    draw = turned - F.floor(turned)
     copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
     return joined.select("row", "source_size", "target", copies.alias("copies"))
 
@@ -125,11 +154,13 @@ aims AS (
   SELECT source, source_size,
     CASE WHEN f.rest * w >= cap * f.w_rest THEN cap ELSE least(cap, level.rest / level.w_rest * w) END AS target
   FROM filled f LEFT JOIN level ON true),
-drawn AS (
+turned AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-  FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source)
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+      + (row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), sized.source) - 1) * 0.6180339887498949::DOUBLE AS turn
+  FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source),
+drawn AS (SELECT *, turn - floor(turn) AS draw FROM turned)
 SELECT doc_id, size, source_size, target,
   size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM drawn

@@ -591,6 +591,25 @@ def test_mix_repeats_rows_as_planned(spark):
     assert +got == +plan
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
+@pytest.mark.parametrize("share", [0.2, 1.0, 1.5])
+def test_equal_rows_come_near_their_target_together(spark, monkeypatch, share, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_KEYS", limit)
+    rows = [{"doc_id": 1, "text": "one two", "source": "a"}] * 1000 + [{"doc_id": 1, "text": "one two", "source": None}] * 300 + [{"doc_id": i, "text": "x " * (i % 5), "source": "b"} for i in range(900)]
+    docs = frame(spark, rows)
+    taken, target, seen = Counter(), {}, Counter()
+    for r in collect(mixing.plan(docs, share=share)):
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+        seen[r["source_size"]] += 1
+        assert r["taken"] <= 2 * r["size"]
+    assert seen == {2000: 1000, 600: 300, 1800: 900}
+    for size in (2000, 600):
+        assert abs(taken[size] - target[size]) <= 0.02 * target[size] + 4
+    mixed = Counter((r["source"], r["doc_id"]) for r in collect(mixing.mix(docs, share=share)))
+    assert mixed["a", 1] * 2 == taken[2000] and mixed[None, 1] * 2 == taken[600]
+
+
 def test_licences_of_long_package_lists_take_linear_time(spark):
     import time
 
