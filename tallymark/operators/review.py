@@ -203,7 +203,8 @@ def retrieved_rows_checked(rows: DataFrame, host: str, book: int, source_kind: s
     """
     c = F.col
     sha = "(?i)^[a-f0-9]{64}$"
-    copies = F.count("*").over(Window.partitionBy("id"))
+    counted = _with_claims(rows)
+    copies = c("__claims")
     path = official_url(c("source_url"), host)
     one, all_ = F.concat(F.lit(f"/v1/translation/{book}/"), c("grp"), F.lit("/"), c("ord")), F.concat(F.lit(f"/v1/translation/{book}/"), c("grp"))
     text = T.meaningful(c("text"))
@@ -216,16 +217,23 @@ def retrieved_rows_checked(rows: DataFrame, host: str, book: int, source_kind: s
         text & hashed & (F.sha2("text", 256) != F.lower("normalized_sha256")), given.isNotNull() & raw & (F.sha2(given, 256) != F.lower("raw_sha256")),
     )
     failures = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), name) for name, t in zip(ROW_FAILURES, tests, strict=True)]))
-    return rows.withColumn("failures", failures).withColumn("eligible", F.size("failures") == 0).withColumn("scholarly_approval", F.lit("none"))
+    out = counted.withColumn("failures", failures).drop("__claims")
+    return out.withColumn("eligible", F.size("failures") == 0).withColumn("scholarly_approval", F.lit("none"))
+
+
+def _with_claims(rows: DataFrame) -> DataFrame:
+    """Keyed rows with ``__claims``: how many valid ones have their identifier, counted before the join; rows without one are spread over all tasks."""
+    claimed = rows.where("valid").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__claims"))
+    spread = F.coalesce("id", F.concat(F.lit("#"), F.xxhash64("row_number", "group_raw", "ordinal_raw").cast("string")))
+    return rows.withColumn("__id", spread).join(claimed, "__id", "left").drop("__id")
 
 
 def comparable(rows: DataFrame) -> DataFrame:
     """Keyed reference rows with can_compare and why not: an identifier of their own and a text are all that it takes."""
-    copies = rows.where("valid").groupBy("id").agg(F.count("*").alias("copies"))
-    out = rows.join(copies, "id", "left")
+    out = _with_claims(rows)
     told = T.meaningful(F.col("text"))
-    problem = F.when(~F.col("valid"), "comparison_id_invalid").when(F.col("copies") > 1, "comparison_id_duplicate").when(~told, "comparison_text_empty")
-    return out.withColumn("comparison_problem", problem).withColumn("can_compare", problem.isNull()).drop("copies")
+    problem = F.when(~F.col("valid"), "comparison_id_invalid").when(F.col("__claims") > 1, "comparison_id_duplicate").when(~told, "comparison_text_empty")
+    return out.withColumn("comparison_problem", problem).withColumn("can_compare", problem.isNull()).drop("__claims")
 
 
 def declared_rows_checked(rows: DataFrame, source_kind: str, synthetic: bool = False) -> DataFrame:
