@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import unicodedata
+from decimal import Decimal
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -49,18 +51,36 @@ VOLATILE = frozenset(
 )
 
 
-def canonical(value, semantic: bool = False) -> str:
-    """JSON with sorted keys and no spaces; semantic: without volatile keys. Non-finite numbers are refused."""
-    def cleaned(x, depth=0):
-        if depth > 60:
-            raise ValueError("nested too deeply")
-        if isinstance(x, dict):
-            return {k: cleaned(v, depth + 1) for k, v in x.items() if not (semantic and k in VOLATILE)}
-        if isinstance(x, list):
-            return [cleaned(v, depth + 1) for v in x]
-        return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 1e21 else x
-
-    return json.dumps(cleaned(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+def number(x: float) -> str:
+    """A finite number in JavaScript's form: the fewest digits, an exponent from 1e21 and below 1e-6."""
+    if not math.isfinite(x):
+        raise ValueError("a number that isn't finite has no canonical form")
+    if x == 0:
+        return "0"
+    _, said, power = Decimal(repr(x)).normalize().as_tuple()
+    digits, point = "".join(map(str, said)), len(said) + power
+    if len(digits) <= point <= 21:
+        out = digits.ljust(point, "0")
+    elif 0 < point <= 21:
+        out = f"{digits[:point]}.{digits[point:]}"
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + digits
+    else:
+        out = digits[0] + ("." if digits[1:] else "") + digits[1:] + f"e{point - 1:+d}"
+    return "-" * (x < 0) + out
+
+
+def canonical(value, semantic: bool = False, depth: int = 0) -> str:
+    """JSON with keys sorted by UTF-16 units and no spaces; semantic: without volatile keys. Non-finite numbers are refused."""
+    if depth > 60:
+        raise ValueError("nested too deeply")
+    text = lambda x: json.dumps(x, ensure_ascii=False, allow_nan=False)
+    if isinstance(value, dict):
+        keys = sorted((k for k in value if not (semantic and k in VOLATILE)), key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{text(k)}:{canonical(value[k], semantic, depth + 1)}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(canonical(v, semantic, depth + 1) for v in value) + "]"
+    return number(value) if isinstance(value, float) else text(value)
 
 
 def _canonical_json(text):
