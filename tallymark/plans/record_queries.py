@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import baseline, findings, index, manifest, review, revision, semantic, structure, team
+from ..operators.ranks import ranked
 from ..sources import files, reference, samples
+from ..sources.matrix import MAX_ROWS
 from .shipping import ship
 from .tables import lines_as_rows, order_sizes, table, turns_as_rows
 
@@ -707,8 +709,10 @@ def file_previews(spark, d):
 
 
 def _workbooks(spark, d):
-    """Each brand's parts as a workbook, packed on the executors."""
-    parts = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size", "p_name"))).alias("rows"))
+    """Each brand's parts as workbooks, packed on the executors: as many as the limit of rows asks for, the first with headings."""
+    cells = ["p_partkey", "p_size", "p_name"]
+    parts = ranked(table(spark, d, "part").select("p_brand", *cells), ["p_brand"], [F.col(c) for c in cells], "place")
+    parts = parts.groupBy("p_brand", F.floor((F.col("place") - 1) / MAX_ROWS).alias("book")).agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("rows"))
 
     def pack(batches):
         import io
@@ -720,8 +724,8 @@ def _workbooks(spark, d):
         links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
         for batch in batches:
             names, out = [], []
-            for brand, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells = [["chapter", "verse", "translation"], *[[r["p_partkey"] + 1, r["p_size"], r["p_name"]] for r in rows]]
+            for brand, book, rows in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                cells = [["chapter", "verse", "translation"]] * (book == 0) + [[r["p_partkey"] + 1, r["p_size"], r["p_name"]] for r in rows]
                 cell = lambda x: f"<c><v>{x}</v></c>" if isinstance(x, int) else f'<c t="inlineStr"><is><t>{x}</t></is></c>'
                 sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in cells)
                 body = io.BytesIO()
@@ -729,7 +733,7 @@ def _workbooks(spark, d):
                     z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
                     z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
                     z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
-                names.append(f"{brand.replace('#', '-')}.xlsx")
+                names.append(f"{brand.replace('#', '-')}.{book}.xlsx")
                 out.append(body.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["path", "content"])
 
@@ -749,4 +753,5 @@ def workbook_cells(spark, d):
     files.register(spark)
     _workbooks(spark, d).createOrReplaceTempView("tallymark_workbooks")
     out = spark.sql("SELECT path, count(*) AS cells FROM tallymark_workbooks, LATERAL parse_workbook(content) GROUP BY path")
-    return out.select(F.replace(F.regexp_extract("path", "^(.*)[.]xlsx$", 1), F.lit("-"), F.lit("#")).alias("p_brand"), "cells")
+    brand = F.replace(F.regexp_extract("path", "^(.*)[.][0-9]+[.]xlsx$", 1), F.lit("-"), F.lit("#"))
+    return out.groupBy(brand.alias("p_brand")).agg(F.sum("cells").alias("cells"))
