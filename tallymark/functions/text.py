@@ -71,7 +71,8 @@ def merged_range(text: Column) -> Column:
 
 def meaningful(text: Column) -> Column:
     """Whether anything is left without format controls and white space; false for null."""
-    return F.coalesce(F.length(trimmed(F.regexp_replace(text, FORMAT_CONTROLS, ""))) > 0, F.lit(False))
+    # stops at the first character that counts
+    return F.coalesce(text.rlike(f"[^{FORMAT_CONTROLS[1:-1]}{SPACE}]"), F.lit(False))
 
 
 def language_base(language: Column) -> Column:
@@ -100,7 +101,8 @@ def token_values(text: Column) -> Column:
     """
     def value(t: Column) -> Column:
         low = F.translate(F.lower(t), "’", "'")
-        return F.when(low.rlike(r"\p{IsArabic}"), F.regexp_replace(low, r"[\p{M}ـ]", "")).otherwise(low)
+        # a pattern is tried on what isn't ASCII only
+        return F.when((F.octet_length(low) > F.length(low)) & low.rlike(r"\p{IsArabic}"), F.regexp_replace(low, r"[\p{M}ـ]", "")).otherwise(low)
 
     return F.transform(tokens(text), value)
 
@@ -120,8 +122,7 @@ def negation_count(values: Column, language: str | None) -> Column:
     markers = NEGATIONS_AR if language == "ar" else NEGATIONS_EN if language in (None, "", "en") else None
     if markers is None:
         return F.lit(None).cast("int")
-    listed = F.array(*[F.lit(m) for m in markers])
-    return F.size(F.filter(values, lambda v: F.array_contains(listed, v)))
+    return F.size(F.filter(values, lambda v: v.isin(*markers)))
 
 
 def code_point(character: Column) -> Column:
@@ -142,10 +143,13 @@ def hygiene(text: Column, language: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     latin = language_base(language).isin(*LATIN_LANGUAGES)
 
+    none = F.array().cast("array<string>")
+    # what the other patterns look for lies outside of Latin letters, the soft hyphen apart
+    odd = (F.octet_length(text) > F.length(text)) & text.rlike(r"[^\u0000-\u00ac\u00ae-\u024f]")
+
     def every(pattern: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(f"({pattern})"))
+        return F.when(odd, F.regexp_extract_all(text, F.lit(f"({pattern})"))).otherwise(none)
 
-    none = F.array().cast("array<string>")
     mixed = F.filter(every(WORD), lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"))
 
     def strangers(word: Column) -> Column:
@@ -154,7 +158,7 @@ def hygiene(text: Column, language: Column) -> Column:
 
     # (?i) inside a group applies to the rest of it
     issues = F.array(
-        _issue("markup", F.regexp_extract_all(text, F.lit(f"({MARKUP})"))),
+        _issue("markup", F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), F.regexp_extract_all(text, F.lit(f"({MARKUP})"))).otherwise(none)),
         _issue("hidden_controls", every(HIDDEN), code_point),
         _issue("directional_marks", F.when(latin, every(JOINERS)).otherwise(none), code_point),
         _issue("foreign_script", F.when(latin, every(ARABIC_RUN)).otherwise(none), lambda _: F.lit("Arabic script")),

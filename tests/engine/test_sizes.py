@@ -11,3 +11,48 @@ def test_workbooks_keep_the_limit_of_rows(spark, tmp_path):
     assert {tuple(r) for r in q.workbook_cells(spark, str(tmp_path)).collect()} == {("Brand#1", 3 * (n - 2) + 3), ("Brand#2", 9)}
     rows = q.workbook_round_trip(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, rows)) == sorted((k + 1, str(k % 50), "plate") for k in range(n))
+
+
+def test_qualifiers_of_a_long_text_take_linear_time():
+    """Many markers and no negation before them: each looked back over the whole text."""
+    import time
+
+    from tallymark.functions import qualifiers
+
+    text = "all must go before noon " * 10_000
+    start = time.process_time()
+    markers, reasons = qualifiers.inventory(text + "not")
+    assert time.process_time() - start < 10
+    assert len(markers) == 30_000 and not any(r["reason"].startswith("nonadjacent") for r in reasons)
+    # the first negation counts from the second token behind it on
+    assert [r["reason"] for r in qualifiers.inventory("not so all")[1]] == ["nonadjacent_negation_scope_not_supported"]
+    assert [r["reason"] for r in qualifiers.inventory("not all")[1]] == ["negated_marker_scope_not_supported"]
+
+
+def test_tokens_of_ascii_text_are_those_of_any_text():
+    """Text of ASCII only has a pattern of its own; behind a foreign letter the general one reads the same."""
+    import random
+
+    from tallymark.functions import qualifiers, quantity
+
+    rng = random.Random(1)
+    for _ in range(2_000):
+        text = "".join(rng.choice("aB1 0.,+-eE'%_/\t\x1c\x0b^<five") for _ in range(rng.randint(0, 30)))
+        for module in (quantity, qualifiers):
+            general = [t for t in module.tokenise("é " + text)][1:]
+            assert [(t.text, t.value, t.start, t.end) for t in module.tokenise(text)] == [(t.text, t.value, t.start - 2, t.end - 2) for t in general]
+
+
+def test_cheap_tests_of_characters_tell_what_the_patterns_tell(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.functions import text as T
+
+    texts = ["", " \t\u3000", "\u200b", "\u200b \ufeff", " x ", "\n", "a<b>c", "a & b", "&amp;", "soft\u00adhyphen", "caf\u00e9", "p\u0430y", "see \u0633\u0644\u0627\u0645", "a\u200eb", "\u034f", "it\u2019s not"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", T.meaningful(F.col("t")).alias("m"), T.hygiene(F.col("t"), F.lit("en"))["kind"].alias("k"), T.negation_count(T.token_values(F.col("t")), "en").alias("n")).collect()
+    kinds = {"a<b>c": ["markup"], "&amp;": ["markup"], "soft\u00adhyphen": ["hidden_controls"], "p\u0430y": ["mixed_script_word"], "see \u0633\u0644\u0627\u0645": ["foreign_script"], "a\u200eb": ["directional_marks"]}
+    for r in got:
+        assert r.m == bool(r.t.replace("\u200b", "").replace("\ufeff", "").replace("\u200e", "").strip()), repr(r.t)
+        assert r.t in ("\u034f", "\u200b", "\u200b \ufeff") or r.k == kinds.get(r.t, []), repr(r.t)
+        assert r.n == ("not" in r.t)
