@@ -56,3 +56,55 @@ def test_cheap_tests_of_characters_tell_what_the_patterns_tell(spark):
         assert r.m == bool(r.t.replace("\u200b", "").replace("\ufeff", "").replace("\u200e", "").strip()), repr(r.t)
         assert r.t in ("\u034f", "\u200b", "\u200b \ufeff") or r.k == kinds.get(r.t, []), repr(r.t)
         assert r.n == ("not" in r.t)
+
+
+class _State:
+    """A state that counts what goes to and from it."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, []
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    put = update
+
+    def appendList(self, values):  # noqa: N802
+        self.update([*(self.value or []), *values])
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_a_case_goes_to_its_state_once_for_all_its_messages():
+    """Each message was a call to the state, and each time a timer that read all that waited."""
+    import datetime
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from tallymark.streaming import workflow
+
+    at = lambda k: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(minutes=k)
+    rows = [Row(case_id="c", message_id=f"m{k}", kind="assign", at=at(k), decision=None, verdict=None, note=None, severity=None) for k in range(500)]
+    p = workflow.CaseProcessor()
+    p.handle = p.case = _State()
+    p.waiting, p.history, p.handle = _State(), _State(), _State()
+    list(p.handleInputRows(("c",), iter(rows + rows[:9]), None))
+    assert p.waiting.calls == 1 and p.handle.timers == [workflow._millis(at(0))]
+    now = lambda k: SimpleNamespace(getCurrentWatermarkInMs=lambda: workflow._millis(at(k)))
+    expired = lambda k: SimpleNamespace(getExpiryTimeInMs=lambda: workflow._millis(at(k)))
+    (first,) = p.handleExpiredTimer(("c",), now(399), expired(0))
+    assert first.applied == 400 and p.handle.timers[-1] == workflow._millis(at(400)) and len(p.waiting.value) == 100
+    (second,) = p.handleExpiredTimer(("c",), now(600), expired(400))
+    assert second.applied == 500 and p.waiting.value is None
