@@ -4,7 +4,8 @@
 merged where they overlap and cut to cells of one width, a row each with what lies in it; a
 point meets one cell at most, so points are neither multiplied nor crossed with intervals.
 ``joined`` gives every pair. An interval is as wide as a cell of its own level or less, so it
-lies in two cells at most, and a point looks into one cell of each level that there is.
+lies in two cells at most, and a point looks into one cell of each level that there is. Levels
+are four bits apart: a point moves once for each, while what a wider cell adds is tested in place.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a position within a cell of ``marked``, and of the widest cells of ``joined``.
 CELL, WIDEST = 12, 20
+#: Levels of ``joined`` lie so many bits apart, so a point looks into few cells: six at most.
+STEP = 4
 #: Cells up to which they are broadcast (under 64 MB); beyond, they meet points by shuffle.
 BROADCAST_CELLS = 500_000
 
@@ -54,8 +57,9 @@ def marked(points: DataFrame, intervals: DataFrame, by: list[str], at: str, name
 
 
 def _level(width: Column) -> Column:
-    """The least k with 2^k >= width, at most WIDEST."""
-    return F.least(F.length(F.bin(width - 1)) * (width > 1).cast("int"), F.lit(WIDEST))
+    """The least multiple k of STEP with 2^k >= width, at most WIDEST."""
+    bits = F.length(F.bin(width - 1)) * (width > 1).cast("int")
+    return F.least(F.ceil(bits / STEP).cast("int") * STEP, F.lit(WIDEST))
 
 
 def joined(points: DataFrame, intervals: DataFrame, by: list[str], at: str) -> DataFrame:
@@ -64,7 +68,7 @@ def joined(points: DataFrame, intervals: DataFrame, by: list[str], at: str) -> D
     Columns are those of the points, then those of the intervals that aren't in ``by``.
     """
     fine = intervals.where("first <= last").withColumn("__level", _level(F.col("last") - F.col("first") + 1))
-    levels = [r[0] for r in fine.select("__level").distinct().collect()]  # WIDEST + 1 at most
+    levels = [r[0] for r in fine.select("__level").distinct().collect()]  # WIDEST / STEP + 1 at most
     if not levels:
         levels = [0]
     shifted = lambda c, k: F.call_function("shiftright", F.col(c).cast("long"), k)
