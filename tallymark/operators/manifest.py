@@ -17,10 +17,11 @@ def rows_digest(rows: DataFrame, by: list[str], columns: tuple[str, ...] = MAPPE
     A digest of one joined text would need all rows of a file in one place; here a task
     holds one stride of 64-letter digests, and the last step one digest a stride.
     """
-    one = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    # digests move as 32 bytes and are read as 64 letters where they are joined
+    one = F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
     strides = rows.select(*by, F.floor(F.col(order) / stride).alias("stride"), F.col(order).alias("at"), one.alias("sha"))
-    joined = lambda at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "sha"))), lambda x: x["sha"]), ""), 256)
-    strides = strides.groupBy(*by, "stride").agg(F.count("*").alias("n"), joined("at").alias("sha"))
+    joined = lambda at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "sha"))), lambda x: F.lower(F.hex(x["sha"]))), ""), 256)
+    strides = strides.groupBy(*by, "stride").agg(F.count("*").alias("n"), F.unhex(joined("at")).alias("sha"))
     return strides.groupBy(*by).agg(F.sum("n").alias("rows"), joined("stride").alias("sha256"))
 
 
