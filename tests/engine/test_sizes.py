@@ -108,3 +108,13 @@ def test_a_case_goes_to_its_state_once_for_all_its_messages():
     assert first.applied == 400 and p.handle.timers[-1] == workflow._millis(at(400)) and len(p.waiting.value) == 100
     (second,) = p.handleExpiredTimer(("c",), now(600), expired(400))
     assert second.applied == 500 and p.waiting.value is None
+
+
+def test_points_look_into_few_cells(spark):
+    """Intervals of any width lie in six levels, not 21."""
+    from pyspark.sql import functions as F
+
+    from tallymark.operators import intervals
+
+    got = {r.w: r.k for r in spark.range(1, 3_000).select(F.col("id").alias("w"), intervals._level(F.col("id")).alias("k")).collect()}
+    assert set(got.values()) == {0, 4, 8, 12} and all(2**k >= w for w, k in got.items())
