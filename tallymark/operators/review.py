@@ -11,6 +11,8 @@ INSPECTED = ("structural", "comparison")
 DECISIONS = ("accept", "reject", "refer")
 KEPT_UNAPPLIED = 500
 HISTORY = 12
+#: Keywords that are broadcast; with more of them the questions' words are moved.
+SMALL_ENTRIES = 100_000
 TEACHING, TEACHING_MARK = "synthetic-teaching", "SYNTHETIC TRAINING TEXT"
 _HEX64 = "^[a-f0-9]{64}$"
 
@@ -310,29 +312,37 @@ def history(first: DataFrame, second: DataFrame, by: list[str], limit: int = HIS
 
 
 def best_entry(questions: DataFrame, entries: DataFrame, step: int = 1) -> DataFrame:
-    """The entry of each question: entries (entry, place, boundary, keyword, steps and optionally title), questions (question_id, text).
+    """The entry of each question: entries (entry, place, boundary, keyword, steps and optionally title and reading), questions (question_id, text).
 
     A phrase in the text scores 3; a keyword of one word 1, if a stemmed word of the text is
     its stem or begins with it (with a long stem, or with a short ending); a title equal to
     the whole text 5. An entry of the current step gets half a point more. Any boundary
     entry that matches comes before all others; ties go to the first. Words meet keywords by
     their beginnings and phrases by what joins their first two words, so both are equi-joins.
+
+    ``reading`` says how a phrase is looked for: anywhere in the folded text (null), in whole
+    words of it ("words"), or as it is written, but for case ("letters").
     """
-    asked = questions.select("question_id", T.folded(F.col("text")).alias("form")).where("form <> ''")
-    listed = entries.select("entry", "place", "boundary", "steps", T.folded(F.col("keyword")).alias("keyword")).where("keyword <> ''").distinct()
+    reading = F.col("reading") if "reading" in entries.columns else F.lit(None).cast("string")
+    asked = questions.select("question_id", T.folded(F.col("text")).alias("form"), F.lower("text").alias("written")).where("form <> ''")
+    listed = entries.select("entry", "place", "boundary", "steps", T.folded(F.col("keyword")).alias("keyword"), reading.alias("reading"), F.lower("keyword").alias("as_written")).where("keyword <> ''").distinct()
+    small = F.broadcast if listed.count() <= SMALL_ENTRIES else lambda side: side
     words = asked.select("question_id", F.explode(F.array_distinct(F.transform(F.split("form", " "), T.stem))).alias("word"))
     # every beginning that a keyword's stem may be: long ones, or those that leave a short ending
     starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.when((n >= 4) | (F.length("word") - n <= 2), F.left("word", n)))
-    words = words.select("question_id", F.explode(F.array_compact(starts)).alias("stem")).distinct()
+    words = words.select("question_id", F.explode(F.array_compact(starts)).alias("stem"))
     single = listed.where(~F.contains("keyword", F.lit(" "))).withColumn("stem", T.stem(F.col("keyword")))
-    hits = words.join(single, "stem").select("question_id", "entry", "place", "boundary", "steps", "keyword", F.lit(1).alias("points"))
+    # two words may have one beginning, but few are those of a keyword
+    hits = words.join(small(single), "stem").select("question_id", "entry", "place", "boundary", "steps", "keyword", F.lit(1).alias("points")).distinct()
     # a phrase within a text has the end of its first word and the start of its second where two words meet
     seam = lambda a, b: F.concat(F.right(a, F.lit(1)), F.lit(" "), F.left(b, F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(0), F.size("all") - 2), lambda i: seam(F.get("all", i), F.get("all", i + 1)))
-    seams = asked.withColumn("all", F.split("form", " ")).where(F.size("all") > 1).select("question_id", "form", F.explode(F.array_distinct(pairs)).alias("seam"))
+    seams = asked.withColumn("all", F.split("form", " ")).where(F.size("all") > 1).select("question_id", "form", "written", F.explode(F.array_distinct(pairs)).alias("seam"))
     phrases = listed.where(F.contains("keyword", F.lit(" "))).withColumn("parts", F.split("keyword", " "))
     phrases = phrases.withColumn("seam", seam(F.get("parts", 0), F.get("parts", 1)))
-    found = seams.join(phrases, "seam").where(F.contains("form", F.col("keyword")))
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    within = F.when(F.col("reading") == "words", F.contains(spaced(F.col("form")), spaced(F.col("keyword")))).when(F.col("reading") == "letters", F.contains("written", F.col("as_written")))
+    found = seams.join(small(phrases), "seam").where(within.otherwise(F.contains("form", F.col("keyword"))))
     hits = hits.unionByName(found.select("question_id", "entry", "place", "boundary", "steps", "keyword", F.lit(3).alias("points")))
     if "title" in entries.columns:
         titles = entries.select("entry", "place", "boundary", "steps", T.folded(F.col("title")).alias("form")).where("form <> ''").distinct()

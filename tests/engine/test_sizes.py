@@ -118,3 +118,25 @@ def test_points_look_into_few_cells(spark):
 
     got = {r.w: r.k for r in spark.range(1, 3_000).select(F.col("id").alias("w"), intervals._level(F.col("id")).alias("k")).collect()}
     assert set(got.values()) == {0, 4, 8, 12} and all(2**k >= w for w, k in got.items())
+
+
+def test_phrases_are_read_as_their_entry_says(spark):
+    """A phrase in parts of words, in whole words, or letter by letter: "mit licensed" names no MIT license."""
+    from tallymark.operators import review
+
+    texts = ["under the MIT license.", "mit licensed work", "a permit license", "MIT\n license", "the copyright notice", "copyright-notice", "COPYRIGHT NOTICES", "none"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id int, text string")
+    shape = "entry string, place int, boundary boolean, keyword string, steps array<int>, reading string"
+    read = lambda how: spark.createDataFrame([("licence", 0, True, "copyright notice", [1], how and "letters"), ("mit", 1, False, "mit license", [1], how and "words")], shape)
+    got = lambda entries: {r.question_id for r in review.best_entry(asked, entries).where("matched").collect()}
+    assert got(read(True)) == {0, 3, 4, 6}
+    assert got(read(None)) == got(read(None).drop("reading")) == {0, 1, 2, 3, 4, 5, 6}
+
+
+def test_keyword_retrieval_takes_whole_words(spark, tmp_path):
+    """One text with "mit licensed" was taken for the license, which the SQL doesn't."""
+    from tallymark.plans import review_queries as q
+
+    docs = spark.createDataFrame([(0, "sttz mit licensed under"), (1, "The MIT-License"), (2, "copyright  notice"), (3, "Copyright notice"), (4, None)], "doc_id int, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in q.keyword_retrieval(spark, str(tmp_path)).collect()} == {(0, "fallback"), (1, "mit"), (2, "fallback"), (3, "licence")}
