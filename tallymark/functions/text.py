@@ -58,7 +58,9 @@ def strict_integer(text: Column) -> Column:
     digits = trimmed(ascii_digits(text))
     plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
     value = F.when(digits.rlike("^[0-9]+$") & (F.length(plain) <= 16), plain.try_cast("bigint"))
-    return F.when(value <= MAX_SAFE, value)
+    # most identifiers are a few plain digits, which need no pattern
+    few = F.length(text).between(1, 15) & (F.translate(text, DIGITS_TO[:10], "") == "")
+    return F.when(few, text.try_cast("bigint")).otherwise(F.when(value <= MAX_SAFE, value))
 
 
 def merged_range(text: Column) -> Column:
@@ -66,7 +68,8 @@ def merged_range(text: Column) -> Column:
     digits = trimmed(ascii_digits(text))
     pattern = rf"^([0-9]+)[{SPACE}]*[-–—][{SPACE}]*([0-9]+)$"
     first, last = (F.regexp_extract(digits, pattern, k).try_cast("bigint") for k in (1, 2))
-    return F.when(digits.rlike(pattern), F.struct(first.alias("first"), last.alias("last")))
+    dashed = F.contains(text, F.lit("-")) | F.contains(text, F.lit("–")) | F.contains(text, F.lit("—"))
+    return F.when(dashed & digits.rlike(pattern), F.struct(first.alias("first"), last.alias("last")))
 
 
 def meaningful(text: Column) -> Column:
@@ -138,6 +141,9 @@ def _issue(kind: str, matches: Column, describe=None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.size(matches).alias("count"), shown.alias("examples"))
 
 
+ISSUES = "array<struct<kind: string, count: int, examples: array<string>>>"
+
+
 def hygiene(text: Column, language: Column) -> Column:
     """Issues of the characters: array of struct(kind, count, examples), kinds in a fixed order."""
     text = F.coalesce(text, F.lit(""))
@@ -147,6 +153,8 @@ def hygiene(text: Column, language: Column) -> Column:
     # what the other patterns look for lies outside of Latin letters, the soft hyphen apart
     odd = (F.octet_length(text) > F.length(text)) & text.rlike(r"[^\u0000-\u00ac\u00ae-\u024f]")
 
+    marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("&"))
+
     def every(pattern: str) -> Column:
         return F.when(odd, F.regexp_extract_all(text, F.lit(f"({pattern})"))).otherwise(none)
 
@@ -158,13 +166,14 @@ def hygiene(text: Column, language: Column) -> Column:
 
     # (?i) inside a group applies to the rest of it
     issues = F.array(
-        _issue("markup", F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), F.regexp_extract_all(text, F.lit(f"({MARKUP})"))).otherwise(none)),
+        _issue("markup", F.when(marked, F.regexp_extract_all(text, F.lit(f"({MARKUP})"))).otherwise(none)),
         _issue("hidden_controls", every(HIDDEN), code_point),
         _issue("directional_marks", F.when(latin, every(JOINERS)).otherwise(none), code_point),
         _issue("foreign_script", F.when(latin, every(ARABIC_RUN)).otherwise(none), lambda _: F.lit("Arabic script")),
         _issue("mixed_script_word", mixed, strangers),
     )
-    return F.filter(issues, lambda i: i["count"] > 0)
+    # most texts are clean, and need no list of what they lack
+    return F.when(marked | odd, F.filter(issues, lambda i: i["count"] > 0)).otherwise(F.array().cast(ISSUES))
 
 
 def script_gate(text: Column, language: Column) -> Column:

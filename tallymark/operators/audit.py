@@ -18,16 +18,22 @@ class Audit:
     """Rows with statuses, findings, and a summary row for each file, each planned when asked for.
 
     Rows alone are read once and kept nowhere. Findings and summary read them several times,
-    so they share a persisted form (memory, then disk), which ``unpersist`` frees; lost
-    parts are computed again.
+    so they share a persisted form (memory, then disk) of the columns that they need, which
+    ``unpersist`` frees; lost parts are computed again.
     """
 
+    #: What findings and summary read; what a comparison said of a row is in ``raised`` by then.
+    KEPT = (
+        "file_id", "input_index", "row_number", "grp", "ord", "id", "position", "text", "valid", "in_scope", "raised", "status",
+        "lexical", "comparison_status", "comparison_reason", "language_state",
+    )
+
     def __init__(self, rows: DataFrame, findings: Callable[[DataFrame], DataFrame], summary: Callable[[DataFrame, DataFrame], DataFrame]):
         self.rows, self._findings, self._summary = rows, findings, summary
 
     @cached_property
     def _kept(self) -> DataFrame:
-        return self.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        return self.rows.select(*self.KEPT).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -53,18 +59,21 @@ def audit(
     """
     ship(rows.sparkSession)
     ours = structure.keyed(rows, index, groups)
-    if reference is None:
-        reference = rows.limit(0)
-    theirs = structure.keyed(reference, index)
+    theirs = structure.keyed(rows.limit(0) if reference is None else reference, index)
     language = candidate_language or reference_language
-    gated = compare.gated(structure.placed(ours), theirs, candidate_language, reference_language, verified)
-    # the rules on texts are the work, and windows and joins leave small inputs in few tasks: deal rows out first
-    gated = gated.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", "input_index")
-    gated = structure.row_structure(gated, candidate_language)
-    done = compare.statuses(compare.row_comparison(compare.reviewed(gated, language), language))
+    gated = compare.gated(structure.placed(ours), None if reference is None else theirs, candidate_language, reference_language, verified)
+    if reference is None:
+        # what a comparison raises needs a reference
+        done = compare.unreviewed(structure.row_structure(gated, candidate_language), language)
+    else:
+        # the rules on texts are the work, and windows and joins leave small inputs in few tasks: deal rows out first
+        gated = gated.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", "input_index")
+        gated = structure.row_structure(gated, candidate_language)
+        done = compare.row_comparison(compare.reviewed(gated, language), language)
+    done = compare.statuses(done)
 
     def findings(kept: DataFrame) -> DataFrame:
-        found = structure.row_findings(kept).unionByName(structure.group_findings(ours, index, groups, complete))
+        found = structure.row_findings(kept).unionByName(structure.group_findings(kept, index, groups, complete))
         return found.unionByName(_file_findings(kept, theirs, language, verified))
 
     return Audit(done, findings, lambda kept, found: summarise(kept, found, index, groups, complete))

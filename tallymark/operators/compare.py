@@ -16,6 +16,9 @@ from .structure import CODES, RAISED, raised, with_copies
 OVERLAP = 0.65
 LEAST_TOKENS = 3
 TEACHING_PREFIX = "SYNTHETIC TRAINING TEXT"
+#: What a reference row may bring beside its text and number.
+EXTRA = {"verification_status": "string", "source_kind": "string", "allow_no_signal": "boolean", "language": "string", "source_url": "string"}
+REFERENCE = "struct<" + ", ".join(f"{c}: {t}" for c, t in {"text": "string", "row_number": "long", **EXTRA}.items()) + ">"
 
 
 def reference_by_id(reference: DataFrame) -> DataFrame:
@@ -24,14 +27,11 @@ def reference_by_id(reference: DataFrame) -> DataFrame:
     Trust is the engine's to give: only ``verification_status`` and ``allow_no_signal`` of
     the reference table are read, and a row may lower a verified source, never raise one.
     """
-    extra = {
-        "verification_status": "string", "source_kind": "string", "allow_no_signal": "boolean", "language": "string", "source_url": "string",
-    }
-    given = [F.col(c) if c in reference.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()]
+    given = [F.col(c) if c in reference.columns else F.lit(None).cast(t).alias(c) for c, t in EXTRA.items()]
     rows = reference.where("valid").select("id", "row_number", "text", *given)
     one = rows.groupBy("id").agg(
         F.count("*").alias("references"), F.array_sort(F.collect_list("row_number")).alias("reference_rows"),
-        F.first(F.struct("text", "row_number", *extra)).alias("r"),
+        F.first(F.struct("text", "row_number", *EXTRA)).alias("r"),
     )
     only = F.when(F.col("references") == 1, F.col("r"))
     return one.select("id", "references", "reference_rows", only.alias("reference"))
@@ -51,13 +51,23 @@ def integrity(reference: DataFrame) -> DataFrame:
     return rows.join(ids, how="cross")  # one row each
 
 
-def gated(rows: DataFrame, reference: DataFrame, candidate_language: str = "", reference_language: str = "", verified: bool = False) -> DataFrame:
+def gated(rows: DataFrame, reference: DataFrame | None, candidate_language: str = "", reference_language: str = "", verified: bool = False) -> DataFrame:
     """Keyed rows with reference, comparison_status and comparison_reason.
 
     ``verified`` says that the engine verified the source as a whole. The reasons, in
     order: the row's own identifier, scope and text, its copies, then the reference's.
+    Without a reference (None) it is missing for every row.
     """
     out = rows if "copies" in rows.columns else with_copies(rows)
+    own = (
+        F.when(~F.col("valid"), "invalid_id").when(~F.col("in_scope"), "out_of_scope")
+        .when(~T.meaningful(F.col("text")), "empty_text").when(F.col("copies") > 1, "duplicate_candidate")
+    )
+    if reference is None:
+        # nothing to meet: no join, and literals that later steps fold
+        given = {"references": "long", "reference_rows": "array<long>", "reference": REFERENCE}
+        out = out.withColumns({c: F.lit(None).cast(t) for c, t in given.items()} | {"lexical": F.lit(False), "comparison_status": F.lit("abstain")})
+        return out.withColumn("comparison_reason", F.coalesce(own, F.lit("missing_reference")))
     # rows without an identifier meet nothing: a key of their own spreads them
     key = F.coalesce("id", F.concat(F.lit("#"), F.col("input_index").cast("string")))
     known = reference_by_id(reference).withColumnRenamed("id", "__id")
@@ -68,10 +78,6 @@ def gated(rows: DataFrame, reference: DataFrame, candidate_language: str = "", r
     teaching = (r["source_kind"] == "synthetic-teaching") & r["text"].startswith(TEACHING_PREFIX)
     trusted = F.lit(verified) & row_verified & F.coalesce((F.coalesce(r["allow_no_signal"], F.lit(True))) | teaching, F.lit(False))
     usable = F.coalesce(F.col("references") == 1, F.lit(False)) & T.meaningful(r["text"])
-    own = (
-        F.when(~F.col("valid"), "invalid_id").when(~F.col("in_scope"), "out_of_scope")
-        .when(~T.meaningful(F.col("text")), "empty_text").when(F.col("copies") > 1, "duplicate_candidate")
-    )
     theirs = (
         F.when(F.col("references") > 1, "ambiguous_reference").when(F.col("references") == 1, F.when(~usable, "empty_reference"))
         .otherwise("missing_reference")
@@ -107,6 +113,11 @@ def lexical(pairs: DataFrame, language: str = "") -> DataFrame:
     return out.withColumn("lexical_difference", ~equal & (F.col("overlap") < OVERLAP) & long_enough)
 
 
+def _settled(state: str, schema: str):
+    empty = [F.array().alias(c) for c in ("candidate", "reference", "reasons")]
+    return F.struct(F.lit(state).alias("state"), *empty).cast(schema)
+
+
 def reviewed(rows: DataFrame, language: str = "") -> DataFrame:
     """Gated rows with numeric_review, qualifier_review and the columns of ``lexical``.
 
@@ -118,14 +129,10 @@ def reviewed(rows: DataFrame, language: str = "") -> DataFrame:
     base = T.language_base(F.lit(language))
     differs = F.col("lexical") & (F.col("text") != F.col("reference.text"))
 
-    def settled(state: str, schema: str):
-        empty = [F.array().alias(c) for c in ("candidate", "reference", "reasons")]
-        return F.struct(F.lit(state).alias("state"), *empty).cast(schema)
-
     apart = rows.where(~F.coalesce(differs, F.lit(False)))
     equal = F.coalesce(F.col("lexical"), F.lit(False))
     for name, schema in (("numeric_review", QUANTITY_REVIEW), ("qualifier_review", QUALIFIER_REVIEW)):
-        apart = apart.withColumn(name, F.when(equal, settled("unchanged", schema)).otherwise(settled("not_compared", schema)))
+        apart = apart.withColumn(name, F.when(equal, _settled("unchanged", schema)).otherwise(_settled("not_compared", schema)))
     other = rows.where(F.coalesce(differs, F.lit(False)))
     other = other.withColumn("numeric_review", quantity_review("text", "reference.text", base))
     other = other.withColumn("qualifier_review", qualifier_review("text", "reference.text", base))
@@ -138,6 +145,16 @@ def reviewed(rows: DataFrame, language: str = "") -> DataFrame:
     return out.withColumn("language_state", F.when(unmet, "not_compared").otherwise("abstain" if limited else "supported"))
 
 
+def unreviewed(rows: DataFrame, language: str = "") -> DataFrame:
+    """Gated rows without a reference, with the columns of ``reviewed``: nothing is compared, and who reads no counts of tokens pays for none."""
+    from ..functions.udfs import QUALIFIER_REVIEW, QUANTITY_REVIEW
+
+    none = F.lit("not_compared")
+    out = rows.withColumns({"numeric_review": _settled("not_compared", QUANTITY_REVIEW), "qualifier_review": _settled("not_compared", QUALIFIER_REVIEW)})
+    out = lexical(out.withColumn("other", F.lit(None).cast("string")), language).drop("other", "a", "b")
+    return out.withColumns({"negation_state": none, "lexical_difference": F.lit(False), "language_state": none})
+
+
 def row_comparison(rows: DataFrame, language: str = "") -> DataFrame:
     """Reviewed rows whose ``raised`` holds the comparison's findings too, evidence ones included."""
     c = F.col

@@ -183,13 +183,14 @@ def in_order(rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, F.coalesce("__within", "__before").alias("previous"))
 
 
-def with_copies(rows: DataFrame) -> DataFrame:
+def with_copies(rows: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """Rows with ``copies``: how many valid rows of their file claim their identifier, 0 without one.
 
     Counts are made before they are joined, and rows without an identifier are spread over
-    all tasks, so neither a hot identifier nor many invalid rows land in one.
+    all tasks, so neither a hot identifier nor many invalid rows land in one. ``claims`` are
+    the same rows at an earlier step, which is cheaper to count.
     """
-    claimed = rows.where("valid").groupBy("file_id", F.col("id").alias("__id")).agg(F.count("*").alias("copies"))
+    claimed = (rows if claims is None else claims).where("valid").groupBy("file_id", F.col("id").alias("__id")).agg(F.count("*").alias("copies"))
     spread = rows.withColumn("__id", F.coalesce("id", F.concat(F.lit("#"), F.col("input_index").cast("string"))))
     out = spread.join(claimed, ["file_id", "__id"], "left")
     return out.select(*rows.columns, F.when(F.col("valid"), F.coalesce("copies", F.lit(0))).otherwise(0).alias("copies"))
@@ -197,7 +198,7 @@ def with_copies(rows: DataFrame) -> DataFrame:
 
 def placed(rows: DataFrame) -> DataFrame:
     """Keyed rows with what the others of their file say about them: previous and copies."""
-    return with_copies(in_order(rows))
+    return with_copies(in_order(rows), rows)
 
 
 def row_structure(out: DataFrame, language: str = "") -> DataFrame:

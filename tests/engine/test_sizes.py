@@ -140,3 +140,36 @@ def test_keyword_retrieval_takes_whole_words(spark, tmp_path):
     docs = spark.createDataFrame([(0, "sttz mit licensed under"), (1, "The MIT-License"), (2, "copyright  notice"), (3, "Copyright notice"), (4, None)], "doc_id int, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in q.keyword_retrieval(spark, str(tmp_path)).collect()} == {(0, "fallback"), (1, "mit"), (2, "fallback"), (3, "licence")}
+
+
+def test_an_audit_without_a_reference_joins_none(spark):
+    """It is that against a reference without rows, but meets none, deals out no rows and keeps only what is read again."""
+    from tallymark.operators import audit as A
+    from tallymark.operators import index
+
+    shape = "file_id string, input_index long, row_number long, group_raw string, ordinal_raw string, text string"
+    lines = [("f", "1", "1", "it is not so"), ("f", "1", "3", "b"), ("f", "1", "2", "c"), ("f", "1", "2", "d"), ("f", "x", "1", "e"), ("f", "2", "1", ""), ("f", "2", "2-3", "<b>g</b>"), ("e", "9", "1", "h")]
+    rows = spark.createDataFrame([(f, k, k + 1, *rest) for k, (f, *rest) in enumerate(lines)], shape)
+    sizes = index.numbering(spark.createDataFrame([(1, 4), (2, 3)], "grp long, n long"))
+    bare, empty = (A.audit(rows, sizes, given, candidate_language="en") for given in (None, rows.limit(0)))
+    assert set(bare.rows.dtypes) == set(empty.rows.dtypes)
+    told = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert told(bare.rows) == told(empty.rows)
+    assert told(bare.findings) == told(empty.findings)
+    plan = bare.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "references" not in plan.replace("AS references", "")
+    assert bare._kept.columns == list(A.Audit.KEPT)
+
+
+def test_plain_identifiers_are_read_as_all_others(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.functions import text as T
+
+    known = {"7": 7, "007": 7, "0": 0, "": None, " ": None, " 12 ": 12, "١٢": 12, "999999999999999": 999999999999999, "0" * 20 + "5": 5, "9007199254740991": 9007199254740991,
+             "9007199254740992": None, "+5": None, "-5": None, "5.0": None, "5e3": None, "1a": None, "5L": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in known], "t string")
+    assert {r.t: r.n for r in rows.select("t", T.strict_integer(F.col("t")).alias("n")).collect()} == known
+    spans = {"3-5": (3, 5), "3 — 5": (3, 5), "٣–٥": (3, 5), "35": None, "-": None, "a-5": None, "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in spans], "t string")
+    assert {r.t: r.s and tuple(r.s) for r in rows.select("t", T.merged_range(F.col("t")).alias("s")).collect()} == spans
