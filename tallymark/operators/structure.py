@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .coverage import missing_runs
-from .index import STRIDE, expected, identifier
+from .index import STRIDE, dealt, expected, identifier
 from .ranks import ranked
 
 # Codes with their type and severity, in the order in which they are raised.
@@ -68,14 +68,17 @@ def finding(rows: DataFrame, code: str, evidence: dict[str, Column], row_numbers
     return _digested(out)
 
 
-def keyed(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def keyed(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """Rows with grp, ord, id, position, in_scope and the flags of each row on its own.
 
-    ``groups`` (grp) is the declared scope; without one every valid row is in scope.
+    ``groups`` (grp) is the declared scope; without one every valid row is in scope. Rows
+    that are too many for the session's partitions meet the index in ``many`` tasks.
     """
     out = rows.withColumn("grp", T.strict_integer(F.col("group_raw").cast("string")))
     out = out.withColumn("ord", T.strict_integer(F.col("ordinal_raw").cast("string")))
     dim = index.select(F.col("grp").alias("__grp"), F.col("n").alias("group_size"), F.col("base").alias("__base"))
+    # the side that is dealt out by number sets the number of both
+    dim = dealt(dim, many, "__grp")
     out = out.join(dim, F.col("grp") == F.col("__grp"), "left").drop("__grp")
     valid = F.coalesce(F.col("ord").between(1, F.col("group_size")), F.lit(False))
     out = out.withColumn("valid", valid)

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import audit as A
 from ..operators import compare, index, semantic, structure
 from .shipping import ship
-from .tables import lines_as_rows, order_sizes, pairs_by_start, table
+from .tables import line_tasks, lines_as_rows, order_sizes, pairs_by_start, table
 
 QUERIES, SQL = {}, {}
 
@@ -61,7 +61,7 @@ def out_of_scope(spark, d):
 @query("""SELECT l_orderkey AS grp, l_linenumber::BIGINT AS ord, count(*)::BIGINT AS occurrences, count(DISTINCT lower(l_returnflag)) > 1 AS conflicting_text
   FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def duplicate_groups(spark, d):
-    rows = structure.keyed(lines_as_rows(spark, d), index.numbering(order_sizes(spark, d)))
+    rows = structure.keyed(lines_as_rows(spark, d), index.numbering(order_sizes(spark, d)), many=line_tasks(spark, d))
     return structure.duplicates(rows).select("grp", "ord", "occurrences", "conflicting_text")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import dealt, tasks
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -16,6 +18,7 @@ def lines_as_rows(spark: SparkSession, folder: str) -> DataFrame:
 
     order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_linenumber")
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_returnflag")
+    rows = dealt(rows, line_tasks(spark, folder), "l_orderkey")
     return rows.select(
         F.col("l_orderkey").alias("file_id"), (F.row_number().over(order) - 1).cast("long").alias("input_index"),
         F.row_number().over(order).cast("long").alias("row_number"), F.col("l_orderkey").cast("string").alias("group_raw"),
@@ -23,6 +26,11 @@ def lines_as_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def line_tasks(spark: SparkSession, folder: str) -> int | None:
+    """How many tasks the order lines are dealt to; the count reads no column."""
+    return tasks(table(spark, folder, "lineitem"))
+
+
 def order_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Counts (grp, n): the highest line number of each order."""
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("grp"))

@@ -173,3 +173,21 @@ def test_plain_identifiers_are_read_as_all_others(spark):
     spans = {"3-5": (3, 5), "3 — 5": (3, 5), "٣–٥": (3, 5), "35": None, "-": None, "a-5": None, "": None, None: None}
     rows = spark.createDataFrame([(t,) for t in spans], "t string")
     assert {r.t: r.s and tuple(r.s) for r in rows.select("t", T.merged_range(F.col("t")).alias("s")).collect()} == spans
+
+
+def test_many_rows_meet_the_index_in_more_tasks(spark, tmp_path, monkeypatch):
+    """However large the table was, its rows met the index in as many tasks as the session has partitions."""
+    from tallymark.operators import index, structure
+    from tallymark.plans import structure_queries as q
+    from tallymark.plans import tables
+
+    lines = spark.range(900).selectExpr("id div 3 + 1 AS l_orderkey", "cast(id % 3 + 1 AS int) AS l_linenumber", "date'2024-01-01' AS l_shipdate", "id AS l_partkey", "'A' AS l_returnflag")
+    lines.unionByName(lines.where("l_orderkey = 5")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    told = lambda: {tuple(r) for r in q.duplicate_groups(spark, str(tmp_path)).collect()}
+    assert tables.line_tasks(spark, str(tmp_path)) is None and told() == {(5, k, 2, False) for k in (1, 2, 3)}
+    monkeypatch.setattr(index, "ROWS_A_TASK", 100)
+    assert tables.line_tasks(spark, str(tmp_path)) == 10 and told() == {(5, k, 2, False) for k in (1, 2, 3)}
+    rows = tables.lines_as_rows(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 10
+    keyed = structure.keyed(rows, index.numbering(tables.order_sizes(spark, str(tmp_path))), many=10)
+    assert "hashpartitioning(__grp" in keyed._jdf.queryExecution().executedPlan().toString()
