@@ -10,7 +10,7 @@ from ..operators.ranks import ranked
 from ..sources import files, reference, samples
 from ..sources.matrix import MAX_ROWS
 from .shipping import ship
-from .tables import lines_as_rows, order_sizes, table, turns_as_rows
+from .tables import line_tasks, lines_as_rows, order_sizes, table, turns_as_rows
 
 QUERIES, SQL = {}, {}
 
@@ -188,7 +188,7 @@ def scope_intervals(spark, d):
 
 @query("""SELECT l_orderkey AS file_id, count(DISTINCT l_linenumber)::BIGINT AS ids, 1::BIGINT AS groups FROM lineitem GROUP BY 1""")
 def groups_and_ids(spark, d):
-    return findings.groups_and_ids(structure.keyed(lines_as_rows(spark, d), index.numbering(order_sizes(spark, d))), ["file_id"])
+    return findings.groups_and_ids(structure.keyed(lines_as_rows(spark, d), index.numbering(order_sizes(spark, d)), many=line_tasks(spark, d)), ["file_id"])
 
 
 _GAPS = """WITH idx AS (SELECT l_orderkey AS grp, max(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1), gone AS (SELECT grp, ord FROM (SELECT grp, unnest(range(1, n + 1)) AS ord FROM idx)
