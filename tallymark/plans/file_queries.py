@@ -13,6 +13,8 @@ from .shared import new_path
 from .tables import order_sizes, table
 
 QUERIES, SQL = {}, {}
+#: Bytes of text that one task writes, about, of files that have to be in order.
+PART_BYTES = 32 << 20
 
 
 def query(sql: str | None = None):
@@ -97,10 +99,12 @@ def delimited_faults(spark, d):
     broken = F.when(F.col("doc_id") % 97 != 96, F.lit("")).when(F.col("lang") == "en", F.lit(',a "so-called" cell')).otherwise(F.lit("x"))
     docs = table(spark, d, "documents").where("lang IS NOT NULL")
     value = F.concat(F.col("doc_id").cast("string"), F.lit(","), _quoted(F.col("text")), broken)
-    # one file a language, in order
-    docs.select("doc_id", "lang", value.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
-    faults = pieces.read_records(spark, path, ",").faults
-    return faults.select(F.regexp_extract("file_id", "lang=([^/]*)/", 1).alias("lang"), "error", "record")
+    # one file a language, in order; its size sets the number of its parts, so no task holds a language
+    many = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    rows = docs.select("doc_id", "lang", value.alias("value")).repartitionByRange(many, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    rows.select("lang", "value").write.partitionBy("lang").text(path)
+    faults = pieces.read_records(spark, path, ",", parts=True).faults
+    return faults.select(F.regexp_extract("file_id", "lang=([^/]*)$", 1).alias("lang"), "error", "record")
 
 
 _LANDED = """answers AS (SELECT conv_id + 1 AS grp, count(*) AS n, count(DISTINCT turn) AS turns, min(turn) AS low, max(turn) AS high, bool_and(coalesce(trim(text), '') <> '') AS told FROM conversations GROUP BY 1),

@@ -11,6 +11,9 @@ of one record go to one place by where it begins, so only what crosses a border
 Results are those of the one-task parser whatever the size of the ranges: the same records
 with the same numbers, or the same fault in the same record, which refuses its whole file.
 A record has to fit in memory, a file needn't.
+
+A folder of Spark's part files can be read as one file that is cut between lines: the number of
+a part is the high end of where its ranges begin, so all else is as in a file of one piece.
 """
 
 from __future__ import annotations
@@ -30,18 +33,25 @@ from .matrix import MAX_ROWS, Layout, Malformed
 MOST_RANGES = 200_000
 #: Characters from which a file's delimiter is found, and those that are parsed at once.
 HEAD, TOGETHER = 1 << 20, 1 << 20
+#: What a part's number is multiplied by where its ranges begin; no part is as large.
+PART = 1 << 40
 
 _COUNTED = "file_id string, start long, quotes long, bad long, head string"
 _CHECKED = "file_id string, start long, ended long, meets boolean, error string, fault long"
 _RECORDS = "file_id string, start long, record long, cells array<string>, piece string, crosses long"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """Rows (file_id, start, line): lines in the order of each range, null where they are no UTF-8."""
     text = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n")
-    return text.select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("start"), F.when(F.is_valid_utf8("value"), F.col("value")).alias("line")
-    )
+    file_id, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if parts:
+        # cheap functions, as they run for every line
+        name = F.substring_index(file_id, "/", -1)
+        number = F.substring_index(F.substr(name, F.lit(len("part-") + 1)), "-", 1).cast("long")
+        start = F.when(name.startswith("part-"), number * PART + start).otherwise(F.raise_error(F.concat(F.lit("no part of Spark's: "), name)))
+        file_id = F.left(file_id, F.length(file_id) - F.length(name) - 1)
+    return text.select(file_id.alias("file_id"), start.alias("start"), F.when(F.is_valid_utf8("value"), F.col("value")).alias("line"))
 
 
 def _by_range(batches: Iterator) -> Iterator:
@@ -96,29 +106,31 @@ def _kinds(schema: str) -> list[tuple]:
     return [(n, types[t]) for n, t in (c.split() for c in schema.split(", "))]
 
 
-def _counted(lines: DataFrame) -> DataFrame:
-    """One row a range: its quotes, lines that are no UTF-8, and the file's head if it is the first."""
+def _counted(lines: DataFrame, heads: bool) -> DataFrame:
+    """One row a range: its quotes, lines that are no UTF-8, and, if asked for, the head of the file or part that it is the first of."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow.compute as pc
 
+        first = lambda start: heads and start % PART == 0
+
         def rows() -> Iterator:
             state = None
             for new, (file_id, start), block in _by_range(batches):
                 if new:
                     if state is not None:
-                        yield (*state[:4], "\n".join(state[4]) if state[1] == 0 else None)
+                        yield (*state[:4], "\n".join(state[4]) if first(state[1]) else None)
                     state = [file_id, start, 0, 0, [], 0]
                 state[2] += pc.sum(pc.count_substring(block, '"')).as_py() or 0
                 state[3] += block.null_count
-                if start == 0 and state[5] < HEAD:
+                if first(start) and state[5] < HEAD:
                     for text in block.to_pylist():
                         state[4].append(text or "")
                         state[5] += len(text or "") + 1
                         if state[5] >= HEAD:
                             break
             if state is not None:
-                yield (*state[:4], "\n".join(state[4]) if state[1] == 0 else None)
+                yield (*state[:4], "\n".join(state[4]) if first(state[1]) else None)
 
         yield from _batched(rows(), _kinds(_COUNTED))
 
@@ -245,17 +257,27 @@ class Records:
         self.records, self.faults = records, faults
 
 
-def read_records(spark: SparkSession, path: str, delimiter: str | None = None) -> Records:
-    """The records of all delimited files under the path; the delimiter is found for each file, unless it is given."""
+def read_records(spark: SparkSession, path: str, delimiter: str | None = None, parts: bool = False) -> Records:
+    """The records of all delimited files under the path; the delimiter is found for each file, unless it is given.
+
+    With ``parts`` each folder is one file, in the parts that Spark wrote it in, by their numbers.
+    """
     ship(spark)
-    lines = _lines(spark, path)
-    counted = written(_counted(lines), "ranges")
+    lines = _lines(spark, path, parts)
+    counted = written(_counted(lines, delimiter is None), "ranges")
     if counted.count() > MOST_RANGES:
         raise ValueError(f"over {MOST_RANGES} ranges: raise spark.sql.files.maxPartitionBytes")
-    find = F.udf(_delimiter) if delimiter is None else None
-    heads = counted.where("start = 0").select("file_id", (F.lit(delimiter) if find is None else find("file_id", "head")).alias("delimiter"))
+    if parts and counted.groupBy("file_id", "start").count().where("count > 1").head(1):
+        raise ValueError("two parts of one number in a folder")
     # one row a range
     before = Window.partitionBy("file_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    if delimiter is None:
+        # a file's first part may be shorter than its head
+        heads = counted.where("head IS NOT NULL").withColumn("at", F.coalesce(F.sum(F.length("head") + 1).over(before), F.lit(0))).where(F.col("at") < HEAD)
+        heads = heads.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "head"))), lambda x: x["head"]), "\n").alias("head"))
+        heads = heads.select("file_id", F.udf(_delimiter)("file_id", "head").alias("delimiter"))
+    else:
+        heads = counted.select("file_id", F.lit(delimiter).alias("delimiter")).distinct()
     states = counted.select("file_id", "start", "bad", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside"), ((F.sum("quotes").over(Window.partitionBy("file_id")) % 2) == 1).alias("unclosed"))
     states = written(states.join(heads, "file_id"), "range-states")
     readable = states.join(states.where("bad > 0").select("file_id").distinct(), "file_id", "left_anti")
@@ -277,12 +299,13 @@ def read_records(spark: SparkSession, path: str, delimiter: str | None = None) -
     fault = F.when(F.col("first").isNotNull(), F.col("first")).when(F.col("unclosed"), F.struct(F.lit("unclosed_quote").alias("error"), F.col("open").alias("record")))
     faults = told.select("file_id", fault.alias("f")).where("f IS NOT NULL").select("file_id", "f.error", "f.record")
     # Spark's scans pass over empty files
-    listed = spark.createDataFrame([(re.sub(r"^(\w+):///", r"\1:/", f),) for f in lines.inputFiles()], "file_id string")
+    names = {re.sub(r"^(\w+):///", r"\1:/", f.rpartition("/")[0] if parts else f) for f in lines.inputFiles()}
+    listed = spark.createDataFrame([(f,) for f in sorted(names)], "file_id string")
     none = listed.join(counted.select(F.regexp_replace("file_id", r"^(\w+):///", "$1:/").alias("file_id")).distinct(), "file_id", "left_anti").select("file_id", F.lit("empty_file").alias("error"), F.lit(None).cast("long").alias("record"))
     unread = states.where("bad > 0").select("file_id", F.lit("not_utf8").alias("error"), F.lit(None).cast("long").alias("record")).distinct()
     clean = checked.join(faults.select("file_id"), "file_id", "left_anti")
     parsed = _parsed(with_state(clean))
-    pieces = parsed.where("piece IS NOT NULL").join(F.broadcast(clean.where("start = 0").select("file_id", "delimiter")), "file_id")
+    pieces = parsed.where("piece IS NOT NULL").join(F.broadcast(clean.select("file_id", "delimiter").distinct()), "file_id")
     whole = parsed.where("piece IS NULL").select("file_id", "start", "record", "cells")
     return Records(whole.unionByName(_joined(pieces)), faults.unionByName(unread).unionByName(none))
 

@@ -108,3 +108,42 @@ def test_limits_and_mappings(spark, tmp_path):
     assert [r["error"] for r in pieces.read_rows(spark, str(tmp_path / "many.csv"), strict=True).collect()] == ["too_many_rows"]
     mapping = {"group": "a", "ordinal": 1, "text": "c"}
     assert [(r["group_raw"], r["ordinal_raw"], r["text"]) for r in pieces.read_rows(spark, str(tmp_path / "named.csv"), mapping).collect()] == [("1", "2", "x")]
+
+
+def test_a_folder_of_parts_is_read_as_one_file(sized, tmp_path):
+    """Parts that are cut between lines, also within a cell: records, numbers and faults are those of all of them in a row."""
+    texts = {"whole": 'a,"b\nc"\n1,"' + "long\n" * 60 + '"\n' + "x,y\n" * 30, "broken": "a,b\n" * 40 + 'c,d"\n' + 'e,"f" \n' * 9, "open": "a;b\n" * 20 + 'c;"d\n' * 3, "none": ""}
+    for name, text in texts.items():
+        lines = text.split("\n")[:-1]
+        (tmp_path / name).mkdir()
+        for k in range(7):
+            # the last parts' numbers have more digits, and some parts are empty
+            part = lines[k * len(lines) // 6 : (k + 1) * len(lines) // 6]
+            (tmp_path / name / f"part-{99_997 + k:05}-0a.c000.txt").write_text("".join(t + "\n" for t in part))
+    for delimiter in (",", None):
+        read = pieces.read_records(sized, str(tmp_path), delimiter, parts=True)
+        got: dict = {}
+        for r in read.records.collect():
+            got.setdefault(r.file_id.rsplit("/", 1)[1], []).append((r.record, r.cells))
+        faults = {r.file_id.rsplit("/", 1)[1]: (r.error, r.record) for r in read.faults.collect()}
+        expect = list(enumerate(delimited.parse(texts["whole"], ","), 1))
+        assert {k: sorted(v) for k, v in got.items()} == {"whole": expect}
+        assert faults == {"broken": ("quote_in_bare_cell", 41), "open": ("quote_in_bare_cell" if delimiter else "text_after_quote", 21), "none": ("empty_file", None)}
+    (tmp_path / "whole" / "part-99998-0b.c000.txt").write_text("again\n")
+    with pytest.raises(ValueError, match="two parts"):
+        pieces.read_records(sized, str(tmp_path), ",", parts=True)
+
+
+def test_a_language_is_written_in_parts(spark, tmp_path, monkeypatch):
+    """All documents of a language went through one task, however many they were."""
+    from tallymark.plans import file_queries as q
+
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some \"text\"\n', repeat('x', 50)) AS text", "CASE WHEN id < 300 THEN 'en' ELSE 'de' END AS lang")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(q, "PART_BYTES", 2_000)
+    made = []
+    monkeypatch.setattr(q, "new_path", lambda s, name: made.append(str(tmp_path / name)) or made[0])
+    assert {tuple(r) for r in q.delimited_faults(spark, str(tmp_path)).collect()} == {("en", "quote_in_bare_cell", 97), ("de", "text_after_quote", 88)}
+    import glob
+
+    assert len(glob.glob(f"{made[0]}/lang=en/part-*")) >= 8
