@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ ROW_CODES = (*dict.fromkeys(c for codes in RELEVANT.values() for c in codes), "o
 PAIRS = ("swapped_rows", "merged_rows")
 #: One row of each run of so many can be chosen, out of its first half: chosen rows are five apart at least.
 RUN = 8
+#: Cases up to which they, and the rows that they touch, are broadcast.
+FEW = 100_000
+
+
+def few(cases: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What is put around tables with a row or two a case: a broadcast if there are few, as whole files meet them."""
+    return F.broadcast if cases.count() <= FEW else lambda df: df
 
 
 def drawn(seed: int, *what: Column | str) -> Column:
@@ -76,12 +85,13 @@ def injected(rows: DataFrame, cases: DataFrame, bad_group: str = "0") -> DataFra
     Rows meet the cases once, by position. A copy stands behind its row, swapped rows change
     places, and the first of two merged rows takes both ordinals and texts.
     """
+    near = few(cases)
     touched = affected(cases).select("file_id", "position", "case_id", "defect", "second")
     variant = cases.select("file_id", "position", F.element_at("variants", F.col("defect")).alias("variant"))
     following = cases.where("defect = 'merged_rows'").select("file_id", (F.col("position") + 1).alias("position"))
-    following = rows.join(following, ["file_id", "position"]).select("file_id", (F.col("position") - 1).alias("position"), F.col("ord").alias("next_ord"), F.col("text").alias("next_text"))
+    following = rows.join(near(following), ["file_id", "position"]).select("file_id", (F.col("position") - 1).alias("position"), F.col("ord").alias("next_ord"), F.col("text").alias("next_text"))
     touched = touched.join(variant.join(following, ["file_id", "position"], "left"), ["file_id", "position"], "left")
-    base = rows.select("file_id", "position", "grp", "ord", "text").join(touched, ["file_id", "position"], "left")
+    base = rows.select("file_id", "position", "grp", "ord", "text").join(near(touched), ["file_id", "position"], "left")
     is_ = lambda kind: F.coalesce(F.col("defect") == kind, F.lit(False))
     merged, second = is_("merged_rows"), F.coalesce("second", F.lit(False))
     base = base.where(~(is_("missing_row") | (merged & second)))
@@ -115,14 +125,17 @@ def told(cases: DataFrame, rows: DataFrame, findings: DataFrame, codes: tuple[st
 def naive(cases: DataFrame, rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Rows (case_id, naive_a, naive_b): whether a lookup by key flags a case's rows, or the reverse lookup its identifiers.
 
-    Only rows of cases are looked up; keys are taken as they are written.
+    Only rows of cases are looked up; keys are taken as they are written. The reference and
+    the rows are cut to the keys of cases before they are dealt out.
     """
-    key = ["group_raw", "ordinal_raw"]
-    last = reference.groupBy(*key).agg(F.max_by("text", "row_number").alias("reference"), F.lit(True).alias("found"))
+    key, near = ["group_raw", "ordinal_raw"], few(cases)
+    asked = rows.where("case_id IS NOT NULL").select(*key).distinct()
+    last = reference.join(near(asked), key, "left_semi").groupBy(*key).agg(F.max_by("text", "row_number").alias("reference"), F.lit(True).alias("found"))
     hits = rows.where("case_id IS NOT NULL").join(last, key, "left")
     flagged = hits.where("found IS NULL OR NOT (text <=> reference)").select("case_id", F.lit(True).alias("a"))
     ids = affected(cases).select("file_id", "case_id", F.col("grp").cast("string").alias("group_raw"), F.col("ord").cast("string").alias("ordinal_raw"))
-    absent = ids.join(rows.select("file_id", *key), ["file_id", *key], "left_anti").select("case_id", F.lit(False).alias("a"))
+    present = rows.select("file_id", *key).join(near(ids.select("file_id", *key).distinct()), ["file_id", *key], "left_semi").distinct()
+    absent = ids.join(present, ["file_id", *key], "left_anti").select("case_id", F.lit(False).alias("a"))
     return flagged.unionByName(absent).groupBy("case_id").agg(F.bool_or("a").alias("naive_a"), F.lit(True).alias("naive_b"))
 
 
@@ -145,7 +158,7 @@ def recall(cases: DataFrame, rows: DataFrame, findings: DataFrame, reference: Da
 
 def alarms(cases: DataFrame, rows: DataFrame) -> DataFrame:
     """One row (untouched, false_alarms): audited rows (file_id, id, row_number, case_id, status) outside every case, and those that need review."""
-    ids = affected(cases).select("file_id", "id").distinct()
+    ids = few(cases)(affected(cases).select("file_id", "id").distinct())
     # rows without an identifier get a key of their own
     rest = rows.where("case_id IS NULL").withColumn("id", F.coalesce("id", F.concat(F.lit("#"), F.col("row_number").cast("string"))))
     rest = rest.join(ids, ["file_id", "id"], "left_anti")

@@ -107,3 +107,21 @@ def test_no_cases_leave_the_file_as_it_is(spark):
     rows, _ = sound(spark, ("a",), 3, 4)
     same = injection.injected(rows, injection.chosen(rows, 0)).drop("case_id")
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, as_rows(rows).collect()))
+
+
+def test_files_meet_few_cases_by_broadcast(spark, monkeypatch):
+    """Whole files, and the whole reference, were dealt out to meet a handful of cases."""
+    cases = spark.createDataFrame([("f", 2, "missing_row", 1, 2)], "file_id string, position long, defect string, grp long, ord long")
+    rows = spark.createDataFrame([("f", 2, "1", "1", "a", None, "1:1", "abstain"), ("f", 3, "1", "3", "c", "c1", "1:3", "needs_review")], "file_id string, row_number long, group_raw string, ordinal_raw string, text string, case_id string, id string, status string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(injection, "FEW", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = [plan(injection.alarms(cases, rows)), plan(injection.naive(cases, rows, rows))]
+        monkeypatch.setattr(injection, "FEW", 1)
+        near = [plan(injection.alarms(cases, rows)), plan(injection.naive(cases, rows, rows))]
+        assert not any("BroadcastHashJoin" in p for p in dealt) and all("BroadcastHashJoin" in p for p in near)
+        assert [tuple(r) for r in injection.alarms(cases, rows).collect()] == [(1, 0)]
+        assert {tuple(r) for r in injection.naive(cases, rows, rows.where("row_number = 2")).collect()} == {("c1", True, True), ("missing_row:f:2", False, True)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
