@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+from .index import dealt
+
 #: Bits of a bitmap of Spark's bitmap functions, and of the words it is read by.
 BITS, WORD = 32_768, 32
 #: Groups of an index whose cells are broadcast (at most some 32 MB of them); beyond, buckets are joined by shuffle.
@@ -21,19 +24,23 @@ SMALL_INDEX = 1_000_000
 _FULL = (1 << WORD) - 1
 
 
-def bitmaps(rows: DataFrame, when: Column | None = None) -> DataFrame:
+def bitmaps(rows: DataFrame, when: Column | None = None, many: int | None = None) -> DataFrame:
     """Rows (file_id, bucket, bits, claims): positions of keyed rows by file, and how many rows claim them.
 
     ``when`` restricts the rows, to valid ones by default; those without a position never count.
+    Rows of many tasks have a bit or two in each bucket: ``many`` deals them out by bucket first,
+    once for each position, so that bitmaps are made in one place and none is moved.
     """
     kept = rows.where(F.col("position").isNotNull() & (F.col("valid") if when is None else when))
-    at = F.col("position")
-    return kept.groupBy("file_id", F.expr("bitmap_bucket_number(position)").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"), F.count("*").alias("claims")
-    )
+    kept = kept.select("file_id", "grp", "position", F.expr("bitmap_bucket_number(position)").alias("bucket"))
+    claims = F.count("*")
+    if many is not None:
+        kept = dealt(kept.groupBy("file_id", "grp", "position", "bucket").agg(F.count("*").alias("claims")), many, "file_id", "bucket")
+        claims = F.sum("claims")
+    return kept.groupBy("file_id", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bits"), claims.alias("claims"))
 
 
-def cells(index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def cells(index: DataFrame, groups: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """Rows (bucket, cells): the groups of the index, or of the scope, that lie in each bucket.
 
     A cell is struct(lo, hi, grp, shift): its first and last bit, and what turns a bit into an ordinal.
@@ -48,7 +55,7 @@ def cells(index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         (begin - F.col("base") + 1).alias("shift"),
     )
     # at most BITS of them, as each holds a bit of its own
-    return cut.groupBy((F.col("b") + 1).alias("bucket")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    return dealt(cut.withColumn("bucket", F.col("b") + 1), many, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
 
 def _words(bits: Column) -> Column:
@@ -81,48 +88,57 @@ def _open_runs(words: Column, cell: Column) -> Column:
     return F.zip_with(ends(-1, lo), ends(1, hi), run)
 
 
-def missing_runs(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def missing_runs(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """Rows (file_id, grp, first, last, size): runs of ordinals of the scope that a file of keyed rows doesn't have.
 
     Every file of ``rows`` counts, also one without a valid row. Runs that reach the border of a
-    bucket are joined with what follows them; only these, two a bucket, meet by group.
+    bucket are joined with what follows them; only these, two a bucket, meet by group. Bitmaps
+    and cells are dealt to ``many`` tasks.
     """
-    place = cells(index, groups)
+    place = cells(index, groups, many)
     files = rows.select("file_id").distinct()
     # the scope's buckets, at most one for each 32,768 identifiers of the index
     span = place.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
     if span.low is None:
         return files.limit(0).select("file_id", *[F.lit(None).cast("long").alias(c) for c in ("grp", "first", "last", "size")])
     wanted = files.select("file_id", F.explode(F.sequence(F.lit(span.low), F.lit(span.high))).alias("bucket"))
-    have = bitmaps(rows).select("file_id", "bucket", "bits")
+    have = bitmaps(rows, many=many).select("file_id", "bucket", "bits")
     if index.count() <= SMALL_INDEX:
         place = F.broadcast(place)
     both = wanted.join(have, ["file_id", "bucket"], "left").join(place, "bucket")
     both = both.withColumn("words", _words(F.coalesce("bits", F.lit(bytes(BITS // 8)))))
     open_ = F.flatten(F.transform("cells", lambda cell: _open_runs(F.col("words"), cell)))
-    runs = both.select("file_id", F.explode(open_).alias("run")).select("file_id", "run.*")
+    runs = written(both.select("file_id", F.explode(open_).alias("run")).select("file_id", "run.*"), "runs")
     # what touches no border is whole, and meets nothing
-    runs = runs.withColumn("alone", F.when(~F.col("touches"), F.col("first")))
-    by = ["file_id", "grp", "alone"]
+    alone = runs.where("NOT touches").select("file_id", "grp", "first", "last")
+    runs = runs.where("touches")
+    by = ["file_id", "grp"]
     order = Window.partitionBy(*by).orderBy("first")
     fresh = F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True)).cast("long")
     runs = runs.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
-    out = runs.groupBy(*by, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("alone", "island")
-    return out.withColumn("size", F.col("last") - F.col("first") + 1)
+    out = runs.groupBy(*by, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+    return alone.unionByName(out).withColumn("size", F.col("last") - F.col("first") + 1)
 
 
 def coverage(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row a file of keyed rows: identifiers expected, covered, missing, out of scope, and rows that claim one again.
 
-    Identifiers are counted as bits, so no identifier is moved but as part of a bitmap.
+    Rows are read once, and an identifier is either in scope or not. Rows without one are in no bucket.
     """
-    within = bitmaps(rows, F.col("in_scope")).groupBy("file_id").agg(F.sum(F.bitmap_count("bits")).alias("covered_ids"), F.sum("claims").alias("in_scope_rows"))
-    outside = bitmaps(rows, F.col("valid") & ~F.col("in_scope")).groupBy("file_id").agg(F.sum(F.bitmap_count("bits")).alias("out_of_scope_ids"), F.sum("claims").alias("out_of_scope_rows"))
+    # rows without a bit set none
+    inside, outside = F.col("valid") & F.col("in_scope"), F.col("valid") & ~F.col("in_scope")
+    bit, bucket = F.bitmap_bit_position("position"), F.when(F.col("valid"), F.bitmap_bucket_number("position"))
+    every = rows.groupBy("file_id", bucket.alias("bucket")).agg(
+        F.bitmap_construct_agg(F.when(inside, bit)).alias("inside"), F.bitmap_construct_agg(F.when(outside, bit)).alias("outside"),
+        F.count("*").alias("rows"), F.count_if("valid").alias("valid"),
+    )
+    every = every.groupBy("file_id").agg(
+        F.sum("rows").alias("total_rows"), F.sum("valid").alias("valid_rows"),
+        F.sum(F.bitmap_count("inside")).alias("covered_ids"), F.sum(F.bitmap_count("outside")).alias("out_of_scope_ids"),
+    )
     scope = index if groups is None else index.join(groups.select("grp").distinct(), "grp", "left_semi")
     expected = scope.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("expected_ids"))
-    every = rows.groupBy("file_id").agg(F.count("*").alias("total_rows"), F.count_if("valid").alias("valid_rows"))
-    counted = ["covered_ids", "in_scope_rows", "out_of_scope_ids", "out_of_scope_rows"]
-    out = every.join(within, "file_id", "left").join(outside, "file_id", "left").fillna(0, counted).join(F.broadcast(expected), how="cross")  # one row
+    out = every.join(F.broadcast(expected), how="cross")  # one row
     percent = F.when(F.col("expected_ids") > 0, (F.col("covered_ids") * 100 / F.col("expected_ids")).cast("decimal(20,10)")).otherwise(0)
     return out.select(
         "file_id", "total_rows", "valid_rows", "expected_ids", "covered_ids", (F.col("expected_ids") - F.col("covered_ids")).alias("missing_ids"),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
-from ..operators import coverage, index, intervals, packages, structure
+from ..operators import coverage, intervals, packages, structure
 from ..sources import landed, pieces
 from ..streaming import workflow
 from ..streaming.store import FindingsStore
 from .shared import new_path
-from .tables import order_sizes, table
+from .tables import line_tasks, order_index, table
 
 QUERIES, SQL = {}, {}
 #: Bytes of text that one task writes, about, of files that have to be in order.
@@ -46,8 +46,8 @@ _FLAGS = """idx AS (SELECT l_orderkey AS grp, max(l_linenumber)::BIGINT AS n FRO
 @query(f"WITH {_FLAGS} SELECT file_id, grp, first, last, size::BIGINT AS size FROM gaps")
 def missing_by_file(spark, d):
     """Every file against every order: what it lacks, by bitmaps."""
-    sizes = index.numbering(order_sizes(spark, d))
-    return coverage.missing_runs(structure.keyed(flags_as_files(spark, d), sizes), sizes)
+    sizes, many = order_index(spark, d), line_tasks(spark, d)
+    return coverage.missing_runs(structure.keyed(flags_as_files(spark, d), sizes, many=many), sizes, many=many)
 
 
 @query(f"""WITH {_FLAGS}, scope AS (SELECT o_orderkey AS grp FROM orders WHERE o_orderstatus = 'F'),
@@ -58,9 +58,9 @@ def missing_by_file(spark, d):
     (total_rows - covered - outside)::BIGINT AS repeated_rows, round((covered * 100 / n)::DECIMAL(20,10), 2)::DOUBLE AS coverage_percent FROM c, want""")
 def coverage_by_file(spark, d):
     """Counts of each file against the finished orders, as bits."""
-    sizes = index.numbering(order_sizes(spark, d))
+    sizes = order_index(spark, d)
     scope = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("grp"))
-    return coverage.coverage(structure.keyed(flags_as_files(spark, d), sizes, scope), sizes, scope)
+    return coverage.coverage(structure.keyed(flags_as_files(spark, d), sizes, scope, line_tasks(spark, d)), sizes, scope)
 
 
 @query(f"""WITH {_FLAGS}, dup AS (SELECT file_id, grp, ord, count(*) AS c FROM rows GROUP BY ALL HAVING count(*) > 1),
@@ -71,7 +71,7 @@ def coverage_by_file(spark, d):
   FROM r JOIN g USING (file_id) LEFT JOIN d USING (file_id), want""")
 def complete_audit(spark, d):
     """The audit of three files that claim to be complete, one summary row each."""
-    report = A.audit(flags_as_files(spark, d), index.numbering(order_sizes(spark, d)))
+    report = A.audit(flags_as_files(spark, d), order_index(spark, d))
     return report.summary.select(
         "file_id", "total_rows", "expected_ids", "covered_ids", "missing_ids", "coverage_percent", "duplicate_ids", "duplicate_rows", "structural_findings", "structurally_complete"
     )

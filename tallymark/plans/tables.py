@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import dealt, tasks
+from ..operators.index import dealt, numbering, tasks
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,8 +33,13 @@ def line_tasks(spark: SparkSession, folder: str) -> int | None:
 
 def order_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Counts (grp, n): the highest line number of each order."""
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("grp"))
-    return lines.agg(F.max("l_linenumber").cast("long").alias("n"))
+    lines = dealt(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), line_tasks(spark, folder), "l_orderkey")
+    return lines.groupBy(F.col("l_orderkey").alias("grp")).agg(F.max("l_linenumber").cast("long").alias("n"))
+
+
+def order_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The numbering of all orders by their highest line numbers."""
+    return numbering(order_sizes(spark, folder), line_tasks(spark, folder))
 
 
 def pairs_by_start(spark: SparkSession, folder: str) -> DataFrame:
