@@ -97,9 +97,9 @@ def merged_ranges(rows: DataFrame) -> DataFrame:
     return rows.withColumn("range", span).where("range IS NOT NULL")
 
 
-def out_of_order(rows: DataFrame) -> DataFrame:
+def out_of_order(rows: DataFrame, many: int | None = None) -> DataFrame:
     """Valid rows whose position is below that of the valid row before them in their file."""
-    late = in_order(rows).where(F.col("valid") & (F.col("position") < F.col("previous.position")))
+    late = in_order(rows, many).where(F.col("valid") & (F.col("position") < F.col("previous.position")))
     told = {"previous_position": "position", "previous_id": "id", "previous_row": "row_number"}
     return late.select(*rows.columns, *[F.col(f"previous.{c}").alias(name) for name, c in told.items()])
 
@@ -147,9 +147,10 @@ def totals(rows: DataFrame, index: DataFrame) -> DataFrame:
     return out.withColumn("coverage_percent", F.round(percent.cast("decimal(20,10)"), 2).cast("double"))
 
 
-def missing_in_groups(have: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows (grp, ord) of the index without a counterpart in ``have`` (grp, ord): one anti join."""
-    return expected(index).select("grp", "ord").join(have.select("grp", "ord").distinct(), ["grp", "ord"], "left_anti")
+def missing_in_groups(have: DataFrame, index: DataFrame, many: int | None = None) -> DataFrame:
+    """Rows (grp, ord) of the index without a counterpart in ``have`` (grp, ord): one anti join, in ``many`` tasks."""
+    have = dealt(have.select("grp", "ord").distinct(), many, "grp", "ord")
+    return expected(index).select("grp", "ord").join(have, ["grp", "ord"], "left_anti")
 
 
 def ranges(rows: DataFrame, by: list[str], value: str = "ord") -> DataFrame:
@@ -169,17 +170,18 @@ def raised(code: str, when: Column, **evidence: Column) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(code).alias("code"), told.alias("evidence")))
 
 
-def in_order(rows: DataFrame) -> DataFrame:
+def in_order(rows: DataFrame, many: int | None = None) -> DataFrame:
     """Rows with ``previous``: position, id and number of the valid row before them in their file.
 
     It is looked for within a stride of the file first; what comes before a stride is the
     last valid row of the strides before it, of which there is one row each. So no task
-    holds a whole file.
+    holds a whole file. Strides, and files of one row each, are dealt to ``many`` tasks.
     """
-    strided = rows.withColumn("__stride", F.floor(F.col("input_index") / STRIDE))
+    strided = dealt(rows.withColumn("__stride", F.floor(F.col("input_index") / STRIDE)), many, "file_id", "__stride")
     here = F.when(F.col("valid"), F.struct("position", "id", "row_number"))
     before = Window.partitionBy("file_id", "__stride").orderBy("input_index").rowsBetween(Window.unboundedPreceding, -1)
     ends = strided.groupBy("file_id", "__stride").agg(F.max_by(here, F.when(F.col("valid"), F.col("input_index"))).alias("__end"))
+    ends = dealt(ends, many, "file_id")
     earlier = Window.partitionBy("file_id").orderBy("__stride").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("file_id", "__stride", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
     out = strided.withColumn("__within", F.last(here, ignorenulls=True).over(before)).join(carried, ["file_id", "__stride"], "left")

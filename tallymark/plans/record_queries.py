@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import baseline, findings, index, manifest, review, revision, semantic, structure, team
+from ..operators.index import dealt
 from ..operators.ranks import ranked
 from ..sources import files, reference, samples
 from ..sources.matrix import MAX_ROWS
 from .shipping import ship
-from .tables import line_tasks, lines_as_rows, order_sizes, table, turns_as_rows
+from .tables import line_tasks, lines_as_rows, order_index, order_sizes, table, turns_as_rows
 
 QUERIES, SQL = {}, {}
 
@@ -199,7 +200,7 @@ _GAPS = """WITH idx AS (SELECT l_orderkey AS grp, max(l_linenumber)::BIGINT AS n
   SELECT grp AS file_id, string_agg(grp || ':' || ord, ',' ORDER BY ord) FILTER (k <= 2) AS shown, max(total)::BIGINT AS total, greatest(max(total) - 2, 0)::BIGINT AS hidden FROM r GROUP BY grp""")
 def missing_preview(spark, d):
     have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("ord"))
-    gone = structure.missing_in_groups(have, index.numbering(order_sizes(spark, d))).withColumn("file_id", F.col("grp"))
+    gone = structure.missing_in_groups(have, order_index(spark, d), line_tasks(spark, d)).withColumn("file_id", F.col("grp"))
     return findings.preview(gone, ["file_id"], 2).select("file_id", F.array_join("shown", ",").alias("shown"), "total", "hidden")
 
 
@@ -617,7 +618,8 @@ def naive_lookup(spark, d):
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_partkey")
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_raw"), F.col("l_linenumber").alias("ordinal_raw"), F.col("l_returnflag").alias("text"), F.row_number().over(order).cast("long").alias("row_number"))
+    lines = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_partkey"), line_tasks(spark, d), "l_orderkey", "l_linenumber")
+    lines = lines.select(F.col("l_orderkey").alias("group_raw"), F.col("l_linenumber").alias("ordinal_raw"), F.col("l_returnflag").alias("text"), F.row_number().over(order).cast("long").alias("row_number"))
     out = baseline.naive_lookup(lines.where("ordinal_raw <> 2"), lines.where("ordinal_raw <= 4"))
     return out.groupBy("side", "reason").agg(F.count("*").alias("rows"))
 
@@ -660,8 +662,8 @@ def lexical_baseline(spark, d):
 @query("""WITH k AS (SELECT l_orderkey AS grp, max(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1) SELECT count(*)::BIGINT AS groups, sum(n)::BIGINT AS rows, sum(n)::BIGINT AS ids FROM k""")
 def generated_file(spark, d):
     """A generated sound file of as many groups as there are orders: every identifier once, none without text."""
-    sizes = index.numbering(order_sizes(spark, d))
-    rows = structure.keyed(samples.numbered_file(sizes).withColumn("file_id", F.lit("made")), sizes).where("valid AND text <> ''")
+    sizes = order_index(spark, d)
+    rows = structure.keyed(samples.numbered_file(sizes).withColumn("file_id", F.lit("made")), sizes, many=line_tasks(spark, d)).where("valid AND text <> ''")
     ids = rows.groupBy("grp", "ord").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("rows"), F.count("*").alias("ids"))
     return ids.agg(F.count("*").alias("groups"), F.sum("rows").alias("rows"), F.sum("ids").alias("ids"))
 

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import audit as A
 from ..operators import compare, index, semantic, structure
 from .shipping import ship
-from .tables import line_tasks, lines_as_rows, order_sizes, pairs_by_start, table
+from .tables import line_tasks, lines_as_rows, order_index, order_sizes, pairs_by_start, table
 
 QUERIES, SQL = {}, {}
 
@@ -73,16 +73,16 @@ _MISSING = f"""{_INDEX}, gone AS (SELECT grp, ord FROM (SELECT grp, unnest(range
 
 @query(f"WITH {_MISSING} SELECT grp, first, last, size::BIGINT AS size FROM runs")
 def missing_ranges(spark, d):
-    sizes = index.numbering(order_sizes(spark, d))
     have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("ord"))
-    return structure.ranges(structure.missing_in_groups(have, sizes), ["grp"])
+    return structure.ranges(structure.missing_in_groups(have, order_index(spark, d), line_tasks(spark, d)), ["grp"])
 
 
 @query(f"""WITH {_ROWS}, seen AS (SELECT *, lag(ord) OVER (PARTITION BY grp ORDER BY row_number) AS before FROM rows)
   SELECT grp, row_number::BIGINT AS row_number, ord, before FROM seen WHERE ord < before""")
 def out_of_order(spark, d):
-    rows = structure.keyed(lines_as_rows(spark, d), index.numbering(order_sizes(spark, d)))
-    out = structure.out_of_order(rows)
+    many = line_tasks(spark, d)
+    rows = structure.keyed(lines_as_rows(spark, d), order_index(spark, d), many=many)
+    out = structure.out_of_order(rows, many)
     return out.select("grp", "row_number", "ord", (F.col("ord") - (F.col("position") - F.col("previous_position"))).alias("before"))
 
 

@@ -191,3 +191,53 @@ def test_many_rows_meet_the_index_in_more_tasks(spark, tmp_path, monkeypatch):
     assert rows.rdd.getNumPartitions() == 10
     keyed = structure.keyed(rows, index.numbering(tables.order_sizes(spark, str(tmp_path))), many=10)
     assert "hashpartitioning(__grp" in keyed._jdf.queryExecution().executedPlan().toString()
+
+
+def _same_in_more_tasks(spark, folder, monkeypatch, query):
+    """The query's rows, which have to be the same when its lines are dealt to more tasks than the session has."""
+    from tallymark.operators import index
+
+    lines = spark.range(900).selectExpr("id div 3 + 1 AS l_orderkey", "cast(id % 3 + 1 AS int) AS l_linenumber", "date'2024-01-01' AS l_shipdate", "-id AS l_partkey", "CASE WHEN id % 2 = 0 THEN 'A' ELSE 'R' END AS l_returnflag", "'F' AS l_linestatus")
+    lines.where("l_orderkey % 7 > 0 OR l_linenumber <> 2").unionByName(lines.where("l_orderkey = 5")).write.parquet(str(folder / "lineitem.parquet"))
+    spark.range(1, 301).selectExpr("id AS o_orderkey", "CASE WHEN id % 2 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus").write.parquet(str(folder / "orders.parquet"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = query(spark, str(folder))
+    told = sorted(tuple(r) for r in before.collect())
+    assert told and "REPARTITION_BY_NUM" not in plan(before)
+    monkeypatch.setattr(index, "ROWS_A_TASK", 100)
+    after = query(spark, str(folder))
+    assert sorted(tuple(r) for r in after.collect()) == told
+    return told, plan(after)
+
+
+def test_files_and_index_meet_in_more_tasks(spark, tmp_path, monkeypatch):
+    """Bitmaps, their cells and the rows before them were dealt to the session's partitions, however many there were."""
+    from tallymark.operators import coverage
+    from tallymark.plans import file_queries as q
+
+    made = []
+    cells = coverage.cells
+    monkeypatch.setattr(coverage, "cells", lambda index, groups=None, many=None: made.append(many) or cells(index, groups, many))
+    told, _ = _same_in_more_tasks(spark, tmp_path, monkeypatch, q.missing_by_file)
+    assert made[0] is None and made[-1] >= 9
+    assert ("A", 1, 2, 2, 1) in told and ("R", 1, 1, 1, 1) in told
+
+
+def test_files_are_counted_in_one_pass(spark, tmp_path, monkeypatch):
+    """Rows in scope, outside and all of them were counted one after the other, each from the table on."""
+    from tallymark.plans import file_queries as q
+
+    told, _ = _same_in_more_tasks(spark, tmp_path, monkeypatch, q.coverage_by_file)
+    assert sum(r[1] for r in told) == 900 - 42 + 3
+    plan = q.coverage_by_file(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS file_id#") == 1
+
+
+def test_order_queries_meet_in_more_tasks(spark, tmp_path, monkeypatch):
+    from tallymark.plans import record_queries, structure_queries
+
+    for k, query in enumerate((structure_queries.out_of_order, structure_queries.missing_ranges, record_queries.missing_preview, record_queries.naive_lookup, record_queries.generated_file)):
+        with monkeypatch.context() as m:
+            (tmp_path / str(k)).mkdir()
+            _, plan = _same_in_more_tasks(spark, tmp_path / str(k), m, query)
+            assert ", 9), REPARTITION_BY_NUM" in plan, query.__name__
