@@ -58,9 +58,9 @@ def filtered(findings: DataFrame, query: str = "", type_: str = "all", band: str
     return out
 
 
-def page(findings: DataFrame, number: int, size: int = 20) -> DataFrame:
+def page(findings: DataFrame, number: int, size: int = 20, many: int | None = None) -> DataFrame:
     """The findings of one page of each file, in the order of priority, with the page count."""
-    placed = priority(findings)
+    placed = priority(findings, many)
     pages = placed.groupBy("file_id").agg(F.ceil(F.count("*") / F.lit(size)).alias("pages"))
     return placed.where(F.col("place").between((number - 1) * size + 1, number * size)).join(pages, "file_id")
 

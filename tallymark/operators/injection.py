@@ -79,11 +79,11 @@ def case_id() -> Column:
     return F.concat_ws(":", "defect", "file_id", F.col("position").cast("string")).alias("case_id")
 
 
-def injected(rows: DataFrame, cases: DataFrame, bad_group: str = "0") -> DataFrame:
+def injected(rows: DataFrame, cases: DataFrame, bad_group: str = "0", many: int | None = None) -> DataFrame:
     """Rows (file_id, input_index, row_number, group_raw, ordinal_raw, text, case_id) of the files with their defects, numbered anew.
 
     Rows meet the cases once, by position. A copy stands behind its row, swapped rows change
-    places, and the first of two merged rows takes both ordinals and texts.
+    places, and the first of two merged rows takes both ordinals and texts. ``many`` ranges are numbered.
     """
     near = few(cases)
     touched = affected(cases).select("file_id", "position", "case_id", "defect", "second")
@@ -103,7 +103,7 @@ def injected(rows: DataFrame, cases: DataFrame, bad_group: str = "0") -> DataFra
         F.when(merged, F.concat_ws("-", ordinal, F.col("next_ord").cast("string"))).otherwise(ordinal).alias("ordinal_raw"), text.alias("text"), "case_id",
         F.explode(F.when(is_("duplicate_row"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__copy"),
     )
-    out = ranked(out, ["file_id"], [F.col("__at"), F.col("__copy")], "__number")
+    out = ranked(out, ["file_id"], [F.col("__at"), F.col("__copy")], "__number", many)
     return out.select("file_id", (F.col("__number") - 1).alias("input_index"), (F.col("__number") + 1).alias("row_number"), "group_raw", "ordinal_raw", "text", "case_id")
 
 

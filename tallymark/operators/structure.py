@@ -258,12 +258,12 @@ def group_findings(rows: DataFrame, index: DataFrame, groups: DataFrame | None,
     return out
 
 
-def priority(findings: DataFrame) -> DataFrame:
-    """Findings with their rank (critical first, unknown severities last of all) and their number in that order by file."""
+def priority(findings: DataFrame, many: int | None = None) -> DataFrame:
+    """Findings with their rank (critical first, unknown severities last of all) and their number in that order by file, from ``many`` ranges."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity")), F.lit(0))
     rank = F.when(rank == 0, len(SEVERITIES) - 1).otherwise(rank - 1).cast("int")
     order = [F.col("rank"), F.col("phase"), F.col("input_index").asc_nulls_last(), F.col("finding_id")]
-    return ranked(findings.withColumn("rank", rank), ["file_id"], order, "place")
+    return ranked(findings.withColumn("rank", rank), ["file_id"], order, "place", many)
 
 
 def queue_breakdown(findings: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..plans.shared import written
+from .index import dealt
 from .ranks import ranked
 from .structure import SEVERITIES
 
@@ -18,6 +20,9 @@ PERMISSIONS = {
     "supervisor": ("package.import", "supervise", "review.export", "view.team"),
     "reviewer": ("decide", "submission.export", "view.own"),
 }
+#: Slots of a team lie in blocks of a power of two; of blocks and turns so many rows are broadcast.
+SLOT_BITS = 12
+BROADCAST_ROWS = 500_000
 
 
 def can(role: Column, action: Column) -> Column:
@@ -48,23 +53,46 @@ def may_decide(role: Column, member: Column, reviewer: Column, stage: Column) ->
     return F.coalesce((role == "reviewer") & (reviewer == member) & stage.isin("assigned", "returned"), F.lit(False))
 
 
-def balanced(cases: DataFrame, reviewers: DataFrame, by: list[str]) -> DataFrame:
+def balanced(cases: DataFrame, reviewers: DataFrame, by: list[str], many: int | None = None) -> DataFrame:
     """Cases (by..., fingerprint, severity, grp) dealt to reviewers (by..., reviewer_id, place, load), the least loaded first.
 
     Dealing one after the other to the least loaded reviewer fills slots (level, reviewer)
     in that order, level by level from each reviewer's load; so the n-th case gets the
     n-th slot. Cases go by severity, group, fingerprint; ties of load by place.
+
+    No slot becomes a row. From one load to the next higher one of the team (a step) the same
+    reviewers take turns, so a slot's place in its step tells whose turn it is. Steps are met
+    by blocks of slots, turns by their number; cases are dealt to ``many`` tasks. A step has as
+    many slots as reviewers at least, so turns are no more than cases and reviewers.
     """
-    cases = ranked(cases, by, [severity_rank(F.col("severity")), F.col("grp"), F.col("fingerprint")], "slot")
-    many = cases.groupBy(*by).agg(F.count("*").alias("__many"))
-    everyone = Window.partitionBy(*by)
-    slots = reviewers.join(many, by).withColumn("__top", F.max("load").over(everyone)).withColumn("__all", F.count("*").over(everyone))
-    # beyond the highest load all are filled evenly, so no reviewer needs more levels than these
-    levels = F.sequence(F.col("load"), F.greatest(F.col("__top"), F.col("load")) + F.ceil(F.col("__many") / F.col("__all")))
-    slots = slots.withColumn("level", F.explode(levels))
-    filled = Window.partitionBy(*by).orderBy("level", "place")
-    slots = slots.withColumn("slot", F.row_number().over(filled)).select(*by, "slot", "reviewer_id")
-    return cases.join(slots, [*by, "slot"])
+    cases = ranked(cases, by, [severity_rank(F.col("severity")), F.col("grp"), F.col("fingerprint")], "slot", many)
+    columns = cases.columns
+    reviewers = reviewers.where("load IS NOT NULL").select(*by, "reviewer_id", "place", F.col("load").cast("long").alias("__own"))
+    upwards = Window.partitionBy(*by).orderBy("__load")
+    steps = reviewers.groupBy(*by, F.col("__own").alias("__load")).agg(F.count("*").alias("__n"))
+    steps = steps.select(*by, "__load", F.sum("__n").over(upwards).alias("__open"), F.lead("__load").over(upwards).alias("__next"))
+    steps = steps.withColumn("__slots", F.col("__open") * (F.col("__next") - F.col("__load")))
+    before = F.sum("__slots").over(upwards.rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("__before", F.coalesce(before, F.lit(0))).join(cases.groupBy(*by).agg(F.count("*").alias("__cases")), by)
+    # the highest step has no end of its own
+    end = F.least(F.col("__before") + F.col("__slots"), F.col("__cases"))
+    steps = written(steps.where("__before < __cases").select(*by, "__load", "__open", "__before", end.alias("__end")), "steps")
+    block = lambda slot: F.shiftright(slot, SLOT_BITS)
+    first, last = block(F.col("__before")), block(F.col("__end") - 1)
+    pieces = steps.withColumn("__block", F.explode(F.sequence(first, last)))
+    turn = F.row_number().over(Window.partitionBy(*by, "__load").orderBy("place")) - 1
+    turns = reviewers.join(steps.select(*by, "__load"), by).where("__own <= __load").select(*by, "__load", turn.cast("long").alias("__turn"), "reviewer_id")
+
+    many_pieces, many_turns = steps.agg(F.sum(last - first + 1), F.sum("__open")).first()
+
+    def met(left: DataFrame, right: DataFrame, on: list[str], n: int | None) -> DataFrame:
+        if (n or 0) <= BROADCAST_ROWS:
+            return left.join(F.broadcast(right), on)
+        return dealt(left, many, *on).join(dealt(right, many, *on), on)
+
+    out = met(cases.withColumn("__block", block(F.col("slot") - 1)), pieces, [*by, "__block"], many_pieces).where("slot > __before AND slot <= __end")
+    out = met(out.withColumn("__turn", (F.col("slot") - 1 - F.col("__before")) % F.col("__open")), turns, [*by, "__load", "__turn"], many_turns)
+    return out.select(*by, "slot", *[c for c in columns if c not in (*by, "slot")], "reviewer_id")
 
 
 def by_group(cases: DataFrame, reviewers: DataFrame, holders: DataFrame, by: list[str]) -> DataFrame:

@@ -100,7 +100,7 @@ def trial(spark, d):
     # read six times; what a text can turn into is asked for once, and not kept
     sound = written(made.drop("variants", "family"), "sound")
     cases = written(injection.chosen(made, PER_KIND, SEED).withColumn("sub_kind", F.when(F.element_at("variants", F.col("defect")).isNotNull(), F.col("family")).otherwise("")), "cases")
-    rows = written(injection.injected(sound, cases, bad_group="-1"), "injected")
+    rows = written(injection.injected(sound, cases, bad_group="-1", many=index.tasks(sound)), "injected")
     reference = sound.select("file_id", (F.col("position") - 1).alias("input_index"), (F.col("position") + 1).alias("row_number"), F.col("grp").cast("string").alias("group_raw"), F.col("ord").cast("string").alias("ordinal_raw"), "text")
     report = A.audit(rows.drop("case_id"), sizes(spark, d), reference, candidate_language="en", reference_language="en", verified=True)
     return cases, rows, reference, report

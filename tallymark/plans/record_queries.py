@@ -258,7 +258,7 @@ def searched_findings(spark, d):
   SELECT file_id, finding_id, k::BIGINT AS place, ceil(n / 20.0)::BIGINT AS pages FROM f WHERE k BETWEEN 21 AND 40""")
 def findings_page(spark, d):
     """The second page of each file: which findings are on it, and in which place."""
-    return findings.page(_findings(spark, d), 2).select("file_id", "finding_id", F.col("place").cast("long").alias("place"), "pages")
+    return findings.page(_findings(spark, d), 2, many=line_tasks(spark, d)).select("file_id", "finding_id", F.col("place").cast("long").alias("place"), "pages")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, max(greatest(0, least(99, floor(value)))) OVER w AS p, bool_or(event_type = 'purchase') OVER w AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
@@ -713,7 +713,8 @@ def file_previews(spark, d):
 def _workbooks(spark, d):
     """Each brand's parts as workbooks, packed on the executors: as many as the limit of rows asks for, the first with headings."""
     cells = ["p_partkey", "p_size", "p_name"]
-    parts = ranked(table(spark, d, "part").select("p_brand", *cells), ["p_brand"], [F.col(c) for c in cells], "place")
+    part = table(spark, d, "part")
+    parts = ranked(part.select("p_brand", *cells), ["p_brand"], [F.col(c) for c in cells], "place", index.tasks(part))
     parts = parts.groupBy("p_brand", F.floor((F.col("place") - 1) / MAX_ROWS).alias("book")).agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("rows"))
 
     def pack(batches):

@@ -241,3 +241,93 @@ def test_order_queries_meet_in_more_tasks(spark, tmp_path, monkeypatch):
             (tmp_path / str(k)).mkdir()
             _, plan = _same_in_more_tasks(spark, tmp_path / str(k), m, query)
             assert ", 9), REPARTITION_BY_NUM" in plan, query.__name__
+
+
+def test_dealing_makes_no_row_of_a_slot(spark):
+    """Every level up to the highest load was a row for each reviewer below it, and one task held all of a team."""
+    from tallymark.operators import team
+
+    high = 3_000_000_000
+    todo = spark.range(10).selectExpr("'t' AS team", "concat('c', id) AS fingerprint", "'high' AS severity", "0L AS grp")
+    crew = spark.createDataFrame([("t", "a", 0, high), ("t", "b", 1, 0), ("t", "c", 2, 3), ("t", "gone", 3, None), ("u", "d", 0, 0)], "team string, reviewer_id string, place int, load long")
+    got = team.balanced(todo, crew, ["team"])
+    assert got.columns == ["team", "slot", "fingerprint", "severity", "grp", "reviewer_id"]
+    assert [r.reviewer_id for r in got.orderBy("slot").collect()] == ["b", "b", "b", "b", "c", "b", "c", "b", "c", "b"]
+
+
+def test_dealing_in_many_tasks_equals_a_heap(spark, monkeypatch):
+    """Uneven loads, cases in more tasks than the session has, blocks of two slots; rows broadcast and not."""
+    import heapq
+    import random
+
+    from tallymark.operators import ranks, structure, team
+
+    rng = random.Random(4)
+    crew = [(t, f"r{t}-{k:02}", k, rng.choice([0, 0, 5, rng.randint(0, 40)])) for t in range(3) for k in range(12)] + [(None, "none", 0, 0)]
+    todo = [(rng.choice([0, 0, 0, 1, 2, 7, None]), f"{k:04}", rng.choice(structure.SEVERITIES), rng.randint(0, 3)) for k in range(1500)]
+    expect = {}
+    for t in range(3):
+        heap = [(load, place, who) for team_, who, place, load in crew if team_ == t]
+        heapq.heapify(heap)
+        for _, name, _, _ in sorted((c for c in todo if c[0] == t), key=lambda c: (structure.SEVERITIES.index(c[2]), c[3], c[1])):
+            load, place, who = heap[0]
+            heapq.heapreplace(heap, (load + 1, place, who))
+            expect[name] = who
+    monkeypatch.setattr(team, "SLOT_BITS", 1)
+    cases = spark.createDataFrame(todo, "team int, fingerprint string, severity string, grp long")
+    members = spark.createDataFrame(crew, "team int, reviewer_id string, place int, load int")
+    for most in (500_000, 0):
+        monkeypatch.setattr(team, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(ranks, "BROADCAST_FIRSTS", most)
+        got = team.balanced(cases, members, ["team"], 9)
+        rows = got.collect()
+        assert len(rows) == len(expect) and {r.fingerprint: r.reviewer_id for r in rows} == expect
+
+
+def test_ranks_in_many_ranges_equal_sorting(spark, monkeypatch):
+    """Ranges were as many as the session's partitions, and ranges of a key met again in one task."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallymark.operators import ranks
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 50), k) for k in range(3000)] + [(f"k{k}", 0, k) for k in range(300)]
+    expect, numbers = set(), {}
+    for r in sorted(rows, key=lambda r: (-r[1], r[2])):
+        numbers[r[0]] = numbers.get(r[0], 0) + 1
+        expect.add((*r, numbers[r[0]]))
+    df = spark.createDataFrame(rows, "k string, v long, id long")
+    kept = []
+    written = ranks.written
+    monkeypatch.setattr(ranks, "written", lambda df, name: kept.append(written(df, name)) or kept[-1])
+    for most in (100_000, 0):
+        monkeypatch.setattr(ranks, "BROADCAST_FIRSTS", most)
+        got = ranks.ranked(df, ["k"], [F.col("v").desc(), F.col("id")], "n", 11)
+        assert ("Window" in got._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+        told = got.collect()
+        assert len(told) == len(rows) and {tuple(r) for r in told} == expect
+        sizes = [r["n"] for r in kept[-2].groupBy(F.shiftright("__at", 33)).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 11 and max(sizes) < 900
+
+
+def test_queries_by_ranks_use_more_tasks(spark, tmp_path, monkeypatch):
+    """The deal of the orders and their priority give the same rows from more tasks than the session has."""
+    from tallymark.operators import index, structure, team
+    from tallymark.plans import review_queries as q
+
+    priority = "element_at(array('1-URGENT', '2-HIGH', '3-MEDIUM', '4-LOW', '5-LOW'), cast(id * 7 % 5 + 1 AS int)) AS o_orderpriority"
+    spark.range(900).selectExpr("id AS o_orderkey", "id * id % 60 AS o_custkey", "'F' AS o_orderstatus", priority).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(60).selectExpr("id AS c_custkey", "cast(id % 3 AS int) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(20).selectExpr("id AS s_suppkey", "cast(id % 3 AS int) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    asked = []
+    for module in (structure, team):
+        ranked = module.ranked
+        monkeypatch.setattr(module, "ranked", lambda rows, by, order, name, many=None, _ranked=ranked: asked.append(many) or _ranked(rows, by, order, name, many))
+    for query in (q.assign_balanced, q.priority_queue):
+        with monkeypatch.context() as m:
+            told = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+            m.setattr(index, "ROWS_A_TASK", 100)
+            assert len(told) == 900 and sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == told
+        assert asked[-2:] == [None, 9], query.__name__
