@@ -58,9 +58,10 @@ def strict_integer(text: Column) -> Column:
     digits = trimmed(ascii_digits(text))
     plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
     value = F.when(digits.rlike("^[0-9]+$") & (F.length(plain) <= 16), plain.try_cast("bigint"))
-    # most identifiers are a few plain digits, which need no pattern
-    few = F.length(text).between(1, 15) & (F.translate(text, DIGITS_TO[:10], "") == "")
-    return F.when(few, text.try_cast("bigint")).otherwise(F.when(value <= MAX_SAFE, value))
+    # most identifiers are a few plain digits, which need no pattern: as a number they are spelled alike
+    number = text.try_cast("bigint")
+    few = number.between(0, 10**15 - 1) & (number.cast("string") == text)
+    return F.when(few, number).otherwise(F.when(value <= MAX_SAFE, value))
 
 
 def merged_range(text: Column) -> Column:
@@ -102,12 +103,16 @@ def token_values(text: Column) -> Column:
 
     Compatibility forms are left as they are; ``functions.udfs.token_values`` folds them.
     """
+    text = F.coalesce(text, F.lit(""))
+    low = lambda t: F.replace(F.lower(t), F.lit("’"), F.lit("'"))
+
     def value(t: Column) -> Column:
-        low = F.translate(F.lower(t), "’", "'")
         # a pattern is tried on what isn't ASCII only
-        return F.when((F.octet_length(low) > F.length(low)) & low.rlike(r"\p{IsArabic}"), F.regexp_replace(low, r"[\p{M}ـ]", "")).otherwise(low)
+        return F.when((F.octet_length(t) > F.length(t)) & low(t).rlike(r"\p{IsArabic}"), F.regexp_replace(low(t), r"[\p{M}ـ]", "")).otherwise(low(t))
 
-    return F.transform(tokens(text), value)
+    # other letters are small ones by themselves, so the text may be lowered as one; the small form of a sigma depends on what is around it
+    one_by_one = (F.octet_length(text) > F.length(text)) & text.rlike(r"[Σ\p{IsArabic}]")
+    return F.when(one_by_one, F.transform(tokens(text), value)).otherwise(tokens(low(text)))
 
 
 def normalised(text: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .structure import CODES, RAISED, raised, with_copies
+from .index import dealt
+from .structure import CODES, RAISED, listed, with_copies
 
 OVERLAP = 0.65
 LEAST_TOKENS = 3
@@ -51,12 +52,12 @@ def integrity(reference: DataFrame) -> DataFrame:
     return rows.join(ids, how="cross")  # one row each
 
 
-def gated(rows: DataFrame, reference: DataFrame | None, candidate_language: str = "", reference_language: str = "", verified: bool = False) -> DataFrame:
+def gated(rows: DataFrame, reference: DataFrame | None, candidate_language: str = "", reference_language: str = "", verified: bool = False, many: int | None = None) -> DataFrame:
     """Keyed rows with reference, comparison_status and comparison_reason.
 
     ``verified`` says that the engine verified the source as a whole. The reasons, in
     order: the row's own identifier, scope and text, its copies, then the reference's.
-    Without a reference (None) it is missing for every row.
+    Without a reference (None) it is missing for every row; rows with one meet it in ``many`` tasks.
     """
     out = rows if "copies" in rows.columns else with_copies(rows)
     own = (
@@ -71,7 +72,7 @@ def gated(rows: DataFrame, reference: DataFrame | None, candidate_language: str
     # rows without an identifier meet nothing: a key of their own spreads them
     key = F.coalesce("id", F.concat(F.lit("#"), F.col("input_index").cast("string")))
     known = reference_by_id(reference).withColumnRenamed("id", "__id")
-    out = out.withColumn("__id", key).join(known, "__id", "left").drop("__id")
+    out = dealt(out.withColumn("__id", key), many, "__id").join(known, "__id", "left").drop("__id")
     differ = bool(candidate_language and reference_language and candidate_language != reference_language)
     r = F.col("reference")
     row_verified = F.coalesce(r["verification_status"], F.lit("verified")) != "unverified"
@@ -99,7 +100,7 @@ def lexical(pairs: DataFrame, language: str = "") -> DataFrame:
     """
     out = pairs.withColumn("a", T.token_values(F.col("text"))).withColumn("b", T.token_values(F.col("other")))
     out = out.withColumn("negations", T.negation_count(F.col("a"), language)).withColumn("other_negations", T.negation_count(F.col("b"), language))
-    equal = F.array_join("a", " ") == F.array_join("b", " ")
+    equal = F.col("a") == F.col("b")
     ours, theirs = F.col("negations"), F.col("other_negations")
     state = (
         F.when(ours.isNull(), "unsupported")
@@ -107,8 +108,11 @@ def lexical(pairs: DataFrame, language: str = "") -> DataFrame:
         .when(~equal & ((ours > 0) != (theirs > 0)), "difference")
         .when((ours > 0) | (theirs > 0), "unchanged_count").otherwise("none")
     )
-    out = out.withColumn("negation_state", state).withColumn("overlap", T.overlap(F.array_distinct("a"), F.array_distinct("b")))
-    out = out.withColumn("added", F.array_except("a", "b")).withColumn("removed", F.array_except("b", "a"))
+    out = out.withColumns({"negation_state": state, "__a": F.array_distinct("a"), "__b": F.array_distinct("b")})
+    out = out.withColumns({"added": F.array_except("__a", "__b"), "removed": F.array_except("__b", "__a")})
+    # all values are those of one side and what the other has besides
+    every, shared = F.size("__a") + F.size("removed"), F.size("__b") - F.size("removed")
+    out = out.withColumn("overlap", F.when(every == 0, F.lit(1.0)).otherwise(shared / every)).drop("__a", "__b")
     long_enough = (F.size("a") >= LEAST_TOKENS) | (F.size("b") >= LEAST_TOKENS)
     return out.withColumn("lexical_difference", ~equal & (F.col("overlap") < OVERLAP) & long_enough)
 
@@ -121,22 +125,18 @@ def _settled(state: str, schema: str):
 def reviewed(rows: DataFrame, language: str = "") -> DataFrame:
     """Gated rows with numeric_review, qualifier_review and the columns of ``lexical``.
 
-    Rows without a comparison and rows equal to their reference never reach Python: they
-    are set apart before the functions, which Catalyst would evaluate eagerly otherwise.
+    Texts without a comparison and texts equal to their reference never reach Python: the
+    functions, which Catalyst evaluates eagerly, get nulls for them.
     """
     from ..functions.udfs import QUALIFIER_REVIEW, QUANTITY_REVIEW, qualifier_review, quantity_review
 
     base = T.language_base(F.lit(language))
-    differs = F.col("lexical") & (F.col("text") != F.col("reference.text"))
-
-    apart = rows.where(~F.coalesce(differs, F.lit(False)))
     equal = F.coalesce(F.col("lexical"), F.lit(False))
-    for name, schema in (("numeric_review", QUANTITY_REVIEW), ("qualifier_review", QUALIFIER_REVIEW)):
-        apart = apart.withColumn(name, F.when(equal, _settled("unchanged", schema)).otherwise(_settled("not_compared", schema)))
-    other = rows.where(F.coalesce(differs, F.lit(False)))
-    other = other.withColumn("numeric_review", quantity_review("text", "reference.text", base))
-    other = other.withColumn("qualifier_review", qualifier_review("text", "reference.text", base))
-    out = apart.unionByName(other)
+    differs = F.coalesce(F.col("lexical") & (F.col("text") != F.col("reference.text")), F.lit(False))
+    pair = [F.when(differs, F.col(c)) for c in ("text", "reference.text")]
+    reviews = (("numeric_review", quantity_review, QUANTITY_REVIEW), ("qualifier_review", qualifier_review, QUALIFIER_REVIEW))
+    settled = lambda schema: F.when(equal, _settled("unchanged", schema)).otherwise(_settled("not_compared", schema))
+    out = rows.withColumns({name: F.when(differs, review(*pair, base)).otherwise(settled(schema)) for name, review, schema in reviews})
     out = lexical(out.withColumn("other", F.col("reference.text")), language).drop("other", "a", "b")
     unmet = ~F.coalesce(F.col("lexical"), F.lit(False))
     out = out.withColumn("negation_state", F.when(unmet, "not_compared").otherwise(F.col("negation_state")))
@@ -156,36 +156,38 @@ def unreviewed(rows: DataFrame, language: str = "") -> DataFrame:
 
 
 def row_comparison(rows: DataFrame, language: str = "") -> DataFrame:
-    """Reviewed rows whose ``raised`` holds the comparison's findings too, evidence ones included."""
+    """Reviewed rows whose ``raised`` and ``codes`` hold the comparison's findings too, evidence ones included."""
     c = F.col
     issues = T.hygiene(c("reference.text"), F.coalesce(c("reference.language"), F.lit(language)))
     rows = rows.withColumn("__issues", F.when(c("reference").isNotNull(), issues))
     counts = {"negations": c("negations"), "reference_negations": c("other_negations")}
     both = lambda review: {"candidate": c(f"{review}.candidate"), "reference": c(f"{review}.reference")}
     num, qual, neg = c("numeric_review.state"), c("qualifier_review.state"), c("negation_state")
-    found = F.array(
-        raised("ambiguous_reference", c("comparison_reason") == "ambiguous_reference", reference_rows=c("reference_rows")),
-        raised("reference_text_hygiene", F.size("__issues") > 0, issues=c("__issues")),
-        raised("language_rule_abstain", c("language_state") == "abstain", language=F.lit(language)),
-        raised("numeric_comparison_abstain", num == "abstain", reasons=c("numeric_review.reasons")),
-        raised("potential_numeric_change", num == "difference", **both("numeric_review")),
-        raised("qualifier_comparison_abstain", qual == "abstain", reasons=c("qualifier_review.reasons")),
-        raised("potential_qualifier_change", qual == "difference", **both("qualifier_review")),
-        raised("negation_comparison_abstain", neg == "abstain", **counts),
-        raised("potential_negation_change", neg == "difference", **counts),
-        raised("lexical_difference", c("lexical_difference"), overlap=F.round(c("overlap").cast("decimal(20,10)"), 4), added=c("added"), removed=c("removed")),
-    )
-    have = c("raised") if "raised" in rows.columns else F.array().cast(RAISED)
-    return rows.withColumn("raised", F.concat(have, F.array_compact(found))).drop("__issues")
+    found, codes = listed([
+        ("ambiguous_reference", c("comparison_reason") == "ambiguous_reference", {"reference_rows": c("reference_rows")}),
+        ("reference_text_hygiene", F.size("__issues") > 0, {"issues": c("__issues")}),
+        ("language_rule_abstain", c("language_state") == "abstain", {"language": F.lit(language)}),
+        ("numeric_comparison_abstain", num == "abstain", {"reasons": c("numeric_review.reasons")}),
+        ("potential_numeric_change", num == "difference", both("numeric_review")),
+        ("qualifier_comparison_abstain", qual == "abstain", {"reasons": c("qualifier_review.reasons")}),
+        ("potential_qualifier_change", qual == "difference", both("qualifier_review")),
+        ("negation_comparison_abstain", neg == "abstain", counts),
+        ("potential_negation_change", neg == "difference", counts),
+        ("lexical_difference", c("lexical_difference"), {"overlap": F.round(c("overlap").cast("decimal(20,10)"), 4), "added": c("added"), "removed": c("removed")}),
+    ])
+    have = {"raised": F.array().cast(RAISED), "codes": F.array().cast("array<string>")}
+    have |= {name: c(name) for name in have if name in rows.columns}
+    return rows.withColumns({"raised": F.concat(have["raised"], found), "codes": F.concat(have["codes"], codes)}).drop("__issues")
 
 
 def statuses(rows: DataFrame) -> DataFrame:
     """Rows with their status: needs_review, abstain or no_signal, never an approval.
 
-    What a row raises is in the row already, copies included, so no join is needed.
+    What a row raises is in the row already, copies included, so no join is needed. Only the
+    codes are read: who reads statuses alone pays for no evidence.
     """
     grave = F.array(*[F.lit(code) for code, (kind, _) in CODES.items() if kind in ("structural", "comparison")])
-    hit = F.exists("raised", lambda r: F.array_contains(grave, r["code"])) | (F.col("copies") > 1)
+    hit = F.arrays_overlap("codes", grave) | (F.col("copies") > 1)
     states = [F.col("numeric_review.state"), F.col("qualifier_review.state"), F.col("negation_state"), F.col("language_state")]
     abstained = F.lit(False)
     for s in states:

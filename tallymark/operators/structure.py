@@ -68,14 +68,28 @@ def finding(rows: DataFrame, code: str, evidence: dict[str, Column], row_numbers
     return _digested(out)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("grp", T.strict_integer(F.col("group_raw").cast("string")))
+    return out.withColumn("ord", T.strict_integer(F.col("ordinal_raw").cast("string")))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Rows with grp, ord and id by their numbers alone, no index asked: valid are those that have both.
+
+    For the other side of a join by id: a row and its reference have the same numbers, so what
+    the index says of one it says of both.
+    """
+    out = _numbered(rows)
+    return out.withColumns({"valid": F.col("grp").isNotNull() & F.col("ord").isNotNull(), "id": identifier(F.col("grp"), F.col("ord"))})
+
+
 def keyed(rows: DataFrame, index: DataFrame, groups: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """Rows with grp, ord, id, position, in_scope and the flags of each row on its own.
 
     ``groups`` (grp) is the declared scope; without one every valid row is in scope. Rows
     that are too many for the session's partitions meet the index in ``many`` tasks.
     """
-    out = rows.withColumn("grp", T.strict_integer(F.col("group_raw").cast("string")))
-    out = out.withColumn("ord", T.strict_integer(F.col("ordinal_raw").cast("string")))
+    out = _numbered(rows)
     dim = index.select(F.col("grp").alias("__grp"), F.col("n").alias("group_size"), F.col("base").alias("__base"))
     # the side that is dealt out by number sets the number of both
     dim = dealt(dim, many, "__grp")
@@ -170,17 +184,30 @@ def raised(code: str, when: Column, **evidence: Column) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(code).alias("code"), told.alias("evidence")))
 
 
-def in_order(rows: DataFrame, many: int | None = None) -> DataFrame:
+def stride() -> Column:
+    """The stride of its file in which a row lies."""
+    return F.floor(F.col("input_index") / STRIDE)
+
+
+def listed(found: list[tuple[str, Column, dict[str, Column]]]) -> tuple[Column, Column]:
+    """What is raised of (code, condition, evidence), in their order: array(struct(code, evidence)), and the codes alone."""
+    codes = [F.when(F.coalesce(when, F.lit(False)), F.lit(code)) for code, when, _ in found]
+    return F.array_compact(F.array(*[raised(code, when, **told) for code, when, told in found])), F.array_compact(F.array(*codes))
+
+
+def in_order(rows: DataFrame, many: int | None = None, claims: DataFrame | None = None) -> DataFrame:
     """Rows with ``previous``: position, id and number of the valid row before them in their file.
 
     It is looked for within a stride of the file first; what comes before a stride is the
     last valid row of the strides before it, of which there is one row each. So no task
     holds a whole file. Strides, and files of one row each, are dealt to ``many`` tasks.
+    ``claims`` are the same rows at an earlier step, where the ends of strides cost less.
     """
-    strided = dealt(rows.withColumn("__stride", F.floor(F.col("input_index") / STRIDE)), many, "file_id", "__stride")
+    cut = lambda df: dealt(df.withColumn("__stride", stride()), many, "file_id", "__stride")
+    strided = cut(rows)
     here = F.when(F.col("valid"), F.struct("position", "id", "row_number"))
     before = Window.partitionBy("file_id", "__stride").orderBy("input_index").rowsBetween(Window.unboundedPreceding, -1)
-    ends = strided.groupBy("file_id", "__stride").agg(F.max_by(here, F.when(F.col("valid"), F.col("input_index"))).alias("__end"))
+    ends = (strided if claims is None else cut(claims)).groupBy("file_id", "__stride").agg(F.max_by(here, F.when(F.col("valid"), F.col("input_index"))).alias("__end"))
     ends = dealt(ends, many, "file_id")
     earlier = Window.partitionBy("file_id").orderBy("__stride").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("file_id", "__stride", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
@@ -206,23 +233,66 @@ def placed(rows: DataFrame) -> DataFrame:
     return with_copies(in_order(rows), rows)
 
 
+#: Ordinals of a group whose rows are counted together.
+BLOCK = 1 << 16
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Keyed rows with what the others of their file say about their identifier: copies, fresh and whole.
+
+    ``copies`` as of ``with_copies``; ``fresh`` is true in one row of each identifier; ``whole``
+    is true in one row of each block of a group's ordinals of which the file has all. Rows are
+    where they met the index, so counting moves none; invalid ones are alone.
+    """
+    block = F.when(F.col("valid"), F.expr(f"ord div {BLOCK}")).otherwise(-1 - F.col("input_index"))
+    rows = rows.withColumn("__block", block)
+    ids = Window.partitionBy("grp", "__block", "file_id")
+    order = ids.orderBy("ord")
+    first, last = F.greatest(F.lit(1), F.col("__block") * BLOCK), F.least("group_size", F.col("__block") * BLOCK + BLOCK - 1)
+    out = rows.withColumns({
+        "__copies": F.count("*").over(Window.partitionBy("grp", "__block", "file_id", "ord")), "__before": F.lag("ord").over(order),
+        "__behind": F.lead("ord").over(order), "__ids": F.dense_rank().over(order),
+    })
+    valid = F.col("valid")
+    return out.withColumns({
+        "copies": F.when(valid, F.col("__copies")).otherwise(F.lit(0)), "fresh": valid & ~F.col("ord").eqNullSafe(F.col("__before")),
+        "whole": valid & F.col("__behind").isNull() & (F.col("__ids") == last - first + 1),
+    }).drop("__block", "__copies", "__before", "__behind", "__ids")
+
+
 def row_structure(out: DataFrame, language: str = "") -> DataFrame:
-    """Placed rows with raised: all structural findings that are about one row."""
+    """Keyed rows with raised and codes: all structural findings that are about one row, but its order."""
     out = out.withColumn("__range", T.merged_range(F.col("ordinal_raw").cast("string"))).withColumn("__told", T.meaningful(F.col("text")))
     out = out.withColumn("__issues", T.hygiene(F.col("text"), F.lit(language)))
     odd = F.col("raw_type") if "raw_type" in out.columns else F.lit(None).cast("string")
     c = F.col
-    found = F.array(
-        raised("suspected_merged_range", c("__range").isNotNull(), first=c("__range.first"), last=c("__range.last")),
-        raised("invalid_id", ~c("valid"), grp=c("grp"), ord=c("ord"), group_size=c("group_size")),
-        raised("out_of_scope", c("valid") & ~c("in_scope"), grp=c("grp")),
-        raised("out_of_order", c("valid") & (c("position") < c("previous.position")), previous_id=c("previous.id"), previous_row=c("previous.row_number"),
-               previous_position=c("previous.position"), position=c("position")),
-        raised("invalid_text_type", odd != "string", received_type=odd),
-        raised("empty_text", ~c("__told")),
-        raised("text_hygiene", c("__told") & (F.size("__issues") > 0), issues=c("__issues")),
-    )
-    return out.withColumn("raised", F.array_compact(found)).drop("__range", "__told", "__issues")
+    found, codes = listed([
+        ("suspected_merged_range", c("__range").isNotNull(), {"first": c("__range.first"), "last": c("__range.last")}),
+        ("invalid_id", ~c("valid"), {"grp": c("grp"), "ord": c("ord"), "group_size": c("group_size")}),
+        ("out_of_scope", c("valid") & ~c("in_scope"), {"grp": c("grp")}),
+        ("invalid_text_type", odd != "string", {"received_type": odd}),
+        ("empty_text", ~c("__told"), {}),
+        ("text_hygiene", c("__told") & (F.size("__issues") > 0), {"issues": c("__issues")}),
+    ])
+    return out.withColumns({"raised": found, "codes": codes}).drop("__range", "__told", "__issues")
+
+
+_LATE = "out_of_order"
+
+
+def ordered(rows: DataFrame, many: int | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """Rows with ``previous``, whose raised and codes tell of those out of order too, in the place of that code."""
+    c, out = F.col, in_order(rows, many, claims)
+    late = F.coalesce(c("valid") & (c("position") < c("previous.position")), F.lit(False))
+    told = {"previous_id": c("previous.id"), "previous_row": c("previous.row_number"), "previous_position": c("previous.position"), "position": c("position")}
+    found, codes = listed([(_LATE, late, told)])
+    earlier = F.array(*[F.lit(code) for code, phase in PHASE.items() if phase < PHASE[_LATE]])
+
+    def with_it(name: str, code, new: Column) -> Column:
+        before, behind = F.filter(name, lambda r: F.array_contains(earlier, code(r))), F.filter(name, lambda r: ~F.array_contains(earlier, code(r)))
+        return F.when(late, F.concat(before, new, behind)).otherwise(c(name))
+
+    return out.withColumns({"raised": with_it("raised", lambda r: r["code"], found), "codes": with_it("codes", lambda r: r, codes)})
 
 
 def row_findings(rows: DataFrame) -> DataFrame:

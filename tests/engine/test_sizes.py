@@ -331,3 +331,67 @@ def test_queries_by_ranks_use_more_tasks(spark, tmp_path, monkeypatch):
             m.setattr(index, "ROWS_A_TASK", 100)
             assert len(told) == 900 and sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == told
         assert asked[-2:] == [None, 9], query.__name__
+
+
+def test_readings_look_at_numbers_and_markers_only(monkeypatch):
+    """Of a long text only what lies around its numbers and markers becomes tokens, and what is read is that of the whole."""
+    import random
+
+    from tallymark.functions import qualifiers, quantity, spots
+
+    seen = []
+    for module in (quantity, qualifiers):
+        monkeypatch.setattr(module, "token_value", lambda t, value=quantity.token_value: seen.append(t) or value(t))
+    text = "about 5 kg " + "lorem ipsum, d\u00e9j\u00e0 vu; " * 5_000 + "it must not be, two thousand"
+    amounts, _ = quantity.inventory(text, "en")
+    markers, reasons = qualifiers.inventory(text)
+    assert [a["text"] for a in amounts] == ["5 kg", "two thousand"] and [m["text"] for m in markers] == ["must"] and reasons
+    assert len(seen) < 500
+    rng = random.Random(3)
+    words = "one two-thousand 5 1.5 \u0663 kg m/s about at_least don't don\u2019t not may May must all but x'no 'not \uff4fne \u212a an\u00e9one one\u00e9 \u2014 ( phone often".replace("_", " ").split(" ")
+    for _ in range(300):
+        made = "".join(rng.choice(words) + rng.choice((" ", ", ", "\u00a0", "\x1c", " word" * rng.randint(1, 60) + " ")) for _ in range(rng.randint(1, 12)))
+        for language in ("en", "fr", "ar"):
+            pair = made, made.replace("one", "two").replace("may", "must")
+            near = quantity.compare(*pair, language), qualifiers.compare(*pair, language)
+            with monkeypatch.context() as whole:
+                whole.setattr(spots, "lowered", lambda text: None)
+                quantity.stretches.cache_clear()
+                assert near == (quantity.compare(*pair, language), qualifiers.compare(*pair, language)), made
+            quantity.stretches.cache_clear()
+
+
+def test_a_letter_that_depends_on_its_place_is_lowered_by_token(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.functions import text as T
+
+    texts = ["\u039f\u0394\u039f\u03a3.\u0391 B", "\u0130stanbul K\u00d6LN", "DON\u2019T Stop", "\u0627\u0644\u0633\u0651\u0644\u0627\u0645 OK"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.token_values(F.col("t")).alias("v")).collect()
+    assert [r.v for r in rows] == [["\u03bf\u03b4\u03bf\u03c2", "\u03b1", "b"], ["i\u0307stanbul", "k\u00f6ln"], ["don't", "stop"], ["\u0627\u0644\u0633\u0644\u0627\u0645", "ok"]]
+
+
+_SHAPE = "file_id string, input_index long, row_number long, group_raw string, ordinal_raw string, text string"
+
+
+def _odd_rows(spark, seed, n, spread):
+    import random
+
+    rng, texts = random.Random(seed), ["he did not go", "he did go", "there are 5 kg", "<b>x</b>", " ", None, "all must go", "wholly other words here"]
+    rows = []
+    for file in ("e", "f"):
+        for i in range(n):
+            at = (1 + i * 9 // n, str(1 + i % 9)) if rng.random() < 0.7 else (rng.randint(1, 10), rng.choice(["1", "2", "9", "2-3", None]))
+            rows.append((file, i * spread, i * spread + 1, str(at[0]), at[1], rng.choice(texts)))
+    return spark.createDataFrame(rows, _SHAPE)
+
+
+def test_statuses_need_no_evidence_and_one_branch(spark):
+    """Who reads statuses pays for no evidence, and rows go through one chain of steps, not two."""
+    from tallymark.operators import audit as A
+    from tallymark.operators import index
+
+    sizes = index.numbering(spark.createDataFrame([(g, 9) for g in range(1, 10)], "grp long, n long"))
+    report = A.audit(_odd_rows(spark, 1, 40, 1), sizes, _odd_rows(spark, 2, 40, 1).where("file_id = 'f'"), complete=False, candidate_language="en", reference_language="en", verified=True)
+    plan = report.rows.groupBy("file_id", "status").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "Union" not in plan and plan.count("ArrowEvalPython") == 1
