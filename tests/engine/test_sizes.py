@@ -395,3 +395,33 @@ def test_statuses_need_no_evidence_and_one_branch(spark):
     report = A.audit(_odd_rows(spark, 1, 40, 1), sizes, _odd_rows(spark, 2, 40, 1).where("file_id = 'f'"), complete=False, candidate_language="en", reference_language="en", verified=True)
     plan = report.rows.groupBy("file_id", "status").count()._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan and "Union" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_a_summary_counts_what_the_findings_are(spark, monkeypatch):
+    """Its counts are those of rows and findings, in one pass that keeps no rows; strides and blocks of groups are short here."""
+    from collections import Counter
+
+    from tallymark.operators import audit as A
+    from tallymark.operators import index, structure
+
+    monkeypatch.setattr(structure, "BLOCK", 4)
+    monkeypatch.setattr(structure, "STRIDE", 3)
+    sizes = index.numbering(spark.createDataFrame([(g, 9 if g % 2 else 2) for g in range(1, 10)], "grp long, n long"))
+    sound = spark.createDataFrame([("e", 900 + k, 901 + k, "7", str(1 + k), "x y") for k in range(9)], _SHAPE)
+    reference = _odd_rows(spark, 2, 60, 1).where("file_id = 'f'")
+    scope = spark.createDataFrame([(g,) for g in (1, 2, 3, 7)], "grp long")
+    for given, groups, complete in ((None, None, True), (None, scope, True), (reference, None, True), (reference, None, False)):
+        report = A.audit(_odd_rows(spark, 1, 80, 2).unionByName(sound), sizes, given, groups, complete, candidate_language="en", reference_language="en", verified=True, many=None if given is None else 5)
+        summary = {r.file_id: r for r in report.summary.collect()}
+        assert "_kept" not in report.__dict__
+        rows, found = report.rows.collect(), report.findings.collect()
+        for file, r in summary.items():
+            mine, own = [x for x in rows if x.file_id == file], [x for x in found if x.file_id == file]
+            codes, kinds, states = Counter(x.code for x in own), Counter(x.type for x in own), Counter(x.status for x in mine)
+            assert (r.findings, r.structural_findings, r.comparison_findings) == (len(own), kinds["structural"], kinds["comparison"])
+            assert all(r[f"n_{code}"] == codes[code] for code in A._COUNTED) and r.duplicate_ids == codes["duplicate_id"]
+            assert (r.needs_review_rows, r.abstain_rows, r.no_signal_rows) == (states["needs_review"], states["abstain"], states["no_signal"])
+            assert (r.covered_ids, r.valid_rows) == (len({x.id for x in mine if x.in_scope}), sum(x.valid for x in mine))
+            assert r.duplicate_rows == r.valid_rows - len({x.id for x in mine if x.valid})
+        assert summary["e"].n_out_of_order > 0 and (given is None) == (summary["e"].n_lexical_difference == 0)
+        report.unpersist()
