@@ -71,7 +71,7 @@ def coverage_by_file(spark, d):
   FROM r JOIN g USING (file_id) LEFT JOIN d USING (file_id), want""")
 def complete_audit(spark, d):
     """The audit of three files that claim to be complete, one summary row each."""
-    report = A.audit(flags_as_files(spark, d), order_index(spark, d))
+    report = A.audit(flags_as_files(spark, d), order_index(spark, d), many=line_tasks(spark, d))
     return report.summary.select(
         "file_id", "total_rows", "expected_ids", "covered_ids", "missing_ids", "coverage_percent", "duplicate_ids", "duplicate_rows", "structural_findings", "structurally_complete"
     )

@@ -425,3 +425,20 @@ def test_a_summary_counts_what_the_findings_are(spark, monkeypatch):
             assert r.duplicate_rows == r.valid_rows - len({x.id for x in mine if x.valid})
         assert summary["e"].n_out_of_order > 0 and (given is None) == (summary["e"].n_lexical_difference == 0)
         report.unpersist()
+
+
+def test_a_complete_audit_moves_rows_twice(spark, tmp_path, monkeypatch):
+    """To the index and to their place in the file; it was read in many branches and kept whole."""
+    from tallymark.operators import index
+    from tallymark.plans import file_queries as q
+
+    rows = [(k // 5, 1 + k % 5 - (k % 50 == 3), "ARN"[k % 3], "O") for k in range(2_000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(index, "ROWS_A_TASK", 100)
+    out = q.complete_audit(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and plan.count("Relation [") <= 6
+    for r in out.collect():
+        have = [(g, n) for g, n, flag, _ in rows if flag == r.file_id]
+        assert (r.total_rows, r.covered_ids, r.duplicate_rows) == (len(have), len(set(have)), len(have) - len(set(have)))
+        assert r.missing_ids == r.expected_ids - r.covered_ids and not r.structurally_complete
