@@ -55,13 +55,17 @@ def trimmed(text: Column) -> Column:
 
 def strict_integer(text: Column) -> Column:
     """The non-negative integer that the text is, digits only; null otherwise or beyond 2**53 - 1."""
-    digits = trimmed(ascii_digits(text))
-    plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    value = F.when(digits.rlike("^[0-9]+$") & (F.length(plain) <= 16), plain.try_cast("bigint"))
+    def read(t: Column) -> Column:
+        digits = trimmed(ascii_digits(t))
+        plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+        value = F.when(digits.rlike("^[0-9]+$") & (F.length(plain) <= 16), plain.try_cast("bigint"))
+        return F.when(value <= MAX_SAFE, value)
+
     # most identifiers are a few plain digits, which need no pattern: as a number they are spelled alike
     number = text.try_cast("bigint")
     few = number.between(0, 10**15 - 1) & (number.cast("string") == text)
-    return F.when(few, number).otherwise(F.when(value <= MAX_SAFE, value))
+    # the patterns stay out of the generated code, which Java wouldn't compile with them: too long a method
+    return F.when(few, number).otherwise(F.get(F.transform(F.array(text), read), F.lit(0)))
 
 
 def merged_range(text: Column) -> Column:
